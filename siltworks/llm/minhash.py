@@ -6,8 +6,9 @@ sketch, a bitmap in which each sample flips one bit. The population count of the
 sketches estimates how many samples differ, so most false candidates go without touching a set.
 What is left is confirmed on the full sets.
 
-Texts with equal sets share one representative, so copies never meet pairwise. In a band's bucket
-all members are first compared with one hub. Only buckets whose members are still in different
+Texts with equal sets share one representative, so copies never meet pairwise. Each bucket has one
+hub. A document is first compared with the smallest hub of its buckets, then with the hubs it isn't
+joined to yet. Only buckets whose members are still in different
 components go on: members outside the largest component are compared with the others in blocks of
 bounded size, nearest first, then all that remain. Links between members that a component
 already joins are never looked for, as they can't change the result.
@@ -231,9 +232,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         """A representative of one set whose doc_id is also on a row with another set."""
         return full.join(copies, "digest").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
-    candidates = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = materialise(_confirmed(_close(candidates, sketches), sets), "links")
+    nearby = members.where("node != hub").groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b"))
+    links = materialise(_confirmed(_close(nearby, sketches), sets), "links")
     labels = components(links)
+    own = members.join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("root", "node").alias("label"))
+    centre = own.where("node = hub").select("bucket", F.col("label").alias("hub_label"))
+    apart = own.join(centre, "bucket").where("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    more = materialise(_confirmed(_close(apart, sketches), sets), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
     bare = members.select("bucket", "node")
     for nearest in (2, None):
         more = materialise(_remaining(bare, labels, sketches, nearest), "remaining")
