@@ -1,7 +1,7 @@
 """Vectorised text kernels over Arrow buffers.
 
 A text column arrives as one byte buffer with offsets. The kernels below work on slices of that
-buffer of about a megabyte (or one document, if it is longer), so memory stays bounded and no
+buffer of about half a megabyte (or one document, if it is longer), so memory stays bounded and no
 Python code runs per word.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, minhash, packing, secrets, tokens
+from . import chunks, decontaminate, langid, minhash, packing, quality, reputation, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.report(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op5_bit_plane_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -37,9 +45,26 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_minhash_near_dedup,
+    op2_chunk_dedup,
+    op3_winnowing_decontamination,
+    op4_host_reputation,
+    op5_bit_plane_token_ids,
+    op6_best_two_fit_packing,
+    op8_secret_scan,
+    op9_language_id,
+    op10_weak_supervision_quality,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_winnowing_decontamination, op5_bit_plane_token_ids, op6_best_two_fit_packing, op8_secret_scan, op9_language_id)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_host_reputation": reputation.ORACLE_SQL}
