@@ -7,15 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.session import table
+from siltworks.streaming import marts as streaming
+
+from . import entities, marts, text  # noqa: F401  they register their queries
+
+
+@marts.query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS value FROM events GROUP BY 1, 2")
+def event_day_mart(spark: SparkSession, d: str) -> DataFrame:
+    """What :func:`siltworks.streaming.marts.run_stream` comes to once every window is finished."""
+    return streaming.additive(table(spark, d, "events"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """The scorecard with every entity's reasons."""
+    judged = entities.verdict_reasons(spark, sf_dir)
+    return entities.scorecard_sorted(spark, sf_dir).join(judged.select("entity", "codes"), "entity").select("entity", "name", "verdict", "red_flags_recent", F.col("codes").alias("reasons"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(marts.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(marts.SQL)
