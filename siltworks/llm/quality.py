@@ -49,7 +49,7 @@ def counts(docs: DataFrame) -> DataFrame:
         size.cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_intersect(F.transform(F.slice("words", 1, 400), F.lower), F.array(*map(F.lit, FUNCTION_WORDS)))).alias("n_function_words"),
+        F.size(F.array_intersect("words", F.array(*map(F.lit, FUNCTION_WORDS)))).alias("n_function_words"),
         F.sort_array(windows).alias("sorted"),
     )
     same = lambda x, k: F.coalesce(F.get("sorted", k)["h"] == x["h"], F.lit(False))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, langid, minhash, packing, quality, reputation, secrets, tokens
+from . import chunks, decontaminate, langid, minhash, packing, quality, reputation, secrets, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op7_suffix_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ _ALL = (
     op4_host_reputation,
     op5_bit_plane_token_ids,
     op6_best_two_fit_packing,
+    op7_suffix_index_dedup,
     op8_secret_scan,
     op9_language_id,
     op10_weak_supervision_quality,

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; in local mode a temporary one if it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,14 +28,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage there."""
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage there.
+
+    While it runs, Arrow batches are small; see :func:`small_batches`.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_BATCH)
+    small_batches(spark)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold at most ``BATCH_ROWS`` rows.
+
+    Ten thousand texts or wide arrays at a time would take much of an executor's memory beside its heap.
+    """
+    rows = int(spark.conf.get(_BATCH))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialise` that no later plan reads."""
     for df in tables:

@@ -9,12 +9,14 @@ system that Spark knows can hold and whose commit survives lost executors.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -23,10 +25,12 @@ from .storage import new_path
 
 END_ID = 0
 CHUNK_IDS = 1 << 16
-CACHE_PIECES = 400_000
+#: Distinct pieces that a worker keeps; once full, rarer ones are encoded each time.
+CACHE_PIECES = 200_000
+_LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Texts of these characters split the same way here as in the tokenizers library; others go there whole.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞]*+")
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞]*+")
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\t\n\r {_LETTER}{_DIGIT}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,15 +39,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Byte-level BPE spells bytes as characters: printable ones as themselves, the rest from 256 on in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class _Pieces(dict):
+    """Ids of pieces as the pre-tokenizer makes them, by the library's model."""
+
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self[piece] = out = np.array(ids, "<u4").tobytes()
+        spelled = piece.encode().decode("latin-1").translate(_SPELLED)
+        out = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(self) < CACHE_PIECES:
+            self[piece] = out
         return out
 
 
@@ -55,6 +66,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
