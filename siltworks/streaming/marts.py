@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def additive(events: DataFrame, window: str = "1 day", late: str | None = None) -> DataFrame:
-    """Counts and sums of each window and kind; ``late`` is the watermark, by which state is bounded."""
+    """Counts and sums of each window and kind; ``late`` is the watermark, by which state is bounded.
+
+    Times without a zone are taken in the session's.
+    """
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if late:
         events = events.withWatermark("ts", late)
     out = events.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("value"))
-    return out.select(F.col("w.start").alias("start"), "event_type", "n", F.col("value").cast("double").alias("value"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("value").cast("double").alias("value"))
 
 
 def run_stream(spark: SparkSession, path: str, schema, sink: str, checkpoint: str, window: str = "1 day", late: str = "2 days") -> None:
