@@ -33,23 +33,24 @@ from .storage import materialise, release
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 256
+#: samples folded into an odd sketch, and its bits
+SKETCH_SAMPLES, SKETCH_BITS = 512, 1024
 #: links: 100 * intersection >= NUMERATOR * union
 NUMERATOR = 85
 #: Candidates whose sketches estimate less than this are dropped; five deviations below the threshold.
-SKETCH_LEAST = 0.68
+SKETCH_LEAST = 0.77
 LEFT_BLOCK, RIGHT_BLOCK = 128, 512
 
 _rng = np.random.default_rng(20240229)
-_XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
-_MULT = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, SKETCH_SAMPLES, dtype=np.uint32)
+_MULT = _rng.integers(0, 1 << 32, SKETCH_SAMPLES, dtype=np.uint32) | np.uint32(1)
 _BAND_SEED = K.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-_SAMPLE_SEED = K.mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64))
+_SAMPLE_SEED = K.mix(np.arange(1001, 1001 + SKETCH_SAMPLES, dtype=np.uint64))
 
 
 def most_differing_bits(least: float = SKETCH_LEAST) -> int:
     """XOR population count that an odd sketch shows on average at a similarity of ``least``."""
-    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SAMPLES * (1 - least))))
+    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SKETCH_SAMPLES * (1 - least))))
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,11 +70,12 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + d, K.gram_hash(hashes[a:b], int(b - a)) if b > a else hashes[:0]
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
+def samples(shingles: np.ndarray, n: int = SAMPLES) -> np.ndarray:
+    """The first ``n`` MinHash samples of a set."""
     values = (shingles >> np.uint64(32)).astype(np.uint32)
-    low = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(values), 2048):
-        np.minimum(low, ((values[k : k + 2048, None] ^ _XOR) * _MULT).min(axis=0), out=low)
+    low = np.full(n, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(values), 1024):
+        np.minimum(low, ((values[k : k + 1024, None] ^ _XOR[:n]) * _MULT[:n]).min(axis=0), out=low)
     return low
 
 
@@ -93,41 +95,34 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            n, digest, band, sketch = [], [], [], []
+            n, digest, band = [], [], []
             for _, s in shingle_sets(batch.column(1)):
                 n.append(len(s))
-                if len(s):
-                    low = samples(s)
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    band.append(bands(low))
-                    sketch.append(odd_sketch(low))
-                else:
-                    digest.append(None)
-                    band.append(None)
-                    sketch.append(np.zeros(4, np.int64))
-            sk = np.array(sketch, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), *(pa.array(sk[:, i]) for i in range(4))],
-                names=["doc_id", "n_shingles", "digest", "bands", "s0", "s1", "s2", "s3"],
-            )
+                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                band.append(bands(samples(s)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+
+
+_SKETCH = tuple(f"s{k}" for k in range(SKETCH_BITS // 64))
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            sets = [s.view(np.int64) for _, s in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [s for _, s in shingle_sets(batch.column(1))]
+            sketch = np.array([odd_sketch(samples(s, SKETCH_SAMPLES)) for s in sets], np.int64).reshape(-1, len(_SKETCH))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(sketch[:, k]) for k in range(len(_SKETCH))), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["node", "n", *_SKETCH, "shingles"],
+            )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Set size, digest of the set, band hashes and odd sketch of every document."""
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+    """Set size, digest of the set and band hashes of every document."""
+    schema = "doc_id long, n_shingles long, digest binary, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, schema)
 
 
-_SKETCH = ("s0", "s1", "s2", "s3")
-
-
 def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) whose set sizes and odd sketches allow a link."""
     side = lambda p: sketches.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), *(F.col(c).alias(f"{p}_{c}") for c in _SKETCH))
@@ -147,10 +142,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _scan(nearest: int | None):
-    """Compares the members of bounded blocks; pairs in one component are left out."""
+    """Compares the members of bounded blocks; pairs in one component are left out.
+
+    A pair is given in the first bucket that it shares only.
+    """
     limit = most_differing_bits()
 
-    def pairs(left: dict, right: dict, same: bool) -> list[tuple[int, int]]:
+    def pairs(bucket: int, left: dict, right: dict, same: bool) -> list[tuple[int, int]]:
         bits = np.bitwise_count(left["s"][:, None, :] ^ right["s"][None, :, :]).sum(axis=2)
         small = np.minimum(left["n"][:, None], right["n"][None, :])
         large = np.maximum(left["n"][:, None], right["n"][None, :])
@@ -164,15 +162,19 @@ def _scan(nearest: int | None):
             np.put_along_axis(near, keep, True, axis=1)
             fit &= near
         x, y = np.nonzero(fit)
+        shared = left["bands"][x] == right["bands"][y]
+        first = left["bands"][x, shared.argmax(axis=1)] == bucket
+        x, y = x[first], y[first]
         return list(zip(left["node"][x].tolist(), right["node"][y].tolist(), strict=True))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for row, k1, k2, cross in zip(batch.column("members"), batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("cross").to_pylist(), strict=True):
+            for row, bucket, k1, k2, cross in zip(batch.column("members"), *(batch.column(c).to_pylist() for c in ("bucket", "k1", "k2", "cross")), strict=True):
                 m = row.values
                 col = {c: m.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "block", "major", *_SKETCH)}
                 col["s"] = np.stack([col.pop(c) for c in _SKETCH], axis=1)
+                col["bands"] = m.field("bands").flatten().to_numpy().reshape(-1, BANDS)
                 take = lambda mask: {c: v[mask] for c, v in col.items()}
                 rest = ~col["major"].astype(bool)
                 if cross:
@@ -180,14 +182,14 @@ def _scan(nearest: int | None):
                 else:
                     left, right = take(rest & (col["block"] == k1)), take(rest & (col["block"] == k2))
                 if len(left["node"]) and len(right["node"]):
-                    found.update((min(p), max(p)) for p in pairs(left, right, not cross and k1 == k2))
+                    found.update((min(p), max(p)) for p in pairs(bucket, left, right, not cross and k1 == k2))
             at = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["a", "b"])
 
     return scan
 
 
-def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, nearest: int | None) -> DataFrame:
+def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, bands: DataFrame, nearest: int | None) -> DataFrame:
     """Candidate pairs of different components in the buckets that hold several of them."""
     named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
@@ -195,10 +197,10 @@ def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, neare
     mixed = mixed.where("labels > 1 and total > 2").select(
         "bucket", F.col("top.label").alias("most"), F.ceil((F.col("total") - F.col("top.c")) / LEFT_BLOCK).cast("int").alias("left"), F.ceil(F.col("top.c") / RIGHT_BLOCK).cast("int").alias("right")
     )
-    known = named.join(mixed, "bucket").join(sketches, "node")
+    known = named.join(mixed, "bucket").join(sketches, "node").join(bands, "node")
     major = F.col("label") == F.col("most")
     block = F.pmod(F.xxhash64("node"), F.when(major, F.col("right")).otherwise(F.col("left"))).cast("int")
-    known = known.select("bucket", "left", "right", F.struct("node", "label", "n", block.alias("block"), major.alias("major"), *_SKETCH).alias("m"))
+    known = known.select("bucket", "left", "right", F.struct("node", "label", "n", block.alias("block"), major.alias("major"), "bands", *_SKETCH).alias("m"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     own = F.col("m.block")
     key = lambda a, b, cross: F.struct(a.cast("int").alias("k1"), b.cast("int").alias("k2"), F.lit(cross).alias("cross"))
@@ -206,7 +208,7 @@ def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, neare
     for_rest = F.concat(F.transform(upto("right"), lambda j: key(own, j, True)), F.transform(upto("left"), lambda i: key(F.least(i, own), F.greatest(i, own), False)))
     spread = known.select("bucket", F.explode(F.when(F.col("m.major"), for_major).otherwise(for_rest)).alias("key"), "m")
     blocks = spread.groupBy("bucket", "key").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
-    return blocks.select("members", "key.k1", "key.k2", "key.cross").mapInArrow(_scan(nearest), "a long, b long").distinct()
+    return blocks.select("bucket", "members", "key.k1", "key.k2", "key.cross").mapInArrow(_scan(nearest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -221,12 +223,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = sig.where("n_shingles > 0 and doc_id is not null")
     copies = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
     reps = full.join(copies.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi")
-    sketches = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), *_SKETCH)
     buckets = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     members = materialise(buckets.join(hubs, "bucket"), "buckets")
     in_buckets = members.select("node").distinct()
-    sets = materialise(docs.join(in_buckets, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_full_sets, "node long, shingles array<long>"), "sets")
+    sets = materialise(docs.join(in_buckets, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_full_sets, f"node long, n long, {', '.join(f'{c} long' for c in _SKETCH)}, shingles array<long>"), "sets")
+    sketches = sets.drop("shingles")
 
     def seen_again() -> DataFrame:
         """A representative of one set whose doc_id is also on a row with another set."""
@@ -243,8 +245,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.unionByName(more)
         labels = components(links)
     bare = members.select("bucket", "node")
+    own_bands = reps.select(F.col("doc_id").alias("node"), "bands")
     for nearest in (2, None):
-        more = materialise(_remaining(bare, labels, sketches, nearest), "remaining")
+        more = materialise(_remaining(bare, labels, sketches, own_bands, nearest), "remaining")
         if more.isEmpty():
             release(more)
             break
