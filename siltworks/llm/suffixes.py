@@ -219,6 +219,13 @@ def _copies(docs: DataFrame) -> DataFrame:
     return plain.join(again, "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_position("texts", F.xxhash64("text")) - 1, F.lit(0)).cast("long").alias("copy"))
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.union(more)
+    return out
+
+
 def _reclaim(df: DataFrame) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps now and not at the driver's next collection."""
     df.sparkSession._jvm.System.gc()
@@ -235,19 +242,25 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     full = plain.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     cuts = full.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 1000)).first()[0] or []
     cuts = sorted(set(cuts))[: batches - 1]
-    index, shared = SuffixIndex(), []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+
+    def between(low: int | None, high: int | None) -> DataFrame:
         part = full if low is None else full.where(F.col("doc_id") > low)
-        shared.append(index.add(part if high is None else part.where(F.col("doc_id") <= high)))
+        return part if high is None else part.where(F.col("doc_id") <= high)
+
+    parts = [between(*ends) for ends in zip([None, *cuts], [*cuts, None], strict=True)]
+    index, shared = SuffixIndex(), []
+    for part in parts:
+        shared.append(index.add(part))
         _reclaim(docs)
     index.close()
-    both = shared[0]
-    for more in shared[1:]:
-        both = both.union(more)
-    held = materialise(full.mapInArrow(_segments_of, _SEGMENT).join(both.distinct(), "suffix"), "segments")
+    both = _union(shared).distinct()
+    held = []
+    for part in parts:
+        held.append(materialise(part.mapInArrow(_segments_of, _SEGMENT).join(both, "suffix"), "segments"))
+        _reclaim(docs)
     release(*shared)
-    _reclaim(docs)
-    kinds = materialise(held.groupBy("suffix", "segment").agg(F.min("doc_id").alias("holder"), F.min_by("place", "doc_id").alias("place")), "kinds")
+    every = _union(held)
+    kinds = materialise(every.groupBy("suffix", "segment").agg(F.min("doc_id").alias("holder"), F.min_by("place", "doc_id").alias("place")), "kinds")
     several = kinds.groupBy("suffix").agg(F.count("*").alias("n"), F.min("holder").alias("a"), F.max("holder").alias("b")).where("n > 1 and a < b").select("suffix")
     wanted = kinds.join(several, "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct("suffix", "segment", "place")).alias("wanted"))
     texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of(True), "suffix long, segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
@@ -258,11 +271,11 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     windows = materialise(texts.join(near, ["suffix", "segment"], "left_semi").mapInArrow(_windows, "window long, doc_id long, suffix long, segment long, at long"), "windows")
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
     partly = windows.join(first, "window").where("doc_id > first").groupBy("suffix", "segment").agg(F.collect_set("at").alias("at"))
-    known = held.join(kinds.select("suffix", "segment", "holder"), ["suffix", "segment"])
+    known = every.join(kinds.select("suffix", "segment", "holder"), ["suffix", "segment"])
     whole = known.where("doc_id > holder").select("doc_id", "place", F.lit(None).cast("array<long>").alias("at"))
     ends = known.where("doc_id = holder").join(partly, ["suffix", "segment"]).select("doc_id", "place", "at")
     found = materialise(whole.union(ends), "found")
-    release(held, kinds, texts, windows)
+    release(*held, kinds, texts, windows)
     _reclaim(docs)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "at")).alias("found"))
     return plain.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "found").mapInArrow(_remove, "doc_id long, text string, removed array<struct<first:bigint,last:bigint>>, kept_bytes binary")
