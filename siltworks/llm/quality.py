@@ -64,23 +64,26 @@ def counts(docs: DataFrame) -> DataFrame:
     return starts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"), "n_function_words")
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    vote = F.when(bad, BAD)
+    return (vote if good is None else vote.when(good, GOOD)).otherwise(NONE)
 
 
 def votes() -> dict[str, Column]:
-    """The rules, by the counts' columns."""
+    """The rules, by the counts' columns.
+
+    Most rules only speak against a text: not failing them says little, so then they abstain.
+    """
     n = F.greatest(F.col("n_words"), F.lit(1))
-    length = F.col("word_chars") / n
-    share = lambda c: F.col(c) / n
+    length, share = F.col("word_chars") / n, lambda c: F.col(c) / n
     lines = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     return {
-        "size": _vote(F.col("n_words") < LEAST_WORDS, F.col("n_words") >= 2 * LEAST_WORDS),
-        "word_length": _vote((length < 2.5) | (length > 12), (length >= 3) & (length <= 9)),
+        "size": _vote(F.col("n_words") < LEAST_WORDS),
+        "word_length": _vote((length < 2.5) | (length > 12)),
         "symbols": _vote(share("n_symbols") > 0.1, share("n_symbols") < 0.02),
-        "lines": _vote(lines > 0.3, lines < 0.05),
-        "repeats": _vote(share("n_repeat_words") > 0.3, share("n_repeat_words") < 0.15),
-        "function_words": _vote(F.col("n_function_words") == 0, F.col("n_function_words") >= 2),
+        "lines": _vote(lines > 0.3),
+        "repeats": _vote(share("n_repeat_words") > 0.3),
+        "function_words": _vote(F.col("n_function_words") <= 1, F.col("n_function_words") >= 5),
     }
 
 

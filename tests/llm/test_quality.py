@@ -34,6 +34,15 @@ def test_against_plain_counts(spark):
     assert all(0 <= r.posterior <= 1 for r in got)
 
 
+def test_agrees_with_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [r for r in assess(documents(spark, sf)).collect() if r.doc_id in labels and not r.base_failed]
+    bad = [r.kept for r in got if labels[r.doc_id] == 0]
+    good = [r.kept for r in got if labels[r.doc_id] == 1]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_accuracies():
     r = random.Random(5)
     truth = [0.95, 0.9, 0.8, 0.7, 0.85, 0.6]
