@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import group, is_all, matches, null_if_empty, rewrite, squeeze, text
+from .text import group, is_all, let, matches, null_if_empty, rewrite, squeeze, text
 
 # Postal abbreviations and directions that keys depend on. WEST stays as it is.
 ABBREVIATIONS = (
@@ -30,11 +30,14 @@ def address_unit(c: Column | str) -> Column:
 
 def address_key(c: Column | str) -> Column:
     """``POBOX n``, or the house number and the first word of the street, or null."""
-    clean = clean_address(c)
-    split = F.regexp_replace(clean, JOINED_DIRECTION, "$1$2 $3")
-    box = group(clean, r"\bPO BOX\s+([0-9]+)")
-    house = F.concat(group(split, HOUSE, 1), F.lit(" "), group(split, HOUSE, 2))
-    return F.when(box != "", F.concat(F.lit("POBOX "), box)).when(matches(clean, r"^[0-9]+[A-Z]?\s+"), house)
+
+    def key(clean: Column) -> Column:
+        split = F.regexp_replace(clean, JOINED_DIRECTION, "$1$2 $3")
+        box = group(clean, r"\bPO BOX\s+([0-9]+)")
+        house = F.concat(group(split, HOUSE, 1), F.lit(" "), group(split, HOUSE, 2))
+        return F.when(box != "", F.concat(F.lit("POBOX "), box)).when(matches(clean, r"^[0-9]+[A-Z]?\s+"), house)
+
+    return let(clean_address(c), key)
 
 
 def zip5(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from .text import group, is_all, matches, null_if_empty, rewrite, text
+from .text import group, is_all, let, matches, null_if_empty, rewrite, text
 
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx")
 # The forms by which jurisdictions' codes are told apart.
@@ -198,9 +198,12 @@ def _base(s: Column) -> Column:
 
 def parse(raw: Column | str, state: Column | str | None = None) -> Column:
     """``struct(std_family, section_key, standard_cite)`` of a raw code and the state of its site."""
-    s = normal(raw)
-    st = F.upper(F.trim(text(state))) if state is not None else lit("")
-    fam = family(s, st)
+    own = F.struct(normal(raw).alias("s"), (F.upper(F.trim(text(state))) if state is not None else lit("")).alias("st"))
+    known = let(own, lambda x: F.struct(x["s"].alias("s"), x["st"].alias("st"), family(x["s"], x["st"]).alias("fam")))
+    return let(known, lambda x: _read(x["s"], x["st"], x["fam"]))
+
+
+def _read(s: Column, st: Column, fam: Column) -> Column:
     duty = F.when(matches(s, "^5A000[0-9]"), cat(lit("5(a)("), F.substring(s, 6, 1), lit(")"))).otherwise("5(a)(1)")
     label = F.when(st != "", cat(st, lit(" "))).otherwise("")
     key, cite = F.when(fam == "general_duty", duty), F.when(fam == "general_duty", duty).when(fam == "unknown", null_if_empty(s))

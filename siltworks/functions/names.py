@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import BLANK, fold_accents, group, is_all, matches, null_if_empty, rewrite, squeeze, text
+from .text import BLANK, fold_accents, group, is_all, let, matches, null_if_empty, rewrite, squeeze, text
 
 # Legal forms, states, placeholders and token lists that results depend on.
 LEGAL_FORMS = (
@@ -70,9 +70,13 @@ def upper_ascii(c: Column | str) -> Column:
 def drop_record_number(c: Column) -> Column:
     """Without the case or record number that some sources put before the name."""
     case = r"^[A-Z]+[0-9][A-Z0-9]{8,}\s+-\s+"
-    digits = F.length(F.regexp_replace(F.substring_index(c, " ", 1), "[^0-9]", ""))
-    plain = F.regexp_replace(c, r"^[A-Z]{0,3}(?:[0-9]{5,}\s*-\s*|[0-9]{3,}\s+-\s+)", "")
-    return F.when(matches(c, case) & (digits >= 4), F.regexp_replace(c, case, "")).otherwise(plain)
+
+    def drop(x: Column) -> Column:
+        digits = F.length(F.regexp_replace(F.substring_index(x, " ", 1), "[^0-9]", ""))
+        plain = F.regexp_replace(x, r"^[A-Z]{0,3}(?:[0-9]{5,}\s*-\s*|[0-9]{3,}\s+-\s+)", "")
+        return F.when(matches(x, case) & (digits >= 4), F.regexp_replace(x, case, "")).otherwise(plain)
+
+    return let(c, drop)
 
 
 def drop_dots(c: Column) -> Column:
@@ -102,8 +106,8 @@ def join_legal_letters(c: Column) -> Column:
 
 def drop_legal_form(c: Column) -> Column:
     """Without legal forms at the end and before DBA, unless nothing would be left."""
-    bare = F.trim(rewrite(c, (r"\s+DBA\z", ""), (rf"(?:\s+(?:{_FORMS}))+\s+DBA\b", " DBA"), (rf"(?:\s+(?:THE|{_FORMS}))+\s*\z", "")))
-    return F.coalesce(null_if_empty(bare), c)
+    bare = lambda x: F.trim(rewrite(x, (r"\s+DBA\z", ""), (rf"(?:\s+(?:{_FORMS}))+\s+DBA\b", " DBA"), (rf"(?:\s+(?:THE|{_FORMS}))+\s*\z", "")))
+    return let(c, lambda x: F.coalesce(null_if_empty(bare(x)), x))
 
 
 def join_initials(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -10,6 +11,11 @@ from pyspark.sql import Column, functions as F
 BLANK = r"[ \t\n\f\r]"
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` names it; also keeps plans small."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def text(c: Column | str) -> Column:
     """The column as a string, null as empty."""
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))

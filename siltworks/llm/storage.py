@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,30 +30,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage there.
-
-    While it runs, Arrow batches are small; see :func:`small_batches`.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int = BATCH_ROWS) -> Iterator[None]:
+    """While it lasts, Arrow batches hold at most ``most`` rows; see :func:`small_batches`."""
     before = spark.conf.get(_BATCH)
-    small_batches(spark)
+    small_batches(spark, most)
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_BATCH, before)
+
+
+def materialise(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage there."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with arrow_batches(spark, batch_rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on Arrow batches of this session hold at most ``BATCH_ROWS`` rows.
+def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
+    """From now on Arrow batches of this session hold at most ``most`` rows.
 
     Ten thousand texts or wide arrays at a time would take much of an executor's memory beside its heap.
     """
     rows = int(spark.conf.get(_BATCH))
-    if not 0 < rows <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if not 0 < rows <= most:
+        spark.conf.set(_BATCH, str(most))
 
 
 def release(*tables: DataFrame) -> None:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import new_path
+from .storage import arrow_batches, new_path
 
 END_ID = 0
 CHUNK_IDS = 1 << 16
@@ -170,7 +170,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, partitio
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = plain.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_write_chunks(tokenizer, bits, chunk_ids), _CHUNK).write.option("compression", "none").parquet(path)
+    with arrow_batches(docs.sparkSession):
+        ordered.mapInArrow(_write_chunks(tokenizer, bits, chunk_ids), _CHUNK).write.option("compression", "none").parquet(path)
 
 
 def _read_chunks(bases: dict[int, int], whole: bool):
@@ -180,7 +181,7 @@ def _read_chunks(bases: dict[int, int], whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for r in batch.to_pylist():
+            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 cut = [*r["offsets"], r["n_ids"]]
                 wanted = [k for k in range(len(r["offsets"])) if r["goes_on"][k] != whole]
                 if not wanted:
