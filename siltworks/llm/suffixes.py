@@ -32,7 +32,10 @@ LENGTH = 50
 GRAM = 20
 WINDOW = LENGTH - GRAM + 1
 REACH = -(-(LENGTH - GRAM) // 2)
-BATCHES = 3
+#: bytes of text in a batch of a table that is indexed at once
+BATCH_BYTES = 64 << 30
+#: parts of the table whose segments are shuffled one after the other, so that less disk is used at a time
+PARTS = 3
 
 
 def minimizers(hashes: np.ndarray) -> np.ndarray:
@@ -108,12 +111,12 @@ class SuffixIndex:
     @staticmethod
     def array(batch: DataFrame) -> DataFrame:
         """The suffix array of a batch of texts: ``suffix, low, high`` (documents)."""
-        rows = batch.mapInArrow(_segments_of, _SEGMENT).groupBy("suffix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        return materialise(rows, "suffix-array")
+        rows = batch.mapInArrow(_segments_of, _SEGMENT).select("suffix", "doc_id")
+        return rows.groupBy("suffix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Indexes a batch; the suffixes in it that two documents in it or in a level share."""
-        new = self.array(batch)
+        new = materialise(self.array(batch), "suffix-array")
         shared = new.where("low < high").select("suffix")
         for _, level in self.levels:
             shared = shared.union(new.select("suffix").join(level.select("suffix"), "suffix", "left_semi"))
@@ -131,22 +134,17 @@ class SuffixIndex:
         self.levels = []
 
 
-def _texts_of(keys: bool):
-    """Bytes of the wanted segments, or the hashes of what they hold to the right and left of the suffix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                out = []
-                for doc_id, text, copy, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("copy").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                    raw = text.as_py().encode()
-                    for w in wanted:
-                        own, first, n, ahead = _unpacked(w["place"])
-                        if own == copy:
-                            out.append((w["suffix"], w["segment"], doc_id, ahead, raw[first : first + n + LENGTH - 1]))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["suffix", "segment", "doc_id", "ahead", "bytes"])
-
-    return run
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the wanted segments."""
+    for batch in batches:
+        out = []
+        for doc_id, text, copy, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("copy").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            raw = text.as_py().encode()
+            for w in wanted:
+                own, first, n, ahead = _unpacked(w["place"])
+                if own == copy:
+                    out.append((w["segment"], doc_id, ahead, raw[first : first + n + LENGTH - 1]))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["segment", "doc_id", "ahead", "bytes"])
 
 
 def _hashes(spans: list[tuple[int, int]], raw: list[bytes]) -> np.ndarray:
@@ -168,10 +166,11 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep = np.flatnonzero(good)
                 key = K.mix(_hashes([at[k] for k in keep], [raw[k] for k in keep]) ^ np.uint64(right))
                 part = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id"), part.column("suffix"), part.column("segment")], names=["side", "doc_id", "suffix", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id"), part.column("segment"), pa.array([right] * len(keep))], names=["side", "doc_id", "segment", "is_right"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows that reach as far to a side as that side is common."""
     with np.errstate(over="ignore"):
         for batch in batches:
             raw = batch.column("bytes").to_pylist()
@@ -180,9 +179,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prefix = K.prefix_hash(np.frombuffer(b"".join(raw), np.uint8))
             row = np.repeat(np.arange(len(raw)), n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            left = batch.column("ahead").to_numpy()[row] - at
+            on = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(bool)[row] for c in ("right", "left")}
+            good = (on["right"] & (LENGTH - GRAM - left >= REACH)) | (on["left"] & (left >= REACH))
+            row, at = row[good], at[good]
             key = K.span_hash(prefix, offsets[row] + at, offsets[row] + at + LENGTH)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(take), batch.column("suffix").take(take), batch.column("segment").take(take), pa.array(at)], names=["window", "doc_id", "suffix", "segment", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(take), batch.column("segment").take(take), pa.array(at)], names=["window", "doc_id", "segment", "at"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,57 +234,73 @@ def _reclaim(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def shared_suffixes(full: DataFrame, batches: int) -> DataFrame:
+    """Suffixes that two documents share; more than one batch goes through the index."""
+    if batches == 1:
+        return materialise(SuffixIndex.array(full).where("low < high").select("suffix"), "shared")
+    index, shared = SuffixIndex(), []
+    for part in _ranges(full, batches):
+        shared.append(index.add(part))
+        _reclaim(full)
+    index.close()
+    both = materialise(_union(shared).distinct(), "shared")
+    release(*shared)
+    return both
+
+
+def _ranges(docs: DataFrame, n: int) -> list[DataFrame]:
+    """About equal parts of a table by ranges of ids."""
+    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 1000)).first()[0] or []
+    cuts = sorted(set(cuts))[: n - 1]
+    parts = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = docs if low is None else docs.where(F.col("doc_id") > low)
+        parts.append(part if high is None else part.where(F.col("doc_id") <= high))
+    return parts
+
+
+def remove_repeats(docs: DataFrame, batches: int | None = None, parts: int = PARTS) -> DataFrame:
     """``doc_id, text, removed, kept_bytes``: without bytes of ``LENGTH``-byte strings that an earlier document has.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Documents with smaller ids are earlier. Null texts
     count as empty. Rows without an id neither lose bytes nor make others lose any; rows that share an id
-    don't remove each other's bytes. An empty table gives no rows.
+    don't remove each other's bytes. An empty table gives no rows. ``batches`` is by default as many as
+    there are ``BATCH_BYTES`` of text.
     """
     plain = _copies(docs)
     full = plain.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    cuts = full.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))[: batches - 1]
-
-    def between(low: int | None, high: int | None) -> DataFrame:
-        part = full if low is None else full.where(F.col("doc_id") > low)
-        return part if high is None else part.where(F.col("doc_id") <= high)
-
-    parts = [between(*ends) for ends in zip([None, *cuts], [*cuts, None], strict=True)]
-    index, shared = SuffixIndex(), []
-    for part in parts:
-        shared.append(index.add(part))
-        _reclaim(docs)
-    index.close()
-    both = _union(shared).distinct()
+    if batches is None:
+        batches = max(1, -(-(full.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BATCH_BYTES))
+    shared = shared_suffixes(full, batches)
+    _reclaim(docs)
     held = []
-    for part in parts:
-        held.append(materialise(part.mapInArrow(_segments_of, _SEGMENT).join(both, "suffix"), "segments"))
+    for part in _ranges(full, parts):
+        held.append(materialise(part.mapInArrow(_segments_of, _SEGMENT).join(shared, "suffix"), "segments"))
         _reclaim(docs)
-    release(*shared)
+    release(shared)
     every = _union(held)
-    kinds = materialise(every.groupBy("suffix", "segment").agg(F.min("doc_id").alias("holder"), F.min_by("place", "doc_id").alias("place")), "kinds")
-    several = kinds.groupBy("suffix").agg(F.count("*").alias("n"), F.min("holder").alias("a"), F.max("holder").alias("b")).where("n > 1 and a < b").select("suffix")
-    wanted = kinds.join(several, "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct("suffix", "segment", "place")).alias("wanted"))
-    texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of(True), "suffix long, segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
+    kinds = materialise(every.groupBy("suffix", "segment").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("place")), "kinds")
+    several = kinds.groupBy("suffix").agg(F.count("*").alias("n"), F.min("holder").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("suffix")
+    wanted = kinds.join(several, "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct("segment", "place")).alias("wanted"))
+    texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of, "segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
     _reclaim(docs)
-    sides = texts.mapInArrow(_sides, "side long, doc_id long, suffix long, segment long")
+    sides = texts.mapInArrow(_sides, "side long, doc_id long, segment long, is_right boolean")
     common = sides.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("side")
-    near = sides.join(common, "side", "left_semi").select("suffix", "segment").distinct()
-    windows = materialise(texts.join(near, ["suffix", "segment"], "left_semi").mapInArrow(_windows, "window long, doc_id long, suffix long, segment long, at long"), "windows")
+    near = sides.join(common, "side", "left_semi").groupBy("segment").agg(F.bool_or("is_right").alias("right"), F.bool_or(~F.col("is_right")).alias("left"))
+    windows = materialise(texts.join(near, "segment").mapInArrow(_windows, "window long, doc_id long, segment long, at long"), "windows")
+    _reclaim(docs)
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    partly = windows.join(first, "window").where("doc_id > first").groupBy("suffix", "segment").agg(F.collect_set("at").alias("at"))
-    known = every.join(kinds.select("suffix", "segment", "holder"), ["suffix", "segment"])
-    whole = known.where("doc_id > holder").select("doc_id", "place", F.lit(None).cast("array<long>").alias("at"))
-    ends = known.where("doc_id = holder").join(partly, ["suffix", "segment"]).select("doc_id", "place", "at")
-    found = materialise(whole.union(ends), "found")
+    partly = windows.join(first, "window").where("doc_id > first").groupBy("segment").agg(F.collect_set("at").alias("at"))
+    act = kinds.select("segment", "holder", "last").join(partly, "segment", "left").where("holder < last or at is not null").select("segment", "holder", "at")
+    found = every.select("segment", "doc_id", "place").join(act, "segment").where("doc_id > holder or (doc_id = holder and at is not null)")
+    found = materialise(found.select("doc_id", "place", F.when(F.col("doc_id") == F.col("holder"), F.col("at")).alias("at")), "found")
     release(*held, kinds, texts, windows)
     _reclaim(docs)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "at")).alias("found"))
     return plain.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "found").mapInArrow(_remove, "doc_id long, text string, removed array<struct<first:bigint,last:bigint>>, kept_bytes binary")
 
 
-def report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def report(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     found = remove_repeats(docs, batches)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
