@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.functions.names import DESCRIPTORS, name_core
-from siltworks.functions.similarity import jaro_winkler
+from siltworks.functions.names import name_core
+from siltworks.functions.similarity import damerau_levenshtein, jaro_winkler
 from siltworks.operators import evaluate as E, rows as R, verdict as V
 from siltworks.resolve import candidates as C, index as I, remap as M, rules as D
 from siltworks.session import table
@@ -235,4 +235,31 @@ def similarity_at_address(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"), F.round(jaro_winkler(F.col("a.clean_name"), F.col("b.clean_name")), 6).alias("similarity"))
 
 
-__all__ = ["DESCRIPTORS"]
+@query(f"""WITH {_ENTITY_SQL}, t AS (SELECT DISTINCT unnest(string_split(clean_name, ' ')) AS token FROM entity)
+SELECT a.token AS a, b.token AS b FROM t a JOIN t b ON left(a.token, 1) = left(b.token, 1) AND a.token < b.token AND abs(length(a.token) - length(b.token)) <= 1 WHERE damerau_levenshtein(a.token, b.token) = 1""")
+def one_edit_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs one edit or swap apart, blocked on the first letter and on lengths that can be so."""
+    t = I.token_index(entities(spark, d)).select("token").distinct().withColumns({"first": F.left("token", F.lit(1)), "n": F.length("token")})
+    lengths = t.withColumn("m", F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1))).select(F.col("token").alias("a"), "first", F.col("m").alias("n"))
+    pairs = lengths.join(t.withColumnRenamed("token", "b"), ["first", "n"]).where("a < b")
+    return pairs.where(damerau_levenshtein("a", "b") == 1).select("a", "b").distinct()
+
+
+@query(f"""WITH {_ENTITY_SQL} SELECT clean_name, c_custkey, n FROM entity QUALIFY row_number() OVER (PARTITION BY clean_name ORDER BY n DESC, c_custkey) <= 2""")
+def named_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The largest entities of each name."""
+    e = entities(spark, d).select("clean_name", "c_custkey", "n")
+    return R.top_k(e, ["clean_name"], [F.desc("n"), F.col("c_custkey")], 2)
+
+
+@query(f"""WITH {_ENTITY_SQL}, q AS (SELECT s_suppkey AS query_id, CAST(s_suppkey % 5 AS VARCHAR) || ' MAIN' AS addr_key, CAST(10000 + s_suppkey % 7 AS VARCHAR) AS zip5, CASE s_suppkey % 3 WHEN 0 THEN NULL ELSE 'STE ' || (s_suppkey % 3) END AS unit FROM supplier),
+u AS (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'STE 1' WHEN 1 THEN 'STE 2' END AS c_unit FROM entity)
+SELECT query_id, c_custkey FROM q JOIN u ON q.addr_key = u.addr_key AND left(q.zip5, 3) = left(u.zip5, 3) WHERE unit IS NULL OR c_unit IS NULL OR unit = c_unit
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, c_custkey) <= 10""")
+def pooled_address_join(spark: SparkSession, d: str) -> DataFrame:
+    """Entities at a query's address; a unit that one side lacks doesn't part them."""
+    unit = F.expr("CASE s_suppkey % 3 WHEN 0 THEN NULL ELSE 'STE ' || (s_suppkey % 3) END")
+    q = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat((F.col("s_suppkey") % 5).cast("string"), F.lit(" MAIN")).alias("addr_key"), F.left((10000 + F.col("s_suppkey") % 7).cast("string"), F.lit(3)).alias("z3"), unit.alias("unit"))
+    e = entities(spark, d).select("c_custkey", "n", "addr_key", F.left("zip5", F.lit(3)).alias("z3"), F.expr("CASE c_custkey % 4 WHEN 0 THEN 'STE 1' WHEN 1 THEN 'STE 2' END").alias("c_unit"))
+    found = q.join(e, ["addr_key", "z3"]).where("unit is null or c_unit is null or unit = c_unit")
+    return R.top_k(found, ["query_id"], [F.desc("n"), F.col("c_custkey")], 10).select("query_id", "c_custkey")
