@@ -156,7 +156,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         index = spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in rows)))
-        state = state.mapInArrow(_pass(index), state.schema)
+        state = state.mapInArrow(K.tidy(_pass(index)), state.schema)
         if b + 1 < blocks:
             state = materialise(state, "decontaminate")
     return state

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from . import kernels as K
+
 #: n-grams in a profile
 TOP = 300
 #: expected number of documents a language that profiles are learned from, drawn by a hash of the id
@@ -109,7 +111,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -
                 value, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = drawn.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = drawn.select("lang", "text").mapInArrow(K.tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "gram", "rank").collect()
     ranks: dict[str, list[int]] = {}
@@ -132,7 +134,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             found = [profiles.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(K.tidy(run), schema)
 
 
 def held_out(doc_id="doc_id"):

@@ -120,7 +120,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """Set size, digest of the set and band hashes of every document."""
     schema = "doc_id long, n_shingles long, digest binary, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.tidy(_signatures), schema)
 
 
 def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, bands
     for_rest = F.concat(F.transform(upto("right"), lambda j: key(own, j, True)), F.transform(upto("left"), lambda i: key(F.least(i, own), F.greatest(i, own), False)))
     spread = known.select("bucket", F.explode(F.when(F.col("m.major"), for_major).otherwise(for_rest)).alias("key"), "m")
     blocks = spread.groupBy("bucket", "key").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
-    return blocks.select("bucket", "members", "key.k1", "key.k2", "key.cross").mapInArrow(_scan(nearest), "a long, b long").distinct()
+    return blocks.select("bucket", "members", "key.k1", "key.k2", "key.cross").mapInArrow(K.tidy(_scan(nearest)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     members = materialise(buckets.join(hubs, "bucket"), "buckets")
     in_buckets = members.select("node").distinct()
-    sets = materialise(docs.join(in_buckets, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_full_sets, f"node long, n long, {', '.join(f'{c} long' for c in _SKETCH)}, shingles array<long>"), "sets")
+    sets = materialise(docs.join(in_buckets, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(K.tidy(_full_sets), f"node long, n long, {', '.join(f'{c} long' for c in _SKETCH)}, shingles array<long>"), "sets")
     sketches = sets.drop("shingles")
 
     def seen_again() -> DataFrame:
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bare = members.select("bucket", "node")
     own_bands = reps.select(F.col("doc_id").alias("node"), "bands")
     for nearest in (2, None):
-        more = materialise(_remaining(bare, labels, sketches, own_bands, nearest), "remaining")
+        more = materialise(_remaining(bare, labels, sketches, own_bands, nearest), "remaining", batch_rows=16)
         if more.isEmpty():
             release(more)
             break

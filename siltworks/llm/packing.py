@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import kernels as K
 from .storage import materialise
 from .tokens import END_ID, encoder, tokenizer_path
 
@@ -112,7 +113,7 @@ def pieces_of(ids: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
         at = upto
 
 
-def _cut(path: str, size: int, with_ids: bool):
+def _cut(path: str, size: int, with_ids: bool, keep_pieces: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "number"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
 
@@ -128,6 +129,8 @@ def _cut(path: str, size: int, with_ids: bool):
                     rows.append((doc_id, k, at, len(own), zlib.crc32(raw), raw if with_ids else None, part, seen[len(own)]))
                     seen[len(own)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        if not keep_pieces:
+            encode.pieces.clear()
 
     return run
 
@@ -149,18 +152,19 @@ def _place(slots):
     return run
 
 
-def pack(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = True, keep_pieces: bool = True) -> DataFrame:
     """One row a piece: ``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset``.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Each text becomes its ids and id 0, a
     null or empty one id 0 alone. A document is cut only if it is longer than ``size``. ``ids`` holds a
-    piece's little-endian 32-bit ids, or null without ``with_ids``. Rows that repeat an id are packed
+    piece's little-endian 32-bit ids, or null without ``with_ids``. Workers keep the ids of frequent words for
+    their next partition unless ``keep_pieces`` is false, which takes more time and less memory. Rows that repeat an id are packed
     each for itself; a null id stays null. An empty table gives no rows.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, number long"
-    pieces = materialise(plain.mapInArrow(_cut(tokenizer or tokenizer_path(), size, with_ids), schema), "pieces")
+    pieces = materialise(plain.mapInArrow(K.tidy(_cut(tokenizer or tokenizer_path(), size, with_ids, keep_pieces)), schema), "pieces")
     counts = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     slots = spark.sparkContext.broadcast(Slots.of(plan(histogram, size)))

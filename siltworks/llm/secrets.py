@@ -89,29 +89,30 @@ _COLUMN = StructField("secrets", ArrayType(StructType([StructField("kind", Strin
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _found(texts: pa.Array) -> Iterator[list[tuple[int, int, str]]]:
+    """Spans of each text in order."""
+    data, offsets = K.text_buffer(texts)
+    for i, j in K.slices(offsets):
+        lo = offsets[i]
+        part = data[lo : offsets[j]]
+        low = K.LOWER[part].tobytes()
+        raw = part.tobytes()
+        start, end, at = _runs(part, offsets[i : j + 1] - lo)
+        for d in range(j - i):
+            x, y = offsets[i + d] - lo, offsets[i + d + 1] - lo
+            found = keyword_spans(raw[x:y].decode(), low[x:y].decode())
+            if at[d + 1] > at[d]:
+                point = np.cumsum((part[x:y] & 0xC0) != 0x80)
+                for s, e in zip(start[at[d] : at[d + 1]] - x, end[at[d] : at[d + 1]] - x, strict=True):
+                    first = int(point[s]) - 1
+                    found.append((first, first + int(e - s), "hex"))
+            yield sorted(found, key=lambda f: (f[0], KINDS.index(f[2])))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = K.text_buffer(batch.column("text"))
-        spans = []
-        for i, j in K.slices(offsets):
-            lo = offsets[i]
-            part = data[lo : offsets[j]]
-            low = K.LOWER[part].tobytes()
-            raw = part.tobytes()
-            start, end, at = _runs(part, offsets[i : j + 1] - lo)
-            for d in range(j - i):
-                x, y = offsets[i + d] - lo, offsets[i + d + 1] - lo
-                own = raw[x:y]
-                found = keyword_spans(own.decode(), low[x:y].decode())
-                if at[d + 1] > at[d]:
-                    point = np.cumsum((part[x:y] & 0xC0) != 0x80)
-                    for s, e in zip(start[at[d] : at[d + 1]] - x, end[at[d] : at[d + 1]] - x, strict=True):
-                        first = int(point[s]) - 1
-                        found.append((first, first + int(e - s), "hex"))
-                found.sort(key=lambda f: (f[0], KINDS.index(f[2])))
-                spans.append([{"kind": k, "start": s, "end": e} for s, e, k in found])
-        new = pa.array(spans, _SPANS)
-        yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, "secrets"])
+        spans = [[{"kind": k, "start": s, "end": e} for s, e, k in found] for found in _found(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _SPANS)], names=[*batch.schema.names, "secrets"])
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -121,30 +122,27 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     secrets that came in is replaced.
     """
     plain = docs.drop("secrets").withColumn("text", F.col("text").cast("string"))
-    return plain.mapInArrow(_scan, StructType([*plain.schema.fields, _COLUMN]))
+    return plain.mapInArrow(K.tidy(_scan), StructType([*plain.schema.fields, _COLUMN]))
 
 
 def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     """``docs`` with each stretch that secrets cover replaced by ``marker``; other texts stay as they are."""
-    found = find_secrets(docs)
-    schema = docs.schema
-    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("secrets").to_pylist(), strict=True):
-                if spans:
+            texts = batch.column("text").to_pylist()
+            for k, found in enumerate(_found(batch.column("text"))):
+                if found:
                     out, at = [], 0
-                    for s in spans:
-                        if s["start"] >= at:
-                            out += [text[at : s["start"]], marker]
-                        at = max(at, s["end"])
-                    text = "".join([*out, text[at:]])
-                texts.append(text)
+                    for start, end, _ in found:
+                        if start >= at:
+                            out += [texts[k][at:start], marker]
+                        at = max(at, end)
+                    texts[k] = "".join([*out, texts[k][at:]])
+            names = batch.schema.names
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    return found.select(*(f"`{c}`" for c in names), "secrets").mapInArrow(run, schema)
+    return docs.mapInArrow(K.tidy(run), docs.schema)
 
 
 def _joined(spans):

@@ -21,6 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from . import kernels as K
 from .storage import arrow_batches, new_path
 
 END_ID = 0
@@ -171,7 +172,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, partitio
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = plain.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     with arrow_batches(docs.sparkSession):
-        ordered.mapInArrow(_write_chunks(tokenizer, bits, chunk_ids), _CHUNK).write.option("compression", "none").parquet(path)
+        ordered.mapInArrow(K.tidy(_write_chunks(tokenizer, bits, chunk_ids)), _CHUNK).write.option("compression", "none").parquet(path)
 
 
 def _read_chunks(bases: dict[int, int], whole: bool):
