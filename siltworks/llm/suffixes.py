@@ -19,6 +19,7 @@ common window does on one side, are compared window by window.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,12 @@ REACH = -(-(LENGTH - GRAM) // 2)
 #: bytes of text in a batch of a table that is indexed at once
 BATCH_BYTES = 64 << 30
 #: parts of the table whose segments are shuffled one after the other, so that less disk is used at a time
-PARTS = 3
+PARTS = 2
 
 
 def minimizers(hashes: np.ndarray) -> np.ndarray:
     """For each start of ``WINDOW`` k-grams the place of the least hash, the leftmost of equals."""
-    value, place, size = hashes, np.arange(len(hashes), dtype=np.int64), 1
+    value, place, size = hashes, np.arange(len(hashes), dtype=np.int32), 1
     while size < WINDOW and len(value):
         step = min(size, WINDOW - size)
         if len(value) <= step:
@@ -61,9 +62,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return empty, empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     prefix = K.prefix_hash(data)
-    at = np.arange(len(data) - GRAM + 1)
-    grams = K.span_hash(prefix, at, at + GRAM)
-    place = minimizers(grams)
+    order = (K.raw_hash(prefix, GRAM) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+    place = minimizers(order)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     n = len(data) - LENGTH + 1
     start = np.flatnonzero(doc[:n] == doc[LENGTH - 1 :])
@@ -74,7 +74,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first = start[new]
     last = np.append(start[np.flatnonzero(new)[1:] - 1], start[-1])
     own, begin = doc[first], offsets[doc[first]]
-    return own, first - begin, last - first + 1, place[first] - begin, grams[place[first]], K.span_hash(prefix, first, last + LENGTH)
+    at = place[first].astype(np.int64)
+    return own, first - begin, last - first + 1, at - begin, K.span_hash(prefix, at, at + GRAM), K.span_hash(prefix, first, last + LENGTH)
 
 
 #: A place in a column: copy of the document, first window, number of windows, distance to the minimizer.
@@ -232,6 +233,7 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def _reclaim(df: DataFrame) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps now and not at the driver's next collection."""
     df.sparkSession._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def shared_suffixes(full: DataFrame, batches: int) -> DataFrame:
@@ -275,11 +277,12 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, parts: int = PAR
     _reclaim(docs)
     held = []
     for part in _ranges(full, parts):
-        held.append(materialise(part.mapInArrow(_segments_of, _SEGMENT).join(shared, "suffix"), "segments"))
+        held.append(materialise(part.mapInArrow(K.tidy(_segments_of), _SEGMENT).join(shared.hint("shuffle_hash"), "suffix"), "segments"))
         _reclaim(docs)
     release(shared)
     every = _union(held)
     kinds = materialise(every.groupBy("suffix", "segment").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("place")), "kinds")
+    _reclaim(docs)
     several = kinds.groupBy("suffix").agg(F.count("*").alias("n"), F.min("holder").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("suffix")
     wanted = kinds.join(several, "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct("segment", "place")).alias("wanted"))
     texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of, "segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
@@ -290,11 +293,13 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, parts: int = PAR
     windows = materialise(texts.join(near, "segment").mapInArrow(_windows, "window long, doc_id long, segment long, at long"), "windows")
     _reclaim(docs)
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    partly = windows.join(first, "window").where("doc_id > first").groupBy("segment").agg(F.collect_set("at").alias("at"))
+    partly = materialise(windows.join(first, "window").where("doc_id > first").groupBy("segment").agg(F.collect_set("at").alias("at")), "partly")
+    release(texts, windows)
+    _reclaim(docs)
     act = kinds.select("segment", "holder", "last").join(partly, "segment", "left").where("holder < last or at is not null").select("segment", "holder", "at")
-    found = every.select("segment", "doc_id", "place").join(act, "segment").where("doc_id > holder or (doc_id = holder and at is not null)")
+    found = every.select("segment", "doc_id", "place").join(act.hint("shuffle_hash"), "segment").where("doc_id > holder or (doc_id = holder and at is not null)")
     found = materialise(found.select("doc_id", "place", F.when(F.col("doc_id") == F.col("holder"), F.col("at")).alias("at")), "found")
-    release(*held, kinds, texts, windows)
+    release(*held, kinds, partly)
     _reclaim(docs)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "at")).alias("found"))
     return plain.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "found").mapInArrow(_remove, "doc_id long, text string, removed array<struct<first:bigint,last:bigint>>, kept_bytes binary")
