@@ -29,20 +29,24 @@ DESCRIPTORS = (
     "SOLUTIONS", "MANAGEMENT", "BROTHERS", "BROS", "SONS", "SON", "UNITED", "NATIONAL", "AMERICAN", "USA", "TOTAL", "COMPLETE",
     "CO", "INC", "LLC", "CORP", "COMPANY", "LTD", "LP", "LLP", "GP", "PLLC", "PC",
 )
-TRADE_WORDS = (
-    "BUILDERS", "BUILDER", "BUILDING", "BUILD", "ROOFING", "ROOF", "ROOFERS", "MASONRY", "PAINTING", "PAINTERS", "FRAMING", "CONCRETE",
-    "HOME", "HOMES", "PLUMBING", "DEVELOPMENT", "MECHANICAL", "REMODELING", "HEATING", "DRYWALL", "SYSTEMS", "SYSTEM", "EXCAVATING",
-    "EXCAVATION", "ELECTRIC", "ELECTRICAL", "SIDING", "CARPENTRY", "STEEL", "RESTORATION", "EXTERIORS", "EXTERIOR", "INTERIORS",
-    "INTERIOR", "CUSTOM", "DESIGN", "METAL", "METALS", "WORKS", "AIR", "IMPROVEMENT", "IMPROVEMENTS", "COMMERCIAL", "RESIDENTIAL",
-    "GLASS", "STUCCO", "MAINTENANCE", "INDUSTRIAL", "STONE", "SHEET", "PLASTERING", "ENGINEERING", "ERECTORS", "ENERGY",
-    "CONDITIONING", "PAVING", "INSULATION", "PROPERTIES", "PROPERTY", "CRANE", "CRANES", "RIGGING", "TILE", "FIRE", "FLOORING",
-    "FLOORS", "POWER", "COOLING", "WELDING", "SOLAR", "DEMOLITION", "RENOVATIONS", "RENOVATION", "WATER", "TECH", "REPAIR", "REPAIRS",
-    "ENVIRONMENTAL", "HVAC", "LANDSCAPING", "LANDSCAPE", "CABINETS", "DOORS", "WINDOWS", "FENCE", "FENCING", "GUTTERS", "GUTTER",
-    "SEAMLESS", "SPRINKLER", "PROTECTION", "SAFETY", "UTILITIES", "UTILITY", "PIPELINE", "DRILLING", "BORING", "TRUCKING", "HAULING",
-    "GRADING", "SITE", "SITEWORK", "MARINE", "INSTALLATION", "INSTALLATIONS", "QUALITY", "PRO", "PROS", "PROFESSIONAL",
-    "PROFESSIONALS", "PREMIER", "PREMIUM", "BEST", "ALL", "ADVANCED", "SUPERIOR", "ELITE",
+GENERIC = (
+    "OF", "DE", "DBA", "AT", "A", "N",
+    "CONSTRUCTION", "CONSTRUCTORS", "CONTRACTING", "CONTRACTORS", "CONTRACTOR", "BUILDERS", "BUILDER", "BUILDING", "BUILD",
+    "ROOFING", "ROOF", "ROOFERS", "SERVICES", "SERVICE", "GROUP", "MASONRY", "PAINTING", "PAINTERS", "FRAMING", "CONCRETE",
+    "HOME", "HOMES", "PLUMBING", "GENERAL", "DEVELOPMENT", "ENTERPRISES", "ENTERPRISE", "MECHANICAL", "REMODELING", "SOLUTIONS",
+    "HEATING", "DRYWALL", "SYSTEMS", "SYSTEM", "EXCAVATING", "EXCAVATION", "ELECTRIC", "ELECTRICAL", "SIDING", "CARPENTRY",
+    "STEEL", "RESTORATION", "EXTERIORS", "EXTERIOR", "INTERIORS", "INTERIOR", "CUSTOM", "DESIGN", "METAL", "METALS", "WORKS",
+    "AIR", "MANAGEMENT", "IMPROVEMENT", "IMPROVEMENTS", "ASSOCIATES", "COMMERCIAL", "RESIDENTIAL", "GLASS", "STUCCO",
+    "MAINTENANCE", "INDUSTRIAL", "INDUSTRIES", "STONE", "SHEET", "PLASTERING", "ENGINEERING", "ERECTORS", "ENERGY",
+    "CONDITIONING", "PAVING", "INSULATION", "PROPERTIES", "PROPERTY", "COMPANIES", "CRANE", "CRANES", "RIGGING", "TILE",
+    "FIRE", "FLOORING", "FLOORS", "POWER", "COOLING", "WELDING", "SOLAR", "DEMOLITION", "RENOVATIONS", "RENOVATION", "WATER",
+    "TECH", "REPAIR", "REPAIRS", "ENVIRONMENTAL", "HVAC", "LANDSCAPING", "LANDSCAPE", "CABINETS", "DOORS", "WINDOWS", "FENCE",
+    "FENCING", "GUTTERS", "GUTTER", "SEAMLESS", "SPRINKLER", "PROTECTION", "SAFETY", "UTILITIES", "UTILITY", "PIPELINE",
+    "DRILLING", "BORING", "TRUCKING", "HAULING", "GRADING", "SITE", "SITEWORK", "MARINE", "HOLDINGS", "INSTALLATION",
+    "INSTALLATIONS", "BROTHERS", "BROS", "SONS", "SON", "QUALITY", "PRO", "PROS", "PROFESSIONAL", "PROFESSIONALS", "PREMIER",
+    "PREMIUM", "BEST", "ALL", "ADVANCED", "SUPERIOR", "ELITE", "TOTAL", "COMPLETE", "UNITED", "NATIONAL", "AMERICAN", "USA",
+    "CO", "INC", "LLC", "CORP", "COMPANY", "LTD", "LP", "LLP", "GP", "PLLC", "PC",
 )
-GENERIC = DESCRIPTORS + TRADE_WORDS
 PLACE_PREFIXES = ("SAN", "SANTA", "SANTO", "ST", "SAINT", "FORT", "FT", "MOUNT", "MT", "PORT", "LOS", "LAS", "LAKE", "CAPE")
 PLACEHOLDER_NAMES = ("N ?A", "NONE", "TBD", "NO NAME", "TEST", "NOT AVAILABLE", "VARIOUS", "OWNER", "UNK", "HOME ?OWNERS?", "ROOFER", "ROOFING CONTRACTOR", "CONTRACTOR", "SELF EMPLOYED")
 PLACEHOLDER_WORDS = r"\b(?:UNKNOWN|UNKOWN|UNKNWN|UNIDENTIFIED)\b|INVALID ESTABLISHMENT"
