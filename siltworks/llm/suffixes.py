@@ -19,11 +19,13 @@ common window does on one side, are compared window by window.
 
 from __future__ import annotations
 
+import gc
 import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
@@ -39,18 +41,16 @@ BATCH_BYTES = 64 << 30
 PARTS = 2
 
 
-def minimizers(hashes: np.ndarray) -> np.ndarray:
-    """For each start of ``WINDOW`` k-grams the place of the least hash, the leftmost of equals."""
-    value, place, size = hashes, np.arange(len(hashes), dtype=np.int32), 1
-    while size < WINDOW and len(value):
+def minimizers(order: np.ndarray) -> np.ndarray:
+    """For each start of ``WINDOW`` k-grams the place of the least, the leftmost of equals; ``order`` has 32 bits."""
+    best, size = order.astype(np.uint64) << np.uint64(32) | np.arange(len(order), dtype=np.uint64), 1
+    while size < WINDOW:
         step = min(size, WINDOW - size)
-        if len(value) <= step:
-            return place[:0]
-        right = value[step:] < value[:-step]
-        value = np.where(right, value[step:], value[:-step])
-        place = np.where(right, place[step:], place[:-step])
+        if len(best) <= step:
+            return np.zeros(0, np.int64)
+        best = np.minimum(best[:-step], best[step:])
         size += step
-    return place
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -62,9 +62,9 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return empty, empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     prefix = K.prefix_hash(data)
-    order = (K.raw_hash(prefix, GRAM) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+    order = K.raw_hash(prefix, GRAM) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
     place = minimizers(order)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     n = len(data) - LENGTH + 1
     start = np.flatnonzero(doc[:n] == doc[LENGTH - 1 :])
     if not len(start):
@@ -73,7 +73,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (place[start[1:]] != place[start[:-1]]) | (doc[start[1:]] != doc[start[:-1]])
     first = start[new]
     last = np.append(start[np.flatnonzero(new)[1:] - 1], start[-1])
-    own, begin = doc[first], offsets[doc[first]]
+    own = doc[first].astype(np.int64)
+    begin = offsets[own]
     at = place[first].astype(np.int64)
     return own, first - begin, last - first + 1, at - begin, K.span_hash(prefix, at, at + GRAM), K.span_hash(prefix, first, last + LENGTH)
 
@@ -136,7 +137,8 @@ class SuffixIndex:
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments."""
+    """Bytes of the wanted segments, each with a number of its own."""
+    ref = TaskContext.get().partitionId() << 32
     for batch in batches:
         out = []
         for doc_id, text, copy, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("copy").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
@@ -144,8 +146,9 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted:
                 own, first, n, ahead = _unpacked(w["place"])
                 if own == copy:
-                    out.append((w["segment"], doc_id, ahead, raw[first : first + n + LENGTH - 1]))
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["segment", "doc_id", "ahead", "bytes"])
+                    out.append((ref, w["segment"], doc_id, ahead, raw[first : first + n + LENGTH - 1]))
+                    ref += 1
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["ref", "segment", "doc_id", "ahead", "bytes"])
 
 
 def _hashes(spans: list[tuple[int, int]], raw: list[bytes]) -> np.ndarray:
@@ -186,7 +189,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, at = row[good], at[good]
             key = K.span_hash(prefix, offsets[row] + at, offsets[row] + at + LENGTH)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(take), batch.column("segment").take(take), pa.array(at)], names=["window", "doc_id", "segment", "at"])
+            spot = batch.column("ref").to_numpy()[row] << 6 | at
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(take), pa.array(spot)], names=["window", "doc_id", "spot"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +235,12 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 def _reclaim(df: DataFrame) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps now and not at the driver's next collection."""
+    """Lets Spark's cleaner drop the shuffle files of finished steps now and not at the driver's next collection.
+
+    The session still refers to its last query, so a query without a shuffle goes first.
+    """
+    df.sparkSession.range(1).write.format("noop").mode("overwrite").save()
+    gc.collect()
     df.sparkSession._jvm.System.gc()
     time.sleep(0.5)
 
@@ -285,15 +294,16 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, parts: int = PAR
     _reclaim(docs)
     several = kinds.groupBy("suffix").agg(F.count("*").alias("n"), F.min("holder").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("suffix")
     wanted = kinds.join(several, "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct("segment", "place")).alias("wanted"))
-    texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of, "segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
+    texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of, "ref long, segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
     _reclaim(docs)
     sides = texts.mapInArrow(_sides, "side long, doc_id long, segment long, is_right boolean")
     common = sides.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("side")
     near = sides.join(common, "side", "left_semi").groupBy("segment").agg(F.bool_or("is_right").alias("right"), F.bool_or(~F.col("is_right")).alias("left"))
-    windows = materialise(texts.join(near, "segment").mapInArrow(_windows, "window long, doc_id long, segment long, at long"), "windows")
+    windows = materialise(texts.join(near, "segment").mapInArrow(_windows, "window long, doc_id long, spot long"), "windows")
     _reclaim(docs)
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    partly = materialise(windows.join(first, "window").where("doc_id > first").groupBy("segment").agg(F.collect_set("at").alias("at")), "partly")
+    hit = windows.join(first, "window").where("doc_id > first").groupBy(F.shiftright("spot", 6).alias("ref")).agg(F.collect_set(F.col("spot").bitwiseAND(63)).alias("at"))
+    partly = materialise(hit.join(texts.select("ref", "segment"), "ref").select("segment", "at"), "partly")
     release(texts, windows)
     _reclaim(docs)
     act = kinds.select("segment", "holder", "last").join(partly, "segment", "left").where("holder < last or at is not null").select("segment", "holder", "at")
