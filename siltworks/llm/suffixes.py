@@ -261,12 +261,18 @@ def shared_suffixes(full: DataFrame, batches: int) -> DataFrame:
 
 def _ranges(docs: DataFrame, n: int) -> list[DataFrame]:
     """About equal parts of a table by ranges of ids."""
-    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 1000)).first()[0] or []
+    if n == 1:
+        return [docs]
+    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 1000)).first()[0] or []
+    return [docs.where(c) for c in _between(cuts, n)]
+
+
+def _between(cuts: list[int], n: int) -> list:
     cuts = sorted(set(cuts))[: n - 1]
     parts = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = docs if low is None else docs.where(F.col("doc_id") > low)
-        parts.append(part if high is None else part.where(F.col("doc_id") <= high))
+        above = F.lit(True) if low is None else F.col("doc_id") > low
+        parts.append(above if high is None else above & (F.col("doc_id") <= high))
     return parts
 
 
@@ -280,13 +286,14 @@ def remove_repeats(docs: DataFrame, batches: int | None = None, parts: int = PAR
     """
     plain = _copies(docs)
     full = plain.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    known = full.agg(F.sum(F.octet_length("text").cast("long")), F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 1000)).first()
     if batches is None:
-        batches = max(1, -(-(full.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BATCH_BYTES))
+        batches = max(1, -(-(known[0] or 0) // BATCH_BYTES))
     shared = shared_suffixes(full, batches)
     _reclaim(docs)
     held = []
-    for part in _ranges(full, parts):
-        held.append(materialise(part.mapInArrow(K.tidy(_segments_of), _SEGMENT).join(shared.hint("shuffle_hash"), "suffix"), "segments"))
+    for inside in _between(known[1] or [], parts):
+        held.append(materialise(full.where(inside).mapInArrow(K.tidy(_segments_of), _SEGMENT).join(shared.hint("shuffle_hash"), "suffix"), "segments"))
         _reclaim(docs)
     release(shared)
     every = _union(held)
