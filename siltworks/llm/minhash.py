@@ -13,8 +13,9 @@ components go on: members outside the largest component are compared with the ot
 bounded size, nearest first, then all that remain. Links between members that a component
 already joins are never looked for, as they can't change the result.
 
-With 32 bands of 4 samples a pair at the threshold of 0.85 is missed with probability
-(1 - 0.85**4)**32 < 1e-10.
+The threshold is an argument; size filter, sketch cut and confirmation all follow from it. With 32 bands of
+4 samples a pair at 0.85 is missed with probability (1 - 0.85**4)**32 < 1e-10, one at 0.80 with
+(1 - 0.8**4)**32 < 1e-7.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: samples folded into an odd sketch, and its bits
 SKETCH_SAMPLES, SKETCH_BITS = 512, 1024
-#: links: 100 * intersection >= NUMERATOR * union
+#: links unless a caller asks for another threshold: 100 * intersection >= NUMERATOR * union
 NUMERATOR = 85
-#: Candidates whose sketches estimate less than this are dropped; five deviations below the threshold.
-SKETCH_LEAST = 0.77
+#: Candidates whose sketches estimate so many hundredths less than the threshold are dropped; about five deviations.
+SKETCH_MARGIN = 8
 LEFT_BLOCK, RIGHT_BLOCK = 128, 512
 
 _rng = np.random.default_rng(20240229)
@@ -48,8 +49,9 @@ _BAND_SEED = K.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _SAMPLE_SEED = K.mix(np.arange(1001, 1001 + SKETCH_SAMPLES, dtype=np.uint64))
 
 
-def most_differing_bits(least: float = SKETCH_LEAST) -> int:
-    """XOR population count that an odd sketch shows on average at a similarity of ``least``."""
+def most_differing_bits(numerator: int = NUMERATOR) -> int:
+    """XOR population count that an odd sketch shows on average ``SKETCH_MARGIN`` below the threshold."""
+    least = (numerator - SKETCH_MARGIN) / 100
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SKETCH_SAMPLES * (1 - least))))
 
 
@@ -123,36 +125,36 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.tidy(_signatures), schema)
 
 
-def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, sketches: DataFrame, numerator: int) -> DataFrame:
     """Pairs (a, b) whose set sizes and odd sketches allow a link."""
     side = lambda p: sketches.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), *(F.col(c).alias(f"{p}_{c}") for c in _SKETCH))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH), F.lit(0))
-    sizes = 100 * F.least("a_n", "b_n") >= NUMERATOR * F.greatest("a_n", "b_n")
-    return both.where(sizes & (differing <= most_differing_bits())).select("a", "b").distinct()
+    sizes = 100 * F.least("a_n", "b_n") >= numerator * F.greatest("a_n", "b_n")
+    return both.where(sizes & (differing <= most_differing_bits(numerator))).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(first, "a").join(second, "b")
     counted = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return counted.where(100 * F.col("common") >= NUMERATOR * (F.col("total") - F.col("common"))).select("a", "b")
+    return counted.where(100 * F.col("common") >= numerator * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def _scan(nearest: int | None):
+def _scan(nearest: int | None, numerator: int):
     """Compares the members of bounded blocks; pairs in one component are left out.
 
     A pair is given in the first bucket that it shares only.
     """
-    limit = most_differing_bits()
+    limit = most_differing_bits(numerator)
 
     def pairs(bucket: int, left: dict, right: dict, same: bool) -> list[tuple[int, int]]:
         bits = np.bitwise_count(left["s"][:, None, :] ^ right["s"][None, :, :]).sum(axis=2)
         small = np.minimum(left["n"][:, None], right["n"][None, :])
         large = np.maximum(left["n"][:, None], right["n"][None, :])
-        fit = (bits <= limit) & (100 * small >= NUMERATOR * large) & (left["label"][:, None] != right["label"][None, :])
+        fit = (bits <= limit) & (100 * small >= numerator * large) & (left["label"][:, None] != right["label"][None, :])
         if same:
             fit &= left["node"][:, None] < right["node"][None, :]
         if nearest:
@@ -189,7 +191,7 @@ def _scan(nearest: int | None):
     return scan
 
 
-def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, bands: DataFrame, nearest: int | None) -> DataFrame:
+def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, bands: DataFrame, nearest: int | None, numerator: int) -> DataFrame:
     """Candidate pairs of different components in the buckets that hold several of them."""
     named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
@@ -208,12 +210,13 @@ def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, bands
     for_rest = F.concat(F.transform(upto("right"), lambda j: key(own, j, True)), F.transform(upto("left"), lambda i: key(F.least(i, own), F.greatest(i, own), False)))
     spread = known.select("bucket", F.explode(F.when(F.col("m.major"), for_major).otherwise(for_rest)).alias("key"), "m")
     blocks = spread.groupBy("bucket", "key").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
-    return blocks.select("bucket", "members", "key.k1", "key.k2", "key.cross").mapInArrow(K.tidy(_scan(nearest)), "a long, b long").distinct()
+    return blocks.select("bucket", "members", "key.k1", "key.k2", "key.cross").mapInArrow(K.tidy(_scan(nearest, numerator)), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """Component of every document: ``doc_id, n_shingles, component_id, kept``.
 
+    Documents are linked if their sets have a Jaccard similarity of ``numerator`` hundredths or more.
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Null, empty and blank texts
     have no shingles and stay alone. A row whose doc_id is null stays alone, its component_id is null
     and it is kept. Rows that repeat a doc_id share its component. An empty table gives no rows.
@@ -235,23 +238,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return full.join(copies, "digest").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     nearby = members.where("node != hub").groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b"))
-    links = materialise(_confirmed(_close(nearby, sketches), sets), "links")
+    links = materialise(_confirmed(_close(nearby, sketches, numerator), sets, numerator), "links")
     labels = components(links)
     own = members.join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("root", "node").alias("label"))
     centre = own.where("node = hub").select("bucket", F.col("label").alias("hub_label"))
     apart = own.join(centre, "bucket").where("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    more = materialise(_confirmed(_close(apart, sketches), sets), "links")
+    more = materialise(_confirmed(_close(apart, sketches, numerator), sets, numerator), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
     bare = members.select("bucket", "node")
     own_bands = reps.select(F.col("doc_id").alias("node"), "bands")
     for nearest in (2, None):
-        more = materialise(_remaining(bare, labels, sketches, own_bands, nearest), "remaining", batch_rows=16)
+        more = materialise(_remaining(bare, labels, sketches, own_bands, nearest, numerator), "remaining", batch_rows=16)
         if more.isEmpty():
             release(more)
             break
-        new = materialise(_confirmed(more, sets), "links")
+        new = materialise(_confirmed(more, sets, numerator), "links")
         release(more)
         if not new.isEmpty():
             both = links.unionByName(new)
