@@ -63,7 +63,7 @@ class Encoder:
     """Little-endian 32-bit ids of a text by the tokenizers library.
 
     Byte-level BPE never merges across the pieces that its pre-tokenizer makes, so each distinct piece
-    is encoded once and kept.
+    is encoded once and kept. Texts that hold an added token of the vocabulary file go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,13 +71,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.pieces = _Pieces(self.tokenizer)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text) and not self.added.search(text):
             return b"".join(map(self.pieces.__getitem__, _SPLIT.findall(text)))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -24,6 +24,22 @@ def test_encoder_equals_library(text):
     assert encoder(tokenizer_path())(text) == ids_of(text)[:-1].tobytes()
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "日本語 <|endoftext|> ß", "<|endoftext| > <|ENDOFTEXT|>"])
+def test_added_tokens_as_the_library_has_them(spark, tmp_path, text):
+    plain = Tokenizer.from_file(tokenizer_path())
+    want = np.array(plain.encode(text, add_special_tokens=False).ids, "<u4")
+    assert encoder(tokenizer_path())(text) == want.tobytes()
+    rows = [(1, "before"), (2, text), (3, "after")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    write_ids(docs, f"{tmp_path}/ids", partitions=2)
+    got, at = sorted(map(tuple, read_ids(spark, f"{tmp_path}/ids").collect())), 0
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in pack(docs).collect()}
+    for (doc, t), row in zip(rows, got, strict=True):
+        own = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert row == (doc, at, len(own), zlib.crc32(own.tobytes())) and packed[doc] == row[2:]
+        at += len(own)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 1000])
 def test_planes(bits, n):
