@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_SAMPLES, SKETCH_BITS = 512, 1024
 #: links unless a caller asks for another threshold: 100 * intersection >= NUMERATOR * union
 NUMERATOR = 85
-#: Candidates whose sketches estimate so many hundredths less than the threshold are dropped; about five deviations.
-SKETCH_MARGIN = 8
+#: The sketches drop a pair at the threshold with a chance below this.
+SKETCH_LOSS = 1e-6
 LEFT_BLOCK, RIGHT_BLOCK = 128, 512
 
 _rng = np.random.default_rng(20240229)
@@ -49,10 +50,27 @@ _BAND_SEED = K.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _SAMPLE_SEED = K.mix(np.arange(1001, 1001 + SKETCH_SAMPLES, dtype=np.uint64))
 
 
+@cache
 def most_differing_bits(numerator: int = NUMERATOR) -> int:
-    """XOR population count that an odd sketch shows on average ``SKETCH_MARGIN`` below the threshold."""
-    least = (numerator - SKETCH_MARGIN) / 100
-    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SKETCH_SAMPLES * (1 - least))))
+    """Least XOR population count that a pair at the threshold exceeds with a chance below ``SKETCH_LOSS``.
+
+    A sample differs with the chance 1 - similarity and then flips one bit for each side, so the count
+    follows a chain of steps up or down, one for each flip.
+    """
+    same, odd = numerator / 100, np.arange(SKETCH_BITS + 1) / SKETCH_BITS
+
+    def flip(p: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(p)
+        out[1:] += (p * (1 - odd))[:-1]
+        out[:-1] += (p * odd)[1:]
+        return out
+
+    p = np.zeros(SKETCH_BITS + 1)
+    p[0] = 1
+    for _ in range(SKETCH_SAMPLES):
+        p = same * p + (1 - same) * flip(flip(p))
+    at_least = p[::-1].cumsum()[::-1]
+    return int(np.flatnonzero(at_least < SKETCH_LOSS)[0]) - 1
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:

@@ -1,10 +1,11 @@
+import math
 import random
 import re
 from collections import defaultdict
 
 import pytest
 
-from siltworks.llm.minhash import near_duplicates
+from siltworks.llm.minhash import SKETCH_BITS, SKETCH_SAMPLES, most_differing_bits, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,3 +72,16 @@ def test_edges(spark):
     assert got[6] == {(29_996, 6, True)} and got[7] == {(29_997, 6, False)}
     assert got[None] == {(1, None, True)} and got[8] == {(1, 8, True)}
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("numerator", [80, 85])
+def test_sketches_lose_less_than_stated(numerator):
+    """The count's distribution as a mixture over the binomial number of differing samples."""
+    n, m, p = SKETCH_SAMPLES, SKETCH_BITS, 1 - numerator / 100
+    at = [1.0] + [0.0] * m
+    lost = 0.0
+    for d in range(n + 1):
+        lost += math.comb(n, d) * p**d * (1 - p) ** (n - d) * sum(at[most_differing_bits(numerator) + 1 :])
+        for _ in range(2):
+            at = [(at[k - 1] * (1 - (k - 1) / m) if k else 0) + (at[k + 1] * (k + 1) / m if k < m else 0) for k in range(m + 1)]
+    assert 1e-8 < lost < 1e-6
