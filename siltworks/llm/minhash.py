@@ -10,8 +10,9 @@ Texts with equal sets share one representative, so copies never meet pairwise. E
 hub. A document is first compared with the smallest hub of its buckets, then with the hubs it isn't
 joined to yet. Only buckets whose members are still in different
 components go on: members outside the largest component are compared with the others in blocks of
-bounded size, nearest first, then all that remain. Links between members that a component
-already joins are never looked for, as they can't change the result.
+bounded size, nearest first, then all that remain. A bucket with very many such members, as a license that
+many texts hold makes it, is first replaced by one bucket for each of their rare shingles, which loses no link. Links
+between members that a component already joins are never looked for, as they can't change the result.
 
 The threshold is an argument; size filter, sketch cut and confirmation all follow from it. With 32 bands of
 4 samples a pair at 0.85 is missed with probability (1 - 0.85**4)**32 < 1e-10, one at 0.80 with
@@ -26,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
 from .components import components
@@ -42,6 +43,10 @@ NUMERATOR = 85
 #: The sketches drop a pair at the threshold with a chance below this.
 SKETCH_LOSS = 1e-6
 LEFT_BLOCK, RIGHT_BLOCK = 128, 512
+#: pairs of one node that meet one copy of its row
+HUB_PAIRS = 512
+#: A bucket with more members outside its largest component is split.
+CROWD = 2048
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, SKETCH_SAMPLES, dtype=np.uint32)
@@ -112,6 +117,11 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(bit, minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
 
 
+def differing_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Population count of the XOR of sketches. NumPy counts the bits of a signed value's magnitude, so words are unsigned."""
+    return np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -143,33 +153,67 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.tidy(_signatures), schema)
 
 
+def _beside(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``pairs(a, b)`` with the columns of both nodes, named ``a_...`` and ``b_...``.
+
+    A node of more than ``HUB_PAIRS`` pairs has several copies of its row, and its pairs are dealt over them, so that
+    no task gets all pairs of one hub.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    crowd = materialise(ends.groupBy("node").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("copies")).where("copies > 1"), "hubs")
+    plain = crowd.isEmpty()
+    for side in ("a", "b"):
+        own = table.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+        if plain:
+            pairs = pairs.join(own, side)
+            continue
+        copies = crowd.select(F.col("node").alias(side), "copies")
+        dealt = pairs.join(copies, side, "left").withColumn("deal", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+        own = own.join(copies, side, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+        pairs = dealt.join(own, [side, "deal"]).drop("deal")
+    return pairs
+
+
 def _close(pairs: DataFrame, sketches: DataFrame, numerator: int) -> DataFrame:
     """Pairs (a, b) whose set sizes and odd sketches allow a link."""
-    side = lambda p: sketches.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), *(F.col(c).alias(f"{p}_{c}") for c in _SKETCH))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = _beside(pairs, sketches, ("n", *_SKETCH))
     differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH), F.lit(0))
     sizes = 100 * F.least("a_n", "b_n") >= numerator * F.greatest("a_n", "b_n")
-    return both.where(sizes & (differing <= most_differing_bits(numerator))).select("a", "b").distinct()
+    return both.where(sizes & (differing <= most_differing_bits(numerator))).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(first, "a").join(second, "b")
-    counted = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
+    both = _beside(pairs, sets, ("shingles",))
+    counted = both.select("a", "b", (F.size("a_shingles") + F.size("b_shingles")).alias("total"), F.size(F.array_intersect("a_shingles", "b_shingles")).alias("common"))
     return counted.where(100 * F.col("common") >= numerator * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.union(more)
+    return out
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
+    """The links among candidate pairs, written once."""
+    pairs = materialise(pairs, "pairs")
+    close = materialise(_close(pairs, sketches, numerator), "close")
+    links = materialise(_confirmed(close, sets, numerator), "links")
+    release(pairs, close)
+    return links
+
+
 def _scan(nearest: int | None, numerator: int):
     """Compares the members of bounded blocks; pairs in one component are left out.
 
-    A pair is given in the first bucket that it shares only.
+    A pair is given in the first bucket that it shares only; where a bucket was split, in each part that it shares.
     """
     limit = most_differing_bits(numerator)
 
-    def pairs(bucket: int, left: dict, right: dict, same: bool) -> list[tuple[int, int]]:
-        bits = np.bitwise_count(left["s"][:, None, :] ^ right["s"][None, :, :]).sum(axis=2)
+    def pairs(bucket: int, split: bool, left: dict, right: dict, same: bool) -> list[tuple[int, int]]:
+        bits = differing_bits(left["s"][:, None, :], right["s"][None, :, :])
         small = np.minimum(left["n"][:, None], right["n"][None, :])
         large = np.maximum(left["n"][:, None], right["n"][None, :])
         fit = (bits <= limit) & (100 * small >= numerator * large) & (left["label"][:, None] != right["label"][None, :])
@@ -182,15 +226,16 @@ def _scan(nearest: int | None, numerator: int):
             np.put_along_axis(near, keep, True, axis=1)
             fit &= near
         x, y = np.nonzero(fit)
-        shared = left["bands"][x] == right["bands"][y]
-        first = left["bands"][x, shared.argmax(axis=1)] == bucket
-        x, y = x[first], y[first]
+        if not split:
+            shared = left["bands"][x] == right["bands"][y]
+            first = left["bands"][x, shared.argmax(axis=1)] == bucket
+            x, y = x[first], y[first]
         return list(zip(left["node"][x].tolist(), right["node"][y].tolist(), strict=True))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for row, bucket, k1, k2, cross in zip(batch.column("members"), *(batch.column(c).to_pylist() for c in ("bucket", "k1", "k2", "cross")), strict=True):
+            for row, bucket, split, k1, k2, cross in zip(batch.column("members"), *(batch.column(c).to_pylist() for c in ("bucket", "split", "k1", "k2", "cross")), strict=True):
                 m = row.values
                 col = {c: m.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "block", "major", *_SKETCH)}
                 col["s"] = np.stack([col.pop(c) for c in _SKETCH], axis=1)
@@ -202,42 +247,68 @@ def _scan(nearest: int | None, numerator: int):
                 else:
                     left, right = take(rest & (col["block"] == k1)), take(rest & (col["block"] == k2))
                 if len(left["node"]) and len(right["node"]):
-                    found.update((min(p), max(p)) for p in pairs(bucket, left, right, not cross and k1 == k2))
+                    found.update((min(p), max(p)) for p in pairs(bucket, split, left, right, not cross and k1 == k2))
             at = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["a", "b"])
 
     return scan
 
 
-def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, bands: DataFrame, nearest: int | None, numerator: int) -> DataFrame:
-    """Candidate pairs of different components in the buckets that hold several of them."""
-    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with the label of their component, and the buckets that hold several components."""
+    named = members.join(labels, "node", "left").select("bucket", "split", "node", F.coalesce("root", "node").alias("label"))
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("labels"))
-    mixed = mixed.where("labels > 1 and total > 2").select(
-        "bucket", F.col("top.label").alias("most"), F.ceil((F.col("total") - F.col("top.c")) / LEFT_BLOCK).cast("int").alias("left"), F.ceil(F.col("top.c") / RIGHT_BLOCK).cast("int").alias("right")
-    )
+    return named, mixed.where("labels > 1 and total > 2").select("bucket", F.col("top.label").alias("most"), F.col("top.c").alias("in_most"), (F.col("total") - F.col("top.c")).alias("rest"))
+
+
+def _by_rare_shingles(members: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
+    """Buckets of much narrower kind in place of crowded ones, without losing a link.
+
+    Two sets of a similarity t share at least t * n shingles of a set of n. So if all shingles of the bucket are put
+    in one order, the first n - ceil(t * n) + 1 of both sets have one in common. In the order of
+    rising frequency these are the rare ones: what many members share, such as a license, puts none of them together.
+    """
+    own = members.select("bucket", "node").join(sets.select("node", "n", "shingles"), "node").select("bucket", "node", "n", F.explode("shingles").alias("shingle"))
+    often = own.groupBy("bucket", "shingle").agg(F.count("*").alias("f"))
+    first = F.col("n") - F.ceil(F.col("n") * numerator / 100).cast("long") + 1
+    placed = own.join(often, ["bucket", "shingle"]).withColumn("at", F.row_number().over(Window.partitionBy("bucket", "node").orderBy("f", "shingle")))
+    return placed.where((F.col("at") <= first) & (F.col("f") > 1)).select(F.xxhash64("bucket", "shingle").alias("bucket"), F.lit(True).alias("split"), "node")
+
+
+def _remaining(members: DataFrame, labels: DataFrame, sketches: DataFrame, bands: DataFrame, nearest: int | None, numerator: int) -> DataFrame:
+    """Candidate pairs of different components in the buckets that hold several of them."""
+    named, mixed = _mixed(members, labels)
+    mixed = mixed.select("bucket", "most", F.ceil(F.col("rest") / LEFT_BLOCK).cast("int").alias("left"), F.ceil(F.col("in_most") / RIGHT_BLOCK).cast("int").alias("right"))
     known = named.join(mixed, "bucket").join(sketches, "node").join(bands, "node")
     major = F.col("label") == F.col("most")
     block = F.pmod(F.xxhash64("node"), F.when(major, F.col("right")).otherwise(F.col("left"))).cast("int")
-    known = known.select("bucket", "left", "right", F.struct("node", "label", "n", block.alias("block"), major.alias("major"), "bands", *_SKETCH).alias("m"))
+    known = known.select("bucket", "split", "left", "right", F.struct("node", "label", "n", block.alias("block"), major.alias("major"), "bands", *_SKETCH).alias("m"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     own = F.col("m.block")
     key = lambda a, b, cross: F.struct(a.cast("int").alias("k1"), b.cast("int").alias("k2"), F.lit(cross).alias("cross"))
     for_major = F.transform(upto("left"), lambda i: key(i, own, True))
     for_rest = F.concat(F.transform(upto("right"), lambda j: key(own, j, True)), F.transform(upto("left"), lambda i: key(F.least(i, own), F.greatest(i, own), False)))
-    spread = known.select("bucket", F.explode(F.when(F.col("m.major"), for_major).otherwise(for_rest)).alias("key"), "m")
-    blocks = spread.groupBy("bucket", "key").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
-    return blocks.select("bucket", "members", "key.k1", "key.k2", "key.cross").mapInArrow(K.tidy(_scan(nearest, numerator)), "a long, b long").distinct()
+    spread = known.select("bucket", "split", F.explode(F.when(F.col("m.major"), for_major).otherwise(for_rest)).alias("key"), "m")
+    blocks = spread.groupBy("bucket", "split", "key").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
+    return blocks.select("bucket", "split", "members", "key.k1", "key.k2", "key.cross").mapInArrow(K.tidy(_scan(nearest, numerator)), "a long, b long").distinct()
+
 
+def _to_hubs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the hubs of their buckets, where these are in another component."""
+    own = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+    hub = own.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("hub"))
+    return own.join(hub, "bucket").where("label != hub.label").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
 
-def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, crowd: int = CROWD) -> DataFrame:
     """Component of every document: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked if their sets have a Jaccard similarity of ``numerator`` hundredths or more.
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Null, empty and blank texts
     have no shingles and stay alone. A row whose doc_id is null stays alone, its component_id is null
     and it is kept. Rows that repeat a doc_id share its component. An empty table gives no rows.
+    Buckets with more than ``crowd`` members outside their largest component are split by rare shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialise(signatures(docs), "signatures")
@@ -246,7 +317,7 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     reps = full.join(copies.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi")
     buckets = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
-    members = materialise(buckets.join(hubs, "bucket"), "buckets")
+    members = materialise(buckets.join(hubs, "bucket").select("bucket", F.lit(False).alias("split"), "node", "hub"), "buckets")
     in_buckets = members.select("node").distinct()
     sets = materialise(docs.join(in_buckets, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(K.tidy(_full_sets), f"node long, n long, {', '.join(f'{c} long' for c in _SKETCH)}, shingles array<long>"), "sets")
     sketches = sets.drop("shingles")
@@ -255,33 +326,44 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
         """A representative of one set whose doc_id is also on a row with another set."""
         return full.join(copies, "digest").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
-    nearby = members.where("node != hub").groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b"))
-    links = materialise(_confirmed(_close(nearby, sketches, numerator), sets, numerator), "links")
-    labels = components(links)
-    own = members.join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("root", "node").alias("label"))
-    centre = own.where("node = hub").select("bucket", F.col("label").alias("hub_label"))
-    apart = own.join(centre, "bucket").where("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    more = materialise(_confirmed(_close(apart, sketches, numerator), sets, numerator), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
-    bare = members.select("bucket", "node")
+    tables = [_linked(members.where("node != hub").groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b")), sketches, sets, numerator)]
+    labels = components(_union(tables))
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal labels
+        new = _linked(pairs, sketches, sets, numerator)
+        if new.isEmpty():
+            release(new)
+            return
+        tables.append(new)
+        old, labels = labels, components(_union(tables))
+        release(old)
+
+    link(_to_hubs(members, labels))
+    bare = members.select("bucket", "split", "node")
+    crowded = materialise(_mixed(bare, labels)[1].where(F.col("rest") > crowd).select("bucket"), "crowded")
+    if not crowded.isEmpty():
+        parts = materialise(_by_rare_shingles(bare.join(crowded, "bucket", "left_semi"), sets, numerator), "rare-shingles")
+        link(_to_hubs(parts, labels))
+        bare = bare.join(crowded, "bucket", "left_anti").unionByName(parts)
     own_bands = reps.select(F.col("doc_id").alias("node"), "bands")
     for nearest in (2, None):
         more = materialise(_remaining(bare, labels, sketches, own_bands, nearest, numerator), "remaining", batch_rows=16)
-        if more.isEmpty():
-            release(more)
-            break
-        new = materialise(_confirmed(more, sets, numerator), "links")
+        found = not more.isEmpty()
+        if found:
+            new = materialise(_confirmed(more, sets, numerator), "links")
+            if not new.isEmpty():
+                tables.append(new)
+                old, labels = labels, components(_union(tables))
+                release(old)
         release(more)
-        if not new.isEmpty():
-            both = links.unionByName(new)
-            labels = components(both)
-            links = both
+        if not found:
+            break
     repeated = full.groupBy("doc_id").agg(F.countDistinct("digest").alias("k")).where("k > 1").select("doc_id")
     if not repeated.isEmpty():
-        labels = components(links.unionByName(seen_again().join(repeated, F.col("a") == F.col("doc_id"), "left_semi").select("a", "b")))
-    release(members, sets)
+        again = seen_again().join(repeated, F.col("a") == F.col("doc_id"), "left_semi").select("a", "b")
+        labels = components(_union([*tables, again]))
+    release(members, sets, crowded, *tables)
     roots = copies.join(labels, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     found = sig.join(roots, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,21 +32,41 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, most: int = BATCH_ROWS) -> Iterator[None]:
-    """While it lasts, Arrow batches hold at most ``most`` rows; see :func:`small_batches`."""
-    before = spark.conf.get(_BATCH)
-    small_batches(spark, most)
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """While it lasts, the session has these settings (``__`` for each dot); afterwards its own again."""
+    named = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
     try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _batch(spark: SparkSession, most: int) -> str:
+    """The session's number of rows in an Arrow batch, or ``most`` if that is less or the session has no limit."""
+    rows = int(spark.conf.get(_BATCH))
+    return str(min(rows, most) if rows > 0 else most)
+
+
+def arrow_batches(spark: SparkSession, most: int = BATCH_ROWS):
+    """While it lasts, Arrow batches hold at most ``most`` rows; see :func:`small_batches`."""
+    return settings(spark, **{_BATCH: _batch(spark, most)})
 
 
 def materialise(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage there."""
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage there.
+
+    Shuffle files of the write are deleted when it is done: no later plan reads them.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    with arrow_batches(spark, batch_rows):
+    with settings(spark, **{_BATCH: _batch(spark, batch_rows), _CLEANUP: "true"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,9 +76,7 @@ def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
 
     Ten thousand texts or wide arrays at a time would take much of an executor's memory beside its heap.
     """
-    rows = int(spark.conf.get(_BATCH))
-    if not 0 < rows <= most:
-        spark.conf.set(_BATCH, str(most))
+    spark.conf.set(_BATCH, _batch(spark, most))
 
 
 def release(*tables: DataFrame) -> None:
