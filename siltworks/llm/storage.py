@@ -79,11 +79,14 @@ def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
     spark.conf.set(_BATCH, _batch(spark, most))
 
 
+def erase(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialise` that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            erase(df.sparkSession, parent)

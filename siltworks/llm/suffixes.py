@@ -5,40 +5,40 @@ with the least hash (the leftmost of equals) is its minimizer, so equal windows
 equal places. The windows of a text that share a minimizer are one segment; all texts are cut
 into segments, and each window lies in exactly one.
 
-An index level is an array of the suffixes of its batches in the order of the hash of their first k
-bytes, with the smallest and the largest document that has each. A new batch gets an array of its own and is
-merge-scanned against the levels; suffixes that two documents share are kept. Levels of equal size
-merge, so there are at most log2 of the number of batches. Suffix order by hash, not by letters, is all
-that equality needs, and it spreads evenly over partitions.
+A batch's array holds its suffixes in the order of the hash of their first k bytes, each with the first document that
+has it and whether another one has it too. It is a table of sorted buckets, so it is merge-scanned
+against the levels before it, and levels of equal size merge before the next batch comes, without any
+shuffle; there are about log2 of the number of batches. Suffixes that two documents share are
+kept. Order by hash, not by letters, is all that equality needs, and it spreads evenly over buckets.
 
 Long matches are then made exact. A segment whose bytes an earlier document has too is covered as a whole;
 inside long matches all are. Segments at the ends of matches share a suffix but not all bytes: those
 that also share ``REACH`` bytes to the right or left of the suffix with another document, as every
-common window does on one side, are compared window by window.
+common window does on one side, are compared window by window. Whatever decides on bytes is joined by two
+hashes of 64 bits, that of the suffix and that of the segment or window around it.
 """
 
 from __future__ import annotations
 
-import gc
-import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
-from .storage import materialise, release
+from .storage import erase, materialise, new_path, release, settings
 
 LENGTH = 50
 GRAM = 20
 WINDOW = LENGTH - GRAM + 1
 REACH = -(-(LENGTH - GRAM) // 2)
-#: bytes of text in a batch of a table that is indexed at once
-BATCH_BYTES = 64 << 30
-#: parts of the table whose segments are shuffled one after the other, so that less disk is used at a time
-PARTS = 2
+#: A table comes in at least so many batches, and in more if one would hold more bytes of text than this.
+BATCHES, BATCH_BYTES = 4, 8 << 40
+#: bytes of text for which an array has a bucket
+BUCKET_BYTES = 256 << 20
 
 
 def minimizers(order: np.ndarray) -> np.ndarray:
@@ -104,35 +104,73 @@ def _segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SEGMENT = "suffix long, segment long, doc_id long, place long"
 
 
+def _suffixes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of each batch's documents, once for each document slice that holds them."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            data, offsets = K.text_buffer(batch.column("text"))
+            ids = batch.column("doc_id").to_numpy()
+            for i, j in K.slices(offsets):
+                doc, _, _, _, gram, _ = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[i + doc])], names=["suffix", "doc_id"])
+
+
 class SuffixIndex:
-    """Levels of suffix arrays; :meth:`add` takes batches in any order of ids, each id in one batch only."""
+    """A logarithmic family of suffix arrays, each a table of ``buckets`` sorted buckets in the shared folder.
+
+    ``levels`` lists the number of batches in each array and its name, oldest first.
+    """
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[tuple[int, str]] = []
+        self._paths: dict[str, str] = {}
 
-    @staticmethod
-    def array(batch: DataFrame) -> DataFrame:
-        """The suffix array of a batch of texts: ``suffix, low, high`` (documents)."""
-        rows = batch.mapInArrow(_segments_of, _SEGMENT).select("suffix", "doc_id")
-        return rows.groupBy("suffix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    def _settings(self):
+        """As many partitions as buckets, so that the partitions of a plan are the buckets; sorted buckets are read as such."""
+        return settings(self.spark, **{"spark.sql.shuffle.partitions": str(self.buckets), "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"})
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Indexes a batch; the suffixes in it that two documents in it or in a level share."""
-        new = materialise(self.array(batch), "suffix-array")
-        shared = new.where("low < high").select("suffix")
-        for _, level in self.levels:
-            shared = shared.union(new.select("suffix").join(level.select("suffix"), "suffix", "left_semi"))
-        shared = materialise(shared.distinct(), "shared")
-        self.levels.append((1, new))
+    def _write(self, array: DataFrame, name: str) -> None:
+        self._paths[name] = new_path(self.spark, name)
+        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+            array.write.bucketBy(self.buckets, "suffix").sortBy("suffix").option("path", self._paths[name]).format("parquet").saveAsTable(name)
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            erase(self.spark, self._paths.pop(name))
+
+    def _merge_levels(self) -> None:
+        """Merges the newest levels as long as the last two are of equal size."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (_, b) = self.levels.pop(), self.levels.pop()
-            both = a.union(b).groupBy("suffix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-            self.levels.append((2 * n, materialise(both, "suffix-array")))
-            release(a, b)
+            (n, new), (_, old) = self.levels.pop(), self.levels.pop()
+            a, b = (self.spark.table(t).select("suffix", F.col("low").alias(f"low_{t}"), F.col("again").alias(f"again_{t}")).hint("merge") for t in (old, new))
+            both = F.col(f"low_{old}").isNotNull() & F.col(f"low_{new}").isNotNull()
+            merged = a.join(b, "suffix", "full").select("suffix", F.least(f"low_{old}", f"low_{new}").alias("low"), (both | F.coalesce(f"again_{old}", f"again_{new}")).alias("again"))
+            name = f"suffixes_{uuid.uuid4().hex}"
+            self._write(merged, name)
+            self._drop(new, old)
+            self.levels.append((2 * n, name))
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Indexes ``batch(doc_id, text)``, whose ids no earlier batch had; its suffixes that two documents share."""
+        with self._settings():
+            self._merge_levels()
+            found = batch.select("doc_id", "text").mapInArrow(K.tidy(_suffixes_of), "suffix long, doc_id long")
+            array = found.groupBy("suffix").agg(F.min("doc_id").alias("low"), (F.min("doc_id") < F.max("doc_id")).alias("again"))
+            name = f"suffixes_{uuid.uuid4().hex}"
+            self._write(array, name)
+            new = self.spark.table(name)
+            shared = new.where("again").select("suffix")
+            for _, level in self.levels:
+                shared = shared.union(new.select("suffix").hint("merge").join(self.spark.table(level).select("suffix").hint("merge"), "suffix", "left_semi"))
+            shared = materialise(shared, "shared")
+            self.levels.append((1, name))
         return shared
 
     def close(self) -> None:
-        release(*(level for _, level in self.levels))
+        self._drop(*(level for _, level in self.levels))
         self.levels = []
 
 
@@ -146,9 +184,9 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted:
                 own, first, n, ahead = _unpacked(w["place"])
                 if own == copy:
-                    out.append((ref, w["segment"], doc_id, ahead, raw[first : first + n + LENGTH - 1]))
+                    out.append((ref, w["suffix"], w["segment"], doc_id, ahead, raw[first : first + n + LENGTH - 1]))
                     ref += 1
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["ref", "segment", "doc_id", "ahead", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((*[pa.int64()] * 5, pa.binary()))], names=["ref", "suffix", "segment", "doc_id", "ahead", "bytes"])
 
 
 def _hashes(spans: list[tuple[int, int]], raw: list[bytes]) -> np.ndarray:
@@ -170,7 +208,7 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep = np.flatnonzero(good)
                 key = K.mix(_hashes([at[k] for k in keep], [raw[k] for k in keep]) ^ np.uint64(right))
                 part = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id"), part.column("segment"), pa.array([right] * len(keep))], names=["side", "doc_id", "segment", "is_right"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id"), part.column("suffix"), part.column("segment"), pa.array([right] * len(keep))], names=["side", "doc_id", "suffix", "segment", "is_right"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +228,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = K.span_hash(prefix, offsets[row] + at, offsets[row] + at + LENGTH)
             take = pa.array(row)
             spot = batch.column("ref").to_numpy()[row] << 6 | at
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(take), pa.array(spot)], names=["window", "doc_id", "spot"])
+            yield pa.RecordBatch.from_arrays([batch.column("suffix").take(take), pa.array(key.view(np.int64)), batch.column("doc_id").take(take), pa.array(spot)], names=["suffix", "window", "doc_id", "spot"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,41 +272,8 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _reclaim(df: DataFrame) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps now and not at the driver's next collection.
-
-    The session still refers to its last query, so a query without a shuffle goes first.
-    """
-    df.sparkSession.range(1).write.format("noop").mode("overwrite").save()
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    time.sleep(0.5)
-
-
-def shared_suffixes(full: DataFrame, batches: int) -> DataFrame:
-    """Suffixes that two documents share; more than one batch goes through the index."""
-    if batches == 1:
-        return materialise(SuffixIndex.array(full).where("low < high").select("suffix"), "shared")
-    index, shared = SuffixIndex(), []
-    for part in _ranges(full, batches):
-        shared.append(index.add(part))
-        _reclaim(full)
-    index.close()
-    both = materialise(_union(shared).distinct(), "shared")
-    release(*shared)
-    return both
-
-
-def _ranges(docs: DataFrame, n: int) -> list[DataFrame]:
-    """About equal parts of a table by ranges of ids."""
-    if n == 1:
-        return [docs]
-    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 1000)).first()[0] or []
-    return [docs.where(c) for c in _between(cuts, n)]
-
-
-def _between(cuts: list[int], n: int) -> list:
-    cuts = sorted(set(cuts))[: n - 1]
+def _between(cuts: list[int]) -> list:
+    """Conditions for the ranges of ids between ``cuts``."""
     parts = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         above = F.lit(True) if low is None else F.col("doc_id") > low
@@ -276,48 +281,53 @@ def _between(cuts: list[int], n: int) -> list:
     return parts
 
 
-def remove_repeats(docs: DataFrame, batches: int | None = None, parts: int = PARTS) -> DataFrame:
+def _ranges(total: int, quantiles: list[int], batches: int | None) -> list:
+    """Conditions that cut a table of ``total`` bytes in batches of about equal numbers of documents."""
+    n = batches or max(BATCHES, -(-total // BATCH_BYTES))
+    picked = [quantiles[len(quantiles) * k // n] for k in range(1, n)] if quantiles else []
+    return _between(sorted(set(picked)))
+
+
+def remove_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """``doc_id, text, removed, kept_bytes``: without bytes of ``LENGTH``-byte strings that an earlier document has.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Documents with smaller ids are earlier. Null texts
     count as empty. Rows without an id neither lose bytes nor make others lose any; rows that share an id
-    don't remove each other's bytes. An empty table gives no rows. ``batches`` is by default as many as
-    there are ``BATCH_BYTES`` of text.
+    don't remove each other's bytes. An empty table gives no rows. The table is indexed in ``batches`` ranges of
+    ids (by default ``BATCHES``, or more of ``BATCH_BYTES``), read one after the other; where it is stored in about the
+    order of ids, each reads its own row groups only.
     """
+    spark = docs.sparkSession
     plain = _copies(docs)
     full = plain.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    known = full.agg(F.sum(F.octet_length("text").cast("long")), F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 1000)).first()
-    if batches is None:
-        batches = max(1, -(-(known[0] or 0) // BATCH_BYTES))
-    shared = shared_suffixes(full, batches)
-    _reclaim(docs)
-    held = []
-    for inside in _between(known[1] or [], parts):
-        held.append(materialise(full.where(inside).mapInArrow(K.tidy(_segments_of), _SEGMENT).join(shared.hint("shuffle_hash"), "suffix"), "segments"))
-        _reclaim(docs)
-    release(shared)
-    every = _union(held)
-    kinds = materialise(every.groupBy("suffix", "segment").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("place")), "kinds")
-    _reclaim(docs)
-    several = kinds.groupBy("suffix").agg(F.count("*").alias("n"), F.min("holder").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("suffix")
-    wanted = kinds.join(several, "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct("segment", "place")).alias("wanted"))
-    texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of, "ref long, segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
-    _reclaim(docs)
-    sides = texts.mapInArrow(_sides, "side long, doc_id long, segment long, is_right boolean")
-    common = sides.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("side")
-    near = sides.join(common, "side", "left_semi").groupBy("segment").agg(F.bool_or("is_right").alias("right"), F.bool_or(~F.col("is_right")).alias("left"))
-    windows = materialise(texts.join(near, "segment").mapInArrow(_windows, "window long, doc_id long, spot long"), "windows")
-    _reclaim(docs)
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    hit = windows.join(first, "window").where("doc_id > first").groupBy(F.shiftright("spot", 6).alias("ref")).agg(F.collect_set(F.col("spot").bitwiseAND(63)).alias("at"))
-    partly = materialise(hit.join(texts.select("ref", "segment"), "ref").select("segment", "at"), "partly")
-    release(texts, windows)
-    _reclaim(docs)
-    act = kinds.select("segment", "holder", "last").join(partly, "segment", "left").where("holder < last or at is not null").select("segment", "holder", "at")
-    found = every.select("segment", "doc_id", "place").join(act.hint("shuffle_hash"), "segment").where("doc_id > holder or (doc_id = holder and at is not null)")
+    known = full.agg(F.sum(F.octet_length("text").cast("long")), F.percentile_approx("doc_id", [k / 1024 for k in range(1024)], 4096)).first()
+    total, parts = known[0] or 0, _ranges(known[0] or 0, known[1] or [], batches)
+    index, shared = SuffixIndex(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))), []
+    for part in parts:
+        shared.append(index.add(full.where(part)))
+    index.close()
+    both = materialise(_union(shared).distinct(), "shared")
+    release(*shared)
+    held = [materialise(full.where(part).mapInArrow(K.tidy(_segments_of), _SEGMENT).join(both.hint("shuffle_hash"), "suffix"), "segments") for part in parts]
+    release(both)
+    every, key = _union(held), ["suffix", "segment"]
+    kinds = materialise(every.groupBy(key).agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("place")), "kinds")
+    # What a join may have to split is written before it, so that the join sees a plain shuffle.
+    several = materialise(kinds.groupBy("suffix").agg(F.count("*").alias("n"), F.min("holder").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("suffix"), "several")
+    wanted = kinds.join(several, "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct(*key, "place")).alias("wanted"))
+    texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of, "ref long, suffix long, segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
+    sides = texts.mapInArrow(_sides, "side long, doc_id long, suffix long, segment long, is_right boolean")
+    common = materialise(sides.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("side"), "sides")
+    near = materialise(sides.join(common, "side", "left_semi").groupBy(key).agg(F.bool_or("is_right").alias("right"), F.bool_or(~F.col("is_right")).alias("left")), "near")
+    windows = materialise(texts.join(near, key).mapInArrow(_windows, "suffix long, window long, doc_id long, spot long"), "windows")
+    first = materialise(windows.groupBy("suffix", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "first")
+    hit = windows.join(first, ["suffix", "window"]).where("doc_id > first").groupBy(F.shiftright("spot", 6).alias("ref")).agg(F.collect_set(F.col("spot").bitwiseAND(63)).alias("at"))
+    partly = hit.join(texts.select("ref", *key), "ref").select(*key, "at")
+    act = materialise(kinds.select(*key, "holder", "last").join(partly, key, "left").where("holder < last or at is not null").select(*key, "holder", "at"), "act")
+    release(texts, windows, first, several, common, near, kinds)
+    found = every.select(*key, "doc_id", "place").join(act.hint("shuffle_hash"), key).where("doc_id > holder or (doc_id = holder and at is not null)")
     found = materialise(found.select("doc_id", "place", F.when(F.col("doc_id") == F.col("holder"), F.col("at")).alias("at")), "found")
-    release(*held, kinds, partly)
-    _reclaim(docs)
+    release(*held, act)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "at")).alias("found"))
     return plain.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "found").mapInArrow(_remove, "doc_id long, text string, removed array<struct<first:bigint,last:bigint>>, kept_bytes binary")
 

@@ -4,9 +4,10 @@ import random
 import numpy as np
 import pytest
 
+from siltworks.llm import queries
 from siltworks.llm.suffixes import LENGTH, SuffixIndex, remove_repeats, report
 
-from .samples import awkward, documents
+from .samples import SF, awkward, documents
 
 
 def brute(rows):
@@ -80,11 +81,43 @@ def test_edges(spark):
 
 
 def test_levels_merge(spark):
-    index, sizes = SuffixIndex(), []
-    for k in range(4):
-        batch = spark.createDataFrame([(10 * k + i, f"{i} " * 40 + f"batch {k} " * 9, 0) for i in range(4)], "doc_id long, text string, copy long")
-        shared = index.add(batch)
-        assert not shared.isEmpty()
+    index, sizes = SuffixIndex(spark), []
+    for k in range(5):
+        batch = spark.createDataFrame([(10 * k + i, f"{i} " * 40 + f"batch {k} " * 9) for i in range(4)], "doc_id long, text string")
+        assert not index.add(batch).isEmpty()
         sizes.append([n for n, _ in index.levels])
-    assert sizes == [[1], [2], [2, 1], [4]]
+    assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1]]
+    # an array is sorted and has each suffix once; its levels are joined without a shuffle
+    for _, level in index.levels:
+        table = spark.table(level)
+        own = [r.suffix for r in table.collect()]
+        assert len(own) == len(set(own))
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffixes_")]
+
+
+def test_query_goes_through_levels(spark, monkeypatch):
+    """The registered query indexes several batches, scans older levels and merges two of them."""
+    seen, scanned = [], []
+    add = SuffixIndex.add
+
+    def spy(self, batch):
+        out = add(self, batch)
+        seen.append([n for n, _ in self.levels])
+        scanned.append(out.count())
+        return out
+
+    monkeypatch.setattr(SuffixIndex, "add", spy)
+    assert queries.op7_suffix_index_dedup(spark, SF).where("n_removed > 0").count() > 0
+    assert seen == [[1], [1, 1], [2, 1], [2, 1, 1]] and all(scanned)
+
+
+def test_levels_are_merge_scanned_without_a_shuffle(spark):
+    index = SuffixIndex(spark, 3)
+    for k in range(2):
+        index.add(spark.createDataFrame([(10 * k + i, f"{i} some text " * 40) for i in range(4)], "doc_id long, text string"))
+    with index._settings():
+        a, b = (spark.table(t).select("suffix").hint("merge") for _, t in index.levels)
+        plan = a.join(b, "suffix", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
     index.close()
