@@ -27,8 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_open: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; an enclosing :func:`scratch` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables that operators wrote within it.
+
+    Operators return plans that read such tables, so write what is to stay before the end, with ``keep`` if
+    by :func:`materialise`.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            erase(spark, path)
 
 
 @contextmanager
@@ -59,13 +81,15 @@ def arrow_batches(spark: SparkSession, most: int = BATCH_ROWS):
     return settings(spark, **{_BATCH: _batch(spark, most)})
 
 
-def materialise(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage there.
 
     Shuffle files of the write are deleted when it is done: no later plan reads them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if keep and _open:
+        _open[-1].remove(path)
     with settings(spark, **{_BATCH: _batch(spark, batch_rows), _CLEANUP: "true"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
