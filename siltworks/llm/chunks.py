@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last ``32`` bytes cuts a text wherever its top bits are zero, about every
-``2**CUT_BITS`` bytes; an insertion moves no cut but those whose window it touches. A chunk is keyed by
-the digest of the bytes from its cut to the first cut at least ``LEAST`` bytes on, so keys of short
+``2**CUT_BITS`` bytes; an insertion moves no cut but those whose window it touches. A cut inside a character moves
+to its end, so what is left of a text is text. A chunk is keyed by
+the 128-bit BLAKE2b digest of the bytes from its cut to the first cut at least ``LEAST`` bytes on, so keys of short
 chunks reach over the next ones and no key is shorter than ``LEAST`` (but for whole short texts). A key
 that a document with a smaller id also holds is a duplicate, and its bytes are removed.
 
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
+from .spans import copies, counted
+from .storage import materialise
 
 CUT_BITS = 5
 LEAST = 48
@@ -40,23 +43,31 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _to_characters(at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Places moved to the next start of a UTF-8 character."""
+    for _ in range(3):
+        inside = data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80
+        at = np.where(inside & (at < len(data)), at + 1, at)
+    return at
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sorted cut positions of all texts, their starts and ends among them."""
     found = np.flatnonzero(gear(data) >> np.uint32(32 - CUT_BITS) == 0) + 1 if len(data) else np.zeros(0, np.int64)
     if len(found):
         start = offsets[np.searchsorted(offsets, found - 1, "right") - 1]
-        found = found[found - start >= WINDOW]
+        found = _to_characters(found[found - start >= WINDOW], data)
     every = np.unique(np.concatenate((found, offsets)))
     gap = np.diff(every)
     wide = np.flatnonzero(gap > MOST)
     if len(wide):
-        extra = [np.arange(every[k] + MOST, every[k + 1], MOST) for k in wide]
+        extra = [_to_characters(np.arange(every[k] + MOST, every[k + 1], MOST), data) for k in wide]
         every = np.unique(np.concatenate((every, *extra)))
     return every
 
 
 def keyed_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, start, end and digest of each keyed chunk; start and end count from the text's start."""
+    """Document, start, end and digest (two words) of each keyed chunk; start and end count from the text's start."""
     at = cuts(data, offsets)
     start = at[:-1]
     doc = np.searchsorted(offsets, start, "right") - 1
@@ -66,19 +77,19 @@ def keyed_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     end = np.where(whole, limit, end)
     good = ((end <= limit) & (end - start >= LEAST)) | whole
     doc, start, end = doc[good], start[good], end[good]
-    with np.errstate(over="ignore"):
-        digest = K.span_hash(K.prefix_hash(data), start, end)
-    return doc, start - offsets[doc], end - offsets[doc], digest
+    raw = data.tobytes()
+    digest = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return doc, start - offsets[doc], end - offsets[doc], np.frombuffer(digest, np.int64).reshape(-1, 2)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.text_buffer(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        key = batch.column("text_key").to_numpy(zero_copy_only=False)
+        ids, copy = batch.column("doc_id").to_numpy(), batch.column("copy").to_numpy()
         for i, j in K.slices(offsets):
             doc, start, end, digest = keyed_chunks(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(key[i + doc]), pa.array(start), pa.array(end), pa.array(digest.view(np.int64))], names=["doc_id", "text_key", "first", "last", "digest"])
+            columns = (ids[i + doc], copy[i + doc], start, end, np.ascontiguousarray(digest[:, 0]), np.ascontiguousarray(digest[:, 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "copy", "first", "last", "d1", "d2"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,29 +108,28 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = b
             spans.append([{"first": a, "last": b} for a, b in merged])
             rest.append(b"".join([*kept, raw[at:]]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(rest, pa.binary())], names=["doc_id", "text", "removed", "kept_bytes"])
+        columns = [batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(rest, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "removed", "kept_bytes"])
 
 
 def remove_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, removed, kept_bytes``: the removed byte spans of every document and what is left.
+    """``doc_id, text, removed, kept_bytes``: the removed byte spans of every document and what is left, valid UTF-8.
 
-    ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Null texts count as empty. Rows without an id
+    ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Null and empty texts lose nothing. Rows without an id
     neither lose bytes nor make others lose any; rows that repeat an id and text are treated alike, and
     rows that repeat an id with another text don't remove each other's bytes. An empty table gives no rows.
 
-    Only keys and places are shuffled; keys are counted where they are found first. A key that very
+    Only digests and places are shuffled; digests are counted where they are found first. A digest that very
     many documents hold is one row of the joined side, and its other side can be split.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    chunks = plain.where("doc_id is not null and text is not null").mapInArrow(_chunks, "doc_id long, text_key long, first long, last long, digest long")
-    first = chunks.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other")).where("holder < other").select("digest", "holder")
-    again = chunks.join(first, "digest").where("doc_id > holder")
-    found = again.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("found"))
-    return plain.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id long, text string, removed array<struct<first:bigint,last:bigint>>, kept_bytes binary")
+    plain = copies(docs)
+    chunks = plain.where("doc_id is not null and text is not null").mapInArrow(K.tidy(_chunks), "doc_id long, copy long, first long, last long, d1 long, d2 long")
+    first = materialise(chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other")).where("holder < other").select("d1", "d2", "holder"), "chunks")
+    again = chunks.join(first, ["d1", "d2"]).where("doc_id > holder")
+    found = materialise(again.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("first", "last")).alias("found")), "repeated-chunks")
+    return plain.join(found, ["doc_id", "copy"], "left").select("doc_id", "text", "found").mapInArrow(K.tidy(_remove), "doc_id long, text string, removed array<struct<first:bigint,last:bigint>>, kept_bytes binary")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    found = remove_duplicates(docs)
-    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
-    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return counted(remove_duplicates(docs))

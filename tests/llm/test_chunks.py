@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from siltworks.llm import chunks as C
-from siltworks.llm.chunks import gear, keyed_chunks, report
+from siltworks.llm.chunks import gear, keyed_chunks, remove_duplicates, report
 
 from .samples import awkward, documents
 
@@ -26,11 +26,12 @@ def brute(rows):
         for i in range(len(raw)):
             if (h[i] >> (32 - C.CUT_BITS)) == 0 and i + 1 >= C.WINDOW:
                 at.append(i + 1)
-        at = sorted({*at, len(raw)})
+        whole = lambda i: next(k for k in range(i, len(raw) + 1) if k == len(raw) or raw[k] & 0xC0 != 0x80)  # noqa: B023, E731
+        at = sorted({*map(whole, at), len(raw)})
         full = []
         for a, b in zip(at, at[1:], strict=False):
-            full += list(range(a, b, C.MOST))
-        at = [*full, len(raw)]
+            full += map(whole, range(a, b, C.MOST))
+        at = sorted({*full, len(raw)})
         keys = []
         for a in at[:-1]:
             ends = [e for e in at if e >= a + C.LEAST]
@@ -84,6 +85,9 @@ def test_edges(spark):
     assert len(got) == df.count() and all(r.n_removed == 0 for r in got)
     assert report(df.limit(0)).collect() == []
     assert keyed_chunks(np.zeros(0, np.uint8), np.array([0, 0, 0]))[0].tolist() == []
+    wide = spark.createDataFrame([(k, "日本語のとても長い文章です。" * 30 + "é" * 700 + "\U0001f600" * n) for k, n in enumerate((3, 40, 700))], "doc_id long, text string")
+    for r in remove_duplicates(wide).collect():
+        assert bytes(r.kept_bytes).decode() is not None and (r.doc_id == 0) == (not r.removed)
     twice = df.selectExpr("doc_id + 100 AS doc_id", "text").unionByName(df.select("doc_id", "text"))
     again = {r.doc_id: r for r in report(twice).collect() if r.doc_id is not None}
     assert again[106].n_removed == again[106].n_bytes and again[106].kept_sha256 == hashlib.sha256(b"").hexdigest()
