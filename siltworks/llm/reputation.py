@@ -14,8 +14,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: suffixes of two labels; all others have one
+from .storage import materialise, release
+
+#: Rules of the kind that the public suffix list has: ``co.uk``, ``*.ck``, ``!www.ck``. These stand in for a caller's own
+#: list; a host that no rule fits has a suffix of one label.
 SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "co.in", "co.jp", "co.kr", "com.br", "com.cn", "com.mx")
+#: labels of a host's end that rules are looked up for
+MOST_LABELS = 6
 BLOCK_RATE = 0.5
 Z = 1.645
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
@@ -58,14 +63,21 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return text, verdict
 
 
-def registered_domain(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host without user and port; an address is its own domain."""
-    bare = F.regexp_replace(host, r"\A.*@|:[0-9]*\z", "")
-    two = F.substring_index(bare, ".", -2)
-    numeric = bare.rlike(r"\A[0-9]+(\.[0-9]+){3}\z")
-    domain = F.when(numeric, bare).when(two.isin(*SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
-    suffix = F.when(numeric, bare).when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
-    return domain, suffix
+def with_domains(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
+    """``hosts(host, ...)`` with ``domain`` and ``suffix``, user and port left out; an address is its own domain.
+
+    ``suffix_rules`` has the column ``suffix_rule``. Of the rules that fit the longest counts, exceptions before all.
+    """
+    named = hosts.withColumn("_bare", F.regexp_replace("host", r"\A.*@|:[0-9]*\z", "")).withColumn("_labels", F.split("_bare", r"\."))
+    n = F.size("_labels")
+    end = lambda k: F.array_join(F.slice("_labels", n - F.least(k, n) + 1, F.least(k, n)), ".")
+    rule = lambda text, k: F.struct(text.alias("suffix_rule"), k.alias("length"))
+    looked_for = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MOST_LABELS))), lambda k: F.array(rule(end(k), k), rule(F.concat(F.lit("*."), end(k - 1)), k), rule(F.concat(F.lit("!"), end(k)), k - 1)))
+    known = named.select("host", F.explode(F.flatten(looked_for)).alias("r")).select("host", "r.*").join(suffix_rules, "suffix_rule")
+    best = known.groupBy("host").agg(F.max(F.struct(F.col("suffix_rule").startswith("!"), "length")).getField("length").alias("_length"))
+    numeric, size = F.col("_bare").rlike(r"\A[0-9]+(\.[0-9]+){3}\z"), F.coalesce("_length", F.lit(1))
+    read = lambda k: F.when(numeric, F.col("_bare")).otherwise(end(k))
+    return named.join(best, "host", "left").withColumns({"domain": read(size + 1), "suffix": read(size)}).drop("_bare", "_labels", "_length")
 
 
 def _strength(children: DataFrame, mean: float) -> float:
@@ -80,20 +92,24 @@ def _strength(children: DataFrame, mean: float) -> float:
     return min(MOST_STRENGTH, max(LEAST_STRENGTH, spread / between - 1))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float = BLOCK_RATE, z: float = Z, suffix_rules: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_rate, bad_rate_low`` of every page.
 
     ``pages`` has ``page_id`` and ``url``; ``outcomes`` has ``page_id`` and ``bad`` (0 or 1), of which rows
     with nulls are left out. Hosts are counted before any shuffle of pages. Hosts without outcomes
     take their domain's rate, or their suffix's, or the overall one; with no outcomes at all the rate is
-    one half and pages that no rule fits are allowed. An empty table gives no rows.
+    one half and pages that no rule fits are allowed. An empty table gives no rows. Rows that repeat a page_id are judged
+    each for itself; those without one count for no host and are judged by theirs. Other columns are ignored. A whole
+    public suffix list can be given as ``suffix_rules(suffix_rule)``.
     """
     host, path = url_parts(F.col("url").cast("string"))
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("double")).alias("bad"))
     labelled = named.join(known, "page_id", "left")
-    domain, suffix = registered_domain(F.col("host"))
-    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")).select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
+    if suffix_rules is None:
+        suffix_rules = pages.sparkSession.createDataFrame([(s,) for s in SUFFIXES], "suffix_rule string")
+    counted = materialise(labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")), "hosts")
+    hosts = materialise(with_domains(counted, suffix_rules), "domains")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")).first()
@@ -108,6 +124,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_rate: float
     rate = shrunk(c("bad"), c("n"), domain_rate, s_host)
     low = F.col("bad_rate") - z * F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("n") + s_host + 1))
     by_host = hosts.join(of_domain, ["domain", "suffix"]).select("host", "n", rate.alias("bad_rate")).select("host", "bad_rate", low.alias("bad_rate_low"))
+    by_host = materialise(by_host, "reputations")
+    release(counted, hosts)
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when((F.col("bad_rate_low") > block_rate) & F.lit(total.n > 0), "block").otherwise("allow")
     return named.join(by_host, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, own).alias("verdict"), "bad_rate", "bad_rate_low")

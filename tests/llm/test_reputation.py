@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from siltworks.llm.reputation import ORACLE_SQL, Rule, judge, report
+from siltworks.llm.reputation import ORACLE_SQL, Rule, judge, report, with_domains
 
 from .samples import SF
 
@@ -50,3 +50,13 @@ def test_reputation(spark):
     # a single bad page does not condemn a host
     one = judge(frame(spark, ["x://a.com/1", *good]), outcomes(spark, [(0, 1)] + [(i, 0) for i in range(1, 300)])).where("page_id = 0").first()
     assert one.verdict == "allow"
+
+
+def test_suffix_rules(spark):
+    rules = spark.createDataFrame([("com",), ("co.uk",), ("*.ck",), ("!www.ck",), ("city.kawa.jp",)], "suffix_rule string")
+    want = {
+        "a.b.com": ("b.com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "p.q.r.ck": ("q.r.ck", "r.ck"), "a.www.ck": ("www.ck", "ck"),
+        "d.e.city.kawa.jp": ("e.city.kawa.jp", "city.kawa.jp"), "u@h.com:80": ("h.com", "com"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "": ("", ""), "local": ("local", "local"), "a.b.zz": ("b.zz", "zz"),
+    }
+    got = {r.host: (r.domain, r.suffix) for r in with_domains(spark.createDataFrame([(h,) for h in want], "host string"), rules).collect()}
+    assert got == want
