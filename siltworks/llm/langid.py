@@ -24,6 +24,9 @@ SAMPLE_DOCS = 4000
 #: Profiles are kept for so many languages at most; more raise an error.
 MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
+#: A score is too low for a text of any learned language below this share of what all but ``FLOOR_TAIL`` of the
+#: labelled texts reach.
+FLOOR_SHARE, FLOOR_TAIL = 0.5, 0.01
 
 _letters: np.ndarray | None = None
 
@@ -88,19 +91,26 @@ class Profiles:
         return self.names[best], float(1 - d[best] / (TOP * len(own)))
 
 
-def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> Profiles:
-    """Profiles from ``labelled(doc_id, text, lang)``; rows without lang or text are left out.
-
-    n-grams are counted where the documents are; only ``top`` rows a language reach the driver.
-    """
+def _drawn(labelled: DataFrame, sample_docs: int) -> DataFrame | None:
+    """About ``sample_docs`` labelled documents of each language, or nothing if there are none."""
     labelled = labelled.where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not sizes:
-        return Profiles({})
+        return None
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))))
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+
+
+def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> Profiles:
+    """Profiles from ``labelled(doc_id, text, lang)``; rows without lang or text are left out.
+
+    n-grams are counted where the documents are; only ``top`` rows a language reach the driver.
+    """
+    drawn = _drawn(labelled, sample_docs)
+    if drawn is None:
+        return Profiles({})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +130,24 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -
     return Profiles(ranks)
 
 
+def least_score(labelled: DataFrame, profiles: Profiles, sample_docs: int = SAMPLE_DOCS) -> float:
+    """The score below which a text is in none of the learned languages; 0 if none was learned.
+
+    It is ``FLOOR_SHARE`` of what all but ``FLOOR_TAIL`` of the labelled documents of :func:`learn` reach.
+    """
+    drawn = _drawn(labelled, sample_docs)
+    if drawn is None:
+        return 0.0
+    scores = predict(drawn.select("text"), profiles).where(F.col("lang_pred") != UNDETERMINED)
+    return FLOOR_SHARE * (scores.agg(F.percentile_approx("score", FLOOR_TAIL)).first()[0] or 0.0)
+
+
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (1: equal ranks, 0: nothing in common).
 
-    The prediction reads ``text`` only. Null texts and texts without a letter give ``und`` and 0, as
-    does every text if no language was learned. Columns of those names that came in are replaced.
+    The prediction reads ``text`` only, so rows that repeat a text get the same. Null texts and texts without a letter give
+    ``und`` and 0, as does every text if no language was learned. Languages at the same distance: the first by
+    name. Columns of those names that came in are replaced, all others pass through. An empty table gives no rows.
     """
     plain = docs.drop("lang_pred", "score")
     schema = StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])

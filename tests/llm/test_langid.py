@@ -1,6 +1,7 @@
 import zlib
+from collections import Counter
 
-from siltworks.llm.langid import identify, learn, predict
+from siltworks.llm.langid import TOP, identify, learn, least_score, predict
 
 from .samples import awkward, documents
 
@@ -31,3 +32,47 @@ def test_edges(spark):
     assert got[1].score == 0.0 and got[None].held_out is False
     assert identify(df.limit(0)).collect() == []
     assert {r.lang_pred for r in predict(df, learn(df.limit(0))).collect()} == {"und"}
+
+
+def plain_grams(text):
+    """n-grams of one to three letters of words between boundary marks, by string operations."""
+    marked = "".join(c if c.isalpha() else " " for c in text.lower())
+    marked = " " + " ".join(marked.split()) + " "
+    if marked.strip() == "":
+        return []
+    out = [c for c in marked if c != " "] + [marked[i : i + 2] for i in range(len(marked) - 1)]
+    return out + [marked[i : i + 3] for i in range(len(marked) - 2) if marked[i + 1] != " "]
+
+
+def plain_rank(all_grams):
+    value = lambda g: sum((1 if c == " " else ord(c)) << (21 * k) for k, c in enumerate(g))
+    return sorted(Counter(all_grams), key=lambda g, n=Counter(all_grams): (-n[g], value(g)))[:TOP]
+
+
+def test_against_plain_out_of_place_distances(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    rows = docs.collect()
+    learned = {}
+    for r in rows:
+        if r.lang is not None and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            learned.setdefault(r.lang, []).extend(plain_grams(r.text))
+    profiles = {lang: {g: k for k, g in enumerate(plain_rank(g))} for lang, g in learned.items()}
+    got = {r.doc_id: r for r in identify(docs).collect()}
+    for r in rows:
+        own = plain_rank(plain_grams(r.text or ""))
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        distance = {lang: sum(abs(p[g] - k) if g in p else TOP for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - (1 - distance[best] / (TOP * len(own)))) < 1e-12
+
+
+def test_least_score(spark):
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    profiles = learn(docs)
+    floor = least_score(docs, profiles)
+    assert predict(docs, profiles).where(f"lang_pred != 'und' and score < {floor}").count() == 0 < floor
+    other = spark.createDataFrame([("съешь же ещё этих мягких французских булок да выпей чаю",), ("いろはにほへと ちりぬるを",)], "text string")
+    assert predict(other, profiles).where(f"score >= {floor}").count() == 0
+    assert least_score(docs.limit(0), profiles) == 0.0
