@@ -23,10 +23,11 @@ LEAST_WORDS = 50
 ACCURACY = (0.55, 0.99)
 ROUNDS, TOLERANCE = 100, 1e-9
 LEAST_POSTERIOR = 0.5
+#: frequent small words of English, French, German and Spanish; pass those of other languages to :func:`assess`
 FUNCTION_WORDS = ("the", "of", "and", "to", "in", "is", "that", "de", "la", "le", "les", "et", "que", "des", "der", "die", "und", "das", "den", "en", "el", "los", "y", "las")
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, function_words: tuple[str, ...] = FUNCTION_WORDS) -> DataFrame:
     """``doc_id`` and the counts that rules look at, for every row; a null text counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
@@ -49,7 +50,7 @@ def counts(docs: DataFrame) -> DataFrame:
         size.cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_intersect("words", F.array(*map(F.lit, FUNCTION_WORDS)))).alias("n_function_words"),
+        F.size(F.array_intersect("words", F.array(*map(F.lit, function_words)))).alias("n_function_words"),
         F.sort_array(windows).alias("sorted"),
     )
     same = lambda x, k: F.coalesce(F.get("sorted", k)["h"] == x["h"], F.lit(False))
@@ -128,14 +129,15 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> Model:
     return Model(log(share / (1 - share)), dict(zip(RULES, weight(), strict=True)))
 
 
-def assess(docs: DataFrame) -> DataFrame:
+def assess(docs: DataFrame, function_words: tuple[str, ...] = FUNCTION_WORDS) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior``.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Texts with fewer than ``LEAST_WORDS`` words,
     null and empty ones among them, or more than half of whose words stand in repeated windows fail at
-    once. Rows that repeat an id or have none are judged each for itself. An empty table gives no rows.
+    once. Rows that repeat an id or have none are judged each for itself; a very long text is one row like any other. An
+    empty table gives no rows.
     """
-    counted = materialise(counts(docs), "quality")
+    counted = materialise(counts(docs, function_words), "quality")
     vote = votes()
     cast = counted.groupBy(*(vote[r].alias(r) for r in RULES)).agg(F.count("*").alias("n")).orderBy(*RULES).collect()
     model = fit([(tuple(r[x] for x in RULES), r.n) for r in cast])
@@ -143,3 +145,36 @@ def assess(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return counted.select(*columns, failed.alias("base_failed"), (~failed & (posterior >= LEAST_POSTERIOR)).alias("kept"), posterior.alias("posterior"))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """:func:`assess` without the posterior, whose last digits depend on the order of sums."""
+    return assess(docs).drop("posterior")
+
+
+_words = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
+_n = len(RULES)
+#: DuckDB's counterpart of :func:`report`: counts, votes, and the maximisation as a recursive query over vote patterns.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+counted AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+ len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, len(list_intersect(list_distinct(words), [{_words}])) AS n_function_words FROM w LEFT JOIN repeats USING (r)),
+voted AS (SELECT *, [CASE WHEN n_words < {LEAST_WORDS} THEN -1 ELSE 0 END, CASE WHEN word_chars / m < 2.5 OR word_chars / m > 12 THEN -1 ELSE 0 END, CASE WHEN n_symbols / m > 0.1 THEN -1 WHEN n_symbols / m < 0.02 THEN 1 ELSE 0 END,
+ CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.3 THEN -1 ELSE 0 END, CASE WHEN n_repeat_words / m > 0.3 THEN -1 ELSE 0 END, CASE WHEN n_function_words <= 1 THEN -1 WHEN n_function_words >= 5 THEN 1 ELSE 0 END] AS v FROM (SELECT *, greatest(n_words, 1) AS m FROM counted)),
+patterns AS (SELECT list(v ORDER BY v) AS p, list(n ORDER BY v) AS n, sum(n)::DOUBLE AS total FROM (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v)),
+em AS (SELECT 0 AS k, 0.8::DOUBLE AS share, list_transform(range({_n}), lambda j: 0.7::DOUBLE) AS acc, 1.0::DOUBLE AS moved
+ UNION ALL SELECT k + 1, new_share, new_acc, list_max(list_append(list_transform(range(1, {_n} + 1), lambda j: abs(new_acc[j] - acc[j])), abs(new_share - share))) FROM (
+  SELECT *, least(0.99, greatest(0.01, (list_sum(list_transform(range(1, len(p) + 1), lambda i: n[i] * g[i])) + 0.5) / (total + 1))) AS new_share,
+   list_transform(range(1, {_n} + 1), lambda j: least({ACCURACY[1]}, greatest({ACCURACY[0]}, (list_sum(list_transform(range(1, len(p) + 1), lambda i: n[i] * CASE p[i][j] WHEN 1 THEN g[i] WHEN -1 THEN 1 - g[i] ELSE 0 END)) + 0.7)
+    / (list_sum(list_transform(range(1, len(p) + 1), lambda i: n[i] * abs(p[i][j]))) + 1)))) AS new_acc FROM (
+   SELECT em.*, patterns.*, list_transform(p, lambda x: 1 / (1 + exp(-ln(share / (1 - share)) - list_sum(list_transform(range(1, {_n} + 1), lambda j: ln(acc[j] / (1 - acc[j])) * x[j]))))) AS g FROM em, patterns
+   WHERE em.k < {ROUNDS} AND em.moved >= {TOLERANCE} AND total > 0))),
+model AS (SELECT share, acc FROM em ORDER BY k DESC LIMIT 1),
+judged AS (SELECT voted.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ 1 / (1 + exp(-ln(share / (1 - share)) - list_sum(list_transform(range(1, {_n} + 1), lambda j: ln(acc[j] / (1 - acc[j])) * v[j])))) AS posterior FROM voted, model)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND posterior >= {LEAST_POSTERIOR} AS kept FROM judged
+"""

@@ -50,7 +50,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(_table(spark, sf_dir, "documents"))
+    return quality.report(_table(spark, sf_dir, "documents"))
 
 
 _ALL = (
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_reputation": reputation.ORACLE_SQL}
+    return {"op4_host_reputation": reputation.ORACLE_SQL, "op10_weak_supervision_quality": quality.ORACLE_SQL}

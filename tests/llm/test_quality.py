@@ -1,7 +1,10 @@
 import random
 import re
 
-from siltworks.llm.quality import ACCURACY, RULES, assess, fit
+import duckdb
+import pytest
+
+from siltworks.llm.quality import ACCURACY, ORACLE_SQL, RULES, assess, fit, report
 
 from .samples import awkward, documents
 
@@ -71,3 +74,13 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = assess(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_against_sql(spark, sf):
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+        want = con.execute(ORACLE_SQL).fetchall()
+    got = [tuple(r) for r in report(spark.read.parquet(path)).collect()]
+    assert sorted(got) == sorted(want) and 0 < sum(r[-1] for r in got) < len(got)
