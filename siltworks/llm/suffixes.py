@@ -5,17 +5,18 @@ with the least hash (the leftmost of equals) is its minimizer, so equal windows
 equal places. The windows of a text that share a minimizer are one segment; all texts are cut
 into segments, and each window lies in exactly one.
 
-A batch's array holds its suffixes in the order of the hash of their first k bytes, each with the first document that
-has it and whether another one has it too. It is a table of sorted buckets, so it is merge-scanned
+A batch's array holds its suffixes in the order of the hash of their first k bytes, each with the smallest and the
+largest document that has it. It is a table of sorted buckets, so it is merge-scanned
 against the levels before it, and levels of equal size merge before the next batch comes, without any
 shuffle; there are about log2 of the number of batches. Suffixes that two documents share are
-kept. Order by hash, not by letters, is all that equality needs, and it spreads evenly over buckets.
+kept. Order by hash, not by letters, is all that equality needs, and it spreads evenly over buckets; tasks count their
+suffixes in sorted runs before these are shuffled.
 
 Long matches are then made exact. A segment whose bytes an earlier document has too is covered as a whole;
 inside long matches all are. Segments at the ends of matches share a suffix but not all bytes: those
 that also share ``REACH`` bytes to the right or left of the suffix with another document, as every
 common window does on one side, are compared window by window. Whatever decides on bytes is joined by two
-hashes of 64 bits, that of the suffix and that of the segment or window around it.
+hashes, 64 bits of the segment or window and 64 or 32 of the suffix in it.
 """
 
 from __future__ import annotations
@@ -29,16 +30,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
+from .spans import copies, counted
 from .storage import erase, materialise, new_path, release, settings
 
 LENGTH = 50
 GRAM = 20
 WINDOW = LENGTH - GRAM + 1
 REACH = -(-(LENGTH - GRAM) // 2)
-#: A table comes in at least so many batches, and in more if one would hold more bytes of text than this.
-BATCHES, BATCH_BYTES = 4, 8 << 40
-#: bytes of text for which an array has a bucket
-BUCKET_BYTES = 256 << 20
+#: A table comes in at least so many batches, and in more if one would hold more documents than this.
+BATCHES, BATCH_DOCS = 3, 1 << 31
+#: documents for which an array has a bucket
+BUCKET_DOCS = 1 << 16
+#: suffixes that a task sorts and counts before it gives them away
+RUN = 1 << 21
 
 
 def minimizers(order: np.ndarray) -> np.ndarray:
@@ -104,15 +108,33 @@ def _segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SEGMENT = "suffix long, segment long, doc_id long, place long"
 
 
+def _run(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A sorted run: each suffix with the smallest and the largest document that has it."""
+    suffix, doc = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.argsort(suffix)
+    suffix, doc = suffix[order], doc[order]
+    first = np.flatnonzero(np.concatenate(([True], suffix[1:] != suffix[:-1])))
+    return pa.RecordBatch.from_arrays([pa.array(suffix[first]), pa.array(np.minimum.reduceat(doc, first)), pa.array(np.maximum.reduceat(doc, first))], names=["suffix", "low", "high"])
+
+
 def _suffixes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes of each batch's documents, once for each document slice that holds them."""
+    """Sorted runs of the suffixes of a partition, so that a suffix that very many documents have is a few rows."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     with np.errstate(over="ignore"):
         for batch in batches:
             data, offsets = K.text_buffer(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             for i, j in K.slices(offsets):
                 doc, _, _, _, gram, _ = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[i + doc])], names=["suffix", "doc_id"])
+                if len(doc):
+                    parts.append((gram.view(np.int64), ids[i + doc]))
+                    size += len(doc)
+                if size >= RUN:
+                    yield _run(parts)
+                    parts, size = [], 0
+        if parts:
+            yield _run(parts)
 
 
 class SuffixIndex:
@@ -128,14 +150,18 @@ class SuffixIndex:
         self._paths: dict[str, str] = {}
 
     def _settings(self):
-        """As many partitions as buckets, so that the partitions of a plan are the buckets; sorted buckets are read as such."""
-        return settings(self.spark, **{"spark.sql.shuffle.partitions": str(self.buckets), "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"})
+        """Sorted buckets are read as such, and what is sorted is counted in passing."""
+        return settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true", spark__sql__execution__replaceHashWithSortAgg="true")
 
     def _write(self, array: DataFrame, name: str) -> None:
         self._paths[name] = new_path(self.spark, name)
         with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
             array.write.bucketBy(self.buckets, "suffix").sortBy("suffix").option("path", self._paths[name]).format("parquet").saveAsTable(name)
 
+    def _array(self, name: str) -> DataFrame:
+        """``suffix, low, high`` of an array, each suffix once. Its runs are counted while its buckets are scanned."""
+        return self.spark.table(name).groupBy("suffix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
     def _drop(self, *names: str) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE {name}")
@@ -145,9 +171,8 @@ class SuffixIndex:
         """Merges the newest levels as long as the last two are of equal size."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, new), (_, old) = self.levels.pop(), self.levels.pop()
-            a, b = (self.spark.table(t).select("suffix", F.col("low").alias(f"low_{t}"), F.col("again").alias(f"again_{t}")).hint("merge") for t in (old, new))
-            both = F.col(f"low_{old}").isNotNull() & F.col(f"low_{new}").isNotNull()
-            merged = a.join(b, "suffix", "full").select("suffix", F.least(f"low_{old}", f"low_{new}").alias("low"), (both | F.coalesce(f"again_{old}", f"again_{new}")).alias("again"))
+            a, b = (self._array(t).withColumnsRenamed({"low": f"low{k}", "high": f"high{k}"}).hint("merge") for k, t in enumerate((old, new)))
+            merged = a.join(b, "suffix", "full").select("suffix", F.least("low0", "low1").alias("low"), F.greatest("high0", "high1").alias("high"))
             name = f"suffixes_{uuid.uuid4().hex}"
             self._write(merged, name)
             self._drop(new, old)
@@ -157,14 +182,11 @@ class SuffixIndex:
         """Indexes ``batch(doc_id, text)``, whose ids no earlier batch had; its suffixes that two documents share."""
         with self._settings():
             self._merge_levels()
-            found = batch.select("doc_id", "text").mapInArrow(K.tidy(_suffixes_of), "suffix long, doc_id long")
-            array = found.groupBy("suffix").agg(F.min("doc_id").alias("low"), (F.min("doc_id") < F.max("doc_id")).alias("again"))
             name = f"suffixes_{uuid.uuid4().hex}"
-            self._write(array, name)
-            new = self.spark.table(name)
-            shared = new.where("again").select("suffix")
+            self._write(batch.select("doc_id", "text").mapInArrow(K.tidy(_suffixes_of), "suffix long, low long, high long").repartition(self.buckets, "suffix"), name)
+            shared = self._array(name).where("low < high").select("suffix")
             for _, level in self.levels:
-                shared = shared.union(new.select("suffix").hint("merge").join(self.spark.table(level).select("suffix").hint("merge"), "suffix", "left_semi"))
+                shared = shared.union(self.spark.table(name).select("suffix").hint("merge").join(self.spark.table(level).select("suffix").hint("merge"), "suffix", "left_semi"))
             shared = materialise(shared, "shared")
             self.levels.append((1, name))
         return shared
@@ -228,7 +250,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = K.span_hash(prefix, offsets[row] + at, offsets[row] + at + LENGTH)
             take = pa.array(row)
             spot = batch.column("ref").to_numpy()[row] << 6 | at
-            yield pa.RecordBatch.from_arrays([batch.column("suffix").take(take), pa.array(key.view(np.int64)), batch.column("doc_id").take(take), pa.array(spot)], names=["suffix", "window", "doc_id", "spot"])
+            tag = (batch.column("suffix").to_numpy() >> 32).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tag[row]), pa.array(key.view(np.int64)), batch.column("doc_id").take(take), pa.array(spot)], names=["tag", "window", "doc_id", "spot"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,16 +278,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, spans_type), pa.array(rest, pa.binary())], names=["doc_id", "text", "removed", "kept_bytes"])
 
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``copy``: 0, or the number of a text among those of rows that share an id."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = plain.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if ids.isEmpty():
-        return plain.withColumn("copy", F.lit(0).cast("long"))
-    again = plain.join(ids, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.xxhash64("text"))).alias("texts"))
-    return plain.join(again, "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_position("texts", F.xxhash64("text")) - 1, F.lit(0)).cast("long").alias("copy"))
-
-
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for more in tables[1:]:
@@ -281,9 +294,9 @@ def _between(cuts: list[int]) -> list:
     return parts
 
 
-def _ranges(total: int, quantiles: list[int], batches: int | None) -> list:
-    """Conditions that cut a table of ``total`` bytes in batches of about equal numbers of documents."""
-    n = batches or max(BATCHES, -(-total // BATCH_BYTES))
+def _ranges(n_docs: int, quantiles: list[int], batches: int | None) -> list:
+    """Conditions that cut a table in batches of about equal numbers of documents."""
+    n = batches or max(BATCHES, -(-n_docs // BATCH_DOCS))
     picked = [quantiles[len(quantiles) * k // n] for k in range(1, n)] if quantiles else []
     return _between(sorted(set(picked)))
 
@@ -294,15 +307,15 @@ def remove_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Documents with smaller ids are earlier. Null texts
     count as empty. Rows without an id neither lose bytes nor make others lose any; rows that share an id
     don't remove each other's bytes. An empty table gives no rows. The table is indexed in ``batches`` ranges of
-    ids (by default ``BATCHES``, or more of ``BATCH_BYTES``), read one after the other; where it is stored in about the
+    ids (by default ``BATCHES``, or more of ``BATCH_DOCS``), read one after the other; where it is stored in about the
     order of ids, each reads its own row groups only.
     """
     spark = docs.sparkSession
-    plain = _copies(docs)
+    plain = copies(docs)
     full = plain.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    known = full.agg(F.sum(F.octet_length("text").cast("long")), F.percentile_approx("doc_id", [k / 1024 for k in range(1024)], 4096)).first()
-    total, parts = known[0] or 0, _ranges(known[0] or 0, known[1] or [], batches)
-    index, shared = SuffixIndex(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))), []
+    n_docs, quantiles = plain.where("doc_id is not null").agg(F.count("*"), F.percentile_approx("doc_id", [k / 256 for k in range(256)], 4096)).first()
+    parts = _ranges(n_docs, quantiles or [], batches)
+    index, shared = SuffixIndex(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // BUCKET_DOCS))), []
     for part in parts:
         shared.append(index.add(full.where(part)))
     index.close()
@@ -316,15 +329,19 @@ def remove_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
     several = materialise(kinds.groupBy("suffix").agg(F.count("*").alias("n"), F.min("holder").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("suffix"), "several")
     wanted = kinds.join(several, "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct(*key, "place")).alias("wanted"))
     texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of, "ref long, suffix long, segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
+    release(several)
     sides = texts.mapInArrow(_sides, "side long, doc_id long, suffix long, segment long, is_right boolean")
     common = materialise(sides.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("side"), "sides")
     near = materialise(sides.join(common, "side", "left_semi").groupBy(key).agg(F.bool_or("is_right").alias("right"), F.bool_or(~F.col("is_right")).alias("left")), "near")
-    windows = materialise(texts.join(near, key).mapInArrow(_windows, "suffix long, window long, doc_id long, spot long"), "windows")
-    first = materialise(windows.groupBy("suffix", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "first")
-    hit = windows.join(first, ["suffix", "window"]).where("doc_id > first").groupBy(F.shiftright("spot", 6).alias("ref")).agg(F.collect_set(F.col("spot").bitwiseAND(63)).alias("at"))
-    partly = hit.join(texts.select("ref", *key), "ref").select(*key, "at")
+    release(common)
+    checked = materialise(texts.join(near, key), "checked")
+    windows = checked.mapInArrow(_windows, "tag int, window long, doc_id long, spot long")
+    first = materialise(windows.groupBy("tag", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "first")
+    hit = windows.join(first, ["tag", "window"]).where("doc_id > first").groupBy(F.shiftright("spot", 6).alias("ref")).agg(F.collect_set(F.col("spot").bitwiseAND(63)).alias("at"))
+    partly = materialise(hit.join(texts.select("ref", *key), "ref").select(*key, "at"), "partly")
+    release(texts, near, checked, first)
     act = materialise(kinds.select(*key, "holder", "last").join(partly, key, "left").where("holder < last or at is not null").select(*key, "holder", "at"), "act")
-    release(texts, windows, first, several, common, near, kinds)
+    release(kinds, partly)
     found = every.select(*key, "doc_id", "place").join(act.hint("shuffle_hash"), key).where("doc_id > holder or (doc_id = holder and at is not null)")
     found = materialise(found.select("doc_id", "place", F.when(F.col("doc_id") == F.col("holder"), F.col("at")).alias("at")), "found")
     release(*held, act)
@@ -334,6 +351,4 @@ def remove_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
 
 def report(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    found = remove_repeats(docs, batches)
-    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
-    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return counted(remove_repeats(docs, batches))
