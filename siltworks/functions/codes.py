@@ -1,31 +1,44 @@
 """Legal-standard codes: family, section key and citation as one struct column.
 
-Each jurisdiction writes its codes in its own way, today or in an older packed form. A
-:class:`Grammar` says how one of them is recognised and how its parts become a key and a citation.
-:func:`parse` tries the grammars of the family that :func:`family` names.
+Each jurisdiction writes its codes in its own way, today or in an older packed form. All of this is data: ``FAMILIES``
+says by which form (and which state, where forms clash) a code's family is known, ``FORMS`` how the ways of
+writing of a family are read. A form is a pattern, a template of the key, and the styles in which what follows
+is shown in a citation. One interpreter, :func:`parse`, turns these tables into one expression.
+
+Templates name the pattern's groups as ``{group:style}``. Styles:
+
+========  =============================================================
+``=``     as it is
+``a``     lower case
+``1``     number without leading zeros
+``.``     decimal part: a point and the number, nothing for zeros
+``i``     small Roman numeral of a number, nothing for zero
+========  =============================================================
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import group, is_all, let, matches, null_if_empty, rewrite, text
-
-ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx")
-# The forms by which jurisdictions' codes are told apart.
-FEDERAL_OTHER_PARTS = "03|04|08|15|16|17|18|28|60"
-CA_CURRENT = r"[0-9]{3,5}(?:\.[0-9]+)?[A-Z]?(?:\(.*)?"
-FED_TAIL = r"([A-Z]?)([0-9]{0,3})(X{0,3}(?:IX|IV|V?I{0,3}))([A-Z]?)([0-9]{0,2})"
-OLD_TAIL = r"([A-Z]?)([0-9]{0,2})([A-Z]?)([0-9]{0,2})"
+from .text import group, is_all, let, matches, null_if_empty, squeeze, text
 
 lit, cat = F.lit, F.concat
+LARGEST_ROMAN = 20
 
 
-def normal(raw: Column | str) -> Column:
-    return F.trim(rewrite(F.upper(text(raw)), (r"[ \t\n\f\r]+", " ")))
+def _roman(n: int) -> str:
+    out = ""
+    for value, sign in ((10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out, n = out + sign * (n // value), n % value
+    return out
+
+
+ROMAN = tuple(_roman(n) for n in range(1, LARGEST_ROMAN + 1))
 
 
 def unpad(c: Column) -> Column:
@@ -33,183 +46,195 @@ def unpad(c: Column) -> Column:
     return F.when(is_all(c, "[0-9]{1,9}"), c.try_cast("bigint").cast("string")).otherwise(c)
 
 
-def paren(c: Column) -> Column:
-    """``(c)``, or nothing for an empty part."""
-    return F.when(c != "", cat(lit("("), c, lit(")"))).otherwise("")
+def small_roman(c: Column) -> Column:
+    """The number as a Roman numeral up to ``LARGEST_ROMAN``, nothing for zero."""
+    n = c.try_cast("int")
+    return F.when(n > LARGEST_ROMAN, n.cast("string")).when(n > 0, F.get(F.array(*map(lit, ROMAN)), n - 1)).otherwise("")
 
 
-def roman(c: Column) -> Column:
-    n = c.try_cast("int")
-    return F.when(n.between(1, len(ROMAN)), F.element_at(F.array(*map(lit, ROMAN)), F.greatest(n, lit(1)))).otherwise(n.cast("string"))
+STYLES: dict[str, Callable[[Column], Column]] = {
+    "=": lambda c: c,
+    "a": F.lower,
+    "1": unpad,
+    ".": lambda c: F.when(is_all(c, "0*"), "").otherwise(cat(lit("."), unpad(c))),
+    "i": small_roman,
+}
 
 
-def paragraphs(rest: Column, lower_at: tuple[int, ...]) -> Column:
-    """A chain of parenthesised parts, numbers unpadded and letters of some depths in lower case."""
-    parts = F.regexp_extract_all(rest, lit(r"\(([^()]*)\)?"), lit(1))
+@dataclass(frozen=True)
+class Tail:
+    """What follows a packed code: a pattern whose groups are shown in parentheses, each in its style.
 
-    def one(p: Column, i: Column) -> Column:
-        p = F.trim(p)
-        return F.when(is_all(p, "[0-9]+"), unpad(p)).when((i + 1).isin(*lower_at), F.lower(p)).otherwise(p)
+    ``dense`` ignores everything but letters and digits. A tail that doesn't fit is shown as it is, or, if
+    ``first_letter``, with its first letter as a paragraph.
+    """
 
-    chain = cat(lit("("), F.array_join(F.transform(parts, one), ")("), lit(")"), group(rest, r"\)([^()]*)\z"))
-    return F.when(F.contains(rest, lit("(")), chain).otherwise(F.trim(rest))
+    pattern: str
+    styles: str
+    dense: bool = False
+    first_letter: bool = False
 
 
 @dataclass(frozen=True)
-class Grammar:
-    """A way of writing: its pattern and, from the pattern's groups, the key and the rest of the citation."""
+class Form:
+    """A way of writing. The last group of ``pattern`` is the rest; ``packed`` shows groups before it as paragraphs.
+
+    The rest is either a chain of parenthesised parts, those at the depths ``lower`` in lower case, or a :class:`Tail`.
+    """
 
+    family: str
     pattern: str
-    key: Callable[..., Column]
-    rest: Callable[..., Column]
-    cite_head: Callable[..., Column] | None = None
-
-    def groups(self, s: Column) -> list[Column]:
-        import re
-
-        return [group(s, self.pattern, k + 1) for k in range(re.compile(self.pattern.replace(r"\z", r"\Z")).groups)]
-
-    def fits(self, s: Column) -> Column:
-        return matches(s, self.pattern)
-
-    def read(self, s: Column) -> tuple[Column, Column]:
-        g = self.groups(s)
-        key = self.key(*g)
-        return key, cat((self.cite_head or self.key)(*g), self.rest(*g))
-
-
-def _packed_pairs(p: Column) -> Column:
-    first = F.when(F.length(p) >= 2, paren(unpad(F.substring(p, 1, 2)))).otherwise("")
-    return cat(first, F.when(F.length(p) == 4, paren(unpad(F.substring(p, 3, 2)))).otherwise(""))
-
-
-def _old_tail(tail: Column) -> Column:
-    plain = F.regexp_replace(tail, "[^A-Z0-9]", "")
-    a, n, b, m = (group(plain, rf"\A{OLD_TAIL}\z", k) for k in range(1, 5))
-    number = F.when((n != "") & (F.coalesce(n.try_cast("int"), lit(0)) > 0), paren(roman(n))).otherwise("")
-    read = cat(paren(F.lower(a)), number, paren(b), paren(unpad(m)))
-    return F.when(tail == "", "").when(is_all(plain, OLD_TAIL), read).otherwise(cat(lit(" "), tail))
-
-
-def _fed_rest(tail: Column) -> Column:
-    plain = F.regexp_replace(tail, "[^A-Z0-9]", "")
-    a, b, c, d, e = (group(plain, rf"\A{FED_TAIL}\z", k) for k in range(1, 6))
-    read = cat(paren(F.lower(a)), paren(unpad(b)), paren(F.lower(c)), paren(d), paren(unpad(e)))
-    loose = cat(lit("("), F.lower(F.left(plain, lit(1))), lit(") "), F.trim(F.substring(F.trim(tail), 2, 1000)))
-    return F.when(plain == "", "").when(is_all(plain, FED_TAIL), read).when(matches(plain, "^[A-Z]"), loose).otherwise(cat(lit(" "), F.trim(tail)))
-
-
-def _or_tail(tail: Column) -> Column:
-    two = F.when(F.length(tail) > 1, paren(F.right(tail, lit(1)))).otherwise("")
-    return F.when(tail == "", "").when(is_all(tail, "[A-Z](?: +[A-Z])?"), cat(paren(F.lower(F.left(tail, lit(1)))), two)).otherwise(cat(lit(" "), tail))
-
-
-def _mi_tail(tail: Column) -> Column:
-    number = F.when(F.length(tail) > 1, paren(unpad(F.substring(tail, 2, 10)))).otherwise("")
-    return F.when(tail == "", "").when(is_all(tail, "[A-Z](?:[0-9]{1,2})?"), cat(paren(F.lower(F.left(tail, lit(1)))), number)).otherwise(cat(lit(" "), tail))
-
-
-def _ca_section(num: Column) -> Column:
-    low, high = F.right(num, lit(4)), F.left(num, lit(4))
-    short = cat(F.left(num, lit(3)), F.when(low == "0000", "").otherwise(cat(lit("."), unpad(low))))
-    keeping = cat(lit("14300."), unpad(F.substring(num, 5, 4)))
-    long = F.when(high.isin("1430", "4300"), keeping).when(low == "0000", high).otherwise(cat(high, lit("."), unpad(low)))
-    return F.when(F.length(num) == 7, short).when(F.length(num) < 8, num).otherwise(long)
-
-
-def _ca_tail(tail: Column) -> Column:
-    number, letters = group(tail, "^[A-Z]([0-9]{1,2})"), group(tail, r" ([A-Z]+)\z")
-    read = cat(paren(F.lower(F.left(tail, lit(1)))), paren(unpad(number)), paren(letters))
-    return F.when(tail == "", "").when(is_all(tail, "[A-Z](?:[0-9]{1,2})?(?: [A-Z]+)?"), read).otherwise(cat(lit(" "), tail))
-
-
-def _ca_old_key(num: Column) -> Column:
-    labor = (F.left(num, lit(4)) == "6401") & (F.length(num) == 8)
-    return cat(F.when(labor, "LC ").otherwise("T8 CCR "), _ca_section(num))
-
-
-FEDERAL = Grammar(r"^(.{4})(.{0,4})(.*)\z", lambda p, n, _: cat(p, lit("."), unpad(n)), lambda p, n, t: _fed_rest(t))
-GRAMMARS: dict[str, tuple[Grammar, ...]] = {
-    "federal_1926": (FEDERAL,),
-    "federal_1910": (FEDERAL,),
-    "federal_other": (FEDERAL,),
-    "state_WA": (
-        Grammar(r"^296-([0-9]+)-([0-9]+)([A-Z]?)(.*)\z", lambda c, s, x, r: cat(lit("WAC 296-"), c, lit("-"), s, F.lower(x)), lambda c, s, x, r: paragraphs(r, (2, 3))),
-        Grammar(
-            r"^([0-9]{3})([0-9]{5})([0-9]{0,4}) ?(.*)\z",
-            lambda c, s, p, t: cat(lit("WAC 296-"), unpad(c), lit("-"), F.when(s.startswith("00"), F.substring(s, 3, 3)).otherwise(s)),
-            lambda c, s, p, t: cat(_packed_pairs(p), _old_tail(t)),
-        ),
-    ),
-    "state_OR": (
-        Grammar(r"^OAR 437-([0-9]{3})-([0-9]{4})([A-Z]?)(.*)\z", lambda d, s, x, r: cat(lit("OAR 437-"), d, lit("-"), s, x), lambda d, s, x, r: paragraphs(r, (2, 4))),
-        Grammar(r"^(40 CFR [0-9]+\.[0-9]+)(.*)\z", lambda k, r: k, lambda k, r: paragraphs(r, (1, 3))),
-        Grammar(r"^70([0-7])([0-9]{4})([0-9]{0,2})((?: |[A-Z]).*|)\z", lambda d, s, p, t: cat(lit("OAR 437-00"), d, lit("-"), s), lambda d, s, p, t: cat(paren(unpad(p)), _or_tail(F.regexp_replace(t, "^ ", "")))),
-        Grammar(r"^(...)(.*)\z", lambda a, r: cat(lit("OR-OLD "), a), lambda a, r: r, lambda a, r: cat(lit("OR "), a)),
-    ),
-    "state_MI": (
-        Grammar(r"^(408|325)\.([0-9]{5})([A-Z]?)(.*)\z", lambda p, r, x, t: cat(lit("R "), p, lit("."), r, F.lower(x)), lambda p, r, x, t: paragraphs(t, (2, 3))),
-        Grammar(r"^(408|338)\.([0-9]{4})(.*)\z", lambda p, n, t: cat(lit("MCL "), p, lit("."), n), lambda p, n, t: paragraphs(t, (1, 3))),
-        Grammar(r"^RULE ?\(?([0-9]+)\)?(.*)\z", lambda n, t: cat(lit("MI RULE "), n), lambda n, t: paragraphs(t, (2, 3)), lambda n, t: cat(lit("MI Rule "), n)),
-        Grammar(
-            r"^(408|325|309)([0-9]{5})([0-9]{0,4})([A-Z]?)([0-9]?) ?(.*)\z",
-            lambda p, r, pp, a, d, t: F.when(r.startswith("0"), cat(lit("MCL "), p, lit("."), F.substring(r, 2, 4))).otherwise(cat(lit("R "), p, lit("."), r)),
-            lambda p, r, pp, a, d, t: cat(_packed_pairs(pp), paren(F.lower(a)), paren(d), _mi_tail(t)),
-        ),
-    ),
-    "state_CA": (
-        Grammar(r"^([0-9]{3,5}(?:\.[0-9]+)?)([A-Z]?)(|\(.*)\z", lambda s, x, r: cat(lit("T8 CCR "), s, F.lower(x)), lambda s, x, r: paragraphs(r, (1, 4))),
-        Grammar(r"^([0-9]{3,8})(?: (.*))?\z", lambda n, t: _ca_old_key(n), lambda n, t: _ca_tail(t)),
-    ),
-}
+    key: str
+    cite: str | None = None
+    packed: str = ""
+    lower: tuple[int, ...] | None = None
+    tail: Tail | None = None
+
+
+# By which form and state a family is known; the first that fits counts. No states: any site or none.
+FAMILIES: tuple[tuple[str, tuple[str, ...] | None, str], ...] = (
+    ("general_duty", None, r"^GENERAL DUTY|^5A000[0-9]"),
+    ("unknown", None, r"\A[^0-9]*\z|�"),
+    ("federal_1926", None, r"^1926[0-9]{4}([^0-9]|\z)"),
+    ("federal_1910", None, r"^1910[0-9]{4}([^0-9]|\z)"),
+    ("federal_other", None, r"^19(03|04|08|15|16|17|18|28|60)[0-9]{4}([^0-9]|\z)"),
+    ("state_WA", None, r"^296-[0-9]+-[0-9]"),
+    ("state_OR", None, r"^OAR 437-[0-9]{3}-[0-9]{4}"),
+    ("state_MI", ("MI", ""), r"^(408|325)\.[0-9]{5}|^408\.[0-9]{4}([^0-9]|\z)"),
+    ("state_OR", ("OR",), r"^40 CFR [0-9]+\.[0-9]+|^7[0-9]{6}"),
+    ("state_WA", ("WA",), r"^[0-9]{8}"),
+    ("state_MI", ("MI",), r"^(408|325|309)[0-9]{5}|^338\.[0-9]{4}|^RULE ?\(?[0-9]"),
+    ("state_CA", ("CA",), r"\A[0-9]{3,5}(?:\.[0-9]+)?[A-Z]?(\(.*)?\z|\A[0-9]{3,8}( .*)?\z"),
+    ("state_MI", ("",), r"^(408|325)[0-9]{5}"),
+    ("state_WA", ("",), r"^155[0-9]{5}"),
+    ("state_CA", ("",), r"\A[0-9]{4}(?:\.[0-9]+)?(\(.*)?\z"),
+)
+
+_FEDERAL = Tail(r"([A-Z]?)([0-9]{0,3})(X{0,3}(?:IX|IV|V?I{0,3}))([A-Z]?)([0-9]{0,2})", "a1a=1", dense=True, first_letter=True)
+_WASHINGTON = Tail(r"([A-Z]?)([0-9]{0,2})([A-Z]?)([0-9]{0,2})", "ai=1", dense=True)
+_OREGON = Tail(r"([A-Z])(?: +([A-Z]))?", "a=")
+_MICHIGAN = Tail(r"([A-Z])([0-9]{1,2})?", "a1")
+_CALIFORNIA = Tail(r"([A-Z])([0-9]{1,2})?(?: ([A-Z]+))?", "a1=")
+_PAIRS = "((?:[0-9]{2})?)(?:([0-9]{2})|[0-9]?)"
+_CFR = r"\A(.{4})(.{0,4})(.*)\z"
+
+# The ways of writing of each family; the first that fits counts.
+FORMS: tuple[Form, ...] = (
+    Form("general_duty", r"\A5A000([0-9])(.*)\z", "5(a)({1:=})"),
+    Form("general_duty", r"\A(.*)\z", "5(a)(1)"),
+    Form("federal_1926", _CFR, "{1:=}.{2:1}", tail=_FEDERAL),
+    Form("federal_1910", _CFR, "{1:=}.{2:1}", tail=_FEDERAL),
+    Form("federal_other", _CFR, "{1:=}.{2:1}", tail=_FEDERAL),
+    Form("state_WA", r"\A296-([0-9]+)-([0-9]+)([A-Z]?)(.*)\z", "WAC 296-{1:=}-{2:=}{3:a}", lower=(2, 3)),
+    Form("state_WA", rf"\A([0-9]{{3}})00([0-9]{{3}})(?:{_PAIRS})(?![0-9]) ?(.*)\z", "WAC 296-{1:1}-{2:=}", packed="..11", tail=_WASHINGTON),
+    Form("state_WA", r"\A([0-9]{3})00([0-9]{3})([0-9]{2})([0-9]{2})(.*)\z", "WAC 296-{1:1}-{2:=}", packed="..11", tail=_WASHINGTON),
+    Form("state_WA", rf"\A([0-9]{{3}})([0-9]{{5}})(?:{_PAIRS})(?![0-9]) ?(.*)\z", "WAC 296-{1:1}-{2:=}", packed="..11", tail=_WASHINGTON),
+    Form("state_WA", r"\A([0-9]{3})([0-9]{5})([0-9]{2})([0-9]{2})(.*)\z", "WAC 296-{1:1}-{2:=}", packed="..11", tail=_WASHINGTON),
+    Form("state_OR", r"\AOAR 437-([0-9]{3})-([0-9]{4})([A-Z]?)(.*)\z", "OAR 437-{1:=}-{2:=}{3:=}", lower=(2, 4)),
+    Form("state_OR", r"\A(40 CFR [0-9]+\.[0-9]+)(.*)\z", "{1:=}", lower=(1, 3)),
+    Form("state_OR", r"\A70([0-7])([0-9]{4})([0-9]{0,2}) ?((?<= ).*|[A-Z].*|)\z", "OAR 437-00{1:=}-{2:=}", packed="..1", tail=_OREGON),
+    Form("state_OR", r"\A(...)(.*)\z", "OR-OLD {1:=}", cite="OR {1:=}{2:=}"),
+    Form("state_MI", r"\A(408|325)\.([0-9]{5})([A-Z]?)(.*)\z", "R {1:=}.{2:=}{3:a}", lower=(2, 3)),
+    Form("state_MI", r"\A(408|338)\.([0-9]{4})(.*)\z", "MCL {1:=}.{2:=}", lower=(1, 3)),
+    Form("state_MI", r"\ARULE ?\(?([0-9]+)\)?(.*)\z", "MI RULE {1:=}", cite="MI Rule {1:=}", lower=(2, 3)),
+    Form("state_MI", rf"\A(408|325|309)0([0-9]{{4}})(?:{_PAIRS})(?![0-9])([A-Z]?)([0-9]?) ?(.*)\z", "MCL {1:=}.{2:=}", packed="..11a=", tail=_MICHIGAN),
+    Form("state_MI", r"\A(408|325|309)0([0-9]{4})([0-9]{2})([0-9]{2})([A-Z]?)([0-9]?) ?(.*)\z", "MCL {1:=}.{2:=}", packed="..11a=", tail=_MICHIGAN),
+    Form("state_MI", rf"\A(408|325|309)([0-9]{{5}})(?:{_PAIRS})(?![0-9])([A-Z]?)([0-9]?) ?(.*)\z", "R {1:=}.{2:=}", packed="..11a=", tail=_MICHIGAN),
+    Form("state_MI", r"\A(408|325|309)([0-9]{5})([0-9]{2})([0-9]{2})([A-Z]?)([0-9]?) ?(.*)\z", "R {1:=}.{2:=}", packed="..11a=", tail=_MICHIGAN),
+    Form("state_CA", r"\A([0-9]{3,5}(?:\.[0-9]+)?)([A-Z]?)(|\(.*)\z", "T8 CCR {1:=}{2:a}", lower=(1, 4)),
+    Form("state_CA", r"\A6401([0-9]{4})(?: (.*))?\z", "LC 6401{1:.}", tail=_CALIFORNIA),
+    Form("state_CA", r"\A(?:1430|4300)([0-9]{4})(?: (.*))?\z", "T8 CCR 14300.{1:1}", tail=_CALIFORNIA),
+    Form("state_CA", r"\A([0-9]{3,4})([0-9]{4})(?: (.*))?\z", "T8 CCR {1:=}{2:.}", tail=_CALIFORNIA),
+    Form("state_CA", r"\A([0-9]{3,6})(?: (.*))?\z", "T8 CCR {1:=}", tail=_CALIFORNIA),
+)
+# What a code of another state is known by, up to its paragraphs.
+OTHER_BASE = r"\A([0-9]+) (?:[A-Z]{1,2}[0-9]{0,3}|[0-9]{1,3})(?: |\z)"
+
+
+def normal(raw: Column | str) -> Column:
+    return squeeze(F.upper(text(raw)))
+
+
+def _join(parts: list[Column]) -> Column:
+    return cat(*parts) if parts else lit("")
 
 
-def family(s: Column, st: Column) -> Column:
-    """Family of a normalised code, by its form and, where forms clash, the site's state."""
-    has = lambda p: matches(s, p)
-    mi_or_any = st.isin("MI", "")
-    return (
-        F.when(s.startswith("GENERAL DUTY") | has("^5A000[0-9]"), "general_duty")
-        .when((s == "") | ~has("[0-9]") | F.contains(s, lit("�")), "unknown")
-        .when(has(r"^1926[0-9]{4}(?:[^0-9]|\z)"), "federal_1926")
-        .when(has(r"^1910[0-9]{4}(?:[^0-9]|\z)"), "federal_1910")
-        .when(has(rf"^19(?:{FEDERAL_OTHER_PARTS})[0-9]{{4}}(?:[^0-9]|\z)"), "federal_other")
-        .when(has("^296-[0-9]+-[0-9]"), "state_WA")
-        .when(has("^OAR 437-[0-9]{3}-[0-9]{4}"), "state_OR")
-        .when(has(r"^(?:408|325)\.[0-9]{5}") & mi_or_any, "state_MI")
-        .when(has(r"^408\.[0-9]{4}(?:[^0-9]|\z)") & mi_or_any, "state_MI")
-        .when((st == "OR") & has(r"^40 CFR [0-9]+\.[0-9]+|^7[0-9]{6}"), "state_OR")
-        .when((st == "WA") & has("^[0-9]{8}"), "state_WA")
-        .when((st == "MI") & has(r"^(?:408|325|309)[0-9]{5}|^338\.[0-9]{4}|^RULE ?\(?[0-9]"), "state_MI")
-        .when((st == "CA") & is_all(s, rf"{CA_CURRENT}|[0-9]{{3,8}}(?: .*)?"), "state_CA")
-        .when(st != "", "state_other")
-        .when(has("^(?:408|325)[0-9]{5}"), "state_MI")
-        .when(has("^155[0-9]{5}"), "state_WA")
-        .when(is_all(s, r"[0-9]{4}(?:\.[0-9]+)?(?:\(.*)?"), "state_CA")
-        .otherwise("state_other")
-    )
-
-
-def _base(s: Column) -> Column:
-    at = F.instr(s, "(")
-    packed = group(s, r"^([0-9]+) (?:[A-Z]{1,2}[0-9]{0,3}|[0-9]{1,3})(?: |\z)")
-    return F.trim(F.when(at > 1, F.left(s, at - 1)).when(packed != "", packed).otherwise(s))
+def _shown(groups: list[Column], styles: str) -> Column:
+    """Groups in parentheses; empty ones and those whose style is missing are left out."""
+    shown = [STYLES[s](g) for g, s in zip(groups, styles, strict=False) if s != "."]
+    return _join([F.when(x != "", cat(lit("("), x, lit(")"))).otherwise("") for x in shown])
+
+
+def _filled(template: str, groups: list[Column]) -> Column:
+    parts = re.split(r"\{([0-9]):(.)\}", template)
+    texts = [lit(t) for t in parts[::3]]
+    named = [STYLES[s](groups[int(k) - 1]) for k, s in zip(parts[1::3], parts[2::3], strict=True)]
+    return _join([x for pair in zip(texts, [*named, lit("")], strict=True) for x in pair])
+
+
+def chain(rest: Column, lower: tuple[int, ...]) -> Column:
+    """Parenthesised parts, numbers unpadded and letters of some depths in lower case; what follows the last one stays."""
+    pieces = F.split(rest, r"\(")
+    parts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, lit(0))), lambda p: F.trim(F.substring_index(p, ")", 1)))
+    styled = F.transform(parts, lambda p, k: F.when((k + 1).isin(*lower), F.lower(p)).otherwise(p))
+    last = F.element_at(pieces, -1)
+    after = F.when(F.contains(last, lit(")")), F.substring_index(last, ")", -1)).otherwise("")
+    whole = cat(lit("("), F.array_join(F.transform(styled, unpad), ")("), lit(")"), after)
+    return F.when(F.size(pieces) > 1, whole).otherwise(F.trim(rest))
+
+
+def _tail(rest: Column, tail: Tail) -> Column:
+    def read(x: Column) -> Column:
+        raw, core = x["raw"], x["core"]
+        pattern = rf"\A{tail.pattern}\z"
+        groups = [group(core, pattern, k + 1) for k in range(re.compile(tail.pattern).groups)]
+        own = F.trim(raw) if tail.first_letter else raw
+        out = F.when(core == "", "") if tail.dense else F.when(raw == "", "")
+        out = out.when(is_all(core, tail.pattern), _shown(groups, tail.styles))
+        if tail.first_letter:
+            out = out.when(matches(core, "^[A-Z]"), cat(lit("("), F.lower(F.left(core, lit(1))), lit(") "), F.trim(F.substring(own, 2, 1 << 20))))
+        return out.otherwise(cat(lit(" "), own))
+
+    core = F.regexp_replace(rest, "[^A-Z0-9]", "") if tail.dense else rest
+    return let(F.struct(rest.alias("raw"), core.alias("core")), read)
+
+
+def _read(s: Column, form: Form) -> Column:
+    """``struct(section_key, standard_cite)`` of a code in this form."""
+    groups = [group(s, "(?s)" + form.pattern, k + 1) for k in range(re.compile(form.pattern.replace(r"\z", r"\Z")).groups)]
+    key = _filled(form.key, groups)
+    rest = lit("")
+    if form.lower is not None:
+        rest = chain(groups[-1], form.lower)
+    elif form.tail:
+        rest = cat(_shown(groups[:-1], form.packed), _tail(groups[-1], form.tail))
+    return F.struct(key.alias("section_key"), cat(_filled(form.cite, groups) if form.cite else key, rest).alias("standard_cite"))
+
+
+def family(s: Column, state: Column) -> Column:
+    """Family of a normalised code; codes that no family knows belong to the site's state."""
+    known = lambda states, pattern: matches(s, "(?s)" + pattern) & (lit(True) if states is None else state.isin(*states))
+    return reduce(lambda found, row: F.when(known(*row[1:]), row[0]).otherwise(found), reversed(FAMILIES), lit("state_other"))
+
+
+def _other(s: Column, state: Column) -> Column:
+    label = F.when(state != "", cat(state, lit(" "))).otherwise("")
+    before = F.substring_index(s, "(", 1)
+    base = F.when((before != "") & (before != s), before).otherwise(F.coalesce(null_if_empty(group(s, OTHER_BASE)), s))
+    return F.struct(cat(label, F.trim(base)).alias("section_key"), cat(label, s).alias("standard_cite"))
 
 
 def parse(raw: Column | str, state: Column | str | None = None) -> Column:
     """``struct(std_family, section_key, standard_cite)`` of a raw code and the state of its site."""
     own = F.struct(normal(raw).alias("s"), (F.upper(F.trim(text(state))) if state is not None else lit("")).alias("st"))
-    known = let(own, lambda x: F.struct(x["s"].alias("s"), x["st"].alias("st"), family(x["s"], x["st"]).alias("fam")))
-    return let(known, lambda x: _read(x["s"], x["st"], x["fam"]))
-
-
-def _read(s: Column, st: Column, fam: Column) -> Column:
-    duty = F.when(matches(s, "^5A000[0-9]"), cat(lit("5(a)("), F.substring(s, 6, 1), lit(")"))).otherwise("5(a)(1)")
-    label = F.when(st != "", cat(st, lit(" "))).otherwise("")
-    key, cite = F.when(fam == "general_duty", duty), F.when(fam == "general_duty", duty).when(fam == "unknown", null_if_empty(s))
-    for name, grammars in GRAMMARS.items():
-        for g in grammars:
-            k, c = g.read(s)
-            key, cite = key.when((fam == name) & g.fits(s), k), cite.when((fam == name) & g.fits(s), c)
-    key, cite = key.when(fam == "state_other", cat(label, _base(s))), cite.when(fam == "state_other", cat(label, s))
-    return F.struct(fam.alias("std_family"), key.alias("section_key"), cite.alias("standard_cite"))
+    known = let(own, lambda x: F.struct(x["s"].alias("s"), x["st"].alias("st"), family(x["s"], x["st"]).alias("family")))
+
+    def read(x: Column) -> Column:
+        s, own_family = x["s"], x["family"]
+        unknown = F.struct(lit(None).cast("string").alias("section_key"), null_if_empty(s).alias("standard_cite"))
+        out = F.when(own_family == "state_other", _other(s, x["st"]))
+        for form in FORMS:
+            out = out.when((own_family == form.family) & matches(s, "(?s)" + form.pattern), _read(s, form))
+        return let(F.struct(own_family.alias("f"), out.otherwise(unknown).alias("r")), lambda y: F.struct(y["f"].alias("std_family"), y["r"]["section_key"].alias("section_key"), y["r"]["standard_cite"].alias("standard_cite")))
+
+    return let(known, read)

@@ -1,45 +1,59 @@
-"""String similarities that Spark lacks, as Arrow functions over distinct pairs."""
+"""String similarities that Spark lacks, as Arrow functions over arrays of distinct pairs, and bounds that cut pairs before.
+
+Jaro-Winkler runs over NumPy matrices of code points, a whole batch at a time. :func:`may_reach` is an upper
+bound of it in Catalyst: filter by it first, so that few pairs leave the JVM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
-
-
-def jaro(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used, hits = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                hits.append(c)
-                break
-    if not hits:
-        return 0.0
-    other = [c for c, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(hits, other, strict=True)) // 2
-    m = len(hits)
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+from pyspark.sql import Column, functions as F
+
+NEAR_WORD, NEAR_NAME = 0.90, 0.94
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in rows padded with -1, and the lengths."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.full((len(words), max(1, int(size.max(initial=0)))), -1, np.int32)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out, size
+
+
+def winkler_batch(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler of each pair; a common prefix of up to four counts only beyond a similarity of 0.7."""
+    if not a:
+        return np.zeros(0)
+    x, n = _codes(a)
+    y, m = _codes(b)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    place = np.arange(y.shape[1])
+    used, hit = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+    rows = np.arange(len(a))
+    for i in range(x.shape[1]):
+        fits = (y == x[:, i, None]) & ~used & (np.abs(place - i) <= reach[:, None]) & (x[:, i, None] >= 0)
+        first = fits.argmax(axis=1)
+        found = fits[rows, first]
+        hit[:, i] = found
+        used[rows[found], first[found]] = True
+    common = hit.sum(axis=1)
+    in_order = lambda codes, mask: np.take_along_axis(codes, np.argsort(~mask, axis=1, kind="stable"), axis=1)
+    width = min(x.shape[1], y.shape[1])
+    matched = np.arange(width) < common[:, None]
+    swaps = ((in_order(x, hit)[:, :width] != in_order(y, used)[:, :width]) & matched).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plain = np.where(common > 0, (common / n + common / m + (common - swaps) / common) / 3, 0.0)
+    head = min(4, width)
+    prefix = np.cumprod((x[:, :head] == y[:, :head]) & (x[:, :head] >= 0), axis=1).sum(axis=1)
+    return np.where(plain > 0.7, plain + 0.1 * prefix * (1 - plain), plain)
 
 
 def winkler(a: str, b: str) -> float:
-    """Jaro-Winkler; a common prefix of up to four counts only beyond a similarity of 0.7."""
-    plain = jaro(a, b)
-    if plain <= 0.7:
-        return plain
-    prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return plain + 0.1 * prefix * (1 - plain)
+    return float(winkler_batch([a], [b])[0])
 
 
 def damerau(a: str, b: str) -> int:
@@ -64,41 +78,75 @@ def damerau(a: str, b: str) -> int:
 
 
 def one_slip(a: str, b: str) -> bool:
-    """One letter put in, left out, or swapped with the next, after the third, in words of seven or more."""
-    if a == b or min(len(a), len(b)) < 7 or a[:3] != b[:3] or any(c.isdigit() for c in a + b):
+    """One letter put in, left out, or swapped with the next, after the third, in names of seven letters or more."""
+    if a == b or min(len(a.replace(" ", "")), len(b.replace(" ", ""))) < 7 or any(c.isdigit() for c in a + b):
         return False
     short, long = sorted((a, b), key=len)
+    at = next((i for i, (x, y) in enumerate(zip(short, long, strict=False)) if x != y), len(short))
+    if at < 3:
+        return False
     if len(long) == len(short) + 1:
-        return any(long[:i] + long[i + 1 :] == short for i in range(3, len(long)))
-    if len(long) == len(short):
-        return any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(3, len(a) - 1))
-    return False
+        return long[at] != " " and long[:at] + long[at + 1 :] == short
+    return len(long) == len(short) and " " not in a[at : at + 2] and a[:at] + a[at : at + 2][::-1] + a[at + 2 :] == b
 
 
-def _pairs(f: Callable, kind: str):
+def _pairs(batch: Callable[[list[str], list[str]], list], kind: str):
+    """An Arrow function that works on the distinct pairs of a batch; a null on either side gives null."""
+
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen: dict = {}
-        out = []
-        for pair in zip(a, b, strict=True):
-            if pair[0] is None or pair[1] is None:
-                out.append(None)
-                continue
-            if pair not in seen:
-                seen[pair] = f(*pair)
-            out.append(seen[pair])
-        return pd.Series(out, dtype=object)
+        pairs = pd.DataFrame({"a": a.to_numpy(), "b": b.to_numpy()})
+        known = pairs.dropna().drop_duplicates()
+        known["v"] = list(batch(known["a"].tolist(), known["b"].tolist()))
+        return pairs.merge(known, "left", ["a", "b"])["v"].astype(object).where(lambda v: v.notna(), None)
 
     return run
 
 
+def _each(f: Callable) -> Callable:
+    return lambda a, b: [f(x, y) for x, y in zip(a, b, strict=True)]
+
+
 def jaro_winkler(a, b):
-    return _pairs(winkler, "double")(a, b)
+    return _pairs(winkler_batch, "double")(a, b)
 
 
 def damerau_levenshtein(a, b):
-    return _pairs(damerau, "int")(a, b)
+    return _pairs(_each(damerau), "int")(a, b)
 
 
 def is_one_slip(a, b):
-    return _pairs(one_slip, "boolean")(a, b)
+    return _pairs(_each(one_slip), "boolean")(a, b)
+
+
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """False only if the Jaro-Winkler similarity of two strings is below ``least``: a bound by their letters and lengths.
+
+    Letters of one that the other lacks can't match; the rest, in order and with a common prefix of four, is the best case.
+    """
+    only = lambda x, y: F.length(F.call_function("translate", x, y, F.lit("")))
+    common = F.least(F.length(a) - only(a, b), F.length(b) - only(b, a))
+    plain = (common / F.greatest(F.length(a), F.lit(1)) + common / F.greatest(F.length(b), F.lit(1)) + 1) / 3
+    same = lambda k: F.substring(a, 1, k) == F.substring(b, 1, k)
+    prefix = F.when(same(4), 4).when(same(3), 3).when(same(2), 2).when(same(1), 1).otherwise(0)
+    return plain + F.lit(0.1) * prefix * (1 - plain) >= least - 1e-9
+
+
+def near_words(a: list[str], b: list[str]) -> np.ndarray:
+    """Pairs of words a slip apart: alike, and about as long."""
+    size = np.abs(np.fromiter(map(len, a), int, len(a)) - np.fromiter(map(len, b), int, len(b)))
+    return (winkler_batch(a, b) >= NEAR_WORD) & (size <= 1)
+
+
+def typo_equal(a: str, b: str) -> bool:
+    """Names equal but for slips: word by word, or as a whole."""
+    if not a or not b or a == b:
+        return bool(a) and a == b
+    x, y = a.split(), b.split()
+    if len(x) == len(y) and bool(near_words(x, y).all()):
+        return True
+    return abs(len(a) - len(b)) <= 1 and winkler(a, b) >= NEAR_NAME
+
+
+def is_typo_equal(a, b):
+    return _pairs(_each(typo_equal), "boolean")(a, b)

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def auc(scored: DataFrame, score: str = "score", label: str = "label", ranges: int = 64) -> DataFrame:
     """``auc``: the chance that a positive row scores above a negative one, ties half.
 
-    Rows are counted by score first, so the window runs over distinct scores only.
+    Rows are counted by score first. The counted scores are cut into ``ranges`` ranges; the window runs within a range,
+    and what lies below a whole range comes from the small table of range totals.
     """
-    by_score = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("neg", F.col("n") - F.col("pos")).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    by_score = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
+    by_score = by_score.select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+    cuts = by_score.agg(F.percentile_approx("score", [k / ranges for k in range(1, ranges)], 10_000).alias("cuts"))
+    placed = by_score.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")  # one row
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("range").agg(F.sum("neg").alias("total")).select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("neg_before"))  # at most ``ranges`` rows
+    below = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.join(totals, "range").withColumn("neg_below", F.col("neg_before") + F.coalesce(F.sum("neg").over(below), F.lit(0)))
     won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     return ranked.agg(F.round(won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)), 6).alias("auc"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siltworks.session import table
 from siltworks.streaming import marts as streaming
 
-from . import entities, facts, marts, text  # noqa: F401  they register their queries
+from . import builds, entities, facts, marts, text, verdicts  # noqa: F401  they register their queries
 
 
 @marts.query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS value FROM events GROUP BY 1, 2")
@@ -20,8 +20,8 @@ def event_day_mart(spark: SparkSession, d: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scorecard with every entity's reasons."""
-    judged = entities.verdict_reasons(spark, sf_dir)
-    return entities.scorecard_sorted(spark, sf_dir).join(judged.select("entity", "codes"), "entity").select("entity", "name", "verdict", "red_flags_recent", F.col("codes").alias("reasons"))
+    judged = verdicts.verdict_reasons(spark, sf_dir)
+    return verdicts.scorecard_sorted(spark, sf_dir).join(judged.select("entity", "reasons"), "entity")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

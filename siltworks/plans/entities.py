@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.functions.names import name_core
 from siltworks.functions.similarity import damerau_levenshtein, jaro_winkler
-from siltworks.operators import evaluate as E, rows as R, verdict as V
+from siltworks.operators import evaluate as E, rows as R
 from siltworks.resolve import candidates as C, index as I, remap as M, rules as D
 from siltworks.session import table
 
@@ -14,8 +14,8 @@ from .marts import query
 from .text import _CORE as _CORE_SQL, _rows
 
 ENTITY = """SELECT md5(CAST(c_custkey AS STRING)) AS entity_key, c_custkey, upper(p_name) || CASE c_custkey % 5 WHEN 0 THEN ' ROOFING' WHEN 1 THEN ' ' || upper(p_type) WHEN 2 THEN ' GROUP' WHEN 3 THEN ' ' || substr(upper(p_name), 2, 4) || 'ING' ELSE '' END AS clean_name,
- CAST(c_nationkey % 7 AS STRING) AS state, CAST(c_nationkey AS STRING) AS city, CAST(10000 + c_custkey % 7 AS STRING) AS zip5, CAST(c_custkey % 5 AS STRING) || ' MAIN' AS addr_key, c_custkey % 40 AS n
- FROM customer JOIN part ON p_partkey = c_custkey % 150 + 1"""
+ CAST(c_nationkey % 7 AS STRING) AS state, CAST(c_nationkey AS STRING) AS city, CAST(10000 + CAST(floor(c_custkey / 40) AS BIGINT) AS STRING) AS zip5, CAST(c_custkey % 5 AS STRING) || ' MAIN' AS addr_key, c_custkey % 40 AS n
+ FROM customer JOIN part ON p_partkey = c_custkey - c_custkey % 3 + 1"""
 _ENTITY_SQL = "entity_ AS (" + ENTITY.replace("STRING", "VARCHAR") + f"), entity AS (SELECT *, {_CORE_SQL.replace('clean', 'clean_name')} AS name_core FROM entity_)"
 
 
@@ -59,7 +59,7 @@ def fuzzy_ref_link(spark: SparkSession, d: str) -> DataFrame:
     return C.exact_links(left, right)
 
 
-_SEARCH = f"""WITH {_ENTITY_SQL}, q AS (SELECT s_suppkey AS query_id, upper(p_name) || CASE s_suppkey % 3 WHEN 0 THEN ' ROOFING' WHEN 1 THEN '' ELSE ' BUILDERS' END AS q_name, CAST(s_nationkey % 7 AS VARCHAR) AS q_state FROM supplier JOIN part ON p_partkey = s_suppkey % 150 + 1),
+_SEARCH = f"""WITH {_ENTITY_SQL}, q AS (SELECT s_suppkey AS query_id, upper(p_name) || CASE s_suppkey % 3 WHEN 0 THEN ' ROOFING' WHEN 1 THEN '' ELSE ' BUILDERS' END AS q_name, CAST(s_nationkey % 7 AS VARCHAR) AS q_state FROM supplier JOIN part ON p_partkey = s_suppkey * 3 + 1),
 q2 AS (SELECT *, {_CORE_SQL.replace('clean', 'q_name')} AS q_core FROM q),
 w AS (SELECT DISTINCT query_id, unnest(string_split(q_name, ' ')) AS wanted FROM q), ix AS (SELECT DISTINCT entity_key, unnest(string_split(clean_name, ' ')) AS token FROM entity), fr AS (SELECT token, count(*) AS df FROM ix GROUP BY 1),
 cl AS (SELECT DISTINCT wanted, token FROM (SELECT DISTINCT wanted FROM w) JOIN fr ON left(wanted, 1) = left(token, 1) AND abs(length(wanted) - length(token)) <= 3 WHERE wanted = token OR jaro_winkler_similarity(wanted, token) >= 0.92),
@@ -73,7 +73,7 @@ SELECT query_id, entity_key, round(sim, 6) AS similarity, ['name', 'core', 'toke
 @query(_SEARCH)
 def candidate_search_topk(spark: SparkSession, d: str) -> DataFrame:
     e = entities(spark, d)
-    q = table(spark, d, "supplier").join(table(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey") % 150 + 1)
+    q = table(spark, d, "supplier").join(table(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey") * 3 + 1)
     name = F.concat(F.upper("p_name"), F.expr("CASE s_suppkey % 3 WHEN 0 THEN ' ROOFING' WHEN 1 THEN '' ELSE ' BUILDERS' END"))
     q = q.select(F.col("s_suppkey").alias("query_id"), name.alias("clean_name"), (F.col("s_nationkey") % 7).cast("string").alias("state")).withColumn("name_core", name_core(F.col("clean_name")))
     ix = I.token_index(e)
@@ -95,15 +95,15 @@ PAIRS = [
     ("ACME WELDERS", "TX", "DALLAS", "ACME WELDRES", "OK", "TULSA", "distinctive", True, False, "matched", "M2"),
     ("ACME", "TX", "DALLAS", "ACME ZULU", "TX", "DALLAS", "distinctive", True, False, "uncertain", "S3"),
     ("ACME", "TX", "DALLAS", "ACME BRANCH 2", "TX", "DALLAS", "distinctive", False, False, "uncertain", "S2"),
-    ("ACME", "TX", "DALLAS", "ACME ZULU", "TX", "DALLAS", "distinctive", False, False, "uncertain", "S4"),
+    ("ACME", "TX", "DALLAS", "ACME TEXAS", "TX", "DALLAS", "distinctive", False, False, "uncertain", "S4"),
+    ("ACME", "TX", "DALLAS", "ACME ZULU", "TX", "DALLAS", "distinctive", False, False, "excluded", "X1"),
 ]
 
 
 def _pairs(spark: SparkSession) -> DataFrame:
     df = spark.createDataFrame([(i, *r[:9]) for i, r in enumerate(PAIRS)], "pair long, q_name string, q_state string, q_city string, c_name string, c_state string, c_city string, q_tier string, c_at_address boolean, c_other_kind boolean")
     core = {"q_core": name_core(F.col("q_name")), "c_core": name_core(F.col("c_name"))}
-    none = {c: F.lit(None).cast("string") for c in ("q_suffix", "c_suffix", "q_industry", "c_industry")}
-    return df.withColumns(core | none | {c: F.lit(False) for c in ("q_jv", "c_jv", "q_initials")})
+    return df.withColumns(core)
 
 
 @query(f"SELECT CAST(i AS BIGINT) AS pair, bucket, rule_id FROM (VALUES {_rows([(str(i), *r[9:]) for i, r in enumerate(PAIRS)])}) v(i, bucket, rule_id)")
@@ -116,7 +116,7 @@ def address_expansion(spark: SparkSession, d: str) -> DataFrame:
     """A match brings its address, a near name there matches, and so does one at that one's address."""
     rows = [(1, "a", "ACME WELDERS", "1 MAIN"), (1, "b", "ACME WELDRES", "1 MAIN"), (1, "c", "ACME WELDERSS", "1 MAIN"), (1, "d", "ZENITH", "9 OAK")]
     df = spark.createDataFrame(rows, "query_id int, candidate string, c_name string, c_address string")
-    one = _pairs(spark).where("pair = 0").drop("pair", "c_name", "c_core", "q_name", "q_core", "c_state", "c_city")
+    one = _pairs(spark).where("pair = 0").drop("pair", "c_name", "c_core", "q_name", "q_core", "c_state", "c_city", "c_at_address")
     df = df.crossJoin(F.broadcast(one))  # one row
     df = df.withColumns({"q_name": F.lit("ACME WELDERS"), "q_core": F.lit("ACME WELDERS"), "c_core": F.col("c_name"), "c_state": F.when(F.col("candidate") == "a", "TX").otherwise("OK"), "c_city": F.lit("X")})
     return D.expand_addresses(df).select("query_id", "candidate", "bucket", "rule_id")
@@ -155,46 +155,6 @@ def stale_by_members(spark: SparkSession, d: str) -> DataFrame:
     return dec.select("decision_id").join(moved, "decision_id", "left").select("decision_id", F.coalesce("stale", F.lit(False)).alias("stale"))
 
 
-_FACTS = """f AS (SELECT c_custkey AS entity, c_name AS name,
- count(*) FILTER (o_orderpriority LIKE '1%' AND o_totalprice > 250000 AND o_orderdate >= TIMESTAMP '1999-01-01') AS red_flags_recent, count(*) FILTER (o_orderpriority LIKE '1%' AND o_totalprice > 250000 AND o_orderdate < TIMESTAMP '1999-01-01') AS red_flags_old,
- count(*) FILTER (o_orderpriority LIKE '2%' AND o_orderdate >= TIMESTAMP '2000-06-01') AS repeat_window, count(*) FILTER (o_orderpriority LIKE '2%' AND o_orderdate < TIMESTAMP '2000-06-01') AS repeat_before,
- count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 200000) AS open_cases, count(o_orderkey) AS inspections_all, count(*) FILTER (o_orderdate >= TIMESTAMP '2000-01-01') AS inspections_window
- FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
-r AS (SELECT *, list_filter([CASE WHEN red_flags_recent > 0 THEN 'H_red_flag' END, CASE WHEN repeat_window >= 2 THEN 'H_repeat' END, CASE WHEN red_flags_old > 0 THEN 'R_old_red_flag' END, CASE WHEN repeat_window = 1 THEN 'R_repeat' END,
- CASE WHEN repeat_window = 0 AND repeat_before >= 2 THEN 'R_old_repeat_pattern' END, CASE WHEN open_cases > 0 THEN 'R_open' END, CASE WHEN repeat_window = 0 AND repeat_before = 1 THEN 'I_old_repeat' END, CASE WHEN inspections_all = 0 THEN 'I_no_inspection' END], lambda x: x IS NOT NULL) AS codes FROM f),
-v AS (SELECT *, CASE WHEN len(list_filter(codes, lambda x: x LIKE 'H%')) > 0 THEN 'high' WHEN len(list_filter(codes, lambda x: x LIKE 'R%')) > 0 THEN 'review' WHEN inspections_all = 0 THEN 'no_record' WHEN inspections_window = 0 THEN 'no_recent' ELSE 'no_flags' END AS verdict FROM r)"""
-
-
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of all entities at once: one grouping of records, one left join."""
-    ts = lambda x: F.lit(x).cast("timestamp")
-    p, day, price = F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice")
-    n = lambda c: F.count(F.when(c, 1))
-    red = p.startswith("1") & (price > 250000)
-    by = table(spark, d, "orders").groupBy("o_custkey").agg(
-        n(red & (day >= ts("1999-01-01"))).alias("red_flags_recent"), n(red & (day < ts("1999-01-01"))).alias("red_flags_old"),
-        n(p.startswith("2") & (day >= ts("2000-06-01"))).alias("repeat_window"), n(p.startswith("2") & (day < ts("2000-06-01"))).alias("repeat_before"),
-        n((F.col("o_orderstatus") == "O") & (price > 200000)).alias("open_cases"), F.count("*").alias("inspections_all"), n(day >= ts("2000-01-01")).alias("inspections_window"),
-    )
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"))
-    return c.join(by, F.col("entity") == F.col("o_custkey"), "left").drop("o_custkey").fillna(0)
-
-
-def judged(spark: SparkSession, d: str) -> DataFrame:
-    return V.verdict(V.reasons(facts(spark, d)))
-
-
-@query(f"WITH {_FACTS} SELECT entity, verdict, array_to_string(codes, ',') AS codes, red_flags_recent, inspections_all FROM v")
-def verdict_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return judged(spark, d).select("entity", "verdict", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("codes"), "red_flags_recent", "inspections_all")
-
-
-@query(f"""WITH {_FACTS} SELECT entity, name, verdict, red_flags_recent FROM v
-ORDER BY list_position(['high', 'review', 'no_record', 'no_recent', 'no_flags'], verdict), len(list_filter(codes, lambda x: x LIKE 'H%')) DESC, red_flags_recent DESC, name LIMIT 50""")
-def scorecard_sorted(spark: SparkSession, d: str) -> DataFrame:
-    return judged(spark, d).orderBy(*V.scorecard_order()).limit(50).select("entity", "name", "verdict", "red_flags_recent")
-
-
 @query(f"""WITH {_ENTITY_SQL} SELECT a.c_custkey AS a, b.c_custkey AS b, CAST(a.name_core = b.name_core AS INTEGER) AS label FROM entity a JOIN entity b ON a.zip5 = b.zip5 AND a.addr_key = b.addr_key AND a.entity_key < b.entity_key""")
 def silver_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = entities(spark, d).select("zip5", "addr_key", "entity_key", "c_custkey", "name_core")
@@ -218,11 +178,11 @@ def auc_brier_wilson(spark: SparkSession, d: str) -> DataFrame:
     return E.auc(s).crossJoin(F.broadcast(m)).select("auc", "brier", "n", "k", F.round(low, 6).alias("low"))  # one row each
 
 
-@query(f"""WITH {_ENTITY_SQL}, k AS (SELECT split_part(clean_name, ' ', 1) AS name, count(*) AS n FROM entity GROUP BY 1), u AS (SELECT DISTINCT left(name, 3) || substr(name, 5) AS name FROM k WHERE length(name) >= 7),
+@query(f"""WITH {_ENTITY_SQL}, k AS (SELECT split_part(clean_name, ' ', 1) || split_part(clean_name, ' ', 2) AS name, count(*) AS n FROM entity GROUP BY 1), u AS (SELECT DISTINCT left(name, 3) || substr(name, 5) AS name FROM k WHERE length(name) >= 7),
 p AS (SELECT u.name, k.name AS corrected, k.n FROM u JOIN k ON left(u.name, 2) = left(k.name, 2) AND u.name <> k.name AND k.n >= 3 AND abs(length(u.name) - length(k.name)) <= 1 AND jaro_winkler_similarity(u.name, k.name) >= 0.9)
 SELECT name, first(corrected ORDER BY n DESC, corrected) AS corrected FROM p GROUP BY 1""")
 def spelling_correction(spark: SparkSession, d: str) -> DataFrame:
-    known = entities(spark, d).groupBy(F.split_part("clean_name", F.lit(" "), F.lit(1)).alias("name")).agg(F.count("*").alias("n"))
+    known = entities(spark, d).groupBy(F.expr("split_part(clean_name, ' ', 1) || split_part(clean_name, ' ', 2)").alias("name")).agg(F.count("*").alias("n"))
     unknown = known.where("length(name) >= 7").select(F.expr("left(name, 3) || substr(name, 5)").alias("name")).distinct().withColumn("n", F.lit(0))
     return C.correct_spelling(unknown, known, least_n=3)
 

@@ -130,7 +130,7 @@ def site_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 1 WHEN o_orderpriority LIKE '2%' THEN 2 ELSE 3 END AS severity FROM orders
-QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY severity, o_orderkey) = 1
+QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY left(o_orderpriority, 1), o_orderkey) = 1
 """)
 def one_event_a_visit(spark: SparkSession, d: str) -> DataFrame:
     """Of several events of a visit the most serious one."""
@@ -139,4 +139,4 @@ def one_event_a_visit(spark: SparkSession, d: str) -> DataFrame:
     kind = F.left("o_orderpriority", F.lit(1))
     e = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("visit"), kind.alias("kind"), F.col("o_orderkey").alias("event_id"))
     severity = F.when(F.col("kind") == "1", 1).when(F.col("kind") == "2", 2).otherwise(3)
-    return one_event_per_visit(e, {"1": 1, "2": 2, "3": 3, "4": 3, "5": 3}).select(F.col("entity").alias("o_custkey"), F.col("event_id").alias("o_orderkey"), severity.alias("severity"))
+    return one_event_per_visit(e, ("1", "2", "3", "4", "5")).select(F.col("entity").alias("o_custkey"), F.col("event_id").alias("o_orderkey"), severity.alias("severity"))

@@ -127,12 +127,17 @@ def zip5(spark: SparkSession, d: str) -> DataFrame:
 
 
 GIVEN, SURNAMES = ("JOHN", "MARY", "ANNA"), ("SMITH", "LEE")
-PERSONS = [("JOHN SMITH", True), ("SMITH JOHN", True), ("SMITH JOHN A", True), ("SAN JOHN", False), ("J SMITH", True), ("J BROWN", False), ("JOHN", False), ("JOHN A B C D", False), ("ROOF 1", False), ("MARY ANN LEE JONES", True), ("", False)]
+_WORD = "upper(split_part(p_name, ' ', 1))"
+CORE = f"""CASE p_partkey % 9 WHEN 0 THEN 'JOHN ' || {_WORD} WHEN 1 THEN {_WORD} || ' MARY' WHEN 2 THEN {_WORD} || ' ANNA ' || chr(CAST(65 + p_partkey % 26 AS INT)) WHEN 3 THEN 'SAN JOHN' WHEN 4 THEN chr(CAST(65 + p_partkey % 26 AS INT)) || ' SMITH'
+ WHEN 5 THEN chr(CAST(65 + p_partkey % 26 AS INT)) || ' ' || {_WORD} WHEN 6 THEN 'MARY ' || {_WORD} || ' LEE ' || p_partkey WHEN 7 THEN 'JOHN A B ' || {_WORD} || ' C' ELSE upper(p_name) END"""
+_list = lambda words: ", ".join(f"'{w}'" for w in words)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in PERSONS) + ") v(core, person)")
+@query(f"""WITH c AS (SELECT p_partkey, {CORE} AS core FROM part), w AS (SELECT *, string_split(core, ' ') AS w FROM c)
+SELECT p_partkey, core, len(w) BETWEEN 2 AND 4 AND regexp_full_match(core, '[A-Z]+( [A-Z]+)*') AND (w[1] IN ({_list(GIVEN)}) OR (len(w) = 2 AND length(w[1]) = 1 AND w[2] IN ({_list(SURNAMES)}))
+ OR (w[1] NOT IN ({_list(N.PLACE_PREFIXES)}) AND w[2] IN ({_list(GIVEN)}) AND (len(w) = 2 OR (len(w) = 3 AND length(w[3]) = 1)))) AS person FROM w""")
 def person_name(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in PERSONS], "core string").select("core", N.is_person(F.col("core"), GIVEN, SURNAMES).alias("person"))
+    return table(spark, d, "part").select("p_partkey", F.expr(CORE).alias("core")).withColumn("person", N.is_person(F.col("core"), GIVEN, SURNAMES))
 
 
 @query("SELECT p_partkey, CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey AS VARCHAR) AS k, lpad(CAST(p_size AS VARCHAR), 12, '0') || '.' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS natural FROM part")
@@ -141,31 +146,47 @@ def natural_sort_key(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("natural", natural_key(F.col("k")))
 
 
-CODES = [
-    ("19260501 B13", "", "federal_1926", "1926.501", "1926.501(b)(13)"), ("19261408 B04 II A", "", "federal_1926", "1926.1408", "1926.1408(b)(4)(ii)(A)"), ("1550065701 A", "WA", "state_WA", "WAC 296-155-657", "WAC 296-155-657(1)(a)"),
-    ("703150202", "OR", "state_OR", "OAR 437-003-1502", "OAR 437-003-1502(2)"), ("15410001 A01", "CA", "state_CA", "T8 CCR 1541.1", "T8 CCR 1541.1(a)(1)"), ("4084011401", "MI", "state_MI", "R 408.40114", "R 408.40114(1)"),
-    ("6 B", "PR", "state_other", "PR 6", "PR 6 B"), ("", "", "unknown", None, None), ("296-155-24609(01)(A)", "WA", "state_WA", "WAC 296-155-24609", "WAC 296-155-24609(1)(a)"), ("3314(C)", "CA", "state_CA", "T8 CCR 3314", "T8 CCR 3314(c)"),
-    ("5A0001", "", "general_duty", "5(a)(1)", "5(a)(1)"), ("19100134 E01", "TX", "federal_1910", "1910.134", "1910.134(e)(1)"), ("64010007", "CA", "state_CA", "LC 6401.7", "LC 6401.7"),
-]
 _quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 _rows = lambda rows: ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
+_text = lambda x: f"CAST({x} AS STRING)"
+_pad = lambda x, n: f"lpad(CAST({x} AS STRING), {n}, '0')"
+_N, _K, _LETTER = "p_size", "p_partkey", "chr(CAST(65 + p_size % 8 AS INT))"
+#: ways of writing a code made from a part's numbers: raw code and state, then family, key and citation as they must come out
+WRITTEN = [
+    (f"'1926' || {_pad(f'{_K} % 1500', 4)} || ' ' || {_LETTER} || {_pad(_N, 2)}", "''", "'federal_1926'", f"'1926.' || {_text(f'{_K} % 1500')}", f"'(' || lower({_LETTER}) || ')(' || {_text(_N)} || ')'"),
+    (f"'1910' || {_pad(f'{_K} % 1300', 4)} || ' ' || {_LETTER} || {_pad(_N, 2)} || ' II B'", "'TX'", "'federal_1910'", f"'1910.' || {_text(f'{_K} % 1300')}", f"'(' || lower({_LETTER}) || ')(' || {_text(_N)} || ')(ii)(B)'"),
+    (f"'296-' || {_text(f'100 + {_K} % 700')} || '-' || {_text(f'10000 + {_K}')} || '(' || {_pad(_N, 2)} || ')(' || {_LETTER} || ')'", "'WA'", "'state_WA'", f"'WAC 296-' || {_text(f'100 + {_K} % 700')} || '-' || {_text(f'10000 + {_K}')}", f"'(' || {_text(_N)} || ')(' || lower({_LETTER}) || ')'"),
+    (f"{_pad(f'24 + {_K} % 90', 3)} || {_pad(f'1000 + {_K}', 5)} || {_pad(_N, 2)}", "'WA'", "'state_WA'", f"'WAC 296-' || {_text(f'24 + {_K} % 90')} || '-' || {_pad(f'1000 + {_K}', 5)}", f"'(' || {_text(_N)} || ')'"),
+    (f"'OAR 437-' || {_pad(f'{_K} % 8', 3)} || '-' || {_pad(f'{_K} % 10000', 4)} || '(' || {_pad(_N, 2)} || ')(' || {_LETTER} || ')'", "'OR'", "'state_OR'", f"'OAR 437-' || {_pad(f'{_K} % 8', 3)} || '-' || {_pad(f'{_K} % 10000', 4)}", f"'(' || {_text(_N)} || ')(' || lower({_LETTER}) || ')'"),
+    (f"'70' || {_text(f'{_K} % 8')} || {_pad(f'{_K} % 10000', 4)} || {_pad(_N, 2)} || ' ' || {_LETTER}", "'OR'", "'state_OR'", f"'OAR 437-00' || {_text(f'{_K} % 8')} || '-' || {_pad(f'{_K} % 10000', 4)}", f"'(' || {_text(_N)} || ')(' || lower({_LETTER}) || ')'"),
+    (f"'408' || {_text(f'10000 + {_K} % 80000')} || {_pad(_N, 2)}", "'MI'", "'state_MI'", f"'R 408.' || {_text(f'10000 + {_K} % 80000')}", f"'(' || {_text(_N)} || ')'"),
+    (f"'4080' || {_pad(f'1000 + {_K} % 9000', 4)} || {_pad(_N, 2)} || {_LETTER}", "'MI'", "'state_MI'", f"'MCL 408.' || {_pad(f'1000 + {_K} % 9000', 4)}", f"'(' || {_text(_N)} || ')(' || lower({_LETTER}) || ')'"),
+    (f"{_text(f'3000 + {_K} % 2000')} || '(' || {_LETTER} || ')(' || {_pad(_N, 2)} || ')'", "'CA'", "'state_CA'", f"'T8 CCR ' || {_text(f'3000 + {_K} % 2000')}", f"'(' || lower({_LETTER}) || ')(' || {_text(_N)} || ')'"),
+    (f"{_text(f'1500 + {_K} % 400')} || {_pad(_N, 4)} || ' ' || {_LETTER}", "'CA'", "'state_CA'", f"'T8 CCR ' || {_text(f'1500 + {_K} % 400')} || '.' || {_text(_N)}", f"'(' || lower({_LETTER}) || ')'"),
+    (f"{_text(_K)} || ' ' || {_LETTER} || ' ' || {_text(_N)}", "'PR'", "'state_other'", f"'PR ' || {_text(_K)}", f"' ' || {_LETTER} || ' ' || {_text(_N)}"),
+]
+_written = lambda k: f"CASE {_K} % {len(WRITTEN)} " + " ".join(f"WHEN {i} THEN {w[k]}" for i, w in enumerate(WRITTEN)) + " END"
 
 
-@query(f"SELECT * FROM (VALUES {_rows(CODES)}) v(code, state, std_family, section_key, standard_cite)")
+@query(f"SELECT p_partkey, code, state, std_family, section_key, section_key || tail AS standard_cite FROM (SELECT p_partkey, {', '.join(f'{_written(k)} AS {c}' for k, c in enumerate(('code', 'state', 'std_family', 'section_key', 'tail')))} FROM part)".replace("STRING", "VARCHAR"))
 def standard_parse(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([r[:2] for r in CODES], "code string, state string")
-    return df.withColumn("p", codes.parse("code", "state")).select("code", "state", "p.*")
+    """Codes written from known parts in each way, read back. The SQL never parses: it writes what must come out."""
+    df = table(spark, d, "part").select("p_partkey", F.expr(_written(0)).alias("code"), F.expr(_written(1)).alias("state"))
+    return df.withColumn("p", codes.parse("code", "state")).select("p_partkey", "code", "state", "p.*")
+
+
+_TAIL = "CASE (conv_id + turn) % 5 WHEN 0 THEN ' The employee later died.' WHEN 1 THEN ' The engine died.' WHEN 2 THEN ' She died of a heart attack' WHEN 3 THEN ' Diedrich drill' ELSE ' He succumbed' END"
 
 
 @query(r"""
-SELECT conv_id, turn, said, regexp_matches(said, '(?i)((employee|worker|victim|\bhe|\bshe)( later| subsequently| eventually)? (died|was killed|succumbed|passed away)\b)|(\b(later|subsequently|eventually) died\b)')
+SELECT conv_id, turn, length(said) AS n_chars, regexp_matches(said, '(?i)((employee|worker|victim|\bhe|\bshe)( later| subsequently| eventually)? (died|was killed|succumbed|passed away)\b)|(\b(later|subsequently|eventually) died\b)')
   AND NOT regexp_matches(said, '(?i)(\b(battery|engine|motor) (had )?died\b|heart attack)') AS death
-FROM (SELECT conv_id, turn, left(text, 40) || CASE (conv_id + turn) % 5 WHEN 0 THEN ' The employee later died.' WHEN 1 THEN ' The engine died.' WHEN 2 THEN ' She died of a heart attack' WHEN 3 THEN ' Diedrich drill' ELSE ' He succumbed' END AS said FROM conversations)
+FROM (SELECT conv_id, turn, coalesce(text, '') || """ + _TAIL + """ AS said FROM conversations)
 """)
 def narrative_death(spark: SparkSession, d: str) -> DataFrame:
-    tail = F.expr("CASE (conv_id + turn) % 5 WHEN 0 THEN ' The employee later died.' WHEN 1 THEN ' The engine died.' WHEN 2 THEN ' She died of a heart attack' WHEN 3 THEN ' Diedrich drill' ELSE ' He succumbed' END")
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.left("text", F.lit(40)), tail).alias("said"))
-    return c.withColumn("death", narrative.reports_death("said"))
+    """Whole texts, each with an ending that does or doesn't tell of a death."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.expr(_TAIL)).alias("said"))
+    return c.select("conv_id", "turn", F.length("said").cast("long").alias("n_chars"), narrative.reports_death("said").alias("death"))
 
 
 PASTE = ["# my subs", "Name, City, State", "Acme Roofing, LLC, Dallas TX", "Acme Roofing LLC\tDallas\tTexas", "Smith & Sons, Portland, OR", "", "Solo Builders", "smith and sons, Salem, Oregon", "Jones Co, Austin, TX"]

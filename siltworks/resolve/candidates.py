@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siltworks.functions.similarity import jaro_winkler
+from siltworks.functions.similarity import jaro_winkler, may_reach
 from siltworks.operators.rows import top_k
 
-TOKEN_SIMILARITY, NAME_SIMILARITY, MOST_CANDIDATES, RAREST = 0.92, 0.80, 400, 2
+TOKEN_SIMILARITY, NAME_SIMILARITY, MOST_CANDIDATES, RAREST, LENGTHS = 0.92, 0.80, 400, 2, 3
 
 
 def similar_tokens(wanted: DataFrame, vocabulary: DataFrame, least: float = TOKEN_SIMILARITY) -> DataFrame:
-    """``wanted_token, token`` of like spelling. Both hold distinct tokens, and the first letters agree."""
-    a = wanted.select(F.col("token").alias("wanted_token"), F.left("token", F.lit(1)).alias("first"))
-    b = vocabulary.select("token", F.left("token", F.lit(1)).alias("first"))
-    near = a.join(b, "first").where(F.abs(F.length("wanted_token") - F.length("token")) <= 3)
-    same = near.where("wanted_token = token").select("wanted_token", "token")
-    other = near.where("wanted_token != token").where(jaro_winkler("wanted_token", "token") >= least).select("wanted_token", "token")
-    return same.union(other)
+    """``wanted_token, token`` of like spelling. Both hold distinct tokens, the first letters agree, lengths by ``LENGTHS``.
+
+    Tokens meet by first letter and length, and only pairs whose letters allow the similarity leave the JVM.
+    """
+    near = F.explode(F.sequence(F.length("token") - LENGTHS, F.length("token") + LENGTHS))
+    a = wanted.select(F.col("token").alias("wanted_token"), F.left("token", F.lit(1)).alias("first"), near.alias("size"))
+    b = vocabulary.select("token", F.left("token", F.lit(1)).alias("first"), F.length("token").alias("size"))
+    both = a.join(b, ["first", "size"])
+    same = wanted.join(vocabulary.select("token"), "token", "left_semi").select(F.col("token").alias("wanted_token"), "token")
+    other = both.where((F.col("wanted_token") != F.col("token")) & may_reach(F.col("wanted_token"), F.col("token"), least))
+    return same.union(other.where(jaro_winkler("wanted_token", "token") >= least).select("wanted_token", "token"))
 
 
 def search(queries: DataFrame, entities: DataFrame, index: DataFrame, frequency: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
@@ -37,7 +41,9 @@ def search(queries: DataFrame, entities: DataFrame, index: DataFrame, frequency:
     rare = top_k(reach, ["query_id"], [F.col("df"), F.col("wanted_token")], RAREST).select("query_id", "wanted_token")
     token = rare.join(close, "wanted_token").join(index, "token").select("query_id", "entity_key", F.lit(2).alias("how"))
     found = alias.union(core).union(token).groupBy("query_id", "entity_key").agg(F.min("how").alias("how"))
-    full = found.join(q, "query_id").join(e, "entity_key").withColumn("similarity", jaro_winkler("q_name", "clean_name"))
+    both = found.join(q, "query_id").join(e, "entity_key")
+    both = both.where((F.col("how") < 2) | may_reach(F.col("q_name"), F.col("clean_name"), NAME_SIMILARITY))
+    full = both.withColumn("similarity", jaro_winkler("q_name", "clean_name"))
     kept = full.where((F.col("how") < 2) | (F.col("similarity") >= NAME_SIMILARITY))
     order = [F.coalesce(F.col("q_state") == F.col("state"), F.lit(False)).desc(), F.col("similarity").desc(), F.col("n").desc(), F.col("entity_key")]
     by = F.element_at(F.array(F.lit("name"), F.lit("core"), F.lit("token")), F.col("how") + 1)
@@ -54,7 +60,7 @@ def exact_links(left: DataFrame, right: DataFrame, least: float = 0.93) -> DataF
     m1 = left.join(r, (left.name == r.r_name) & (left.state == r.r_state) & (left.zip5 == r.r_zip)).select("key", "ref_id", F.lit("M1").alias("method"))
     m2 = left.join(r, (left.name == r.r_name) & (left.state == r.r_state) & (left.addr_key == r.r_addr)).select("key", "ref_id", F.lit("M2").alias("method"))
     near = left.join(r, (left.addr_key == r.r_addr) & (left.zip5 == r.r_zip) & (left.state == r.r_state)).where((left.name != F.col("r_name")) & (F.length("name") >= 5) & (F.length("r_name") >= 5))
-    m3 = near.where(jaro_winkler("name", "r_name") >= least).select("key", "ref_id", F.lit("M3").alias("method"))
+    m3 = near.where(may_reach(F.col("name"), F.col("r_name"), least)).where(jaro_winkler("name", "r_name") >= least).select("key", "ref_id", F.lit("M3").alias("method"))
     return m1.union(m2).union(m3).groupBy("key", "ref_id").agg(F.min("method").alias("method"))
 
 
@@ -65,6 +71,6 @@ def correct_spelling(unknown: DataFrame, known: DataFrame, least_n: int = 10, ti
     """
     k = known.select(F.col("name").alias("corrected"), F.col("n").alias("known_n"), F.left("name", F.lit(2)).alias("head"))
     pairs = unknown.select("name", "n", F.left("name", F.lit(2)).alias("head")).join(k, "head").where((F.col("name") != F.col("corrected")) & (F.col("known_n") >= least_n) & (F.col("known_n") >= times * F.col("n")))
-    near = pairs.where(F.abs(F.length("name") - F.length("corrected")) <= 1).where(jaro_winkler("name", "corrected") >= 0.9)
+    near = pairs.where((F.abs(F.length("name") - F.length("corrected")) <= 1) & may_reach(F.col("name"), F.col("corrected"), 0.9)).where(jaro_winkler("name", "corrected") >= 0.9)
     pick = Window.partitionBy("name").orderBy(F.desc("known_n"), "corrected")
     return near.withColumn("_n", F.row_number().over(pick)).where("_n = 1").select("name", "corrected")

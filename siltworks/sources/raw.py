@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from siltworks.functions.text import squeeze
+from siltworks.operators.checks import checksum, shrunk
 
 
 def _fs(spark: SparkSession, path: str):
@@ -58,28 +59,57 @@ def lookup(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return raw.select(*(squeeze(F.col(f.name)).try_cast(f.dataType).alias(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
 
 
-def publish(tables: dict[str, DataFrame], root: str, build_id: str, info: dict) -> str:
-    """Writes a build beside the others and then points ``CURRENT`` at it; readers never see half a build."""
+class Shrunk(ValueError):
+    """Tables of a build lost more rows than allowed; it wasn't published."""
+
+
+def publish(tables: dict[str, DataFrame], root: str, build_id: str, info: dict, most_lost: float | None = None) -> str:
+    """Writes a build beside the others, then its pointer under a name of its own; readers never see half a build.
+
+    Pointers are numbered and never replaced: the newest one whose file is whole counts, so a reader finds
+    the old build or the new one at any moment. With ``most_lost`` a build is refused if a table has lost more than
+    that share of the rows that the published build has. The pointer holds each table's rows and checksum.
+    """
     spark = next(iter(tables.values())).sparkSession
+    old = _pointers(spark, root)
+    prints = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/build_id={build_id}/{name}")
-    fs, target = _fs(spark, f"{root}/CURRENT")
-    _, draft = _fs(spark, f"{root}/_CURRENT.{build_id}")
+        path = f"{root}/build_id={build_id}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        prints[name] = checksum(spark.read.parquet(path)).first().asDict()
+    if most_lost is not None and old:
+        before = {t: p["rows"] for t, p in current(spark, root).get("tables", {}).items()}
+        if lost := shrunk(before, {t: p["rows"] for t, p in prints.items()}, most_lost):
+            raise Shrunk(f"rows before and after: {lost}")
+    fs, draft = _fs(spark, f"{root}/_pointer.{build_id}")
     out = fs.create(draft, True)
-    out.write(bytearray(json.dumps(info | {"build_id": build_id}, sort_keys=True).encode()))
+    out.write(bytearray(json.dumps(info | {"build_id": build_id, "tables": prints}, sort_keys=True).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(draft, target)
+    _, target = _fs(spark, f"{root}/CURRENT.{old[-1] + 1 if old else 1:012d}")
+    if not fs.rename(draft, target):
+        raise FileExistsError(f"another build was published at {root} meanwhile")
     return build_id
 
 
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    fs, pattern = _fs(spark, f"{root}/CURRENT.*")
+    return sorted(int(f.getPath().getName().rpartition(".")[2]) for f in fs.globStatus(pattern) or [])
+
+
 def current(spark: SparkSession, root: str) -> dict:
-    """What ``CURRENT`` says of the published build."""
-    fs, target = _fs(spark, f"{root}/CURRENT")
-    if not fs.exists(target):
+    """What the newest pointer says of the published build."""
+    known = _pointers(spark, root)
+    if not known:
         raise FileNotFoundError(f"nothing is published at {root}")
-    return json.loads(spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0])
+    return json.loads(spark.read.text(f"{root}/CURRENT.{known[-1]:012d}", wholetext=True).first()[0])
+
+
+def follow(spark: SparkSession, root: str, since: str | None = None) -> dict | None:
+    """The published build if it is another than ``since``, else nothing: for readers that move on to new builds."""
+    if not _pointers(spark, root):
+        return None
+    now = current(spark, root)
+    return now if now["build_id"] != since else None
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -41,8 +41,67 @@ def test_rule_cascade(spark):
 
 
 def test_trades(spark):
-    df = spark.createDataFrame([("Roofing",), ("Plumbing & HVAC",), ("Baker",), (None,)], "t string").select(D.trade_industry(F.col("t")).alias("x"))
-    assert [r.x for r in df.collect()] == ["2381", "2382", None, None]
+    df = spark.createDataFrame([("Roofing",), ("Plumbing & HVAC",), ("Baker",), (None,), ("238160",), ("paving",)], "t string").select(F.sort_array(D.trade_industries(F.col("t"))).alias("x"))
+    assert [r.x for r in df.collect()] == [["2381"], ["2382"], [], [], ["2381"], ["2373", "2389"]]
+
+
+BASE = dict(q_name="TOLMAR", q_core="TOLMAR", q_state="NV", q_city="Reno", q_tier="distinctive", c_name="TOLMAR", c_core="TOLMAR", c_state="NV", c_city="RENO")
+PERSON = dict(q_name="ANNA VOSS", q_core="ANNA VOSS", q_tier="person", c_name="ANNA VOSS", c_core="ANNA VOSS")
+COMPANY = dict(q_name="ANNA VOSS BUILDERS", q_core="ANNA VOSS", q_tier="person", c_name="ANNA VOSS BUILDERS", c_core="ANNA VOSS")
+COMMON = dict(q_name="BEST ROOFING", q_core="", q_tier="generic", c_name="BEST ROOFING", c_core="")
+#: one case or more for each way out of the cascade
+CASES = [
+    ("S1", dict(c_name="TOLMAR OF UTAH", c_core="TOLMAR UTAH", c_suffix=" OF UTAH")), ("S1", dict(q_suffix=" AT ELMS", q_name="TOLMAR AT ELMS", q_core="TOLMAR ELMS")),
+    ("S2", dict(c_name="TOLMAR ELKO OFFICE", c_core="TOLMAR ELKO OFFICE")), ("M1", {}), ("M1", dict(q_tier="medium")), ("M1", dict(q_tier="medium", q_city="St. Louis", c_city="SAINT LOUIS")),
+    ("M1", dict(q_aliases=["ORNE"], c_name="ORNE", c_core="ORNE")), ("M1", dict(c_name="X DBA Y", c_dba="TOLMAR")), ("M1_trade", dict(q_trade="roofing", c_industry="2382")), ("N1", dict(c_other_kind=True)),
+    ("M1", dict(q_trade="roofing", c_industry="2362")), ("M1b", dict(c_name="TOLMAR GENERAL CONTRACTORS", c_city="ELKO")), ("J1", dict(c_name="TOLMAR JV", c_core="TOLMAR JV", c_jv=True, c_at_address=True)),
+    ("U3", dict(q_name="TOLMAR ROOFING", c_name="TOLMAR PLUMBING", c_at_address=True)), ("U3", dict(q_name="TOLMAR ROOFING", c_name="TOLMAR PLUMBING")), ("M2", dict(c_name="TOLMARR", c_core="TOLMARR", c_at_address=True)),
+    ("M2", dict(q_name="TOLMAR ROOF", c_name="TOLMAR ROOFING", c_at_address=True)), ("P2", dict(PERSON, c_name="ANNA VOSS JR", c_core="ANNA VOSS JR", c_at_address=True)),
+    ("S3", dict(c_name="TOLMAR ZENITH", c_core="TOLMAR ZENITH", c_at_address=True)), ("P3", dict(COMPANY, c_state="OR", c_city="BEND")), ("P3", dict(COMPANY, c_city="ELKO")), ("X5", dict(PERSON, c_state="OR")),
+    ("P3", dict(PERSON, c_city="ELKO", q_incorporated=True, c_incorporated=True)), ("X5", dict(PERSON, c_city="ELKO")), ("P1", dict(PERSON, c_city="RENOO")), ("P1", dict(PERSON, q_city=None, q_state=None)),
+    ("M3", dict(c_state="OR")), ("M3_trade", dict(c_state="OR", q_trade="electrician", c_industry="2381")), ("S4", dict(c_name="TOLMAR NEVADA", c_core="TOLMAR NEVADA")), ("S4", dict(c_name="TOLMAR NEV", c_core="TOLMAR NEV")),
+    ("S4", dict(c_name="TOLMAR ELKO", c_core="TOLMAR ELKO", c_city="ELKO")), ("X1", dict(c_name="TOLMAR ZENITH", c_core="TOLMAR ZENITH")), ("X1", dict(c_name="BRANDT", c_core="BRANDT")), ("X2", dict(COMMON, c_name="QUALITY ROOFING")),
+    ("U4", dict(COMMON, c_state="OR")), ("U2", dict(q_tier="medium", c_name="TOLMAR HOMES", q_name="TOLMAR TILE")), ("X3", dict(q_tier="medium", q_name="TOLMAR TILE", c_name="TOLMAR HOMES", c_city="ELKO")),
+    ("G1", dict(q_tier="medium", q_name="AB", q_core="AB", c_name="AB", c_core="AB", c_city="ELKO", q_initials=True)), ("U", dict(q_tier="medium", c_city="ELKO")), ("U", dict(q_tier="medium", c_state="OR")),
+    ("U", dict(c_name="TOLMARR", c_core="TOLMARR")), ("U4", dict(q_aliases=["BEST ROOFING"], c_name="BEST ROOFING", c_core="", c_state="OR", q_alias_queries=[("BEST ROOFING", "", "generic", None, False)])),
+]
+
+
+def cases(spark, rows):
+    kinds = {**dict.fromkeys(BASE, "string"), **D.OPTIONAL, "i": "int", "query_id": "int", "c_address": "string", "c_zip3": "string", "red_flags": "int", "by_licence": "boolean"}
+    rows = [{"i": i, "query_id": 1, **BASE, **r} for i, r in enumerate(rows)]
+    used = sorted({c for r in rows for c in r})
+    return spark.createDataFrame([tuple(r.get(c) for c in used) for r in rows], ", ".join(f"{c} {kinds[c]}" for c in used))
+
+
+def test_every_rule(spark):
+    got = {r.i: r.rule_id for r in D.decide(cases(spark, [c for _, c in CASES]), given=("ANNA",)).collect()}
+    assert [got[i] for i in range(len(CASES))] == [rule for rule, _ in CASES]
+    assert {r for r, _, _ in D.rule_table()} - set(got.values()) == {"M1b_trade", "M2_trade"}
+
+
+def test_address_expansion_only_raises(spark):
+    rows = [dict(c_address="1 OAK"), dict(c_name="TOLMARR", c_core="TOLMARR", c_state="OR", c_address="1 OAK"), dict(c_name="TOLMAR ZENITH", c_core="TOLMAR ZENITH", c_address="1 OAK"), dict(c_name="BRANDT", c_core="BRANDT", c_address="1 OAK"), dict(c_name="TOLMAR ZENITH", c_core="TOLMAR ZENITH", c_address=None)]
+    got = {r.i: (r.bucket, r.rule_id) for r in D.expand_addresses(cases(spark, rows)).collect()}
+    assert got == {0: ("matched", "M1"), 1: ("matched", "M2"), 2: ("uncertain", "S3"), 3: ("excluded", "X1"), 4: ("excluded", "X1")}
+
+
+def test_second_pass(spark):
+    s1 = dict(q_tier="medium", c_address="1 OAK", c_zip3="895")
+    rows = [
+        dict(s1, c_name="TOLMAR OF RENO", c_core="TOLMAR RENO", c_suffix=" OF RENO"), dict(s1, c_name="TOLMAR CO OF UTAH", c_core="TOLMAR UTAH", c_suffix=" OF UTAH", c_city="ELKO"), dict(c_name="TOLMAR OF BEND", c_core="TOLMAR BEND", c_suffix=" OF BEND", c_address="2 OAK", c_zip3="895", q_tier="medium"),
+        dict(q_tier="medium", c_industry="2381"), dict(c_name="TOLMAR ELECTRIC", q_name="TOLMAR ELECTRIC", c_state="OR", c_industry="2382"), dict(c_name="BRANDT", c_core="BRANDT", c_address="1 OAK", red_flags=2), dict(c_name="BRANDT", c_core="BRANDT", c_address="9 OAK", red_flags=2), dict(c_name="BRANDT", c_core="BRANDT", by_licence=True),
+    ]
+    rows = [{"c_address": None, "c_zip3": None, "red_flags": 0, "by_licence": False, **r} for r in rows]
+    rows[3]["c_address"] = "1 OAK"
+    got = {r.i: (r.bucket, r.rule_id) for r in D.second_pass(D.decide(cases(spark, rows))).collect()}
+    assert got == {0: ("matched", "M1s"), 1: ("uncertain", "S1"), 2: ("uncertain", "S1"), 3: ("matched", "M1"), 4: ("uncertain", "M3u"), 5: ("uncertain", "R1"), 6: ("excluded", "X1"), 7: ("matched", "L1")}
+
+
+def test_respelling(spark):
+    rows = [("SERVICES OAKE", "OAKE", "OAK"), ("NORTH CREEK TILE", "NORTH CREEK", "NORTHCREEK"), ("NORTH TILE CREEK", "NORTH CREEK", "NORTHCREEK")]
+    df = spark.createDataFrame(rows, "a string, b string, c string").select(D.respell(F.col("a"), F.col("b"), F.col("c")).alias("x"))
+    assert [r.x for r in df.collect()] == ["SERVICES OAK", "NORTHCREEK TILE", None]
 
 
 def test_search_tolerates_slips(spark):
@@ -70,18 +129,39 @@ def test_persist_and_settle(spark):
     assert [r.bucket for r in M.by_probability(p).collect()] == ["matched", "question", "excluded", "uncertain"]
 
 
+def judge(spark, facts=(), flags=(), hazards=()):
+    """Codes and verdict of one entity."""
+    known = dict(facts)
+    df = spark.createDataFrame([("e", *(float(known[c]) if c in known else None for c in V.FACTS))], "entity string, " + ", ".join(f"{c} double" for c in V.FACTS))
+    f = spark.createDataFrame([("e", kind, datetime.date(year, 3, 1) if year else None, visit, n) for n, (kind, year, visit) in enumerate(flags)], "entity string, kind string, day date, visit string, event_id long")
+    h = spark.createDataFrame([("e", code, a, w, list(range(30))) for code, a, w in hazards], "entity string, hazard_code string, insp_all long, insp_window long, evidence array<long>")
+    day = lambda y: F.lit(datetime.date(y, 1, 1))
+    r = V.verdict(V.reasons(df, V.flag_reasons(f, day(2016), day(2019)), V.hazard_reasons(h))).first()
+    return [x.code for x in r.reasons], r.verdict, {x.code: x for x in r.reasons}
+
+
 def test_verdicts(spark):
-    rows = [
-        ("high", dict(red_flags_recent=1, inspections_all=3, inspections_window=1)), ("high", dict(repeat_window=2, inspections_all=3, inspections_window=2)),
-        ("high", dict(rated_window=5, serious_rate=0.9, p75=0.5, p90=0.8, peers=30, inspections_all=9, inspections_window=9)), ("review", dict(rated_window=3, serious_rate=0.6, p75=0.5, p90=0.8, peers=30, inspections_all=9, inspections_window=9)),
-        ("no_flags", dict(rated_window=3, serious_rate=0.6, p75=0.5, p90=0.8, peers=29, inspections_all=9, inspections_window=9)), ("review", dict(recurring_window=2, inspections_all=9, inspections_window=9)),
-        ("no_record", dict(inspections_all=0, inspections_window=0)), ("no_recent", dict(inspections_all=2, inspections_window=0, repeat_before=1)), ("review", dict(licence_lapsed=1, inspections_all=1, inspections_window=1)),
-    ]
-    df = spark.createDataFrame([(i, *[float(f[c]) if c in f else None for c in V.FACTS]) for i, (_, f) in enumerate(rows)], "i int, " + ", ".join(f"{c} double" for c in V.FACTS))
-    got = {r.i: r.verdict for r in V.verdict(V.reasons(df)).collect()}
-    assert [got[i] for i in range(len(rows))] == [v for v, _ in rows]
-    events = spark.createDataFrame([("e", 1, "cited", 1), ("e", 1, "fatal", 2), ("e", 2, "cited", 3)], "entity string, visit int, kind string, event_id int")
-    assert {r.event_id for r in V.one_event_per_visit(events, {"fatal": 0, "cited": 1}).collect()} == {2, 3}
+    seen = dict(inspections_all=9, inspections_window=9)
+    for facts, flags, hazards, codes, verdict in [
+        (seen, [("willful", 2017, "a"), ("fta", 2010, "b"), ("fatcat_cited", None, None)], [], ["H_willful", "R_old_fatcat_cited", "R_old_fta"], "high"),
+        (seen, [("fatality_pending", 2001, "a"), ("fatcat_not_cited", 2001, "b"), ("catastrophe_cited", 2018, "c")], [], ["R_fatality_pending", "R_catastrophe_cited"], "review"),
+        (seen, [("repeat", 2020, "a"), ("repeat", 2020, "a")], [], ["R_repeat"], "review"),
+        (seen, [("repeat", 2020, "a"), ("repeat", 2021, "b"), ("repeat", 2010, "c"), ("repeat", 2011, "d")], [], ["H_repeat"], "high"),
+        (seen, [("repeat", 2020, "a"), ("repeat", 2010, "c"), ("repeat", 2011, "d")], [], ["R_repeat", "R_old_repeat_pattern"], "review"),
+        (seen, [("repeat", 2010, "c")], [], ["R_old_repeat"], "no_flags"),
+        (seen, [], [("falls", 3, 1), ("ladder", 3, 0), ("dust", 2, 1), ("other", 9, 9)], ["R_recurring_falls", "I_past_ladder"], "review"),
+        (dict(rated_window=5, serious_window=4, p75=0.5, p90=0.8, peers=30, **seen), [], [], ["H_rate"], "high"),
+        (dict(rated_window=4, serious_window=4, p75=0.5, p90=0.8, peers=30, **seen), [], [], ["R_rate"], "review"),
+        (dict(rated_window=5, serious_window=4, p75=0.5, p90=0.8, peers=29, **seen), [], [], [], "no_flags"),
+        (dict(files_without_inspection=2), [], [], ["I_no_inspection"], "no_record"),
+        (dict(inspections_all=2, other_questions=1, ai_unchecked=1), [], [], ["I_ai_unchecked", "I_questions"], "no_recent"),
+        (dict(licence_lapsed=1, deaths_reported=2, stale_records=1, **seen), [], [], ["R_stale", "R_licence", "R_ita_deaths"], "review"),
+    ]:
+        assert judge(spark, facts, flags, hazards)[:2] == (codes, verdict)
+    by = judge(spark, seen, [("willful", 2018, f"v{k}") for k in range(25)], [("falls", 40, 2)])[2]
+    assert by["H_willful"]["count"] == 25 and by["H_willful"].evidence == list(range(20)) == by["R_recurring_falls"].evidence
+    events = spark.createDataFrame([("e", 1, "fatcat_not_cited", 1), ("e", 1, "fatality_cited", 2), ("e", 1, "willful", 3), ("e", 2, "fatcat_not_cited", 4)], "entity string, visit int, kind string, event_id int")
+    assert {r.event_id for r in V.one_event_per_visit(events).collect()} == {2, 3, 4}
 
 
 def test_metrics(spark):

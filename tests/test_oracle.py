@@ -14,4 +14,4 @@ def test_query_equals_sql(spark, name):
         want = sql_rows(catalogue.oracle_sql()[name], SF)
         assert got[0] == want[0]
         assert got[1] == want[1]
-    assert got[1] or name in ("spelling_correction", "fuzzy_ref_link")
+    assert got[1]

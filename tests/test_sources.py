@@ -45,6 +45,14 @@ def test_publish(spark, tmp_path):
     for build, n in (("b1", 3), ("b2", 5)):
         raw.publish({"t": spark.range(n)}, root, build, {"rows": {"t": n}})
     assert raw.current(spark, root)["rows"] == {"t": 5} and raw.published(spark, root, "t").count() == 5
+    assert raw.current(spark, root)["tables"]["t"]["rows"] == 5 and raw.follow(spark, root, "b2") is None and raw.follow(spark, root, "b1")["build_id"] == "b2"
+    with pytest.raises(raw.Shrunk):
+        raw.publish({"t": spark.range(4)}, root, "b3", {}, most_lost=0.1)
+    assert raw.current(spark, root)["build_id"] == "b2"
+    raw.publish({"t": spark.range(5)}, root, "b4", {}, most_lost=0.1)
+    prints = {b: raw.current(spark, root)["tables"]["t"] for b in ("b4",)}
+    assert prints["b4"]["checksum"] == C.checksum(spark.range(5)).first().checksum and raw.published(spark, root, "t").count() == 5
+    assert raw.follow(spark, f"{root}/none") is None
     raw.report_csv(spark.range(2), f"{root}/report")
     raw.append(spark.range(2), f"{root}/log")
     raw.append(spark.range(2), f"{root}/log")
