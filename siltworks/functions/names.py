@@ -48,14 +48,9 @@ GENERIC = (
     "CO", "INC", "LLC", "CORP", "COMPANY", "LTD", "LP", "LLP", "GP", "PLLC", "PC",
 )
 PLACE_PREFIXES = ("SAN", "SANTA", "SANTO", "ST", "SAINT", "FORT", "FT", "MOUNT", "MT", "PORT", "LOS", "LAS", "LAKE", "CAPE")
-PLACEHOLDER_NAMES = ("N ?A", "NONE", "TBD", "NO NAME", "TEST", "NOT AVAILABLE", "VARIOUS", "OWNER", "UNK", "HOME ?OWNERS?", "ROOFER", "ROOFING CONTRACTOR", "CONTRACTOR", "SELF EMPLOYED")
-PLACEHOLDER_WORDS = r"\b(?:UNKNOWN|UNKOWN|UNKNWN|UNIDENTIFIED)\b|INVALID ESTABLISHMENT"
-AGENCY_OFFICES = (
-    r"^(?:US ?DOL|USDL|US DEPARTMENT OF LABOR|US DEPT OF LABOR|DEPARTMENT OF LABOR|DOL) OSHA\b",
-    r"^OSHA\z",
-    r"^OSHA(?: [A-Z]+)* (?:AREA|DISTRICT|REGIONAL) OFFICE\z",
-    r"\bAREA OSHA OFFICE\z",
-)
+PLACEHOLDER_NAMES = "N ?A|NONE|TBD|NO NAME|TEST|NOT AVAILABLE|VARIOUS|OWNER|UNK|HOME ?OWNERS?|ROOFER|ROOFING CONTRACTOR|CONTRACTOR|SELF EMPLOYED"
+PLACEHOLDER_WORDS = r"\b(UNKNOWN|UNKOWN|UNKNWN|UNIDENTIFIED)\b|INVALID ESTABLISHMENT"
+AGENCY_OFFICES = r"^(US ?DOL|USDL|US DEPARTMENT OF LABOR|US DEPT OF LABOR|DEPARTMENT OF LABOR|DOL) OSHA\b|^OSHA$|^OSHA( [A-Z]+)* (AREA|DISTRICT|REGIONAL) OFFICE$|\bAREA OSHA OFFICE$"
 DBA_MARKERS = r"(\S)\s*\b(?:D\s*/?\s*B\s*/?\s*A|DOING BUSINESS AS|T\s*/\s*A|TRADING AS|A\s*/?\s*K\s*/?\s*A)\b\s*"
 SPELLED = (("[Ø]", "O"), ("[Ł]", "L"), ("[ĐÐ]", "D"), ("Æ", "AE"), ("Œ", "OE"), ("ẞ", "SS"), ("Þ", "TH"))
 LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"))
@@ -141,7 +136,7 @@ def trade_part(clean: Column) -> Column:
 
 def is_placeholder(clean: Column) -> Column:
     c = text(clean)
-    return (c == "") | matches(c, PLACEHOLDER_WORDS) | is_all(c, "|".join(PLACEHOLDER_NAMES)) | matches(c, "|".join(AGENCY_OFFICES))
+    return (c == "") | matches(c, PLACEHOLDER_WORDS) | is_all(c, PLACEHOLDER_NAMES) | matches(c, AGENCY_OFFICES)
 
 
 def is_joint_venture(clean: Column) -> Column:

@@ -81,3 +81,11 @@ def duplicates(new: DataFrame, existing: DataFrame | None, keys: Sequence[str],
 def hash_sample(df: DataFrame, key: Column, n: int, seed: int = 7) -> DataFrame:
     """The same ``n`` rows whatever the partitioning: the first by a digest of key and seed."""
     return df.orderBy(F.md5(F.concat(key.cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def union_all(tables: Sequence[DataFrame]) -> DataFrame:
+    """All rows of tables with the same columns, matched by name."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out

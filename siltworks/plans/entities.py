@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siltworks.functions.names import name_core
 from siltworks.functions.similarity import damerau_levenshtein, jaro_winkler
 from siltworks.operators import evaluate as E, rows as R
-from siltworks.resolve import candidates as C, index as I, remap as M, rules as D
+from siltworks.resolve import addresses as AD, candidates as C, index as I, remap as M, rules as D
 from siltworks.session import table
 
 from .marts import query
@@ -223,3 +223,48 @@ def pooled_address_join(spark: SparkSession, d: str) -> DataFrame:
     e = entities(spark, d).select("c_custkey", "n", "addr_key", F.left("zip5", F.lit(3)).alias("z3"), F.expr("CASE c_custkey % 4 WHEN 0 THEN 'STE 1' WHEN 1 THEN 'STE 2' END").alias("c_unit"))
     found = q.join(e, ["addr_key", "z3"]).where("unit is null or c_unit is null or unit = c_unit")
     return R.top_k(found, ["query_id"], [F.desc("n"), F.col("c_custkey")], 10).select("query_id", "c_custkey")
+
+
+_BUILDING_SQL = f"""WITH {_ENTITY_SQL}, e AS (SELECT entity_key, c_custkey, clean_name, name_core, addr_key, zip5, left(zip5, 3) AS zip3, CASE c_custkey % 4 WHEN 0 THEN 'STE 1' WHEN 1 THEN 'STE 2' END AS unit, n FROM entity),
+sh AS (SELECT addr_key, zip5, count(DISTINCT name_core) >= 6 AS is_shared FROM e GROUP BY 1, 2), w AS (SELECT c_custkey AS query_id, addr_key, zip3, unit, clean_name, name_core FROM e WHERE c_custkey < 200),
+f AS (SELECT w.query_id, e.entity_key, e.clean_name, e.name_core, w.clean_name AS q_name, w.name_core AS q_core, e.n, coalesce(is_shared, false) AS is_shared FROM w JOIN e ON w.addr_key = e.addr_key AND w.zip3 = e.zip3 LEFT JOIN sh ON sh.addr_key = e.addr_key AND sh.zip5 = e.zip5 WHERE w.unit IS NULL OR e.unit IS NULL OR w.unit = e.unit)"""
+
+
+def _buildings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    e = entities(spark, d).select("entity_key", "c_custkey", "clean_name", "name_core", "addr_key", "zip5", F.expr("CASE c_custkey % 4 WHEN 0 THEN 'STE 1' WHEN 1 THEN 'STE 2' END").alias("unit"), "n")
+    shared = e.groupBy("addr_key", "zip5").agg((F.countDistinct("name_core") >= 6).alias("is_shared"))
+    w = e.where("c_custkey < 200")  # the stated queries
+    names = w.select(F.col("c_custkey").alias("query_id"), F.explode(F.array("clean_name", "name_core")).alias("name"))
+    return w.select(F.col("c_custkey").alias("query_id"), "addr_key", F.left("zip5", F.lit(3)).alias("zip3"), "unit"), e, shared, names
+
+
+@query(_BUILDING_SQL + """ SELECT DISTINCT query_id, entity_key, 'building' AS mode FROM f WHERE NOT is_shared UNION SELECT DISTINCT query_id, entity_key, 'cores' FROM f WHERE is_shared AND name_core <> '' AND name_core IN (q_name, q_core)
+ UNION SELECT DISTINCT query_id, entity_key, 'extending' FROM f WHERE is_shared AND ((q_name <> '' AND (starts_with(clean_name, q_name || ' ') OR starts_with(name_core, q_name || ' '))) OR (q_core <> '' AND (starts_with(clean_name, q_core || ' ') OR starts_with(name_core, q_core || ' '))))""")
+def address_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Entities in a query's building: any, and at shared offices those of its core or with its name and more words."""
+    wanted, e, shared, names = _buildings(spark, d)
+    parts = {"building": AD.at_addresses(wanted, e, shared), "cores": AD.at_addresses(wanted, e, shared, names), "extending": AD.at_addresses(wanted, e, shared, names, extending=True)}
+    return R.union_all([df.withColumn("mode", F.lit(mode)) for mode, df in parts.items()])
+
+
+@query(_BUILDING_SQL + " SELECT query_id, entity_key, n FROM (SELECT DISTINCT query_id, entity_key, n FROM f WHERE NOT is_shared) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, entity_key) <= 3")
+def listed_addresses(spark: SparkSession, d: str) -> DataFrame:
+    wanted, e, shared, _ = _buildings(spark, d)
+    return AD.at_listed(wanted, e, shared, 3)
+
+
+@query(f"""WITH {_ENTITY_SQL}, p AS (SELECT a.c_custkey AS query_id, b.entity_key, CASE b.c_custkey % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'uncertain' ELSE 'excluded' END AS bucket, round(jaro_winkler_similarity(a.clean_name, b.clean_name), 6) AS similarity FROM entity a JOIN entity b ON a.addr_key = b.addr_key AND a.zip5 = b.zip5 AND a.c_custkey <> b.c_custkey)
+SELECT * FROM p QUALIFY bucket = 'matched' OR row_number() OVER (PARTITION BY query_id, bucket ORDER BY similarity DESC, entity_key) <= CASE bucket WHEN 'excluded' THEN 1 ELSE 2 END""")
+def closest_per_bucket(spark: SparkSession, d: str) -> DataFrame:
+    e = entities(spark, d).select("addr_key", "zip5", "c_custkey", "clean_name", "entity_key")
+    a, b = e.alias("a"), e.alias("b")
+    bucket = F.expr("CASE b.c_custkey % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'uncertain' ELSE 'excluded' END")
+    pairs = a.join(b, ["addr_key", "zip5"]).where("a.c_custkey != b.c_custkey").select(F.col("a.c_custkey").alias("query_id"), F.col("b.entity_key").alias("entity_key"), bucket.alias("bucket"), F.round(jaro_winkler(F.col("a.clean_name"), F.col("b.clean_name")), 6).alias("similarity"))
+    return AD.keep_closest(pairs, {"excluded": 1, "uncertain": 2})
+
+
+@query(f"WITH {_ENTITY_SQL}, k AS (SELECT DISTINCT entity_key FROM entity WHERE n > 30) SELECT clean_name, state, sum(n)::BIGINT AS n, count(*) AS entities FROM entity JOIN k USING (entity_key) GROUP BY 1, 2")
+def facts_of_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of a given set of entities."""
+    e = entities(spark, d)
+    return AD.of_entities(e, e.where("n > 30")).groupBy("clean_name", "state").agg(F.sum("n").alias("n"), F.count("*").alias("entities"))
