@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import materialise, release
+from .storage import materialise, release, scratch
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -153,14 +153,21 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.tidy(_signatures), schema)
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.union(more)
+    return out
+
+
 def _beside(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``pairs(a, b)`` with the columns of both nodes, named ``a_...`` and ``b_...``.
 
     A node of more than ``HUB_PAIRS`` pairs has several copies of its row, and its pairs are dealt over them, so that
     no task gets all pairs of one hub.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    crowd = materialise(ends.groupBy("node").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("copies")).where("copies > 1"), "hubs")
+    sides = [pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("n")) for side in ("a", "b")]
+    crowd = materialise(_union(sides).groupBy("node").agg(F.ceil(F.sum("n") / HUB_PAIRS).cast("int").alias("copies")).where("copies > 1"), "hubs")
     plain = crowd.isEmpty()
     for side in ("a", "b"):
         own = table.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
@@ -189,20 +196,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     return counted.where(100 * F.col("common") >= numerator * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for more in tables[1:]:
-        out = out.union(more)
-    return out
-
-
 def _linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """The links among candidate pairs, written once."""
-    pairs = materialise(pairs, "pairs")
-    close = materialise(_close(pairs, sketches, numerator), "close")
-    links = materialise(_confirmed(close, sets, numerator), "links")
-    release(pairs, close)
-    return links
+    with scratch(sets.sparkSession):
+        close = materialise(_close(materialise(pairs, "pairs"), sketches, numerator), "close")
+        return materialise(_confirmed(close, sets, numerator), "links", keep=True)
 
 
 def _scan(nearest: int | None, numerator: int):
@@ -351,7 +349,8 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, crowd: int = CR
         more = materialise(_remaining(bare, labels, sketches, own_bands, nearest, numerator), "remaining", batch_rows=16)
         found = not more.isEmpty()
         if found:
-            new = materialise(_confirmed(more, sets, numerator), "links")
+            with scratch(sets.sparkSession):
+                new = materialise(_confirmed(more, sets, numerator), "links", keep=True)
             if not new.isEmpty():
                 tables.append(new)
                 old, labels = labels, components(_union(tables))
