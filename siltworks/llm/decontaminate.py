@@ -195,9 +195,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no span of an item, with all their columns as they are; see :func:`find_contamination`."""
-    found = hits(docs, benchmark).select(F.struct("k1", "k2").alias("_hit_text"))
-    own = F.struct(*_key(docs))
-    return docs.withColumn("_text_key", own).join(found, F.col("_text_key") == F.col("_hit_text"), "left_anti").select(*docs.columns)
+    found = hits(docs, benchmark).select(F.struct("k1", "k2").alias("hit"))
+    return docs.join(found, F.struct(*_key(docs)) == found["hit"], "left_anti")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
