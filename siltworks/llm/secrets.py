@@ -118,15 +118,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with ``secrets``, an array of (kind, start, end) by start, then kind as in ``KINDS``.
 
-    Null texts hold none. Matches of one kind never overlap; those of several kinds may. A column named
-    secrets that came in is replaced.
+    Null and empty texts hold none; a very long text is searched whole. Matches of one kind never overlap; those of several
+    kinds may. Repeated rows are each judged alike. A column named secrets that came in is replaced, others pass
+    through. An empty table gives no rows.
     """
     plain = docs.drop("secrets").withColumn("text", F.col("text").cast("string"))
     return plain.mapInArrow(K.tidy(_scan), StructType([*plain.schema.fields, _COLUMN]))
 
 
 def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each stretch that secrets cover replaced by ``marker``; other texts stay as they are."""
+    """``docs`` with each stretch that secrets cover replaced by ``marker``; other texts, null ones too, stay as they are.
+
+    Every row and column stays, repeated rows alike; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -166,7 +166,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, partitio
     """Encode every whole text, append id 0, and write the ids in ascending doc_id order to ``path``.
 
     Rows are dealt by ranges of (doc_id, text), so the partitions' streams, one after the other, are
-    in order; a null doc_id comes first, rows that repeat one stand side by side. Null texts are empty.
+    in order; a null doc_id comes first, rows that repeat one stand side by side. Null and empty texts are id 0 alone; a long
+    text goes on in several chunks. Other columns, whatever their names, are ignored. An empty table writes no chunk.
     """
     tokenizer = tokenizer or tokenizer_path()
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -210,7 +211,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_ids(spark, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files at ``path``."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files at ``path``; no rows if they hold no chunk."""
     chunks = spark.read.schema(_CHUNK).parquet(path)
     sizes = chunks.groupBy("part").agg(F.sum("n_ids").cast("long").alias("n")).collect()
     bases, total = {}, 0
@@ -226,7 +227,10 @@ def read_ids(spark, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Write the ids of ``docs`` to a new folder beside the checkpoints and read the files back."""
+    """Write the ids of ``docs`` to a new folder beside the checkpoints and read the files back.
+
+    One row for each row of ``docs``, as :func:`write_ids` orders them; an empty table gives none.
+    """
     path = new_path(docs.sparkSession, "token-ids")
     write_ids(docs, path, tokenizer)
     return read_ids(docs.sparkSession, path)
