@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, langid, minhash, packing, quality, reputation, secrets, suffixes, tokens
+from . import balance, chunks, decontaminate, infill, langid, minhash, packing, quality, reputation, secrets, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op10_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame
     return quality.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_minhash_near_dedup,
     op2_chunk_dedup,
@@ -64,6 +72,8 @@ _ALL = (
     op8_secret_scan,
     op9_language_id,
     op10_weak_supervision_quality,
+    op11_cost_balanced_packing,
+    op13_fill_in_middle,
 )
 
 
@@ -72,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_reputation": reputation.ORACLE_SQL, "op10_weak_supervision_quality": quality.ORACLE_SQL}
+    return {"op4_host_reputation": reputation.ORACLE_SQL, "op10_weak_supervision_quality": quality.ORACLE_SQL, "op13_fill_in_middle": infill.ORACLE_SQL}
