@@ -133,21 +133,17 @@ def test_pack(spark):
     assert sum(len(p) for p in own.values()) == len(rows)
     total = sum(k[1] * v for k, v in want.items())
     assert sum(n for x in by.values() for _, n in x) == total and len(by) <= total // 4096 + 12
-    # most documents that fit stay whole, and costs differ less than in order of arrival
+    # most documents that fit stay whole, and costs differ less than those of first fit
     cut = {(r.doc_id, r.doc_tokens) for r in rows if r.length < r.doc_tokens <= 4096}
     assert len(cut) < 0.15 * docs.count()
     costs = [r.cost for r in balance.sequence_costs(packed, 0, 1).collect() if r.n_tokens == 4096]
-    arrival, at = [0], 0
-    for doc, text in docs.collect():
-        n = len(ids_of(text))
-        while n:
-            take = min(n, 4096 - at)
-            arrival[-1] += take * take
-            n, at = n - take, at + take
-            if at == 4096:
-                arrival.append(0)
-                at = 0
-    assert np.std(costs) < np.std(arrival[:-1])
+    bins = []  # first fit, descending, of the same documents
+    for n in sorted((min(4096, len(ids) - at) for ids in (ids_of(t) for _, t in docs.collect()) for at in range(0, len(ids), 4096)), reverse=True):
+        if not (room := next((b for b in bins if b[0] >= n), None)):
+            bins.append(room := [4096, 0])
+        room[0] -= n
+        room[1] += n * n
+    assert np.std(costs) < np.std([b[1] for b in bins])
 
 
 @pytest.mark.parametrize("size", [8, 64])
