@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, chunks, decontaminate, infill, langid, minhash, packing, quality, reputation, secrets, suffixes, tokens
+from . import balance, chunks, decontaminate, infill, langid, minhash, packing, quality, reputation, search, secrets, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.report(_table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.report(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ _ALL = (
     op9_language_id,
     op10_weak_supervision_quality,
     op11_cost_balanced_packing,
+    op12_ranked_lexical_search,
     op13_fill_in_middle,
 )
 
@@ -82,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_reputation": reputation.ORACLE_SQL, "op10_weak_supervision_quality": quality.ORACLE_SQL, "op13_fill_in_middle": infill.ORACLE_SQL}
+    return {"op4_host_reputation": reputation.ORACLE_SQL, "op10_weak_supervision_quality": quality.ORACLE_SQL, "op12_ranked_lexical_search": search.ORACLE_SQL, "op13_fill_in_middle": infill.ORACLE_SQL}
