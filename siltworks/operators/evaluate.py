@@ -19,12 +19,21 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label", ranges: i
     totals = placed.groupBy("range").agg(F.sum("neg").alias("total")).select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("neg_before"))  # at most ``ranges`` rows
     below = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.join(totals, "range").withColumn("neg_below", F.col("neg_before") + F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
-    return ranked.agg(F.round(won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)), 6).alias("auc"))
+    whole = lambda c: c.cast("decimal(38,0)")
+    won = F.sum(whole(F.col("pos")) * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(19,0)"))  # in halves, so exact
+    pairs = 2 * whole(F.sum("pos")) * F.sum("neg").cast("decimal(19,0)")
+    return ranked.agg((whole(won) / F.nullif(whole(pairs), F.lit(0).cast("decimal(38,0)"))).cast("decimal(10,6)").cast("double").alias("auc"))
 
 
 def brier(score: str = "score", label: str = "label") -> Column:
-    return F.avg((F.col(score) - F.col(label)) ** 2)
+    """The mean squared error to six digits, the last one rounded half up; null for no rows.
+
+    Squares are summed as decimals of twelve digits and divided once, so neither the order of rows nor their partitions
+    change a digit, not even of a tie.
+    """
+    squares = F.sum(((F.col(score) - F.col(label)) ** 2).cast("decimal(22,12)")).cast("decimal(32,12)")
+    n = F.count(F.when(F.col(score).isNotNull() & F.col(label).isNotNull(), 1)).cast("decimal(19,0)")
+    return F.round(squares / F.nullif(n, F.lit(0).cast("decimal(19,0)")), 6).cast("double")
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -163,17 +163,19 @@ def silver_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"), (F.col("a.name_core") == F.col("b.name_core")).cast("int").alias("label"))
 
 
-_SCORED = "s AS (SELECT o_orderkey, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS score, CAST(o_orderkey * 31 % 1000 < o_orderkey * 7919 % 1000 AS INTEGER) AS label FROM orders)"
+# scores in thousandths, so that squares, and the halves that AUC counts, are whole numbers
+_SCORED = "s AS (SELECT o_orderkey, o_orderkey * 7919 % 1000 AS score, CAST(o_orderkey * 31 % 1000 < o_orderkey * 7919 % 1000 AS INTEGER) AS label FROM orders)"
 
 
 @query(f"""WITH {_SCORED}, g AS (SELECT score, sum(label) AS pos, count(*) - sum(label) AS neg FROM s GROUP BY 1), w AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
-a AS (SELECT round(sum(pos * (below + neg / 2.0))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE, 6) AS auc FROM w),
-m AS (SELECT round(avg((score - label) ** 2), 6) AS brier, count(*) AS n, sum(label)::BIGINT AS k FROM s)
-SELECT auc, brier, n, k, round((k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n) * (1 - k / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS low FROM a, m""")
+h AS (SELECT sum(pos * (2 * below + neg))::HUGEINT AS won, (2 * sum(pos) * sum(neg))::HUGEINT AS pairs FROM w),
+a AS (SELECT ((2000000 * won + pairs) // (2 * pairs))::DOUBLE / 1000000 AS auc FROM h),
+m AS (SELECT sum((score - 1000 * label) * (score - 1000 * label))::HUGEINT AS squares, count(*) AS n, sum(label)::BIGINT AS k FROM s)
+SELECT auc, ((2 * squares + n) // (2 * n))::DOUBLE / 1000000 AS brier, n, k, round((k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n) * (1 - k / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS low FROM a, m""")
 def auc_brier_wilson(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey")
     s = o.select((F.col("o_orderkey") * 7919 % 1000 / 1000.0).alias("score"), (F.col("o_orderkey") * 31 % 1000 < F.col("o_orderkey") * 7919 % 1000).cast("int").alias("label"))
-    m = s.agg(F.round(E.brier(), 6).alias("brier"), F.count("*").alias("n"), F.sum("label").alias("k"))
+    m = s.agg(E.brier().alias("brier"), F.count("*").alias("n"), F.sum("label").alias("k"))
     low, _ = E.wilson(F.col("k"), F.col("n"))
     return E.auc(s).crossJoin(F.broadcast(m)).select("auc", "brier", "n", "k", F.round(low, 6).alias("low"))  # one row each
 
