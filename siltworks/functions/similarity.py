@@ -53,41 +53,55 @@ def winkler_batch(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def winkler(a: str, b: str) -> float:
+    """One pair; for more, :func:`winkler_batch` takes them all at once."""
     return float(winkler_batch([a], [b])[0])
 
 
+#: Cells of the tables that :func:`damerau_batch` fills at a time.
+_CELLS = 1 << 22
+
+
+def damerau_batch(a: list[str], b: list[str]) -> np.ndarray:
+    """Edits by insertion, deletion, substitution and swaps of neighbours, substrings edited freely, of each pair.
+
+    The table of a pair is filled cell by cell, each cell for all pairs of about the same length at once.
+    """
+    out = np.zeros(len(a), np.int64)
+    size = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    order = np.argsort(size, kind="stable")
+    first = 0
+    while first < len(a):
+        cells = (size[order[first:]] + 2) ** 2
+        upto = first + max(1, int(np.searchsorted(np.arange(1, len(cells) + 1) * cells, _CELLS, "right")))
+        mine = order[first:upto]
+        out[mine] = _damerau([a[k] for k in mine], [b[k] for k in mine])
+        first = upto
+    return out
+
+
+def _damerau(a: list[str], b: list[str]) -> np.ndarray:
+    x, n = _codes(a)
+    y, m = _codes(b)
+    rows, most = np.arange(len(a)), n + m
+    d = np.empty((x.shape[1] + 2, y.shape[1] + 2, len(a)), np.int64)
+    d[0], d[:, 0] = most, most
+    d[1:, 1] = np.arange(x.shape[1] + 1)[:, None]
+    d[1, 1:] = np.arange(y.shape[1] + 1)[:, None]
+    seen = np.zeros((y.shape[1], len(a)), np.int64)  # the last row whose letter is the column's
+    for i in range(1, x.shape[1] + 1):
+        same = y.T == x[:, i - 1]
+        met = np.zeros(len(a), np.int64)  # the last column of this row whose letter is the row's
+        for j in range(1, y.shape[1] + 1):
+            k = seen[j - 1]
+            swapped = d[k, met, rows] + (i - k - 1) + 1 + (j - met - 1)
+            d[i + 1, j + 1] = np.minimum(np.minimum(d[i, j] + ~same[j - 1], d[i, j + 1] + 1), np.minimum(d[i + 1, j] + 1, swapped))
+            met = np.where(same[j - 1], j, met)
+        seen[same] = i
+    return d[n + 1, m + 1, rows]
+
+
 def damerau(a: str, b: str) -> int:
-    """Edits by insertion, deletion, substitution and swaps of neighbours, substrings edited freely."""
-    last: dict[str, int] = {}
-    most = len(a) + len(b)
-    d = [[most] * (len(b) + 2) for _ in range(len(a) + 2)]
-    for i in range(len(a) + 1):
-        d[i + 1][1] = i
-    for j in range(len(b) + 1):
-        d[1][j + 1] = j
-    for i in range(1, len(a) + 1):
-        match = 0
-        for j in range(1, len(b) + 1):
-            k, m = last.get(b[j - 1], 0), match
-            cost = a[i - 1] != b[j - 1]
-            if not cost:
-                match = j
-            d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
-        last[a[i - 1]] = i
-    return d[-1][-1]
-
-
-def one_slip(a: str, b: str) -> bool:
-    """One letter put in, left out, or swapped with the next, after the third, in names of seven letters or more."""
-    if a == b or min(len(a.replace(" ", "")), len(b.replace(" ", ""))) < 7 or any(c.isdigit() for c in a + b):
-        return False
-    short, long = sorted((a, b), key=len)
-    at = next((i for i, (x, y) in enumerate(zip(short, long, strict=False)) if x != y), len(short))
-    if at < 3:
-        return False
-    if len(long) == len(short) + 1:
-        return long[at] != " " and long[:at] + long[at + 1 :] == short
-    return len(long) == len(short) and " " not in a[at : at + 2] and a[:at] + a[at : at + 2][::-1] + a[at + 2 :] == b
+    return int(damerau_batch([a], [b])[0])
 
 
 def _pairs(batch: Callable[[list[str], list[str]], list], kind: str):
@@ -103,20 +117,12 @@ def _pairs(batch: Callable[[list[str], list[str]], list], kind: str):
     return run
 
 
-def _each(f: Callable) -> Callable:
-    return lambda a, b: [f(x, y) for x, y in zip(a, b, strict=True)]
-
-
 def jaro_winkler(a, b):
     return _pairs(winkler_batch, "double")(a, b)
 
 
 def damerau_levenshtein(a, b):
-    return _pairs(_each(damerau), "int")(a, b)
-
-
-def is_one_slip(a, b):
-    return _pairs(_each(one_slip), "boolean")(a, b)
+    return _pairs(damerau_batch, "int")(a, b)
 
 
 def may_reach(a: Column, b: Column, least: float) -> Column:
@@ -138,15 +144,40 @@ def near_words(a: list[str], b: list[str]) -> np.ndarray:
     return (winkler_batch(a, b) >= NEAR_WORD) & (size <= 1)
 
 
+def typo_equal_batch(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether the names of each pair are equal but for slips: word by word, or as a whole. Empty names equal nothing."""
+    out = np.fromiter((bool(x) and x == y for x, y in zip(a, b, strict=True)), bool, len(a))
+    open_ = [k for k in np.flatnonzero(~out) if a[k] and b[k]]
+    split = [(k, a[k].split(), b[k].split()) for k in open_]
+    flat = [(k, u, v) for k, x, y in split if len(x) == len(y) for u, v in zip(x, y, strict=True)]
+    if flat:
+        owner, us, vs = zip(*flat, strict=True)
+        good = near_words(list(us), list(vs))
+        owner = np.array(owner)
+        worst = np.ones(len(a), bool)
+        np.logical_and.at(worst, owner, good)
+        out[np.unique(owner)] |= worst[np.unique(owner)]
+    rest = [k for k in open_ if not out[k] and abs(len(a[k]) - len(b[k])) <= 1]
+    if rest:
+        out[rest] = winkler_batch([a[k] for k in rest], [b[k] for k in rest]) >= NEAR_NAME
+    return out
+
+
 def typo_equal(a: str, b: str) -> bool:
-    """Names equal but for slips: word by word, or as a whole."""
-    if not a or not b or a == b:
-        return bool(a) and a == b
-    x, y = a.split(), b.split()
-    if len(x) == len(y) and bool(near_words(x, y).all()):
-        return True
-    return abs(len(a) - len(b)) <= 1 and winkler(a, b) >= NEAR_NAME
+    return bool(typo_equal_batch([a], [b])[0])
+
+
+def near_any(words: list[str], others: list[str]) -> list[np.ndarray]:
+    """For each row of two lists of words, joined by spaces: which of the first have a near word among the second."""
+    split = [(x.split(), y.split()) for x, y in zip(words, others, strict=True)]
+    flat = [(u, v) for x, y in split for u in x for v in y]
+    near = near_words(*map(list, zip(*flat, strict=True))) if flat else np.zeros(0, bool)
+    out, at = [], 0
+    for x, y in split:
+        out.append(near[at : at + len(x) * len(y)].reshape(len(x), len(y)).any(axis=1))
+        at += len(x) * len(y)
+    return out
 
 
 def is_typo_equal(a, b):
-    return _pairs(_each(typo_equal), "boolean")(a, b)
+    return _pairs(typo_equal_batch, "boolean")(a, b)

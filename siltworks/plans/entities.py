@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.functions.names import name_core
-from siltworks.functions.similarity import damerau_levenshtein, jaro_winkler
+from siltworks.functions.similarity import jaro_winkler
 from siltworks.operators import evaluate as E, rows as R
-from siltworks.resolve import addresses as AD, candidates as C, index as I, remap as M, rules as D
+from siltworks.resolve import addresses as AD, candidates as C, index as I, neighbours as NB, remap as M, rules as D
 from siltworks.session import table
 
 from .marts import query
 from .text import _CORE as _CORE_SQL, _rows
 
-ENTITY = """SELECT md5(CAST(c_custkey AS STRING)) AS entity_key, c_custkey, upper(p_name) || CASE c_custkey % 5 WHEN 0 THEN ' ROOFING' WHEN 1 THEN ' ' || upper(p_type) WHEN 2 THEN ' GROUP' WHEN 3 THEN ' ' || substr(upper(p_name), 2, 4) || 'ING' ELSE '' END AS clean_name,
+# Words made from a number: as many as there are customers. Of three customers with one word, the second leaves a letter out and
+# the third swaps two or has another letter in a place.
+_NUMBER = "CAST(floor(c_custkey / 3) AS BIGINT)"
+_WORD = f"translate(left(md5(CAST({_NUMBER} AS STRING)), 8), '0123456789abcdef', 'ABCDEFGHIKLMNOPR')"
+MADE = f"""CASE WHEN c_custkey % 3 = 0 THEN {_WORD} WHEN c_custkey % 3 = 1 THEN left({_WORD}, CAST(2 + {_NUMBER} % 6 AS INT)) || substr({_WORD}, CAST(4 + {_NUMBER} % 6 AS INT))
+ WHEN {_NUMBER} % 2 = 0 THEN left({_WORD}, 4) || substr({_WORD}, 6, 1) || substr({_WORD}, 5, 1) || substr({_WORD}, 7) ELSE left({_WORD}, 5) || 'Z' || substr({_WORD}, 7) END"""
+ENTITY = f"""SELECT md5(CAST(c_custkey AS STRING)) AS entity_key, c_custkey, CASE WHEN c_custkey % 4 = 0 THEN upper(p_name) ELSE {MADE} END || CASE c_custkey % 5 WHEN 0 THEN ' ROOFING' WHEN 1 THEN ' ' || upper(p_type) WHEN 2 THEN ' GROUP' WHEN 3 THEN ' ' || substr(upper(p_name), 2, 4) || 'ING' ELSE '' END AS clean_name,
  CAST(c_nationkey % 7 AS STRING) AS state, CAST(c_nationkey AS STRING) AS city, CAST(10000 + CAST(floor(c_custkey / 40) AS BIGINT) AS STRING) AS zip5, CAST(c_custkey % 5 AS STRING) || ' MAIN' AS addr_key, c_custkey % 40 AS n
  FROM customer JOIN part ON p_partkey = c_custkey - c_custkey % 3 + 1"""
 _ENTITY_SQL = "entity_ AS (" + ENTITY.replace("STRING", "VARCHAR") + f"), entity AS (SELECT *, {_CORE_SQL.replace('clean', 'clean_name')} AS name_core FROM entity_)"
@@ -48,15 +54,18 @@ def fuzzy_block_join(spark: SparkSession, d: str) -> DataFrame:
     return C.similar_tokens(tokens, tokens)
 
 
-@query(f"""WITH {_ENTITY_SQL}, l AS (SELECT entity_key AS key, clean_name AS name, state, zip5, addr_key FROM entity WHERE c_custkey % 2 = 0), r AS (SELECT c_custkey AS ref_id, clean_name AS name, state, zip5, addr_key FROM entity WHERE c_custkey % 2 = 1),
+# filings of the same companies: some leave a letter out, some give another zip or address
+_FILED = "CASE WHEN c_custkey % 4 = 1 THEN left(clean_name, 5) || substr(clean_name, 7) ELSE clean_name END AS name, state, CASE WHEN c_custkey % 6 = 2 THEN '99999' ELSE zip5 END AS zip5, CASE WHEN c_custkey % 7 = 3 THEN 'ELSEWHERE' ELSE addr_key END AS addr_key"
+
+
+@query(f"""WITH {_ENTITY_SQL}, l AS (SELECT entity_key AS key, clean_name AS name, state, zip5, addr_key FROM entity), r AS (SELECT c_custkey AS ref_id, {_FILED} FROM entity),
 u AS (SELECT key, ref_id, 'M1' AS method FROM l JOIN r USING (name, state, zip5) UNION SELECT key, ref_id, 'M2' FROM l JOIN r USING (name, state, addr_key)
  UNION SELECT key, ref_id, 'M3' FROM l JOIN r USING (addr_key, zip5, state) WHERE l.name <> r.name AND length(l.name) >= 5 AND length(r.name) >= 5 AND jaro_winkler_similarity(l.name, r.name) >= 0.93)
 SELECT key, ref_id, min(method) AS method FROM u GROUP BY 1, 2""")
 def fuzzy_ref_link(spark: SparkSession, d: str) -> DataFrame:
     e = entities(spark, d)
-    left = e.where("c_custkey % 2 = 0").select(F.col("entity_key").alias("key"), F.col("clean_name").alias("name"), "state", "zip5", "addr_key")
-    right = e.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("ref_id"), F.col("clean_name").alias("name"), "state", "zip5", "addr_key")
-    return C.exact_links(left, right)
+    left = e.select(F.col("entity_key").alias("key"), F.col("clean_name").alias("name"), "state", "zip5", "addr_key")
+    return C.exact_links(left, spark.sql(f"SELECT c_custkey AS ref_id, {_FILED} FROM {{e}}", e=e))
 
 
 _SEARCH = f"""WITH {_ENTITY_SQL}, q AS (SELECT s_suppkey AS query_id, upper(p_name) || CASE s_suppkey % 3 WHEN 0 THEN ' ROOFING' WHEN 1 THEN '' ELSE ' BUILDERS' END AS q_name, CAST(s_nationkey % 7 AS VARCHAR) AS q_state FROM supplier JOIN part ON p_partkey = s_suppkey * 3 + 1),
@@ -198,13 +207,31 @@ def similarity_at_address(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_ENTITY_SQL}, t AS (SELECT DISTINCT unnest(string_split(clean_name, ' ')) AS token FROM entity)
-SELECT a.token AS a, b.token AS b FROM t a JOIN t b ON left(a.token, 1) = left(b.token, 1) AND a.token < b.token AND abs(length(a.token) - length(b.token)) <= 1 WHERE damerau_levenshtein(a.token, b.token) = 1""")
+SELECT a.token AS a, b.token AS b, CASE WHEN length(a.token) <> length(b.token) THEN 'gap' WHEN hamming(a.token, b.token) = 1 THEN 'letter' ELSE 'swap' END AS how
+FROM t a JOIN t b ON a.token < b.token AND abs(length(a.token) - length(b.token)) <= 1 WHERE damerau_levenshtein(a.token, b.token) = 1""")
 def one_edit_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs one edit or swap apart, blocked on the first letter and on lengths that can be so."""
-    t = I.token_index(entities(spark, d)).select("token").distinct().withColumns({"first": F.left("token", F.lit(1)), "n": F.length("token")})
-    lengths = t.withColumn("m", F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1))).select(F.col("token").alias("a"), "first", F.col("m").alias("n"))
-    pairs = lengths.join(t.withColumnRenamed("token", "b"), ["first", "n"]).where("a < b")
-    return pairs.where(damerau_levenshtein("a", "b") == 1).select("a", "b").distinct()
+    """Words one edit or swap apart, over all words of all names."""
+    return NB.one_edit(I.token_index(entities(spark, d)).select(F.col("token").alias("name")))
+
+
+# what users type: a customer's word with a letter twice, or two swapped, in its own city
+_TYPED = "CASE WHEN c_custkey % 6 = 1 THEN left(w, 5) || substr(w, 5) WHEN c_custkey % 6 = 3 THEN left(w, 4) || substr(w, 6, 1) || substr(w, 5, 1) || substr(w, 7) ELSE w END"
+
+
+@query(f"""WITH {_ENTITY_SQL}, r AS (SELECT split_part(clean_name, ' ', 1) AS name, state, city FROM entity WHERE c_custkey % 2 = 1),
+q AS (SELECT query_id, {_TYPED} AS name, state, city FROM (SELECT c_custkey AS query_id, c_custkey, split_part(clean_name, ' ', 1) AS w, state, CAST((CAST(city AS BIGINT) + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END) % 25 AS VARCHAR) AS city FROM entity)),
+t AS (SELECT name, count(*) <= 3 AS rare FROM r GROUP BY 1),
+p AS (SELECT DISTINCT query_id, r.name AS found FROM q JOIN r USING (state, city) WHERE q.name NOT IN (SELECT name FROM r) AND damerau_levenshtein(q.name, r.name) = 1 AND left(q.name, 3) = left(r.name, 3)
+  AND (length(q.name) <> length(r.name) OR hamming(q.name, r.name) = 2) AND least(length(q.name), length(r.name)) >= 7 AND NOT regexp_matches(q.name || r.name, '[0-9 ]'))
+SELECT query_id, min(found) AS corrected FROM p GROUP BY 1 HAVING count(*) = 1 AND (SELECT rare FROM t WHERE name = min(found))""")
+def city_spelling(spark: SparkSession, d: str) -> DataFrame:
+    """A typed name that stands nowhere, and the one rare name a slip away in its city."""
+    e = entities(spark, d).withColumn("w", F.split_part("clean_name", F.lit(" "), F.lit(1)))
+    records = e.where("c_custkey % 2 = 1").select(F.col("w").alias("name"), "state", "city")
+    moved = F.expr("CAST((CAST(city AS BIGINT) + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END) % 25 AS STRING)")
+    queries = e.select(F.col("c_custkey").alias("query_id"), F.expr(_TYPED).alias("name"), "state", moved.alias("city"))
+    tiers = records.groupBy("name").agg(F.when(F.count("*") <= 3, "distinctive").otherwise("medium").alias("tier"))
+    return NB.spelling_in_city(queries, records, tiers)
 
 
 @query(f"""WITH {_ENTITY_SQL} SELECT clean_name, c_custkey, n FROM entity QUALIFY row_number() OVER (PARTITION BY clean_name ORDER BY n DESC, c_custkey) <= 2""")

@@ -69,8 +69,9 @@ def correct_spelling(unknown: DataFrame, known: DataFrame, least_n: int = 10, ti
 
     ``unknown`` and ``known`` have ``name`` and ``n``; where several qualify, the most frequent wins.
     """
-    k = known.select(F.col("name").alias("corrected"), F.col("n").alias("known_n"), F.left("name", F.lit(2)).alias("head"))
-    pairs = unknown.select("name", "n", F.left("name", F.lit(2)).alias("head")).join(k, "head").where((F.col("name") != F.col("corrected")) & (F.col("known_n") >= least_n) & (F.col("known_n") >= times * F.col("n")))
-    near = pairs.where((F.abs(F.length("name") - F.length("corrected")) <= 1) & may_reach(F.col("name"), F.col("corrected"), 0.9)).where(jaro_winkler("name", "corrected") >= 0.9)
+    k = known.select(F.col("name").alias("corrected"), F.col("n").alias("known_n"), F.left("name", F.lit(2)).alias("head"), F.length("name").alias("size"))
+    near = F.explode(F.sequence(F.length("name") - 1, F.length("name") + 1))
+    pairs = unknown.select("name", "n", F.left("name", F.lit(2)).alias("head"), near.alias("size")).join(k, ["head", "size"]).where((F.col("name") != F.col("corrected")) & (F.col("known_n") >= least_n) & (F.col("known_n") >= times * F.col("n")))
+    near = pairs.where(may_reach(F.col("name"), F.col("corrected"), 0.9)).where(jaro_winkler("name", "corrected") >= 0.9)
     pick = Window.partitionBy("name").orderBy(F.desc("known_n"), "corrected")
     return near.withColumn("_n", F.row_number().over(pick)).where("_n = 1").select("name", "corrected")

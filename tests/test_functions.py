@@ -127,11 +127,6 @@ def test_similarity_equals_duckdb():
         assert abs(S.winkler(a, b) - jw) < 1e-9 and S.damerau(a, b) == dl, (a, b)
 
 
-def test_one_slip():
-    assert S.one_slip("ROOFING", "ROOFNIG") and S.one_slip("ROOFING", "ROOFIING") and not S.one_slip("ROOFING", "ORFOING") and not S.one_slip("ROOF", "ROFF")
-    assert not S.one_slip("PLAIN STONE", "PLAINSTONE") and not S.one_slip("TOWER B2", "TOWER B3") and not S.one_slip("TAMARIS", "TOMARIS")
-
-
 def test_batches_equal_single_pairs_and_bound(spark):
     import random
 
