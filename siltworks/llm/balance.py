@@ -181,8 +181,9 @@ def pack_balanced(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None =
     shared = spark.sparkContext.broadcast(plan(histogram, size, linear, quadratic))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # there is a base for each length and partition, so its table grows with the documents: never broadcast it
-    numbered = pieces.join(bases.hint("merge"), ["length", "part"]).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("number") + F.col("base")).alias("number"))
+    # there is a base for each length and partition, so its table grows with the documents: never broadcast it. A shuffle
+    # partition holds ``lengths * parts / partitions`` of them in a hash table and streams the pieces with their ids, unsorted
+    numbered = pieces.join(bases.hint("shuffle_hash"), ["length", "part"]).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("number") + F.col("base")).alias("number"))
     placed = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
     return numbered.mapInArrow(K.tidy(_place(shared, path, with_ids)), placed)
 
