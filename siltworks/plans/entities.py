@@ -89,48 +89,6 @@ def candidate_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return C.search(q, e, ix, I.token_frequency(ix), 20).withColumn("similarity", F.round("similarity", 6))
 
 
-# name, state, city of query and candidate, tier, at the address, same kind of business; what follows
-PAIRS = [
-    ("ACME", "TX", "DALLAS", "ACME", "TX", "WACO", "distinctive", False, False, "matched", "M1"),
-    ("ACME", "TX", "DALLAS", "ACME SERVICES", "TX", "WACO", "distinctive", False, False, "matched", "M1b"),
-    ("ACME", "TX", "DALLAS", "ACME", "OK", "TULSA", "distinctive", False, False, "matched", "M3"),
-    ("ACME", "TX", "DALLAS", "ACME", "TX", "DALLAS", "distinctive", False, True, "uncertain", "N1"),
-    ("ACME ROOFING", "TX", "DALLAS", "ACME PLUMBING", "TX", "DALLAS", "distinctive", False, False, "uncertain", "U3"),
-    ("ACME", "TX", "DALLAS", "ZENITH", "TX", "DALLAS", "distinctive", False, False, "excluded", "X1"),
-    ("BEST ROOFING", "TX", "DALLAS", "QUALITY ROOFING", "TX", "DALLAS", "generic", False, False, "excluded", "X2"),
-    ("BEST ROOFING", "TX", "DALLAS", "BEST ROOFING", "OK", "TULSA", "generic", False, False, "uncertain", "U4"),
-    ("SMITH", "TX", "DALLAS", "SMITH GROUP", "TX", "DALLAS", "medium", False, False, "uncertain", "U2"),
-    ("SMITH", "TX", "DALLAS", "SMITH GROUP", "TX", "WACO", "medium", False, False, "excluded", "X3"),
-    ("ACME WELDERS", "TX", "DALLAS", "ACME WELDRES", "OK", "TULSA", "distinctive", True, False, "matched", "M2"),
-    ("ACME", "TX", "DALLAS", "ACME ZULU", "TX", "DALLAS", "distinctive", True, False, "uncertain", "S3"),
-    ("ACME", "TX", "DALLAS", "ACME BRANCH 2", "TX", "DALLAS", "distinctive", False, False, "uncertain", "S2"),
-    ("ACME", "TX", "DALLAS", "ACME TEXAS", "TX", "DALLAS", "distinctive", False, False, "uncertain", "S4"),
-    ("ACME", "TX", "DALLAS", "ACME ZULU", "TX", "DALLAS", "distinctive", False, False, "excluded", "X1"),
-]
-
-
-def _pairs(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame([(i, *r[:9]) for i, r in enumerate(PAIRS)], "pair long, q_name string, q_state string, q_city string, c_name string, c_state string, c_city string, q_tier string, c_at_address boolean, c_other_kind boolean")
-    core = {"q_core": name_core(F.col("q_name")), "c_core": name_core(F.col("c_name"))}
-    return df.withColumns(core)
-
-
-@query(f"SELECT CAST(i AS BIGINT) AS pair, bucket, rule_id FROM (VALUES {_rows([(str(i), *r[9:]) for i, r in enumerate(PAIRS)])}) v(i, bucket, rule_id)")
-def rule_cascade_decide(spark: SparkSession, d: str) -> DataFrame:
-    return D.decide(_pairs(spark)).select("pair", "bucket", "rule_id")
-
-
-@query("SELECT * FROM (VALUES (1, 'a', 'matched', 'M1'), (1, 'b', 'matched', 'M2'), (1, 'c', 'matched', 'M2'), (1, 'd', 'excluded', 'X1')) v(query_id, candidate, bucket, rule_id)")
-def address_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """A match brings its address, a near name there matches, and so does one at that one's address."""
-    rows = [(1, "a", "ACME WELDERS", "1 MAIN"), (1, "b", "ACME WELDRES", "1 MAIN"), (1, "c", "ACME WELDERSS", "1 MAIN"), (1, "d", "ZENITH", "9 OAK")]
-    df = spark.createDataFrame(rows, "query_id int, candidate string, c_name string, c_address string")
-    one = _pairs(spark).where("pair = 0").drop("pair", "c_name", "c_core", "q_name", "q_core", "c_state", "c_city", "c_at_address")
-    df = df.crossJoin(F.broadcast(one))  # one row
-    df = df.withColumns({"q_name": F.lit("ACME WELDERS"), "q_core": F.lit("ACME WELDERS"), "c_core": F.col("c_name"), "c_state": F.when(F.col("candidate") == "a", "TX").otherwise("OK"), "c_city": F.lit("X")})
-    return D.expand_addresses(df).select("query_id", "candidate", "bucket", "rule_id")
-
-
 @query(f"""WITH {_ENTITY_SQL}, old AS (SELECT DISTINCT clean_name, state FROM entity WHERE c_custkey % 10 = 0)
 SELECT c_custkey, row_number() OVER (PARTITION BY clean_name, state ORDER BY c_custkey) > 1 OR EXISTS (SELECT 1 FROM old o WHERE o.clean_name = e.clean_name AND o.state = e.state) AS is_duplicate FROM entity e WHERE c_custkey % 10 <> 0""")
 def duplicate_entries(spark: SparkSession, d: str) -> DataFrame:
