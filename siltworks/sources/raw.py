@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -59,6 +60,34 @@ def lookup(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return raw.select(*(squeeze(F.col(f.name)).try_cast(f.dataType).alias(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
 
 
+def put_in_place(spark: SparkSession, path: str, body: str) -> bool:
+    """Writes a small file whole under a name that no one has taken; false if it is taken.
+
+    A draft is written first and then given the name: by a rename, which fails where the name exists, or on a local disk, where it
+    would not fail, by a hard link.
+    """
+    fs, draft = _fs(spark, f"{path.rpartition('/')[0]}/_draft.{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+    _, target = _fs(spark, path)
+    if fs.getScheme() != "file":
+        if done := fs.rename(draft, target):
+            return done
+        fs.delete(draft, False)
+        return False
+    local = lambda p: spark._jvm.java.nio.file.Paths.get(fs.makeQualified(p).toUri())
+    try:
+        spark._jvm.java.nio.file.Files.createLink(local(target), local(draft))
+        return True
+    except Exception as e:
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
+
+
 class Shrunk(ValueError):
     """Tables of a build lost more rows than allowed; it wasn't published."""
 
@@ -81,12 +110,8 @@ def publish(tables: dict[str, DataFrame], root: str, build_id: str, info: dict,
         before = {t: p["rows"] for t, p in current(spark, root).get("tables", {}).items()}
         if lost := shrunk(before, {t: p["rows"] for t, p in prints.items()}, most_lost):
             raise Shrunk(f"rows before and after: {lost}")
-    fs, draft = _fs(spark, f"{root}/_pointer.{build_id}")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps(info | {"build_id": build_id, "tables": prints}, sort_keys=True).encode()))
-    out.close()
-    _, target = _fs(spark, f"{root}/CURRENT.{old[-1] + 1 if old else 1:012d}")
-    if not fs.rename(draft, target):
+    body = json.dumps(info | {"build_id": build_id, "tables": prints}, sort_keys=True)
+    if not put_in_place(spark, f"{root}/CURRENT.{old[-1] + 1 if old else 1:012d}", body):
         raise FileExistsError(f"another build was published at {root} meanwhile")
     return build_id
 
