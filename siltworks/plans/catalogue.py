@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siltworks.session import table
 from siltworks.streaming import marts as streaming
 
-from . import asked, builds, cascade, entities, facts, marts, text, verdicts  # noqa: F401  they register their queries
+from . import asked, builds, cascade, documents, entities, facts, marts, text, verdicts  # noqa: F401  they register their queries
 
 
 @marts.query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS value FROM events GROUP BY 1, 2")
