@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.functions import jsons as J
-from siltworks.operators import quotes as QT
+from siltworks.operators import grounding as G, quotes as QT, written as W
 from siltworks.session import table
 from siltworks.sources.scratch import keeper
 from siltworks.streaming import requeue as RQ, runs as RN
@@ -53,3 +53,44 @@ def requeue_due(spark: SparkSession, d: str) -> DataFrame:
     """Decisions that could not be made and had no other within ten hours."""
     x = spark.sql(_DECISIONS.replace("FROM events", "FROM {events}"), events=table(spark, d, "events"))
     return RQ.requeued(x, F.lit("2024-01-25").cast("timestamp"), 600)
+
+
+# numbers as words, by an expression that both engines read: SQL writes what has to be read back
+_ONES, _TENS = " ".join(("zero", *W.ONES, *W.TEENS)), " ".join(("none", "none", *W.TENS))
+_ORDINALS = " ".join(("none", *W.ORDINAL_ONES, *W.ORDINAL_TEENS, "twentieth"))
+_whole = lambda x, by: f"CAST(floor(({x}) / {by}) AS INT)"
+
+
+def _spelt(x: str) -> str:
+    """Words of a number below two million."""
+    one = lambda x: f"split_part('{_ONES}', ' ', CAST({x} + 1 AS INT))"
+    two = lambda x: f"CASE WHEN {x} < 20 THEN {one(x)} WHEN {x} % 10 = 0 THEN split_part('{_TENS}', ' ', {_whole(x, 10)} + 1) ELSE split_part('{_TENS}', ' ', {_whole(x, 10)} + 1) || '-' || {one(f'{x} % 10')} END"
+    three = lambda x: f"CASE WHEN {x} < 100 THEN {two(x)} WHEN {x} % 100 = 0 THEN {one(_whole(x, 100))} || ' hundred' ELSE {one(_whole(x, 100))} || ' hundred and ' || {two(f'({x} % 100)')} END"
+    parts = [f"CASE WHEN {x} >= 1000000 THEN {one(_whole(x, 1000000))} || ' million' END", f"CASE WHEN {x} % 1000000 >= 1000 THEN {three(_whole(f'{x} % 1000000', 1000))} || ' thousand' END", f"CASE WHEN {x} % 1000 > 0 OR {x} = 0 THEN {three(f'({x} % 1000)')} END"]
+    return f"concat_ws(' ', {', '.join(parts)})"
+
+
+_MONTH = f"split_part('{' '.join(W.MONTHS)}', ' ', CAST(1 + turn % 12 AS INT))"
+_N, _D, _Y = "((conv_id * 7919 + turn * 104729) % 2000000)", "(1 + (conv_id + turn) % 20)", "(1990 + (conv_id + turn) % 40)"
+_DAY = f"CASE conv_id % 3 WHEN 0 THEN CAST({_D} AS STRING) || ' ' || {_MONTH} || ' ' || CAST({_Y} AS STRING) WHEN 1 THEN 'the ' || split_part('{_ORDINALS}', ' ', CAST({_D} + 1 AS INT)) || ' of ' || {_MONTH} || ', ' || CAST({_Y} AS STRING) ELSE upper({_MONTH}) || ' ' || CAST({_D} AS STRING) || 'th, ' || CAST({_Y} AS STRING) END"
+_SAID = f"SELECT conv_id, turn, coalesce(text, '') || '. On ' || {_DAY} || ' they counted ' || {_spelt(_N)} || ' falls.' AS said FROM conversations"
+
+
+@query(f"SELECT conv_id, turn, {_N} AS n, make_date({_Y}, 1 + turn % 12, {_D}) AS day FROM conversations")
+def written_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The last number and date that texts write in words. The SQL never parses: it gives what was written."""
+    said = spark.sql(_SAID.replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, d, "conversations"))
+    found = said.withColumn("items", W.items(F.col("said")))
+    return found.select("conv_id", "turn", F.element_at(W.numbers(F.col("items")), -1).alias("n"), F.element_at(W.dates(F.col("items")), -1).alias("day"))
+
+
+_A, _B = "((conv_id * 31 + turn * 17) % 5000)", "(13 + (conv_id * 7 + turn) % 900)"
+_KNOWN = (f"({_A} + CASE WHEN turn % 3 = 0 THEN 7 ELSE 0 END)", f"({_B} + CASE WHEN conv_id % 4 = 0 THEN 5 ELSE 0 END)")
+_ANSWER = f"SELECT conv_id, turn, 'There were ' || {_spelt(_A)} || ' visits and ' || CAST({_B} AS STRING) || ' citations, ' || CAST(turn % 100 AS STRING) || '% of them open.' AS answer, 'visits: ' || CAST({_KNOWN[0]} AS STRING) || ' | cited: ' || CAST({_KNOWN[1]} AS STRING) || ' | share: ' || CAST(turn % 100 AS STRING) || '%' AS evidence FROM conversations"
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(list_filter([{_A}, {_B}], lambda x: NOT list_contains([{_KNOWN[0]}, {_KNOWN[1]}], x)), lambda x: x::VARCHAR))), ',') AS missing FROM conversations""")
+def grounding_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of an answer, in words and digits, that its evidence doesn't have."""
+    said = spark.sql(_ANSWER.replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, d, "conversations"))
+    return said.select("conv_id", "turn", F.array_join(G.ungrounded(F.col("answer"), F.col("evidence")), ",").alias("missing"))

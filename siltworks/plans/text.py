@@ -199,18 +199,6 @@ def paste_parse(spark: SparkSession, d: str) -> DataFrame:
     return pasted.parse_pasted(lines)
 
 
-ANSWERS = [
-    ("There were 12 visits in 2019.", '{"visits": 12, "year": 2019}', ""), ("There were 13 visits.", '{"visits": 12}', "13"), ("Three citations, $1,250.00 in all.", '{"n": 3, "penalty": 1250}', ""),
-    ("About 45% on 2020-01-02.", '{"share": 45, "day": "2020-01-02"}', "45%"), ("Nothing.", "{}", ""), ("Case 123456 of 1234567", '{"id": 1234567}', "123456"),
-]
-
-
-@query(f"SELECT * FROM (VALUES {_rows(ANSWERS)}) v(answer, evidence, missing)")
-def grounding_numbers(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([r[:2] for r in ANSWERS], "answer string, evidence string")
-    return df.withColumn("missing", F.array_join(grounding.ungrounded(F.col("answer"), F.col("evidence")), ","))
-
-
 @query(_CLEAN + " SELECT count(DISTINCT raw) AS raw, count(DISTINCT s0) AS upper_ascii, count(DISTINCT s1) AS numbers, count(DISTINCT s5) AS words, count(DISTINCT s8) AS forms, count(DISTINCT clean) AS clean FROM cleaned")
 def distinct_funnel(spark: SparkSession, d: str) -> DataFrame:
     """How many names are left apart after each step, in one pass over distinct raw names."""
