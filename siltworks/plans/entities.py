@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.functions.names import name_core
 from siltworks.functions.similarity import jaro_winkler
-from siltworks.operators import evaluate as E, rows as R
+from siltworks.operators import evaluate as E, pools as PL, rows as R
 from siltworks.resolve import addresses as AD, candidates as C, index as I, neighbours as NB, remap as M, rules as D
 from siltworks.session import table
 
 from .marts import query
-from .text import _CORE as _CORE_SQL, _rows
+from .text import _CORE as _CORE_SQL
 
 # Words made from a number: as many as there are customers. Of three customers with one word, the second leaves a letter out and
 # the third swaps two or has another letter in a place.
@@ -255,3 +255,39 @@ def facts_of_keys(spark: SparkSession, d: str) -> DataFrame:
     """Facts of a given set of entities."""
     e = entities(spark, d)
     return AD.of_entities(e, e.where("n > 30")).groupBy("clean_name", "state").agg(F.sum("n").alias("n"), F.count("*").alias("entities"))
+
+
+_STRATA = {"general": ("true", 30), "roofers": ("clean_name LIKE '%ROOFING'", 10), "groups": ("clean_name LIKE '% GROUP'", 10), "many": ("n > 30", 10), "no core": ("name_core = ''", 10), "one place": ("zip5 = '10001'", 10), "east": ("state = '1'", 10), "shared": ("addr_key = '1 MAIN' AND n < 10", 10)}
+_DRAWN = " UNION ALL ".join(f"SELECT * FROM (SELECT entity_key, '{name}' AS pool, {k} AS k FROM entity WHERE {where} ORDER BY md5(entity_key || '|{name}|7') LIMIT {n})" for k, (name, (where, n)) in enumerate(_STRATA.items()))
+
+
+@query(f"WITH {_ENTITY_SQL}, d AS ({_DRAWN}) SELECT entity_key, first(pool ORDER BY k) AS pool FROM d GROUP BY 1")
+def evaluation_pools(spark: SparkSession, d: str) -> DataFrame:
+    """Entities drawn for eight overlapping strata in one pass."""
+    strata = {name: (F.expr(where), n) for name, (where, n) in _STRATA.items()}
+    return PL.draw(entities(spark, d).select("entity_key", "clean_name", "name_core", "n", "zip5", "state", "addr_key"), "entity_key", strata, 7).select("entity_key", "pool")
+
+
+@query(f"""WITH {_ENTITY_SQL}, w AS (SELECT *, list_reduce(list_prepend('', string_split(name_core, ' ')), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS w, md5(entity_key || '|typo|3') AS h FROM entity),
+p AS (SELECT *, CAST(('0x' || h[1:8])::BIGINT % (length(w) - 4) + 4 AS INT) AS i, ('0x' || h[9:16])::BIGINT % 3 AS kind FROM w WHERE length(w) >= 5),
+t AS (SELECT *, CASE kind WHEN 0 THEN left(w, i - 1) || substr(w, i + 1) WHEN 1 THEN left(w, i) || substr(w, i) ELSE left(w, i - 1) || substr(w, i + 1, 1) || substr(w, i, 1) || substr(w, i + 2) END AS slip FROM p)
+SELECT entity_key, array_to_string(list_transform(list_filter(string_split(clean_name, ' '), lambda x: x <> ''), lambda x: CASE WHEN x = w THEN slip ELSE x END), ' ') AS typo FROM t WHERE slip <> w""")
+def typo_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Every entity's name with a slip in it, drawn by its key."""
+    return PL.typos(entities(spark, d), "entity_key", "clean_name", "name_core", 3).select("entity_key", "typo")
+
+
+_LISTED = "SELECT CASE WHEN c_custkey % 3 = 2 THEN left(w, 5) || 'Q' || substr(w, 7) ELSE left(w, 3) || substr(w, 5) END AS name, state, city, CASE WHEN c_custkey % 2 = 0 THEN addr_key ELSE 'ELSEWHERE' END AS addr_key FROM e WHERE c_custkey % 3 > 0"
+_KNOWN = "SELECT w AS name, state, city, addr_key FROM e"
+
+
+@query(f"""WITH {_ENTITY_SQL}, e AS (SELECT *, split_part(clean_name, ' ', 1) AS w FROM entity), l AS ({_LISTED}), r AS ({_KNOWN}), t AS (SELECT name FROM r GROUP BY 1 HAVING count(*) <= 5),
+h AS (SELECT DISTINCT l.name, state, city, r.name AS found FROM l JOIN r USING (state, city) WHERE l.name <> '' AND r.name <> '' AND r.name IN (SELECT name FROM t) AND l.name NOT IN (SELECT name FROM r) AND damerau_levenshtein(l.name, r.name) = 1),
+o AS (SELECT name, state, city, min(found) AS found FROM h GROUP BY 1, 2, 3 HAVING count(*) = 1)
+SELECT o.*, EXISTS (SELECT 1 FROM l JOIN r USING (state, city, addr_key) WHERE l.name = o.name AND r.name = o.found AND state = o.state AND city = o.city) AS same_address FROM o""")
+def lookalike_names(spark: SparkSession, d: str) -> DataFrame:
+    """Listed names that look like one record's in their city, and whether they are at its address."""
+    e = entities(spark, d).withColumn("w", F.split_part("clean_name", F.lit(" "), F.lit(1)))
+    listed, known = (spark.sql(sql.replace("FROM e", "FROM {e}"), e=e) for sql in (_LISTED, _KNOWN))
+    tiers = known.groupBy("name").agg(F.when(F.count("*") <= 5, "distinctive").otherwise("medium").alias("tier"))
+    return NB.lookalikes(listed, known, tiers)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.functions import addresses as A, codes, names as N, narrative
 from siltworks.functions.text import natural_key
-from siltworks.operators import grounding, pasted
+from siltworks.operators import pasted
 from siltworks.session import table
 
 from .marts import query
@@ -189,14 +189,25 @@ def narrative_death(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", F.length("said").cast("long").alias("n_chars"), narrative.reports_death("said").alias("death"))
 
 
-PASTE = ["# my subs", "Name, City, State", "Acme Roofing, LLC, Dallas TX", "Acme Roofing LLC\tDallas\tTexas", "Smith & Sons, Portland, OR", "", "Solo Builders", "smith and sons, Salem, Oregon", "Jones Co, Austin, TX"]
-PASTED = [("2", "Acme Roofing, LLC", "Dallas", "TX"), ("4", "Smith & Sons", "Portland", "OR"), ("6", "Solo Builders", None, None), ("8", "Jones Co", "Austin", "TX")]
+_NAMED = lambda salt: f"substr(translate(md5(CAST(conv_id * 10 + {salt} AS STRING)), '0123456789', 'ghijklmnop'), 1, 7)"
+_FORM = "(conv_id + turn) % 9"
+#: a line in each way of writing, then the name, city and state that it has to give and which lines are one
+PASTES = [
+    ("'# note ' || CAST(turn AS STRING)", None, None, None, None), ("'Name, City, State'", None, None, None, None), ("''", None, None, None, None),
+    (f"{_NAMED(1)} || ' Roofing, LLC, Dallas TX'", f"{_NAMED(1)} || ' Roofing, LLC'", "'Dallas'", "'TX'", 1), (f"upper({_NAMED(1)}) || ' Roofing LLC' || chr(9) || ' Dallas' || chr(9) || 'Texas'", f"upper({_NAMED(1)}) || ' Roofing LLC'", "'Dallas'", "'TX'", 1),
+    (f"{_NAMED(2)} || ' & Sons, Portland, OR'", f"{_NAMED(2)} || ' & Sons'", "'Portland'", "'OR'", 2), (f"{_NAMED(2)} || ' and sons, Salem, Oregon'", f"{_NAMED(2)} || ' and sons'", "'Salem'", "'OR'", 2),
+    (f"{_NAMED(3)} || ' Builders'", f"{_NAMED(3)} || ' Builders'", "NULL", "NULL", 3), (f"{_NAMED(4)} || ' Co, Austin, tx'", f"{_NAMED(4)} || ' Co'", "'Austin'", "'TX'", 4),
+]
+_pasted = lambda k: f"CASE {_FORM} " + " ".join(f"WHEN {i} THEN {w[k] if w[k] is not None else 'NULL'}" for i, w in enumerate(PASTES)) + " END"
 
 
-@query(f"SELECT 1::BIGINT AS paste_id, CAST(n AS BIGINT) AS line_no, name, city, state FROM (VALUES {_rows(PASTED)}) v(n, name, city, state)")
+@query(f"""WITH l AS (SELECT conv_id AS paste_id, turn AS line_no, {_pasted(1)} AS name, {_pasted(2)} AS city, {_pasted(3)} AS state, {_pasted(4)} AS same FROM conversations),
+f AS (SELECT * FROM l WHERE same IS NOT NULL QUALIFY row_number() OVER (PARTITION BY paste_id, same ORDER BY line_no) = 1)
+SELECT paste_id, line_no, name, city, state FROM f""".replace("STRING", "VARCHAR"))
 def paste_parse(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(PASTE)], "paste_id long, line_no long, line string")
-    return pasted.parse_pasted(lines)
+    """Lists as people paste them, one a conversation, a line a turn. The SQL never parses: it gives what was written."""
+    c = table(spark, d, "conversations")
+    return pasted.parse_pasted(c.select(F.col("conv_id").alias("paste_id"), F.col("turn").alias("line_no"), F.expr(_pasted(0)).alias("line")))
 
 
 @query(_CLEAN + " SELECT count(DISTINCT raw) AS raw, count(DISTINCT s0) AS upper_ascii, count(DISTINCT s1) AS numbers, count(DISTINCT s5) AS words, count(DISTINCT s8) AS forms, count(DISTINCT clean) AS clean FROM cleaned")

@@ -105,3 +105,30 @@ def spelling_in_city(queries: DataFrame, records: DataFrame, tiers: DataFrame) -
     one = found.groupBy("query_id").agg(F.count_distinct("found").alias("n"), F.min("found").alias("corrected")).where("n = 1")
     sure = tiers.where("tier = 'distinctive'").select(F.col("name").alias("corrected"))
     return one.join(sure, "corrected", "left_semi").select("query_id", "corrected")
+
+
+def one_edit_within(wanted: DataFrame, known: DataFrame, within: list[str]) -> DataFrame:
+    """``within``, ``name``, ``found``: different names of ``known`` one edit of any kind from a name of ``wanted`` that agree on ``within``."""
+    w = wanted.select(*within, "name").where("name is not null").distinct()
+    k = known.select(*within, F.col("name").alias("found")).where("found is not null").distinct()
+    mine, theirs = written_out(w), written_out(k, "found")
+    out = [*within, "name", "found"]
+    shorter = mine.where(F.col("how").isin(GAP, SWAP)).join(k.withColumn("key", F.col("found")), [*within, "key"]).select(*out)
+    longer = theirs.where(F.col("how") == GAP).join(w.withColumn("key", F.col("name")), [*within, "key"]).select(*out)
+    letter = lambda df, c: df.where(F.col("how") == LETTER).select(*within, "key", c)
+    other = letter(mine, "name").join(letter(theirs, "found"), [*within, "key"]).where("name != found").select(*out)
+    return shorter.unionByName(longer).unionByName(other).distinct()
+
+
+def lookalikes(listed: DataFrame, records: DataFrame, tiers: DataFrame) -> DataFrame:
+    """``name, state, city, found, same_address``: listed names without a record that are one edit from just one distinctive name in their city.
+
+    ``listed`` and ``records`` have name, state, city, addr_key; ``tiers`` name, tier. Names at a common address are most likely
+    slips, the others companies that look alike.
+    """
+    sure = records.join(tiers.where("tier = 'distinctive'").select("name"), "name", "left_semi").where("name != ''")
+    lost = listed.where("name != ''").join(records.select("name").distinct(), "name", "left_anti")
+    found = one_edit_within(lost, sure, ["state", "city"])
+    one = found.groupBy("name", "state", "city").agg(F.min("found").alias("found"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    at = lost.select("name", "state", "city", "addr_key").join(sure.select(F.col("name").alias("found"), "state", "city", "addr_key"), ["state", "city", "addr_key"]).select("name", "state", "city", "found").distinct()
+    return one.join(at.withColumn("same_address", F.lit(True)), ["name", "state", "city", "found"], "left").select("name", "state", "city", "found", F.coalesce("same_address", F.lit(False)).alias("same_address"))
