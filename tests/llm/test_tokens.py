@@ -10,8 +10,7 @@ from siltworks.llm.tokens import encoder, from_planes, read_ids, to_planes, toke
 
 from .samples import awkward, documents
 
-TOKENIZER = Tokenizer.from_file(tokenizer_path())
-TOKENIZER.encode_special_tokens = True
+TOKENIZER = Tokenizer.from_file(tokenizer_path())  # as the library has it
 
 
 def ids_of(text):
