@@ -212,13 +212,15 @@ def pooled_address_join(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(found, ["query_id"], [F.desc("n"), F.col("c_custkey")], 10).select("query_id", "c_custkey")
 
 
-_BUILDING_SQL = f"""WITH {_ENTITY_SQL}, e AS (SELECT entity_key, c_custkey, clean_name, name_core, addr_key, zip5, left(zip5, 3) AS zip3, CASE c_custkey % 4 WHEN 0 THEN 'STE 1' WHEN 1 THEN 'STE 2' END AS unit, n FROM entity),
+# every other entity has a small building of its own, beside offices that many share
+_SPREAD = "CASE WHEN c_custkey % 2 = 0 THEN addr_key || ' ' || CAST(c_custkey % 3 AS STRING) ELSE addr_key END AS addr_key"
+_BUILDING_SQL = f"""WITH {_ENTITY_SQL}, e AS (SELECT entity_key, c_custkey, clean_name, name_core, {_SPREAD.replace('STRING', 'VARCHAR')}, zip5, left(zip5, 3) AS zip3, CASE c_custkey % 4 WHEN 0 THEN 'STE 1' WHEN 1 THEN 'STE 2' END AS unit, n FROM entity),
 sh AS (SELECT addr_key, zip5, count(DISTINCT name_core) >= 6 AS is_shared FROM e GROUP BY 1, 2), w AS (SELECT c_custkey AS query_id, addr_key, zip3, unit, clean_name, name_core FROM e WHERE c_custkey < 200),
 f AS (SELECT w.query_id, e.entity_key, e.clean_name, e.name_core, w.clean_name AS q_name, w.name_core AS q_core, e.n, coalesce(is_shared, false) AS is_shared FROM w JOIN e ON w.addr_key = e.addr_key AND w.zip3 = e.zip3 LEFT JOIN sh ON sh.addr_key = e.addr_key AND sh.zip5 = e.zip5 WHERE w.unit IS NULL OR e.unit IS NULL OR w.unit = e.unit)"""
 
 
 def _buildings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    e = entities(spark, d).select("entity_key", "c_custkey", "clean_name", "name_core", "addr_key", "zip5", F.expr("CASE c_custkey % 4 WHEN 0 THEN 'STE 1' WHEN 1 THEN 'STE 2' END").alias("unit"), "n")
+    e = entities(spark, d).select("entity_key", "c_custkey", "clean_name", "name_core", F.expr(_SPREAD), "zip5", F.expr("CASE c_custkey % 4 WHEN 0 THEN 'STE 1' WHEN 1 THEN 'STE 2' END").alias("unit"), "n")
     shared = e.groupBy("addr_key", "zip5").agg((F.countDistinct("name_core") >= 6).alias("is_shared"))
     w = e.where("c_custkey < 200")  # the stated queries
     names = w.select(F.col("c_custkey").alias("query_id"), F.explode(F.array("clean_name", "name_core")).alias("name"))

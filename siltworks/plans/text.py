@@ -146,8 +146,6 @@ def natural_sort_key(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("natural", natural_key(F.col("k")))
 
 
-_quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-_rows = lambda rows: ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
 _text = lambda x: f"CAST({x} AS STRING)"
 _pad = lambda x, n: f"lpad(CAST({x} AS STRING), {n}, '0')"
 _N, _K, _LETTER = "p_size", "p_partkey", "chr(CAST(65 + p_size % 8 AS INT))"
