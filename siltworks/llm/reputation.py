@@ -19,8 +19,6 @@ from .storage import materialise, release
 #: Rules of the kind that the public suffix list has: ``co.uk``, ``*.ck``, ``!www.ck``. These stand in for a caller's own
 #: list; a host that no rule fits has a suffix of one label.
 SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "co.in", "co.jp", "co.kr", "com.br", "com.cn", "com.mx")
-#: labels of a host's end that rules are looked up for
-MOST_LABELS = 6
 BLOCK_RATE = 0.5
 Z = 1.645
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
@@ -70,9 +68,11 @@ def with_domains(hosts: DataFrame, suffix_rules: DataFrame) -> DataFrame:
     """
     named = hosts.withColumn("_bare", F.regexp_replace("host", r"\A.*@|:[0-9]*\z", "")).withColumn("_labels", F.split("_bare", r"\."))
     n = F.size("_labels")
+    # as many labels of a host's end are looked up as the longest rule has
+    most = suffix_rules.agg(F.max(F.size(F.split("suffix_rule", r"\.")))).first()[0] or 1
     end = lambda k: F.array_join(F.slice("_labels", n - F.least(k, n) + 1, F.least(k, n)), ".")
     rule = lambda text, k: F.struct(text.alias("suffix_rule"), k.alias("length"))
-    looked_for = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MOST_LABELS))), lambda k: F.array(rule(end(k), k), rule(F.concat(F.lit("*."), end(k - 1)), k), rule(F.concat(F.lit("!"), end(k)), k - 1)))
+    looked_for = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))), lambda k: F.array(rule(end(k), k), rule(F.concat(F.lit("*."), end(k - 1)), k), rule(F.concat(F.lit("!"), end(k)), k - 1)))
     known = named.select("host", F.explode(F.flatten(looked_for)).alias("r")).select("host", "r.*").join(suffix_rules, "suffix_rule")
     best = known.groupBy("host").agg(F.max(F.struct(F.col("suffix_rule").startswith("!"), "length")).getField("length").alias("_length"))
     numeric, size = F.col("_bare").rlike(r"\A[0-9]+(\.[0-9]+){3}\z"), F.coalesce("_length", F.lit(1))

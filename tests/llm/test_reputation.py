@@ -60,3 +60,11 @@ def test_suffix_rules(spark):
     }
     got = {r.host: (r.domain, r.suffix) for r in with_domains(spark.createDataFrame([(h,) for h in want], "host string"), rules).collect()}
     assert got == want
+
+
+def test_rules_of_any_length(spark):
+    long = "a.b.c.d.e.f.g.h"
+    hosts = spark.createDataFrame([(f"x.y.{long}",), ("y.h",)], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in with_domains(hosts, spark.createDataFrame([(long,)], "suffix_rule string")).collect()}
+    assert got == {f"x.y.{long}": (f"y.{long}", long), "y.h": ("y.h", "h")}
+    assert with_domains(hosts, spark.createDataFrame([], "suffix_rule string")).count() == 2
