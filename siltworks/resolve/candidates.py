@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siltworks.functions.similarity import jaro_winkler, may_reach
 from siltworks.operators.rows import top_k
+from siltworks.sources.scratch import keeper
 
 TOKEN_SIMILARITY, NAME_SIMILARITY, MOST_CANDIDATES, RAREST, LENGTHS = 0.92, 0.80, 400, 2, 3
+#: Parts that the wanted tokens of a first letter and length are dealt to.
+PARTS = 16
 
 
 def similar_tokens(wanted: DataFrame, vocabulary: DataFrame, least: float = TOKEN_SIMILARITY) -> DataFrame:
     """``wanted_token, token`` of like spelling. Both hold distinct tokens, the first letters agree, lengths by ``LENGTHS``.
 
-    Tokens meet by first letter and length, and only pairs whose letters allow the similarity leave the JVM.
+    Tokens meet by first letter and length, and only pairs whose letters allow the similarity leave the JVM. Tokens take few bytes
+    but make many pairs, so the wanted ones of a block are dealt to parts, each with its own copy of the block's
+    vocabulary, and the number of partitions is stated: by bytes Spark would leave all pairs to one task.
     """
     near = F.explode(F.sequence(F.length("token") - LENGTHS, F.length("token") + LENGTHS))
-    a = wanted.select(F.col("token").alias("wanted_token"), F.left("token", F.lit(1)).alias("first"), near.alias("size"))
-    b = vocabulary.select("token", F.left("token", F.lit(1)).alias("first"), F.length("token").alias("size"))
-    both = a.join(b, ["first", "size"])
+    keys, n = ["first", "size", "part"], 4 * int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = wanted.select(F.col("token").alias("wanted_token"), F.left("token", F.lit(1)).alias("first"), near.alias("size"), F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int").alias("part"))
+    b = vocabulary.select("token", F.left("token", F.lit(1)).alias("first"), F.length("token").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    both = a.repartition(n, *keys).join(b.repartition(n, *keys), keys)
     same = wanted.join(vocabulary.select("token"), "token", "left_semi").select(F.col("token").alias("wanted_token"), "token")
     other = both.where((F.col("wanted_token") != F.col("token")) & may_reach(F.col("wanted_token"), F.col("token"), least))
     return same.union(other.where(jaro_winkler("wanted_token", "token") >= least).select("wanted_token", "token"))
@@ -36,7 +42,8 @@ def search(queries: DataFrame, entities: DataFrame, index: DataFrame, frequency:
     alias = q.join(e, q.q_name == e.clean_name).select("query_id", "entity_key", F.lit(0).alias("how"))
     core = q.where("q_core != ''").join(e, q.q_core == e.name_core).select("query_id", "entity_key", F.lit(1).alias("how"))
     words = q.select("query_id", F.explode(F.array_distinct(F.split("q_name", " "))).alias("token")).where("token != ''")
-    close = similar_tokens(words.select("token").distinct(), frequency)
+    # read by the choice of rare tokens and by the search for them: worked out once
+    close = keeper(queries.sparkSession)("close", similar_tokens(words.select("token").distinct(), frequency))
     reach = words.withColumnRenamed("token", "wanted_token").join(close, "wanted_token").join(frequency, "token").groupBy("query_id", "wanted_token").agg(F.sum("df").alias("df"))
     rare = top_k(reach, ["query_id"], [F.col("df"), F.col("wanted_token")], RAREST).select("query_id", "wanted_token")
     token = rare.join(close, "wanted_token").join(index, "token").select("query_id", "entity_key", F.lit(2).alias("how"))
