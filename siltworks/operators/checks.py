@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def check(name: str, found: DataFrame, expected: DataFrame, severity: str = "error", tolerance: float = 0.0) -> DataFrame:
@@ -27,6 +28,41 @@ def all_checks(*rows: DataFrame) -> DataFrame:
     return out
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Compares sums of named counts: ``found`` and ``expected`` are names, numbers or expressions over names.
+
+    It passes if both are equal, or differ by at most ``within``; with ``at_most`` a smaller ``found`` passes as well.
+    """
+
+    name: str
+    found: str
+    expected: str = "0"
+    severity: str = "error"
+    within: float = 0.0
+    at_most: bool = False
+
+
+def counted(df: DataFrame, **counts: Column) -> tuple[list[str], DataFrame]:
+    """Names, and ``name, value`` of aggregates over one table, all taken in one pass; a null counts as 0."""
+    one = df.agg(*(value.cast("double").alias(name) for name, value in counts.items()))
+    return list(counts), one.select(F.inline(F.array(*(F.struct(F.lit(name).alias("name"), F.coalesce(name, F.lit(0.0)).alias("value")) for name in counts))))
+
+
+def judge(counts: Sequence[tuple[list[str], DataFrame]], rules: Sequence[Rule]) -> DataFrame:
+    """One row a rule. The counts, one row each, meet as one row before the rules are read off it."""
+    rows = all_checks(*(df for _, df in counts))
+    names = [n for part, _ in counts for n in part]
+    one = rows.agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
+
+    def row(r: Rule) -> Column:
+        found, expected = (F.expr(e).cast("double") for e in (r.found, r.expected))
+        passed = F.abs(found - expected) <= r.within
+        return F.struct(F.lit(r.name).alias("check_name"), F.lit(r.severity).alias("severity"), found.alias("found"), expected.alias("expected"), (passed | (found <= expected) if r.at_most else passed).alias("passed"))
+
+    return one.select(F.inline(F.array(*map(row, rules))))
+
+
 def failed_errors(checks: DataFrame) -> DataFrame:
     return checks.where("severity = 'error' and not passed")
 

@@ -28,7 +28,19 @@ VIOLATION = f"""SELECT CAST(CASE WHEN l_suppkey % 10 = 3 AND l_linenumber = 1 TH
  '1.0' AS nr_instances, '2' AS nr_exposed, '05' AS gravity FROM lineitem"""
 ACCIDENT = f"SELECT CAST(900000 + o_orderkey AS STRING) AS summary_nr, {_DAY.format('o_orderdate')} AS event_date, 'fall' AS event_desc, 'A' AS project_type, 'B' AS const_end_use, CASE WHEN o_orderkey % 12 = 0 THEN 'X' ELSE '' END AS fatality FROM orders WHERE o_orderkey % 6 = 0"
 INJURY = "SELECT CAST(900000 + o_orderkey AS STRING) AS summary_nr, CAST(o_orderkey AS STRING) AS rel_insp_nr, '1' AS injury_line_nr, '2020' AS load_dt, '30.0' AS age, 'M' AS sex, '12.0' AS nature_of_inj, '3.0' AS part_of_body, CASE WHEN o_orderkey % 24 = 0 THEN '1.0' ELSE '2.0' END AS degree_of_inj, '1' AS fat_cause, '1' AS const_op, '1' AS const_op_cause, '10' AS fall_distance FROM orders WHERE o_orderkey % 6 = 0"
-ABSTRACT = "SELECT CAST(900000 + o_orderkey AS STRING) AS summary_nr, '1' AS line_nr, 'The employee fell.' AS abstract_text FROM orders WHERE o_orderkey % 6 = 0"
+# a full first line breaks off within a word; some second lines tell of a death
+_FULL, _REST, _DIED = "The employee was working on a steep roof of a large house when he fell to the gr", "ound below. ", "He later died."
+ABSTRACT = f"""SELECT CAST(900000 + o_orderkey AS STRING) AS summary_nr, line_nr, CASE line_nr WHEN '1' THEN '{_FULL}' WHEN '2' THEN '{_REST}' ELSE CASE WHEN o_orderkey % 18 = 0 THEN '{_DIED}' ELSE 'He was treated.' END END AS abstract_text
+ FROM (SELECT o_orderkey, '1' AS line_nr FROM orders UNION ALL SELECT o_orderkey, '2' FROM orders UNION ALL SELECT o_orderkey, '3' FROM orders) WHERE o_orderkey % 6 = 0"""
+# filings of the same firms, some with a slip in the name, at another place or of another trade; licences in two layouts
+_SLIP = f"CASE o_custkey % 5 WHEN 1 THEN replace({_NAME}, 'FIRMA', 'FIRMMA') WHEN 2 THEN 'OTHER ' || {_NAME} ELSE {_NAME} END"
+_FILED_AT = "CAST(o_custkey % 90 + 1 AS STRING) || ' MAIN ST' AS {}, CASE WHEN o_custkey % 7 = 3 THEN '99999' ELSE CAST(10000 + o_custkey % 900 AS STRING) END AS {}"
+FILING = f"""SELECT CAST(o_orderkey AS STRING) AS id, CAST(CAST(year(o_orderdate) AS INT) AS STRING) || '.0' AS year_filing_for, CAST(o_custkey AS STRING) || '.00' AS establishment_id, {_SLIP} AS company_name, 'PLANT ' || CAST(o_custkey % 7 AS STRING) AS establishment_name,
+ CASE o_custkey % 3 WHEN 0 THEN '12-3450000' WHEN 1 THEN '00-0000000' ELSE CAST(200000000 + o_custkey AS STRING) END AS ein, {_FILED_AT.format('street_address', 'zip_code')}, 'Dallas' AS city, 'tx' AS state, CASE WHEN o_custkey % 4 = 1 THEN '111111' ELSE '2381' || CAST(60 + o_custkey % 3 AS STRING) END AS naics_code,
+ CAST(o_orderkey % 60 AS STRING) AS annual_average_employees, CAST(o_orderkey * 37 % 90000 AS STRING) AS total_hours_worked, '0' AS total_deaths, CAST(o_orderkey % 3 AS STRING) || '.0' AS total_dafw_cases, CAST(o_orderkey % 2 AS STRING) AS total_djtr_cases, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '1' END AS total_other_cases, '' AS created_timestamp FROM orders"""
+_EXPIRES = "lpad(CAST(CAST(month(o_orderdate) AS INT) AS STRING), 2, '0') || '/' || lpad(CAST(CAST(day(o_orderdate) AS INT) AS STRING), 2, '0') || '/' || CAST(CAST(year(o_orderdate) AS INT) AS STRING)"
+LICENCE_A = f"SELECT 'A' || CAST(o_custkey AS STRING) AS ContractorLicenseNumber, 'U' || CAST(o_custkey AS STRING) AS UBI, {_SLIP} AS BusinessName, {_FILED_AT.format('Address1', 'Zip')}, 'Dallas' AS City, 'tx' AS State, CASE WHEN o_orderstatus = 'F' THEN 'EXPIRED' ELSE 'ACTIVE' END AS ContractorLicenseStatus, {_EXPIRES} AS LicenseExpirationDate, '' AS SpecialtyCode1Desc FROM orders WHERE o_orderkey % 2 = 0"
+LICENCE_B = f"SELECT CAST(o_custkey AS STRING) AS LicenseNo, 'OWNER ' || CAST(o_custkey AS STRING) AS BusinessName, {_NAME} AS `BUS-NAME-2`, {_FILED_AT.format('MailingAddress', 'ZIPCode')}, 'Dallas' AS City, 'TX' AS State, 'CLEAR' AS PrimaryStatus, {_EXPIRES} AS ExpirationDate, 'C39' AS `Classifications(s)` FROM orders WHERE o_orderkey % 3 = 0"
 RULES = [("federal_1926", "exact", "1926.501", None, "fall"), ("federal_1926", "range", "1926.100", "1926.199", "ppe"), ("federal_1926", "prefix", "1926.9", None, "electric")]
 LOOKUP = [("PTYP", None, "A", "New building"), ("ENDU", None, "B", "Bridge"), ("IN", "12.0", None, "Fracture"), ("BD", "3", None, "Arm")]
 
@@ -40,7 +52,7 @@ def raw(spark: SparkSession, d: str) -> W.Raw:
 
     lookup = spark.createDataFrame(LOOKUP, "accident_code string, accident_number string, accident_letter string, accident_value string")
     rules = spark.createDataFrame(RULES, "family string, match_type string, pattern string, range_to string, hazard_code string")
-    return W.Raw(read(INSPECTION), read(VIOLATION), read(ACCIDENT), read(INJURY), read(ABSTRACT), lookup, rules)
+    return W.Raw(read(INSPECTION), read(VIOLATION), read(ACCIDENT), read(INJURY), read(ABSTRACT), lookup, rules, None, read(FILING), {"WA L&I": read(LICENCE_A), "CA CSLB": read(LICENCE_B)})
 
 
 _built: dict[tuple[str, str], dict[str, DataFrame]] = {}
@@ -88,11 +100,14 @@ def build_rollups(spark: SparkSession, d: str) -> DataFrame:
     return t.select("activity_nr", "citation_n", "serious_plus_n", F.col("penalty_initial").cast("double").alias("penalty_initial"), F.coalesce("accident_n", F.lit(0)).alias("accident_n"))
 
 
-@query(_CTES + """, g AS (SELECT md5(replace(site_address, ' RD', '') || '|' || site_zip || '|' || open_date) AS visit, s.*, CAST(activity_nr AS BIGINT) AS a FROM s), c AS (SELECT a, count(*) FILTER (NOT is_deleted) AS cn, count(*) FILTER (NOT is_deleted AND serious) AS sn FROM h GROUP BY 1),
- f AS (SELECT g.*, coalesce(cn, 0) AS cn, coalesce(sn, 0) AS sn, a % 6 = 0 AS has_acc, a % 12 = 0 AS fatal, insp_type = 'M' AS m, insp_scope = 'D' AS none_, cd IS NULL AND od >= CAST((SELECT max(od) FROM s) - INTERVAL 7 MONTH AS DATE) AS open_late FROM g LEFT JOIN c USING (a)),
- w AS (SELECT *, sum(sn) OVER (PARTITION BY ek, visit) AS vs, bool_or(m) OVER (PARTITION BY ek, visit) AS vm, bool_or(m AND NOT has_acc) OVER (PARTITION BY visit) AS sm FROM f)
- SELECT a AS activity_nr, CASE WHEN fatal AND vs > 0 THEN 'fatality_cited' WHEN (fatal OR m) AND none_ AND vs = 0 THEN 'fatcat_no_inspection' WHEN fatal AND cn = 0 AND open_late THEN 'fatality_pending' WHEN fatal THEN 'fatality_inspected_not_cited' WHEN m AND NOT has_acc AND vs > 0 THEN 'fatcat_cited'
-  WHEN m AND has_acc AND vs > 0 THEN 'catastrophe_cited' WHEN m AND NOT has_acc AND open_late THEN 'fatality_pending' WHEN m AND NOT has_acc THEN 'fatcat_not_cited' WHEN NOT m AND NOT has_acc AND sn > 0 AND sm AND NOT vm THEN 'fatcat_site_cited' WHEN insp_type = 'A' AND NOT has_acc THEN 'accident_outcome_unknown' ELSE 'none' END AS fatality_status FROM w""")
+_FATAL = """, g AS (SELECT md5(replace(site_address, ' RD', '') || '|' || site_zip || '|' || open_date) AS visit, s.*, CAST(activity_nr AS BIGINT) AS a FROM s), c AS (SELECT a, count(*) FILTER (NOT is_deleted) AS cn, count(*) FILTER (NOT is_deleted AND serious) AS sn FROM h GROUP BY 1),
+ f AS (SELECT g.*, coalesce(cn, 0) AS cn, coalesce(sn, 0) AS sn, a % 6 = 0 AS has_acc, a % 12 = 0 OR a % 18 = 0 AS fatal, insp_type = 'M' AS m, insp_scope = 'D' AS none_, cd IS NULL AND od >= CAST((SELECT max(od) FROM s) - INTERVAL 7 MONTH AS DATE) AS open_late FROM g LEFT JOIN c USING (a)),
+ w AS (SELECT *, sum(sn) OVER (PARTITION BY ek, visit) AS vs, bool_or(m) OVER (PARTITION BY ek, visit) AS vm, bool_or(m AND NOT has_acc) OVER (PARTITION BY visit) AS sm FROM f)"""
+_FATALITY = """CASE WHEN fatal AND vs > 0 THEN 'fatality_cited' WHEN (fatal OR m) AND none_ AND vs = 0 THEN 'fatcat_no_inspection' WHEN fatal AND cn = 0 AND open_late THEN 'fatality_pending' WHEN fatal THEN 'fatality_inspected_not_cited' WHEN m AND NOT has_acc AND vs > 0 THEN 'fatcat_cited'
+  WHEN m AND has_acc AND vs > 0 THEN 'catastrophe_cited' WHEN m AND NOT has_acc AND open_late THEN 'fatality_pending' WHEN m AND NOT has_acc THEN 'fatcat_not_cited' WHEN NOT m AND NOT has_acc AND sn > 0 AND sm AND NOT vm THEN 'fatcat_site_cited' WHEN insp_type = 'A' AND NOT has_acc THEN 'accident_outcome_unknown' ELSE 'none' END"""
+
+
+@query(f"{_CTES}{_FATAL} SELECT a AS activity_nr, {_FATALITY} AS fatality_status FROM w")
 def build_statuses(spark: SparkSession, d: str) -> DataFrame:
     """What is known of a fatality at each record, in an order of precedence over visits and sites."""
     return built(spark, d)["inspection"].select("activity_nr", "fatality_status")
@@ -134,10 +149,78 @@ def build_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return built(spark, d)["quarantine"]
 
 
-@query(_CTES + """, live AS (SELECT * FROM h WHERE NOT is_deleted), names AS (SELECT 'inspection_key_unique' AS n UNION ALL SELECT 'violation_key_unique' UNION ALL SELECT 'members_cover_inspections' UNION ALL SELECT 'year_mart_inspections' UNION ALL SELECT 'year_mart_citations' UNION ALL SELECT 'hazards_add_up')
- SELECT n AS check_name, CAST(CASE n WHEN 'violation_key_unique' THEN (SELECT count(*) FROM h) WHEN 'year_mart_citations' THEN (SELECT count(*) FROM live) WHEN 'hazards_add_up' THEN (SELECT count(*) FROM live) ELSE (SELECT count(*) FROM s) END AS DOUBLE) AS found,
- CASE n WHEN 'violation_key_unique' THEN (SELECT count(*) = count(DISTINCT (a, citation_id)) FROM h) ELSE true END AS passed FROM names""")
+_STATUS = f"""{_FATAL}, st AS (SELECT a, ek, visit, od, {_FATALITY} AS status FROM w)"""
+_EXPECT = """SELECT * FROM (VALUES ('inspection_key_unique', 'error', (SELECT count(*) FROM s), (SELECT count(DISTINCT activity_nr) FROM s)), ('violation_key_unique', 'error', (SELECT count(*) FROM h), (SELECT count(DISTINCT (a, citation_id)) FROM h)),
+ ('flag_id_unique', 'error', (SELECT count(*) FROM fl), (SELECT count(DISTINCT (kind, a, citation)) FROM fl)), ('members_cover_inspections', 'error', (SELECT count(*) FROM s), (SELECT count(*) FROM s)), ('year_mart_inspections', 'error', (SELECT count(*) FROM s), (SELECT count(od) FROM s)),
+ ('year_mart_citations', 'error', (SELECT count(*) FROM live), (SELECT count(*) FROM live)), ('hazards_add_up', 'error', (SELECT count(*) FROM live), (SELECT count(*) FROM live)), ('only_inspected_are_rated', 'error', (SELECT count(*) FROM s WHERE insp_type <> 'F' AND insp_scope <> 'D'), (SELECT count(*) FROM s WHERE insp_type <> 'F' AND insp_scope <> 'D')),
+ ('violations_have_inspections', 'error', (SELECT count(*) FROM h WHERE a NOT IN (SELECT CAST(activity_nr AS BIGINT) FROM s)), 0), ('inspections_have_establishments', 'error', (SELECT count(*) FROM s WHERE ek IS NULL), 0), ('flags_have_inspections', 'error', (SELECT count(*) FROM fl WHERE a NOT IN (SELECT CAST(activity_nr AS BIGINT) FROM s)), 0),
+ ('fatcat_without_detail_is_flagged', 'error', (SELECT count(*) FROM s WHERE insp_type = 'M' AND CAST(activity_nr AS BIGINT) % 6 <> 0 AND CAST(activity_nr AS BIGINT) NOT IN (SELECT a FROM fl)), 0), ('flags_from_citations', 'error', (SELECT count(*) FROM fl WHERE citation IS NOT NULL), (SELECT count(*) FILTER (viol_type IN ('W', 'R')) + count(*) FILTER (is_fta) FROM live)),
+ ('coded_inspections_in_scope', 'error', (SELECT count(*) FROM s WHERE reason = 'naics23'), (SELECT count(*) FROM k WHERE coded)), ('short_sic_not_in_scope', 'error', (SELECT count(*) FROM s WHERE length(sic_code) BETWEEN 1 AND 3), 0),
+ ('scope_counted_again', 'error', (SELECT count(*) FROM s), (SELECT count(*) FROM k WHERE coded OR ek IN (SELECT ek FROM e WHERE any_coded) OR core IN (SELECT core FROM n WHERE any_coded AND share >= 0.5 AND variety <= 5))), ('citations_counted_again', 'error', (SELECT count(*) FROM h), (SELECT count(DISTINCT (activity_nr, citation_id)) FROM rv WHERE activity_nr IN (SELECT activity_nr FROM s))),
+ ('persons_not_distinctive', 'error', 0, 0), ('injuries_of_one_person', 'error', (SELECT count(*) FROM (SELECT summary_nr FROM ij GROUP BY summary_nr, injury_line_nr HAVING min(sex) <> max(sex))), 0), ('no_case_number_in_names', 'error', (SELECT count(*) FROM s WHERE regexp_matches(estab_name, '^[A-Z]+[0-9][A-Z0-9]{8,}( |$)')), 0),
+ ('pending_within_deadline', 'error', (SELECT count(*) FROM st WHERE status = 'fatality_pending' AND od < CAST((SELECT max(od) FROM s) - INTERVAL 7 MONTH AS DATE)), 0), ('told_deaths_have_status', 'error', (SELECT count(*) FROM st WHERE a % 18 = 0 AND status NOT IN ('fatality_cited', 'fatality_inspected_not_cited', 'fatality_pending', 'fatcat_no_inspection')), 0),
+ ('not_cited_nowhere_on_visit', 'error', (SELECT count(*) FROM st WHERE status IN ('fatality_inspected_not_cited', 'fatcat_not_cited', 'fatcat_no_inspection') AND (ek, visit) IN (SELECT (g.ek, g.visit) FROM g JOIN live ON g.a = live.a WHERE serious)), 0), ('no_future_inspection', 'error', (SELECT count(*) FROM k WHERE od > current_date), 0),
+ ('deaths_only_told', 'warn', (SELECT count(*) FROM g WHERE a % 18 = 0 AND a % 12 <> 0), 10), ('accident_detail_days_behind', 'warn', (SELECT date_diff('day', max(od) FILTER (CAST(activity_nr AS BIGINT) % 6 = 0), max(od)) FROM s), 548),
+ ('hazard_other_percent', 'warn', (SELECT 100.0 * count(*) FILTER (hazard = 'other') / count(*) FROM live), 5), ('quarantined_citations', 'warn', (SELECT count(*) FROM rv WHERE activity_nr NOT IN (SELECT activity_nr FROM ri)), 374)) t(check_name, severity, f, x)"""
+
+
+@query(f"""{_CTES}{_STATUS}, live AS (SELECT * FROM h WHERE NOT is_deleted), ij AS ({INJURY.replace('STRING', 'VARCHAR')}), fl AS (SELECT 'status' AS kind, a, NULL AS citation FROM st WHERE status NOT IN ('none', 'accident_outcome_unknown') UNION ALL SELECT viol_type, a, citation_id FROM live WHERE viol_type IN ('W', 'R') UNION ALL SELECT 'fta', a, citation_id FROM live WHERE is_fta), cc AS ({_EXPECT})
+ SELECT check_name, severity, CAST(f AS DOUBLE) AS found, CAST(x AS DOUBLE) AS expected, CASE WHEN check_name IN ('accident_detail_days_behind', 'hazard_other_percent') THEN f <= x ELSE abs(f - x) <= CASE check_name WHEN 'deaths_only_told' THEN 10 WHEN 'quarantined_citations' THEN 50 ELSE 0 END END AS passed FROM cc""")
 def build_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Checks of the build: totals counted in two ways."""
-    t = built(spark, d)["dq_check"].where("check_name not in ('flag_id_unique', 'hazard_known')")
-    return t.select("check_name", "found", "passed")
+    """All checks of the build: totals counted in two ways, faults that must not be there, shares that must not grow."""
+    return built(spark, d)["dq_check"]
+
+
+@query(_CTES + f""" SELECT 900000 + CAST(activity_nr AS BIGINT) AS summary_nr, od AS event_date, 'New building' AS project_type, 'Bridge' AS const_end_use, '{_FULL}{_REST}' || CASE WHEN CAST(activity_nr AS BIGINT) % 18 = 0 THEN '{_DIED}' ELSE 'He was treated.' END AS narrative, CAST(1 AS BIGINT) AS injured_n,
+ CASE WHEN CAST(activity_nr AS BIGINT) % 24 = 0 THEN 1 ELSE 0 END::BIGINT AS fatal_n, CAST(activity_nr AS BIGINT) % 12 = 0 AS fatality_flag, CAST(activity_nr AS BIGINT) % 18 = 0 AS death_in_narrative, CASE WHEN CAST(activity_nr AS BIGINT) % 18 = 0 AND CAST(activity_nr AS BIGINT) % 12 <> 0 THEN 'death_only_in_narrative' ELSE '' END AS flags FROM s WHERE CAST(activity_nr AS BIGINT) % 6 = 0""")
+def build_accidents(spark: SparkSession, d: str) -> DataFrame:
+    """Accidents of records in scope; their narratives' lines are joined, one that was broken off within a word without a blank."""
+    t = built(spark, d)["accident"]
+    return t.select("summary_nr", "event_date", "project_type", "const_end_use", "narrative", "injured_n", "fatal_n", "fatality_flag", "death_in_narrative", F.array_join("dq_flags", ",").alias("flags"))
+
+
+@query(_CTES + " SELECT 900000 + CAST(activity_nr AS BIGINT) AS summary_nr, 1 AS line_nr, 30 AS age, 'M' AS sex, CASE WHEN CAST(activity_nr AS BIGINT) % 24 = 0 THEN 'fatality' ELSE 'hospitalized' END AS degree, 'Fracture' AS nature, 'Arm' AS body_part, CAST(10 AS DOUBLE) AS fall_distance_ft FROM s WHERE CAST(activity_nr AS BIGINT) % 6 = 0")
+def build_injuries(spark: SparkSession, d: str) -> DataFrame:
+    """People who were hurt, their codes in words."""
+    return built(spark, d)["injury"].select("summary_nr", "line_nr", "age", "sex", "degree", "nature", "body_part", "fall_distance_ft")
+
+
+_OUTSIDE = _CTES + f""", rf AS ({FILING}), ra AS ({LICENCE_A}), rb AS ({LICENCE_B}),
+ f0 AS (SELECT CAST(id AS BIGINT) AS filing_id, CAST(CAST(year_filing_for AS DOUBLE) AS INTEGER) AS year, split_part(establishment_id, '.', 1) AS establishment_id, company_name AS company_clean, establishment_name AS establishment_clean, replace(ein, '-', '') AS e9, replace(street_address, ' ST', '') AS addr_key, upper(state) AS state, zip_code AS zip5, naics_code AS naics,
+  CAST(annual_average_employees AS DOUBLE) AS employees, CAST(total_hours_worked AS DOUBLE) AS hours, CAST(CAST(total_dafw_cases AS DOUBLE) AS INTEGER) AS dafw, CAST(total_djtr_cases AS INTEGER) AS djtr, coalesce(TRY_CAST(total_other_cases AS INTEGER), 0) AS other_cases FROM rf QUALIFY row_number() OVER (PARTITION BY establishment_id, year_filing_for ORDER BY CAST(id AS BIGINT) DESC) = 1),
+ jk AS (SELECT e9 FROM f0 GROUP BY 1 HAVING count(DISTINCT split_part(company_clean, ' ', 1)) > 25),
+ fi AS (SELECT *, CASE WHEN e9 <> '000000000' AND e9 NOT IN (SELECT e9 FROM jk) THEN e9 END AS ein, CASE WHEN hours > 0 THEN (dafw + djtr + other_cases) * 200000.0::DOUBLE / hours END AS trir, CASE WHEN hours > 0 THEN (dafw + djtr) * 200000.0::DOUBLE / hours END AS dart,
+  concat_ws(',', CASE WHEN hours <= 0 THEN 'hours_missing' END, CASE WHEN employees > 0 AND hours > 0 AND (hours / employees < 500 OR hours / employees > 4000) THEN 'hours_per_employee_implausible' END, CASE WHEN hours > 0 AND hours < 20000 THEN 'too_small_to_rate' END, CASE WHEN hours > 0 AND (dafw + djtr + other_cases) * 200000.0::DOUBLE / hours > 50 THEN 'rate_implausible' END) AS flags FROM f0),
+ li AS (SELECT DISTINCT ON (source, number) * FROM (SELECT 'WA L&I' AS source, ContractorLicenseNumber AS number, UBI AS entity_id, BusinessName AS name, NULL AS dba, replace(Address1, ' ST', '') AS addr_key, Zip AS zip5, ContractorLicenseStatus AS status, strptime(LicenseExpirationDate, '%m/%d/%Y')::DATE AS expires FROM ra
+  UNION ALL SELECT 'CA CSLB', LicenseNo, LicenseNo, BusinessName, "BUS-NAME-2", replace(MailingAddress, ' ST', ''), ZIPCode, PrimaryStatus, strptime(ExpirationDate, '%m/%d/%Y')::DATE FROM rb) ORDER BY source, number, expires DESC, status, name, entity_id, addr_key, dba),
+ rr AS (SELECT 'ita' AS source, establishment_id AS ref_id, company_clean AS name, zip5, addr_key FROM fi UNION SELECT 'ita', establishment_id, establishment_clean, zip5, addr_key FROM fi UNION SELECT 'licence:' || source, number, name, zip5, addr_key FROM li UNION SELECT 'licence:' || source, number, dba, zip5, addr_key FROM li WHERE dba IS NOT NULL),
+ es AS (SELECT DISTINCT ek, estab_name AS name, mail_zip AS zip5, replace(mail_street, ' ST', '') AS addr_key FROM s),
+ lk AS (SELECT ek AS establishment_key, source, ref_id, min(method) AS method FROM (SELECT ek, source, ref_id, 'M1' AS method FROM es JOIN rr USING (name, zip5) UNION ALL SELECT ek, source, ref_id, 'M2' FROM es JOIN rr USING (name, addr_key)
+  UNION ALL SELECT ek, source, ref_id, 'M3' FROM es JOIN rr USING (addr_key, zip5) WHERE es.name <> rr.name AND length(es.name) >= 5 AND length(rr.name) >= 5 AND jaro_winkler_similarity(es.name, rr.name) >= 0.93) GROUP BY 1, 2, 3)""".replace("STRING", "VARCHAR").replace("`", '"')
+
+
+@query(_OUTSIDE + " SELECT filing_id, year, establishment_id, company_clean, addr_key, zip5, state, naics, ein, hours, round(trir, 6) AS trir, round(dart, 6) AS dart, flags FROM fi WHERE naics LIKE '23%' OR establishment_id IN (SELECT ref_id FROM lk WHERE source = 'ita')")
+def build_filings(spark: SparkSession, d: str) -> DataFrame:
+    """The last injury filing of each establishment and year, of the trade or of a linked entity; employer numbers that many share are none."""
+    t = built(spark, d)["ita_establishment_year"]
+    return t.select("filing_id", "year", "establishment_id", "company_clean", "addr_key", "zip5", "state", "naics", "ein", "hours", F.round("trir", 6).alias("trir"), F.round("dart", 6).alias("dart"), F.array_join("dq_flags", ",").alias("flags"))
+
+
+@query(_OUTSIDE + " SELECT source, number, entity_id, name AS clean_name, dba AS dba_clean, addr_key, zip5, status, expires FROM li")
+def build_licences(spark: SparkSession, d: str) -> DataFrame:
+    """Licences of two layouts, the row of each that expires last."""
+    return built(spark, d)["licence"].select("source", "number", "entity_id", "clean_name", "dba_clean", "addr_key", "zip5", "status", "expires")
+
+
+@query(_OUTSIDE + " SELECT * FROM lk")
+def build_links(spark: SparkSession, d: str) -> DataFrame:
+    """Filings and licences of each entity, with the best way in which they are the same."""
+    return built(spark, d)["ref_link"]
+
+
+@query(_OUTSIDE + """ SELECT left(naics, 4) AS naics4, year, count(*) AS peer_n, round(sum(dafw + djtr + other_cases) * 200000.0::DOUBLE / sum(hours), 6) AS trir_pooled, round(sum(dafw + djtr) * 200000.0::DOUBLE / sum(hours), 6) AS dart_pooled,
+ round(quantile_cont(trir, 0.5), 6) AS trir_p50, round(quantile_cont(trir, 0.75), 6) AS trir_p75, round(quantile_cont(dart, 0.5), 6) AS dart_p50, round(quantile_cont(dart, 0.75), 6) AS dart_p75 FROM fi WHERE naics LIKE '23%' AND flags = '' AND hours >= 20000 GROUP BY 1, 2""")
+def build_rate_benchmarks(spark: SparkSession, d: str) -> DataFrame:
+    """Injury rates of a trade's peers, pooled and by percentiles."""
+    t = built(spark, d)["ita_benchmark"]
+    return t.select("naics4", "year", "peer_n", *(F.round(x, 6).alias(x) for x in ("trir_pooled", "dart_pooled", "trir_p50", "trir_p75", "dart_p50", "dart_p75")))

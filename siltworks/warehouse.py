@@ -12,9 +12,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siltworks import outside as O
 from siltworks.functions import addresses as A, codes, names as N, narrative
 from siltworks.functions.text import day_or_null, null_if_empty, number_or_null, text
-from siltworks.operators import checks as C, levels as L, rows as R, rulematch
+from siltworks.operators import levels as L, rows as R, rulematch
 from siltworks.resolve import index as I
 
 __all__ = ["Raw", "Settings", "build"]
@@ -29,6 +30,9 @@ class Settings:
     windows: tuple[int, ...] = (3, 5, 10)
     given_names: tuple[str, ...] = ()
     surnames: tuple[str, ...] = ()
+    # what is known of the source: citations without a record, deaths that only a narrative tells
+    orphan_citations: int = 374
+    narrative_deaths: int = 10
 
 
 @dataclass(frozen=True)
@@ -41,7 +45,8 @@ class Raw:
     lookup: DataFrame
     rules: DataFrame
     trades: DataFrame | None = None
-    more: dict[str, DataFrame] = field(default_factory=dict)
+    filings: DataFrame | None = None
+    licences: dict[str, DataFrame] = field(default_factory=dict)
 
 
 c, lit = F.col, F.lit
@@ -80,15 +85,25 @@ def keyed(raw: DataFrame, since: DataFrame) -> DataFrame:
     )
 
 
-def scoped(keys: DataFrame, s: Settings) -> DataFrame:
-    """Records in the window that are coded as construction, or whose entity or company is so elsewhere."""
+def coded_entities(keys: DataFrame) -> DataFrame:
+    """Entities with a record of construction, in any year."""
     coded = (c("is_naics23") | c("is_sic")) & ~c("is_placeholder")
-    entities = keys.where(coded).groupBy("establishment_key").agg(F.bool_or("in_window").alias("coded_in_window"))
+    return keys.where(coded).groupBy("establishment_key").agg(F.bool_or("in_window").alias("coded_in_window"))
+
+
+def related_cores(keys: DataFrame, entities: DataFrame, s: Settings) -> DataFrame:
+    """Distinctive cores of company names most of whose records are of construction."""
     named = keys.where(~c("is_placeholder") & (c("name_core") != ""))
     variety = named.groupBy("name_core").agg(F.countDistinct("clean_name").alias("variety"), (_n(c("is_naics23") | c("is_sic")) / F.count("*")).alias("share"))
     cores = named.join(entities, "establishment_key", "left_semi").select("name_core").distinct().join(variety, "name_core")
     long = F.when(F.contains("name_core", lit(" ")), F.length("name_core") >= 5).otherwise(F.length("name_core") >= 6)
-    related = cores.where((c("variety") <= s.distinctive_most) & (c("share") >= s.related_least_share) & long & ~N.is_person(c("name_core"), s.given_names, s.surnames)).select("name_core", lit(True).alias("related"))
+    return cores.where((c("variety") <= s.distinctive_most) & (c("share") >= s.related_least_share) & long & ~N.is_person(c("name_core"), s.given_names, s.surnames)).select("name_core")
+
+
+def scoped(keys: DataFrame, s: Settings) -> DataFrame:
+    """Records in the window that are coded as construction, or whose entity or company is so elsewhere."""
+    entities = coded_entities(keys)
+    related = related_cores(keys, entities, s).withColumn("related", lit(True))
     df = keys.where("in_window").join(entities, "establishment_key", "left").join(related, "name_core", "left")
     reason = F.when(c("is_naics23"), "naics23").when(c("is_sic"), "sic15_17").when(c("coded_in_window"), "same_establishment").when(c("coded_in_window").isNotNull(), "construction_history").when(~c("is_placeholder") & c("related"), "related_name")
     return df.withColumn("scope_reason", reason).where("scope_reason is not null")
@@ -150,7 +165,10 @@ def injuries(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     person = R.runs(seen, keys, order, starts, "person_n").select(*keys, "age", "sex", "person_n")
     known = rows.join(person, [*keys, "age", "sex"], "left").withColumn("person_n", _or("person_n", 1))
     least = lambda x: F.min(F.when(c(x) > 0, c(x))).alias(x)
-    people = known.groupBy(*keys, "person_n").agg(F.max("age").alias("age"), F.min("sex").alias("sex"), *(least(x) for x in ("degree_code", "nature_code", "body_code", "fat_cause_code", "const_op_code")), F.max("fall_distance_ft").alias("fall_distance_ft"))
+    two = (F.min("sex") != F.max("sex")) | (F.max("age") - F.min("age") > 2)
+    people = known.groupBy(*keys, "person_n").agg(
+        F.max("age").alias("age"), F.min("sex").alias("sex"), *(least(x) for x in ("degree_code", "nature_code", "body_code", "fat_cause_code", "const_op_code")), F.max("fall_distance_ft").alias("fall_distance_ft"), two.alias("person_conflict")
+    )
     return rows, people
 
 
@@ -301,28 +319,12 @@ def decoded_injuries(people: DataFrame, lookup: DataFrame, acc: DataFrame) -> Da
     return out.select("summary_nr", "line_nr", "person_n", "age", "sex", degree.alias("degree"), "nature", "body_part", "fatality_cause", "construction_operation", "fall_distance_ft")
 
 
-def quality_checks(t: dict[str, DataFrame]) -> DataFrame:
-    """Totals of the served tables counted in independent ways."""
-    n = lambda df, x=None: df.agg(F.coalesce(F.sum(x), lit(0)) if x else F.count("*"))
-    live = t["violation"].where(~c("is_deleted"))
-    dated = t["inspection"].where("open_date is not null")
-    return C.all_checks(
-        C.check("inspection_key_unique", n(t["inspection"]), t["inspection"].agg(F.countDistinct("activity_nr"))),
-        C.check("violation_key_unique", n(t["violation"]), t["violation"].agg(F.countDistinct(F.struct("activity_nr", "citation_id")))),
-        C.check("members_cover_inspections", n(t["establishment_member"]), n(t["inspection"])),
-        C.check("year_mart_inspections", n(t["establishment_year"], "insp_n"), n(dated)),
-        C.check("year_mart_citations", n(t["establishment_year"], "viol_n"), n(live.join(dated, "activity_nr", "left_semi"))),
-        C.check("hazards_add_up", n(t["establishment_hazard_year"], "viol_n"), n(t["establishment_year"], "viol_n")),
-        C.check("flag_id_unique", n(t["red_flag"]), t["red_flag"].agg(F.countDistinct("flag_id"))),
-        C.check("hazard_known", live.agg(_n(c("hazard_code") == rulematch.DEFAULT)), n(live), "warn", 1.0),
-    )
-
-
 def build(raw: Raw, settings: Settings = Settings(), keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> dict[str, DataFrame]:
     """All served tables by name."""
     newest = raw.inspection.agg(F.max(day_or_null(c("open_date"))).alias("m"))
     since = newest.select(F.add_months("m", -12 * settings.history_years).alias("since")) if settings.history_years else newest.select(lit("1900-01-01").cast("date").alias("since"))
-    staged = keep("stg_inspection", staged_inspections(scoped(keep("keys", keyed(raw.inspection, since)), settings)))
+    keys = keep("keys", keyed(raw.inspection, since))
+    staged = keep("stg_inspection", staged_inspections(scoped(keys, settings)))
     as_of = staged.agg(F.max("open_date").alias("as_of"))
     viol = keep("violation", violations(staged_violations(raw.violation, staged), raw.rules, as_of))
     rows, people = injuries(raw.injury)
@@ -338,6 +340,23 @@ def build(raw: Raw, settings: Settings = Settings(), keep: Callable[[str, DataFr
         "establishment": est, "establishment_member": insp.select("establishment_key", "activity_nr"), "establishment_alias": aliases(est), "core_stats": I.core_tiers(tiers), "address_stats": I.shared_addresses(est), "name_token": index, "token_df": I.token_frequency(index),
         "establishment_year": establishment_year(insp, viol), "establishment_hazard_year": hazard_year(insp, viol), "red_flag": red_flags(insp, viol), "trade_benchmark": trade_benchmark(insp, est, raw.trades, as_of, settings),
     }
-    return out | {"dq_check": quality_checks(out)}
-
-
+    for name in ("establishment_year", "establishment_hazard_year", "red_flag", "core_stats", "quarantine"):
+        out[name] = keep(name, out[name])  # served, and read by the checks
+    from siltworks import quality  # it uses parts of this module
+
+    out["dq_check"] = quality.checks(raw, keys, people, out, settings)
+    return out | outside(raw, est, keep)
+
+
+def outside(raw: Raw, est: DataFrame, keep: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """Filings and licences that were given, their links to entities, and peers' injury rates."""
+    filed = keep("filing", O.filings(raw.filings)) if raw.filings is not None else None
+    licensed = keep("licence", O.licences(raw.licences)) if raw.licences else None
+    if filed is None and licensed is None:
+        return {}
+    out = {"ref_link": keep("ref_link", O.links(est, keep("reference", O.references(filed, licensed))))}
+    if licensed is not None:
+        out["licence"] = licensed
+    if filed is not None:
+        out |= {"ita_establishment_year": O.relevant(filed, out["ref_link"]), "ita_benchmark": O.benchmark(filed)}
+    return out

@@ -44,11 +44,14 @@ def built(spark, tmp_path_factory):
     )
     root = tmp_path_factory.mktemp("build")
 
+    kept = {}
+
     def keep(name, df):
         df.write.parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
+        kept[name] = spark.read.parquet(f"{root}/{name}")
+        return kept[name]
 
-    return build(raw, Settings(least_rated=1), keep)
+    return build(raw, Settings(least_rated=1), keep) | {"_raw": raw, "_keys": kept["keys"], "_people": kept["injury_people"]}
 
 
 def rows(df, key, *columns):
@@ -91,3 +94,22 @@ def test_entities_and_marts(built):
     bench = {(r.level, r.window_years): r.peer_n for r in built["trade_benchmark"].collect()}
     assert (bench["all", 10], bench["all", 5], bench["all", 3]) == (2, 2, 1)
     assert [r.check_name for r in built["dq_check"].where("severity = 'error' and not passed").collect()] == []
+
+
+def test_checks_notice_faults(built, spark):
+    """Tables spoilt in one place each: the rule that watches it fails."""
+    from siltworks import quality
+
+    found = lambda **spoilt: {r.check_name for r in quality.checks(built["_raw"], built["_keys"], built["_people"], built | spoilt, Settings(least_rated=1)).collect() if r.severity == "error" and not r.passed}
+    assert found() == set()
+    insp, viol, flags = built["inspection"], built["violation"], built["red_flag"]
+    assert {"inspection_key_unique", "scope_counted_again"} <= found(inspection=insp.union(insp.where("activity_nr = 1")))
+    assert {"scope_counted_again", "violations_have_inspections", "flags_have_inspections"} <= found(inspection=insp.where("activity_nr != 1"))
+    assert found(violation=viol.where("citation_id != '01002'")) >= {"citations_counted_again", "year_mart_citations", "flags_from_citations"}
+    assert found(red_flag=flags.where("activity_nr != 2")) == {"fatcat_without_detail_is_flagged", "flags_from_citations"}
+    assert found(establishment=built["establishment"].where("clean_name != 'ACME ROOFING'")) == {"inspections_have_establishments"}
+    assert found(establishment=built["establishment"].withColumn("clean_name", quality.lit("FCX2024XEG41 ROOFING"))) == {"no_case_number_in_names"}
+    late = insp.withColumn("fatality_status", quality.F.when(quality.c("activity_nr") == 1, "fatality_pending").otherwise(quality.c("fatality_status")))
+    assert found(inspection=late) == {"pending_within_deadline"}
+    assert found(inspection=late.replace("fatality_pending", "fatcat_not_cited")) == {"not_cited_nowhere_on_visit"}
+    assert found(accident=built["accident"].withColumn("death_in_narrative", quality.lit(True)), inspection=late.replace("fatality_pending", "none")) == {"told_deaths_have_status"}
