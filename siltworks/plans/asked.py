@@ -19,6 +19,9 @@ _RECORDS = f"""SELECT 'r' || CAST(p_partkey AS STRING) AS entity_key, {_MADE} AS
  CAST(p_size AS BIGINT) AS n, 1990 + p_partkey % 9 AS first_year, 2000 + p_partkey % 5 AS last_year, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS red_flags, k FROM (SELECT *, CAST(floor(p_partkey / 6) AS BIGINT) AS k FROM part)"""
 _TIERS = "SELECT DISTINCT name, CASE k % 7 WHEN 0 THEN 'person' WHEN 1 THEN 'generic' WHEN 2 THEN 'medium' ELSE 'distinctive' END AS tier FROM records"
 _OWN = "SELECT DISTINCT o_custkey AS sub_id, name FROM orders JOIN records ON k % 5 = o_custkey % 5 AND k % 8 = o_custkey % 8"
+# A subject's own names are only ever left out of the names that its questions are about: those among them are all that is read.
+_OWN_ASKED = """SELECT DISTINCT sub_id, name FROM (SELECT DISTINCT o_custkey AS sub_id, 'r' || CAST(l_partkey AS STRING) AS entity_key FROM orders JOIN lineitem ON l_orderkey = o_orderkey) JOIN records USING (entity_key)
+ WHERE k % 5 = sub_id % 5 AND k % 8 = sub_id % 8"""
 _ASKED = """SELECT o_orderkey AS question_id, o_custkey AS sub_id, CASE o_orderkey % 13 WHEN 0 THEN 'remap' WHEN 1 THEN 'profile' WHEN 2 THEN 'web' ELSE 'red_flag' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS suggestion,
  o_orderdate AS created, CASE WHEN o_orderstatus = 'F' THEN 'yes' END AS answer FROM orders"""
 _LINES = "SELECT DISTINCT l_orderkey AS question_id, 'r' || CAST(l_partkey AS STRING) AS entity_key FROM lineitem"
@@ -28,7 +31,7 @@ _SQL = "WITH RECURSIVE " + f"records AS ({_RECORDS}), tiers AS ({_TIERS}), own A
 
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     t = {n: table(spark, d, n) for n in ("part", "orders", "lineitem")}
-    for name, sql in (("records", _RECORDS), ("tiers", _TIERS), ("own", _OWN), ("asked", _ASKED), ("lines", _LINES), ("decided", _DECIDED)):
+    for name, sql in (("records", _RECORDS), ("tiers", _TIERS), ("own", _OWN_ASKED), ("asked", _ASKED), ("lines", _LINES), ("decided", _DECIDED)):
         used = {n: df for n, df in t.items() if f"FROM {n}" in sql or f"JOIN {n}" in sql}
         for n in used:
             sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}} {n}")

@@ -82,3 +82,14 @@ def test_asking(spark):
     assert few == [(1, ["k0", "k9"], None, 5), (2, ["k2"], "yes", 2), (3, ["k1"], "yes", 1)]
     assert Q.questions_for(df, 2).where("sub_id = 2").count() == 3
     assert Q.questions_for(df.where(F.lit(False))).collect() == []
+
+
+def test_own_names_are_read_only_where_they_are_asked_about(spark):
+    """A subject's own names grow with its questions, not with all names times all subjects."""
+    from siltworks.plans import asked
+
+    t = asked._tables(spark, "/root/testdata/sf0.001")
+    about = t["asked"].select("question_id", "sub_id").join(t["lines"], "question_id").join(t["records"].select("entity_key", "name", "k"), "entity_key")
+    want = {(r.sub_id, r.name) for r in about.where("k % 5 = sub_id % 5 and k % 8 = sub_id % 8").collect()}
+    got = [tuple(r) for r in t["own"].select("sub_id", "name").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
