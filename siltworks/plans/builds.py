@@ -55,14 +55,14 @@ def raw(spark: SparkSession, d: str) -> W.Raw:
     return W.Raw(read(INSPECTION), read(VIOLATION), read(ACCIDENT), read(INJURY), read(ABSTRACT), lookup, rules, None, read(FILING), {"WA L&I": read(LICENCE_A), "CA CSLB": read(LICENCE_B)})
 
 
-_built: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_built: dict[tuple[str, str], W.Build] = {}
 
 
-def built(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The warehouse of these tables, built once a session and then served."""
+def built(spark: SparkSession, d: str) -> W.Build:
+    """The warehouse of these tables; each is built once a session, with what it needs and no more, and then served."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _built:
-        _built[key] = W.build(raw(spark, d), W.Settings(least_rated=1), keeper(spark))
+        _built[key] = W.Build(raw(spark, d), W.Settings(least_rated=1), keeper(spark))
     return _built[key]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,7 +19,7 @@ from siltworks.functions.text import day_or_null, null_if_empty, number_or_null,
 from siltworks.operators import levels as L, rows as R, rulematch
 from siltworks.resolve import index as I
 
-__all__ = ["Raw", "Settings", "build"]
+__all__ = ["Build", "Raw", "Settings", "build"]
 
 
 @dataclass(frozen=True)
@@ -110,7 +111,8 @@ def scoped(keys: DataFrame, s: Settings) -> DataFrame:
 
 
 def staged_inspections(scope: DataFrame) -> DataFrame:
-    closed, site = day_or_null(c("close_case_date")), A.address_key("site_address")
+    scope = O.once_per_value(scope, "site_address", site_key=A.address_key("site_address"))
+    closed, site = day_or_null(c("close_case_date")), c("site_key")
     group = F.when(site.isNotNull() & A.zip5("site_zip").isNotNull(), F.md5(F.concat_ws("|", site, A.zip5("site_zip"), F.left("open_date", lit(10)))))
     employees = c("nr_in_estab").try_cast("int")
     flags = R.flags(
@@ -138,9 +140,12 @@ def staged_violations(raw: DataFrame, inspections: DataFrame) -> DataFrame:
     )
 
 
-def violations(staged: DataFrame, rules: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Codes parsed and matched once per distinct (code, state), then joined back."""
-    distinct = staged.select("standard_raw", "site_state").distinct().withColumn("p", codes.parse("standard_raw", "site_state")).select("standard_raw", "site_state", "p.*")
+def violations(staged: DataFrame, rules: DataFrame, as_of: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> DataFrame:
+    """Codes parsed and matched once per distinct (code, state), then joined back.
+
+    Parsed codes are kept: Spark would push what rules ask of them below the ``distinct``, and parse every citation's code for each kind of rule.
+    """
+    distinct = keep("code", staged.select("standard_raw", "site_state").distinct().withColumn("p", codes.parse("standard_raw", "site_state")).select("standard_raw", "site_state", "p.*"))
     matched = rulematch.match_rules(distinct.withColumnRenamed("std_family", "family"), rules).withColumnRenamed("family", "std_family")
     v = staged.alias("v").join(matched.alias("h"), c("v.standard_raw").eqNullSafe(c("h.standard_raw")) & c("v.site_state").eqNullSafe(c("h.site_state")), "left")
     v = v.select("v.*", "std_family", "section_key", "standard_cite", F.coalesce("hazard_code", lit(rulematch.DEFAULT)).alias("hazard_code")).join(F.broadcast(as_of))  # one row
@@ -319,44 +324,111 @@ def decoded_injuries(people: DataFrame, lookup: DataFrame, acc: DataFrame) -> Da
     return out.select("summary_nr", "line_nr", "person_n", "age", "sex", degree.alias("degree"), "nature", "body_part", "fatality_cause", "construction_operation", "fall_distance_ft")
 
 
+class Build:
+    """The served tables by name. Each, and what it is made from, is worked out when it is first asked for."""
+
+    def __init__(self, raw: Raw, settings: Settings = Settings(), keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> None:
+        self.raw, self.settings, self.keep = raw, settings, keep
+        self._made: dict[str, DataFrame] = {}
+
+    @property
+    def names(self) -> list[str]:
+        own = ["inspection", "violation", "accident", "accident_inspection", "injury", "quarantine", "establishment", "establishment_member", "establishment_alias", "core_stats", "address_stats", "name_token", "token_df", "establishment_year", "establishment_hazard_year", "red_flag", "trade_benchmark", "dq_check"]
+        filed, licensed = self.raw.filings is not None, bool(self.raw.licences)
+        return own + ["ref_link"] * (filed or licensed) + ["licence"] * licensed + ["ita_establishment_year", "ita_benchmark"] * filed
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        if name not in self._made:
+            self._made[name] = self._make(name)
+        return self._made[name]
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        newest = self.raw.inspection.agg(F.max(day_or_null(c("open_date"))).alias("m"))
+        since = newest.select(F.add_months("m", -12 * self.settings.history_years).alias("since")) if self.settings.history_years else newest.select(lit("1900-01-01").cast("date").alias("since"))
+        return self.keep("keys", keyed(self.raw.inspection, since))
+
+    @cached_property
+    def staged(self) -> DataFrame:
+        return self.keep("stg_inspection", staged_inspections(scoped(self.keys, self.settings)))
+
+    @cached_property
+    def as_of(self) -> DataFrame:
+        return self.staged.agg(F.max("open_date").alias("as_of"))
+
+    @cached_property
+    def injury_rows(self) -> tuple[DataFrame, DataFrame]:
+        rows, people = injuries(self.raw.injury)
+        return self.keep("injury_rows", rows), self.keep("injury_people", people)
+
+    @cached_property
+    def accident_links(self) -> tuple[DataFrame, DataFrame]:
+        acc, links = accidents(self.raw, *self.injury_rows, self.staged)
+        return self.keep("accident", acc), links
+
+    @cached_property
+    def filed(self) -> DataFrame | None:
+        return self.keep("filing", O.filings(self.raw.filings)) if self.raw.filings is not None else None
+
+    @cached_property
+    def licensed(self) -> DataFrame | None:
+        return self.keep("licence", O.licences(self.raw.licences)) if self.raw.licences else None
+
+    def _make(self, name: str) -> DataFrame:
+        raw, s, keep = self.raw, self.settings, self.keep
+        match name:
+            case "inspection":
+                return keep(name, final_inspections(self.staged, self["violation"], *self.accident_links, self.as_of))
+            case "violation":
+                return keep(name, violations(staged_violations(raw.violation, self.staged), raw.rules, self.as_of, keep))
+            case "accident":
+                return self.accident_links[0]
+            case "accident_inspection":
+                return self.accident_links[1]
+            case "injury":
+                return decoded_injuries(self.injury_rows[1], raw.lookup, self["accident"])
+            case "establishment":
+                return keep(name, establishments(self["inspection"]))
+            case "establishment_member":
+                return self["inspection"].select("establishment_key", "activity_nr")
+            case "establishment_alias":
+                return aliases(self["establishment"])
+            case "address_stats":
+                return I.shared_addresses(self["establishment"])
+            case "name_token":
+                return I.token_index(self["establishment"], key="establishment_key")
+            case "token_df":
+                return I.token_frequency(self["name_token"])
+            case "trade_benchmark":
+                return trade_benchmark(self["inspection"], self["establishment"], raw.trades, self.as_of, s)
+            # served, and read by the checks
+            case "establishment_year":
+                return keep(name, establishment_year(self["inspection"], self["violation"]))
+            case "establishment_hazard_year":
+                return keep(name, hazard_year(self["inspection"], self["violation"]))
+            case "red_flag":
+                return keep(name, red_flags(self["inspection"], self["violation"]))
+            case "core_stats":
+                return keep(name, I.core_tiers(self["establishment"].withColumn("is_person", N.is_person(c("name_core"), s.given_names, s.surnames))))
+            case "quarantine":
+                return keep(name, quarantine(raw, *self.injury_rows, self["accident_inspection"]))
+            case "dq_check":
+                from siltworks import quality  # it uses parts of this module
+
+                return quality.checks(raw, self.keys, self.injury_rows[1], self, s)
+            case "ref_link":
+                return keep(name, O.links(self["establishment"], keep("reference", O.references(self.filed, self.licensed))))
+            case "licence":
+                return self.licensed
+            case "ita_establishment_year":
+                return O.relevant(self.filed, self["ref_link"])
+            case "ita_benchmark":
+                return O.benchmark(self.filed)
+
+
 def build(raw: Raw, settings: Settings = Settings(), keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> dict[str, DataFrame]:
     """All served tables by name."""
-    newest = raw.inspection.agg(F.max(day_or_null(c("open_date"))).alias("m"))
-    since = newest.select(F.add_months("m", -12 * settings.history_years).alias("since")) if settings.history_years else newest.select(lit("1900-01-01").cast("date").alias("since"))
-    keys = keep("keys", keyed(raw.inspection, since))
-    staged = keep("stg_inspection", staged_inspections(scoped(keys, settings)))
-    as_of = staged.agg(F.max("open_date").alias("as_of"))
-    viol = keep("violation", violations(staged_violations(raw.violation, staged), raw.rules, as_of))
-    rows, people = injuries(raw.injury)
-    rows, people = keep("injury_rows", rows), keep("injury_people", people)
-    acc, links = accidents(raw, rows, people, staged)
-    acc = keep("accident", acc)
-    insp = keep("inspection", final_inspections(staged, viol, acc, links, as_of))
-    est = keep("establishment", establishments(insp))
-    index = I.token_index(est, key="establishment_key")
-    tiers = est.withColumn("is_person", N.is_person(c("name_core"), settings.given_names, settings.surnames))
-    out = {
-        "inspection": insp, "violation": viol, "accident": acc, "accident_inspection": links, "injury": decoded_injuries(people, raw.lookup, acc), "quarantine": quarantine(raw, rows, people, links),
-        "establishment": est, "establishment_member": insp.select("establishment_key", "activity_nr"), "establishment_alias": aliases(est), "core_stats": I.core_tiers(tiers), "address_stats": I.shared_addresses(est), "name_token": index, "token_df": I.token_frequency(index),
-        "establishment_year": establishment_year(insp, viol), "establishment_hazard_year": hazard_year(insp, viol), "red_flag": red_flags(insp, viol), "trade_benchmark": trade_benchmark(insp, est, raw.trades, as_of, settings),
-    }
-    for name in ("establishment_year", "establishment_hazard_year", "red_flag", "core_stats", "quarantine"):
-        out[name] = keep(name, out[name])  # served, and read by the checks
-    from siltworks import quality  # it uses parts of this module
-
-    out["dq_check"] = quality.checks(raw, keys, people, out, settings)
-    return out | outside(raw, est, keep)
-
-
-def outside(raw: Raw, est: DataFrame, keep: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
-    """Filings and licences that were given, their links to entities, and peers' injury rates."""
-    filed = keep("filing", O.filings(raw.filings)) if raw.filings is not None else None
-    licensed = keep("licence", O.licences(raw.licences)) if raw.licences else None
-    if filed is None and licensed is None:
-        return {}
-    out = {"ref_link": keep("ref_link", O.links(est, keep("reference", O.references(filed, licensed))))}
-    if licensed is not None:
-        out["licence"] = licensed
-    if filed is not None:
-        out |= {"ita_establishment_year": O.relevant(filed, out["ref_link"]), "ita_benchmark": O.benchmark(filed)}
-    return out
+    made = Build(raw, settings, keep)
+    return {name: made[name] for name in made.names}

@@ -65,3 +65,17 @@ def test_a_warehouse_built_twice_writes_once(spark, tmp_path):
     two = warehouse.build(builds.raw(spark, SF), settings, second)
     assert {d.action for d in second.report} == {"reused"} and files(f"{tmp_path}/w") == before
     assert {n: df.count() for n, df in two.items()} == counts
+
+
+def test_tables_are_made_only_when_asked_for(spark):
+    """A table of the warehouse makes what it reads and no more; codes are parsed on their own, not where rules ask for them."""
+    done = []
+
+    def keep(name, df):
+        done.append(name)
+        return df.limit(0) if name != "code" else df
+
+    made = warehouse.Build(builds.raw(spark, SF), warehouse.Settings(least_rated=1), keep)
+    assert made["ita_benchmark"].columns and done == ["filing"]
+    assert made["violation"] is made["violation"] and done[1:] == ["keys", "stg_inspection", "code", "violation"]
+    assert "reference" not in done and "dq_check" in made.names and "reference" not in made.names
