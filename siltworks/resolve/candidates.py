@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siltworks.functions.similarity import jaro_winkler, may_reach
@@ -9,24 +15,71 @@ from siltworks.operators.rows import top_k
 from siltworks.sources.scratch import keeper
 
 TOKEN_SIMILARITY, NAME_SIMILARITY, MOST_CANDIDATES, RAREST, LENGTHS = 0.92, 0.80, 400, 2, 3
-#: Parts that the wanted tokens of a first letter and length are dealt to.
-PARTS = 16
+#: Parts that the wanted tokens of a head and length are dealt to.
+PARTS = 4
+#: Letters of a common prefix that count, and the length up to which tokens meet by shared letters.
+HEAD, SHORT = 4, 12
+
+
+def shared_letters(n: int, m: int, least: float, prefix: int = HEAD - 1) -> int:
+    """Letters that two words of ``n`` and ``m`` must have in common to be ``least`` alike with a common prefix of at most ``prefix``."""
+    plain = (least - 0.1 * prefix) / (1 - 0.1 * prefix)
+    return math.ceil((3 * plain - 1) / (1 / n + 1 / m) - 1e-9)
+
+
+def _letter_keys(tokens: DataFrame, least: float, wanted: bool) -> DataFrame:
+    """``token, key``: a hash of the first letter, of both lengths and of each choice of letters, in order of the alphabet, that an alike word must share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            words = column.to_pylist()
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            for n in np.unique(size[(size > 0) & (size <= SHORT)]).tolist():
+                rows = np.flatnonzero(size == n)
+                codes = np.frombuffer("".join(words[k] for k in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+                first, codes = codes[:, :1], np.sort(codes, axis=1)
+                for m in range(max(1, n - LENGTHS), min(SHORT, n + LENGTHS) + 1):
+                    c = shared_letters(n, m, least)
+                    if c > min(n, m):
+                        continue
+                    a, b = (n, m) if wanted else (m, n)
+                    choice = np.array(list(combinations(range(n), c)), np.int64).reshape(-1, c)
+                    key = np.repeat(first * np.uint64(4099) + np.uint64(64 * a + b), len(choice), axis=1)
+                    for k in range(c):
+                        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + codes[:, choice[:, k]]
+                    yield pa.RecordBatch.from_arrays([column.take(pa.array(np.repeat(rows, len(choice)))), pa.array(key.ravel().view(np.int64))], names=["token", "key"])
+
+    return tokens.select("token").mapInArrow(run, "token string, key long")
 
 
 def similar_tokens(wanted: DataFrame, vocabulary: DataFrame, least: float = TOKEN_SIMILARITY) -> DataFrame:
     """``wanted_token, token`` of like spelling. Both hold distinct tokens, the first letters agree, lengths by ``LENGTHS``.
 
-    Tokens meet by first letter and length, and only pairs whose letters allow the similarity leave the JVM. Tokens take few bytes
-    but make many pairs, so the wanted ones of a block are dealt to parts, each with its own copy of the block's
-    vocabulary, and the number of partitions is stated: by bytes Spark would leave all pairs to one task.
+    Words with the same ``HEAD`` letters meet by these and length. Others must share so many letters that they meet by equality with one
+    of the choices of these, so that the pairs don't grow with the square of the tokens of a letter; of these, only words over
+    ``SHORT`` letters meet by first letter and length. Pairs whose letters don't allow the similarity don't leave the JVM. Tokens take few
+    bytes but make many pairs, so the number of partitions is stated: by bytes Spark would leave all pairs to one task.
     """
+    n = 4 * int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = F.explode(F.sequence(F.length("token") - LENGTHS, F.length("token") + LENGTHS))
-    keys, n = ["first", "size", "part"], 4 * int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = wanted.select(F.col("token").alias("wanted_token"), F.left("token", F.lit(1)).alias("first"), near.alias("size"), F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int").alias("part"))
-    b = vocabulary.select("token", F.left("token", F.lit(1)).alias("first"), F.length("token").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    both = a.repartition(n, *keys).join(b.repartition(n, *keys), keys)
+
+    def blocks(head: int) -> DataFrame:
+        keys = ["head", "size", "part"]
+        a = wanted.select(F.col("token").alias("wanted_token"), F.left("token", F.lit(head)).alias("head"), near.alias("size"), F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int").alias("part"))
+        b = vocabulary.select("token", F.left("token", F.lit(head)).alias("head"), F.length("token").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        if head < HEAD:
+            a, b = a.where((F.col("size") > SHORT) | (F.length("wanted_token") > SHORT)), b.where(F.col("size") > SHORT - LENGTHS)
+        return a.repartition(n, *keys).join(b.repartition(n, *keys), keys).select("wanted_token", "token")
+
+    reach = may_reach(F.col("wanted_token"), F.col("token"), least)
+    apart = F.left("wanted_token", F.lit(HEAD)) != F.left("token", F.lit(HEAD))
+    same_head = blocks(HEAD).where((F.col("wanted_token") != F.col("token")) & reach)
+    long = blocks(1).where(apart & reach)
+    a, b = _letter_keys(wanted, least, True).withColumnRenamed("token", "wanted_token"), _letter_keys(vocabulary, least, False)
+    short = a.repartition(n, "key").join(b.repartition(n, "key"), "key").select("wanted_token", "token").where(apart & (F.left("wanted_token", F.lit(1)) == F.left("token", F.lit(1))) & reach).distinct()
     same = wanted.join(vocabulary.select("token"), "token", "left_semi").select(F.col("token").alias("wanted_token"), "token")
-    other = both.where((F.col("wanted_token") != F.col("token")) & may_reach(F.col("wanted_token"), F.col("token"), least))
+    other = same_head.union(long).union(short)
     return same.union(other.where(jaro_winkler("wanted_token", "token") >= least).select("wanted_token", "token"))
 
 

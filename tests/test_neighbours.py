@@ -96,3 +96,27 @@ def test_damerau_batch(n):
 def test_keys_meet_by_equality(spark):
     plan = N.one_edit(spark.range(10).select(F.col("id").cast("string").alias("name")))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_similar_tokens_against_all_pairs(spark):
+    """Words of all lengths, slips of each other: the pairs of a plain comparison, met by shared letters and not by first letters."""
+    import random
+
+    from siltworks.functions.similarity import winkler_batch
+    from siltworks.resolve import candidates as C
+
+    r, words = random.Random(5), {"A", "AB", "ABC", "ÄBCDE", "ÄCBDE", "AAAA", "AAAAA"}
+    for _ in range(120):
+        w = "".join(r.choice("ABCDE") for _ in range(r.randint(2, 17)))
+        k = r.randrange(len(w))
+        words |= {w, w[:k] + w[k + 1 :], w[:k] + r.choice("ABCDE") + w[k:], w[: k + 1][:-1] + w[k : k + 2][::-1] + w[k + 2 :]} - {""}
+    words = sorted(words)
+    pairs = [(a, b) for a in words for b in words if a[0] == b[0] and abs(len(a) - len(b)) <= 3]
+    alike = winkler_batch([a for a, _ in pairs], [b for _, b in pairs]) >= 0.92
+    df = spark.createDataFrame([(w,) for w in words], "token string")
+    got = [tuple(x) for x in C.similar_tokens(df, df).collect()]
+    assert len(got) == len(set(got)) and set(got) == {p for p, x in zip(pairs, alike, strict=True) if x}
+    # made words of one first letter meet few others: below, all pairs were compared
+    many = spark.createDataFrame([("A" + "".join(r.choice("BCDEFGHIKLMNOPR") for _ in range(7)),) for _ in range(1000)], "token string").distinct()
+    a, b = C._letter_keys(many, 0.92, True), C._letter_keys(many, 0.92, False)
+    assert a.join(b, "key").count() < 100_000
