@@ -19,14 +19,12 @@ from . import kernels as K
 
 #: n-grams in a profile
 TOP = 300
-#: expected number of documents a language that profiles are learned from, drawn by a hash of the id
-SAMPLE_DOCS = 4000
 #: Profiles are kept for so many languages at most; more raise an error.
 MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
 #: A score is too low for a text of any learned language below this share of what all but ``FLOOR_TAIL`` of the
-#: labelled texts reach.
-FLOOR_SHARE, FLOOR_TAIL = 0.5, 0.01
+#: labelled texts reach; scores are counted in so many steps.
+FLOOR_SHARE, FLOOR_TAIL, SCORE_STEPS = 0.5, 0.01, 10_000
 
 _letters: np.ndarray | None = None
 
@@ -91,25 +89,22 @@ class Profiles:
         return self.names[best], float(1 - d[best] / (TOP * len(own)))
 
 
-def _drawn(labelled: DataFrame, sample_docs: int) -> DataFrame | None:
-    """About ``sample_docs`` labelled documents of each language, or nothing if there are none."""
-    labelled = labelled.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if not sizes:
-        return None
-    if len(sizes) > MOST_LANGUAGES:
+def _labelled(docs: DataFrame) -> DataFrame | None:
+    """The documents with lang and text, or nothing if there are none."""
+    labelled = docs.where("lang is not null and text is not null")
+    languages = labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))))
-    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    return labelled if languages else None
 
 
-def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> Profiles:
-    """Profiles from ``labelled(doc_id, text, lang)``; rows without lang or text are left out.
+def learn(labelled: DataFrame, top: int = TOP) -> Profiles:
+    """Profiles from all of ``labelled(doc_id, text, lang)``; rows without lang or text are left out.
 
     n-grams are counted where the documents are; only ``top`` rows a language reach the driver.
     """
-    drawn = _drawn(labelled, sample_docs)
-    if drawn is None:
+    labelled = _labelled(labelled)
+    if labelled is None:
         return Profiles({})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +116,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -
                 value, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = drawn.select("lang", "text").mapInArrow(K.tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.select("lang", "text").mapInArrow(K.tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "gram", "rank").collect()
     ranks: dict[str, list[int]] = {}
@@ -130,16 +125,23 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -
     return Profiles(ranks)
 
 
-def least_score(labelled: DataFrame, profiles: Profiles, sample_docs: int = SAMPLE_DOCS) -> float:
+def least_score(labelled: DataFrame, profiles: Profiles) -> float:
     """The score below which a text is in none of the learned languages; 0 if none was learned.
 
-    It is ``FLOOR_SHARE`` of what all but ``FLOOR_TAIL`` of the labelled documents of :func:`learn` reach.
+    It is ``FLOOR_SHARE`` of what all but ``FLOOR_TAIL`` of the labelled documents reach. All their scores are counted, each rounded down to one of
+    ``SCORE_STEPS``, and the tail is read off the counts.
     """
-    drawn = _drawn(labelled, sample_docs)
-    if drawn is None:
+    labelled = _labelled(labelled)
+    if labelled is None:
         return 0.0
-    scores = predict(drawn.select("text"), profiles).where(F.col("lang_pred") != UNDETERMINED)
-    return FLOOR_SHARE * (scores.agg(F.percentile_approx("score", FLOOR_TAIL)).first()[0] or 0.0)
+    scores = predict(labelled.select("text"), profiles).where(F.col("lang_pred") != UNDETERMINED)
+    steps = scores.groupBy(F.floor(F.col("score") * SCORE_STEPS).alias("step")).agg(F.count("*").alias("n"))
+    total = steps.agg(F.sum("n")).first()[0]
+    if not total:
+        return 0.0
+    upto = F.sum("n").over(Window.orderBy("step"))  # over SCORE_STEPS + 1 rows at most
+    step = steps.withColumn("upto", upto).where(F.col("upto") >= max(1.0, FLOOR_TAIL * total)).agg(F.min("step")).first()[0]
+    return FLOOR_SHARE * step / SCORE_STEPS
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:

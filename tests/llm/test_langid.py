@@ -76,3 +76,16 @@ def test_least_score(spark):
     other = spark.createDataFrame([("съешь же ещё этих мягких французских булок да выпей чаю",), ("いろはにほへと ちりぬるを",)], "text string")
     assert predict(other, profiles).where(f"score >= {floor}").count() == 0
     assert least_score(docs.limit(0), profiles) == 0.0
+
+
+def test_every_labelled_document_counts(spark):
+    """More documents of a language than were once drawn: all n-grams are counted, and the floor is that of all scores."""
+    rows = [(k, f"ab{chr(99 + k % 20)} " * (1 + k % 3), "xx") for k in range(4800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = learn(docs)
+    want = plain_rank([g for _, text, _ in rows for g in plain_grams(text)])
+    value = lambda g: sum((1 if c == " " else ord(c)) << (21 * k) for k, c in enumerate(g))
+    got = [v for _, v in sorted(zip(profiles.rank[0].tolist(), profiles.sorted[0].tolist(), strict=True))]
+    assert got == [value(g) for g in want]
+    scores = sorted(r.score for r in predict(docs, profiles).collect())
+    assert abs(least_score(docs, profiles) - 0.5 * scores[47]) < 1e-4
