@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import kernels as K
+from .storage import arrow_batches
 
 #: n-grams in a profile
 TOP = 300
@@ -98,27 +99,32 @@ def _labelled(docs: DataFrame) -> DataFrame | None:
     return labelled if languages else None
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each language's n-grams in ``lang, text``, a quarter of a megabyte at a time: n-grams and their sorting take over fifty bytes a character."""
+    for batch in batches:
+        lang = np.array(batch.column("lang").to_pylist(), object)
+        _, offsets = K.text_buffer(batch.column("text"))
+        for first, last in K.slices(offsets):
+            text, names = batch.column("text")[first:last].to_pylist(), lang[first:last]
+            for name in sorted(set(names)):
+                value, n = np.unique(np.concatenate([grams(text[i]) for i in np.flatnonzero(names == name)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+
 def learn(labelled: DataFrame, top: int = TOP) -> Profiles:
     """Profiles from all of ``labelled(doc_id, text, lang)``; rows without lang or text are left out.
 
-    n-grams are counted where the documents are; only ``top`` rows a language reach the driver.
+    n-grams are counted where the documents are, in bounded memory; only ``top`` rows a language reach the driver.
     """
     labelled = _labelled(labelled)
     if labelled is None:
         return Profiles({})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang = np.array(batch.column("lang").to_pylist(), object)
-            text = batch.column("text").to_pylist()
-            for name in sorted(set(lang)):
-                found = [grams(text[i]) for i in np.flatnonzero(lang == name)]
-                value, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-    counts = labelled.select("lang", "text").mapInArrow(K.tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.select("lang", "text").mapInArrow(K.tidy(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "gram", "rank").collect()
+    rows = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "gram", "rank")
+    with arrow_batches(labelled.sparkSession):
+        rows = rows.collect()
     ranks: dict[str, list[int]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r["rank"])):
         ranks.setdefault(r.lang, []).append(r.gram)

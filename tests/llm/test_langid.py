@@ -1,7 +1,11 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
-from siltworks.llm.langid import TOP, identify, learn, least_score, predict
+import numpy as np
+import pyarrow as pa
+
+from siltworks.llm.langid import TOP, _counted, grams, identify, learn, least_score, predict
 
 from .samples import awkward, documents
 
@@ -89,3 +93,18 @@ def test_every_labelled_document_counts(spark):
     assert got == [value(g) for g in want]
     scores = sorted(r.score for r in predict(docs, profiles).collect())
     assert abs(least_score(docs, profiles) - 0.5 * scores[47]) < 1e-4
+
+
+def test_counting_holds_a_few_texts_at_a_time():
+    text = [f"every text number{i} of a large batch " * 60 for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 1000), pa.array(text)], names=["lang", "text"])
+    counted = {}
+    tracemalloc.start()
+    for out in _counted(iter([batch])):
+        for lang, gram, n in zip(*(x.to_pylist() for x in out.columns), strict=True):
+            counted[lang, gram] = counted.get((lang, gram), 0) + n
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 * sum(map(len, text))  # all n-grams at once take over 50 bytes a character
+    value, n = np.unique(np.concatenate([grams(x) for x in text[::2]]).view(np.int64), return_counts=True)
+    assert {g: k for (lang, g), k in counted.items() if lang == "en"} == dict(zip(value.tolist(), n.tolist(), strict=True))
