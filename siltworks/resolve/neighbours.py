@@ -130,5 +130,8 @@ def lookalikes(listed: DataFrame, records: DataFrame, tiers: DataFrame) -> DataF
     lost = listed.where("name != ''").join(records.select("name").distinct(), "name", "left_anti")
     found = one_edit_within(lost, sure, ["state", "city"])
     one = found.groupBy("name", "state", "city").agg(F.min("found").alias("found"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    at = lost.select("name", "state", "city", "addr_key").join(sure.select(F.col("name").alias("found"), "state", "city", "addr_key"), ["state", "city", "addr_key"]).select("name", "state", "city", "found").distinct()
+    # Only what was found is looked up at its addresses: all pairs of an address grow with the square of its names.
+    where = ["state", "city", "addr_key"]
+    asked = one.join(lost.select("name", *where).distinct(), ["name", "state", "city"])
+    at = asked.join(sure.select(F.col("name").alias("found"), *where).distinct(), ["found", *where], "left_semi").select("name", "state", "city", "found").distinct()
     return one.join(at.withColumn("same_address", F.lit(True)), ["name", "state", "city", "found"], "left").select("name", "state", "city", "found", F.coalesce("same_address", F.lit(False)).alias("same_address"))

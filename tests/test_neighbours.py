@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from siltworks.functions import similarity as S
 from siltworks.resolve import neighbours as N
 
+from .plans import join_rows
+
 
 def slip(a, b):
     """A letter put in or left out, or two neighbours swapped, after the third, in names of seven letters or more."""
@@ -120,3 +122,13 @@ def test_similar_tokens_against_all_pairs(spark):
     many = spark.createDataFrame([("A" + "".join(r.choice("BCDEFGHIKLMNOPR") for _ in range(7)),) for _ in range(1000)], "token string").distinct()
     a, b = C._letter_keys(many, 0.92, True), C._letter_keys(many, 0.92, False)
     assert a.join(b, "key").count() < 100_000
+
+
+def test_lookalikes_do_not_pair_all_names_at_an_address(spark):
+    at = "'TX' AS state, 'WACO' AS city, '1 MAIN' AS addr_key"
+    known = spark.sql(f"SELECT left(md5(cast(id AS string)), 9) || 'A' AS name, {at} FROM range(1000)")
+    listed = spark.sql(f"SELECT left(md5(cast(id AS string)), 9) || 'B' AS name, {at} FROM range(1000)")
+    found = N.lookalikes(listed, known, known.select("name").withColumn("tier", F.lit("distinctive")))
+    rows = found.collect()
+    assert len(rows) == 1000 and all(r.same_address and r.found == r["name"][:9] + "A" for r in rows)
+    assert join_rows(found) < 100_000  # 1,000,000 pairs stand at the address
