@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltworks.operators.rows import top_k
@@ -46,6 +48,23 @@ def at_listed(listed: DataFrame, entities: DataFrame, shared: DataFrame, most: i
     return top_k(found, ["query_id"], [F.desc("n"), F.col("entity_key")], most).select("query_id", "entity_key", "n")
 
 
+def largest_at(wanted: DataFrame, entities: DataFrame, place: list[str], order: Sequence[Column], most: int) -> DataFrame:
+    """``wanted``'s columns and the entities' at its place, the first ``most`` by ``order``, a total order of the entities' own columns.
+
+    ``wanted`` has the columns ``place`` and unit, ``entities`` those and own_unit. Units have to agree unless one side has none. What no query of a
+    place and unit could keep is left out before queries meet it, and queries that ask the same are answered once, so no address
+    costs the product of both sides.
+    """
+    best = top_k(entities, [*place, "own_unit"], order, most)
+    fits = F.col("unit").isNull() | F.col("own_unit").isNull() | (F.col("unit") == F.col("own_unit"))
+    answers = top_k(wanted.select(*place, "unit").distinct().join(best, place).where(fits), [*place, "unit"], order, most)
+    asked = answers.withColumnsRenamed({x: f"_{x}" for x in [*place, "unit"]})
+    same = F.col("unit").eqNullSafe(F.col("_unit"))
+    for x in place:
+        same = same & (F.col(x) == F.col(f"_{x}"))
+    return wanted.join(asked, same).drop("_unit", *(f"_{x}" for x in place))
+
+
 def keep_closest(decided: DataFrame, kept: dict[str, int] = KEPT) -> DataFrame:
     """``decided(query_id, entity_key, bucket, similarity)`` with so many rows of each bucket of a query; other buckets stay whole."""
     place = F.row_number().over(Window.partitionBy("query_id", "bucket").orderBy(F.desc_nulls_last("similarity"), "entity_key"))
