@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltworks.functions.text import day_or_null, number_or_null
 from siltworks.operators import checks as C, levels as L, rows as R, rulematch
-from siltworks.session import table
+from siltworks.session import parts, table
 
 QUERIES, SQL = {}, {}
 
@@ -37,6 +37,23 @@ def total(c):
     return F.sum(c).cast("double")
 
 
+def fact_parts(spark: SparkSession, d: str) -> int:
+    return parts(spark, table(spark, d, "lineitem"))
+
+
+def cited(spark: SparkSession, d: str) -> DataFrame:
+    """Citations with their record and subject, no more columns than the queries read.
+
+    Joins are over partitions whose number grows with the citations, so that a task's share doesn't.
+    """
+    n = fact_parts(spark, d)
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_extendedprice", "l_linestatus")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    p = table(spark, d, "part").select("p_partkey", "p_type")
+    known = li.repartition(n, "l_orderkey").join(o.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return known.repartition(n, "l_partkey").join(p.repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber AS INTEGER) AS coded,
   CASE WHEN l_discount = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(14,2))::DOUBLE END AS penalty, CAST(l_shipdate AS DATE) AS issued FROM lineitem
@@ -192,8 +209,8 @@ SELECT o_custkey AS entity, year(o_orderdate)::BIGINT AS year, p_type AS hazard,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3
 """)
 def hazard_year(spark: SparkSession, d: str) -> DataFrame:
-    facts = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice").join(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    return facts.groupBy(F.col("o_custkey").alias("entity"), year("o_orderdate").alias("year"), F.col("p_type").alias("hazard")).agg(F.count("*").alias("citations"), F.countDistinct("o_orderkey").alias("visits"), total(money("l_extendedprice")).alias("penalty"))
+    rows = cited(spark, d).select(F.col("o_custkey").alias("entity"), year("o_orderdate").alias("year"), F.col("p_type").alias("hazard"), "o_orderkey", "l_extendedprice").repartition(fact_parts(spark, d), "entity", "year", "hazard")
+    return rows.groupBy("entity", "year", "hazard").agg(F.count("*").alias("citations"), F.countDistinct("o_orderkey").alias("visits"), total(money("l_extendedprice")).alias("penalty"))
 
 
 @query("""

@@ -24,3 +24,15 @@ def session(app: str = "siltworks", master: str | None = None, **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path may be any URI that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: rows of a fact table for which a shuffle has a partition
+PARTITION_ROWS = 1_000_000
+
+
+def parts(spark: SparkSession, facts: DataFrame, rows: int = PARTITION_ROWS) -> int:
+    """Partitions for a shuffle of ``facts``, a table as it was read: one for so many rows, but no fewer than the session's.
+
+    With the session's number alone a task's share would grow with the table. Parquet files are counted by their footers.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts.count() // rows))
