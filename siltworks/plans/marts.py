@@ -120,8 +120,11 @@ UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), 'no orders' FROM custom
 """)
 def orphans_quarantine(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
-    items = R.orphans(table(spark, d, "lineitem"), orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"], "lineitem", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "no order of status F")
-    customers = R.orphans(table(spark, d, "customer"), orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"], "customer", F.col("c_custkey"), "no orders")
+    n, m = fact_parts(spark, d), parts(spark, orders)
+    closed = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")).repartition(n, "l_orderkey")
+    items = R.orphans(table(spark, d, "lineitem").repartition(n, "l_orderkey"), closed, ["l_orderkey"], "lineitem", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "no order of status F")
+    placed = orders.select(F.col("o_custkey").alias("c_custkey")).repartition(m, "c_custkey")
+    customers = R.orphans(table(spark, d, "customer").repartition(m, "c_custkey"), placed, ["c_custkey"], "customer", F.col("c_custkey"), "no orders")
     return items.unionByName(customers)
 
 
