@@ -7,15 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from siltworks.operators import rows as R
 from siltworks.session import table
 
-from .marts import money, query, year
-
-
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Citations with their record and subject, no more columns than the queries read."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_extendedprice", "l_linestatus")
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    p = table(spark, d, "part").select("p_partkey", "p_type")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+from .marts import cited, fact_parts, money, query, year
 
 
 @query("""
@@ -24,7 +16,7 @@ SELECT entity, hazard, visit FROM v QUALIFY row_number() OVER (PARTITION BY enti
 """)
 def hazard_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The latest distinct visits behind each hazard of each entity."""
-    v = _items(spark, d).select(F.col("o_custkey").alias("entity"), F.col("p_type").alias("hazard"), F.col("o_orderkey").alias("visit"), "o_orderdate").distinct()
+    v = cited(spark, d).select(F.col("o_custkey").alias("entity"), F.col("p_type").alias("hazard"), F.col("o_orderkey").alias("visit"), "o_orderdate").repartition(fact_parts(spark, d), "entity", "hazard").distinct()
     return R.top_k(v, ["entity", "hazard"], [F.desc("o_orderdate"), F.desc("visit")], 3).select("entity", "hazard", "visit")
 
 
@@ -35,7 +27,8 @@ SELECT *, visits_all >= 3 OR visits_window >= 2 AS recurring FROM h
 """)
 def hazard_visits(spark: SparkSession, d: str) -> DataFrame:
     """Distinct visits of each hazard, ever and within the window; a first grouping leaves one row a visit."""
-    v = _items(spark, d).groupBy(F.col("o_custkey").alias("entity"), F.col("p_type").alias("hazard"), "o_orderkey").agg(F.first("o_orderdate").alias("day"))
+    rows = cited(spark, d).select(F.col("o_custkey").alias("entity"), F.col("p_type").alias("hazard"), "o_orderkey", "o_orderdate").repartition(fact_parts(spark, d), "entity", "hazard")
+    v = rows.groupBy("entity", "hazard", "o_orderkey").agg(F.first("o_orderdate").alias("day"))
     recent = F.count(F.when(F.col("day") >= F.lit("1999-01-01").cast("timestamp"), 1))
     h = v.groupBy("entity", "hazard").agg(F.count("*").alias("visits_all"), recent.alias("visits_window"), F.min(year("day")).alias("first_year"), F.max(year("day")).alias("last_year"))
     return h.withColumn("recurring", (F.col("visits_all") >= 3) | (F.col("visits_window") >= 2))
@@ -47,7 +40,7 @@ SELECT o_orderkey, c_name, coalesce(citations, '') AS citations, penalty FROM or
 """)
 def record_detail(spark: SparkSession, d: str) -> DataFrame:
     """Header and citations of every record."""
-    i = _items(spark, d).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p_type", "l_returnflag"))), ",").alias("citations"), F.sum(money("l_extendedprice")).cast("double").alias("penalty"))
+    i = cited(spark, d).repartition(fact_parts(spark, d), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p_type", "l_returnflag"))), ",").alias("citations"), F.sum(money("l_extendedprice")).cast("double").alias("penalty"))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     return o.join(i, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "c_name", F.coalesce("citations", F.lit("")).alias("citations"), "penalty")
 
