@@ -86,4 +86,4 @@ def number_or_null(c: Column, kind: str = "int") -> Column:
 def day_or_null(c: Column) -> Column:
     """The date in the first ten characters, which must read year-month-day."""
     head = F.substring(c, 1, 10)
-    return F.when(head.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_date(head, "yyyy-MM-dd"))
+    return F.when(head.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), head.try_cast("date"))

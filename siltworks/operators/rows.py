@@ -49,8 +49,9 @@ def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[str], source: st
 
 def flags(**conditions: Column) -> Column:
     """Names of the conditions that hold, in the order given; null conditions don't hold."""
-    found = [F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in conditions.items()]
-    return F.array_compact(F.array(*found))
+    # as text first: this is compiled, while a function with a lambda has all its conditions interpreted for each row
+    found = F.concat_ws(",", *(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in conditions.items()))
+    return F.array_remove(F.split(found, ","), "")
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], starts: Column, name: str = "run") -> DataFrame:

@@ -9,7 +9,7 @@ be looked up. Numbers and days that can't be read are null. Empty tables give em
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,9 +18,10 @@ from siltworks.functions.text import null_if_empty, number_or_null, text
 from siltworks.operators import rows as R
 from siltworks.resolve.candidates import exact_links
 
-__all__ = ["LAYOUTS", "benchmark", "filings", "licences", "links", "references", "relevant"]
+__all__ = ["LAYOUTS", "benchmark", "filings", "last_filings", "licences", "links", "named_filings", "rates", "references", "relevant"]
 
 c, lit = F.col, F.lit
+Keep = Callable[[str, DataFrame], DataFrame]
 PER_HOURS = 200_000.0
 #: An employer number that this many first words of company names share is nobody's.
 SHARED_FROM = 26
@@ -47,10 +48,20 @@ def _digits(column: str) -> Column:
     return F.regexp_replace(text(column), "[^0-9]", "")
 
 
-def filings(raw: DataFrame) -> DataFrame:
-    """The last filing of each establishment and year, with cleaned names, rates and what is odd about it.
+def _as_it_is(_: str, df: DataFrame) -> DataFrame:
+    return df
 
-    Of several the highest id counts, then the latest time, then a hash of the row: a total order but for equal rows. Rates are cases for each 200,000 hours.
+
+def filings(raw: DataFrame, keep: Keep = _as_it_is) -> DataFrame:
+    """The last filing of each establishment and year, with cleaned names, rates and what is odd about it."""
+    return named_filings(keep("filing_rates", rates(last_filings(raw, keep))))
+
+
+def last_filings(raw: DataFrame, keep: Keep = _as_it_is) -> DataFrame:
+    """The last filing of each establishment and year, typed, with ``ein_digits``.
+
+    Of several the highest id counts, then the latest time, then a hash of the row: a total order but for equal rows. It is kept: what
+    follows reads it several times, and each time all filings would be typed and ranked again.
     """
     amount = lambda x: c(x).try_cast("double")
     typed = raw.select(
@@ -59,13 +70,15 @@ def filings(raw: DataFrame) -> DataFrame:
         number_or_null(c("total_deaths")).alias("deaths"), *(F.coalesce(number_or_null(c(f"total_{x}_cases")), lit(0)).alias(name) for x, name in (("dafw", "dafw"), ("djtr", "djtr"), ("other", "other_cases"))), "created_timestamp", F.xxhash64(*(c(f"`{x}`") for x in raw.columns)).alias("_row"),
     )
     last = R.latest(typed, ["establishment_id", "year"], c("filing_id").desc_nulls_last(), c("created_timestamp").desc_nulls_last(), c("_row")).drop("_row")
+    return keep("filing_last", last)
+
+
+def rates(last: DataFrame) -> DataFrame:
+    """``last_filings`` with the employer's number, if it is one firm's, rates for each 200,000 hours and what is odd."""
     owned = last.where(F.length("ein_digits") == 9)
     shared = owned.groupBy("ein_digits").agg(F.countDistinct(F.split_part(F.upper(F.trim("company_name")), lit(" "), lit(1))).alias("_names")).where(c("_names") >= SHARED_FROM).select("ein_digits", lit(True).alias("_shared"))
     df = last.join(shared, "ein_digits", "left")
     good = (F.length("ein_digits") == 9) & ~c("ein_digits").isin(*NO_EMPLOYER) & c("_shared").isNull()
-    df = once_per_value(df, "company_name", company_clean=N.clean_name("company_name"))
-    df = once_per_value(df, "establishment_name", establishment_clean=N.clean_name("establishment_name"))
-    df = once_per_value(df, "street_address", addr_key=A.address_key("street_address"))
     worked, away = c("hours") > 0, c("dafw") + c("djtr")
     # never a division by 0, whichever of the conditions Spark works out first
     rate = lambda n: n * PER_HOURS / F.nullif("hours", lit(0.0))
@@ -78,7 +91,14 @@ def filings(raw: DataFrame) -> DataFrame:
     return df.withColumns(made).drop("ein_digits", "_shared")
 
 
-def licences(lists: Mapping[str, DataFrame], layouts: Mapping[str, Mapping[str, str | None]] = LAYOUTS) -> DataFrame:
+def named_filings(df: DataFrame) -> DataFrame:
+    """Filings with names and streets cleaned, once for each distinct value."""
+    df = once_per_value(df, "company_name", company_clean=N.clean_name("company_name"))
+    df = once_per_value(df, "establishment_name", establishment_clean=N.clean_name("establishment_name"))
+    return once_per_value(df, "street_address", addr_key=A.address_key("street_address"))
+
+
+def licences(lists: Mapping[str, DataFrame], layouts: Mapping[str, Mapping[str, str | None]] = LAYOUTS, keep: Keep = _as_it_is) -> DataFrame:
     """Lists of any layouts as one table, one row for each licence: the one that expires last.
 
     A list whose name has no layout is an error, a column that a list lacks is null.
@@ -97,7 +117,7 @@ def licences(lists: Mapping[str, DataFrame], layouts: Mapping[str, Mapping[str,
             F.upper(at["state"]).alias("state"), A.zip5(at["zip"]).alias("zip5"), at["status"].alias("status"), F.try_to_date(at["expires"], "M/d/yyyy").alias("expires"), at["specialty"].alias("specialty"),
         ))
     rest = [c(x).asc_nulls_last() for x in ("status", "name", "entity_id", "address", "dba", "city", "state", "zip5", "specialty")]
-    last = R.latest(R.union_all(parts).where("number is not null"), ["source", "number"], c("expires").desc_nulls_last(), *rest)
+    last = keep("licence_last", R.latest(R.union_all(parts).where("number is not null"), ["source", "number"], c("expires").desc_nulls_last(), *rest))
     last = once_per_value(last, "name", clean_name=N.clean_name("name"))
     last = once_per_value(last, "dba", dba_clean=F.when(c("dba").isNotNull(), N.clean_name("dba")))
     return once_per_value(last, "address", addr_key=A.address_key("address"))

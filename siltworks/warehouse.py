@@ -71,16 +71,15 @@ def keyed(raw: DataFrame, since: DataFrame) -> DataFrame:
 
     Names and streets are cleaned once per distinct value.
     """
-    names = raw.select("estab_name").distinct().withColumn("clean_name", N.clean_name("estab_name")).withColumn("name_core", N.name_core(c("clean_name")))
+    names = raw.select("estab_name").distinct().withColumn("clean_name", N.clean_name("estab_name")).withColumns({"name_core": N.name_core(c("clean_name")), "is_placeholder": N.is_placeholder(c("clean_name"))})
     streets = raw.select("mail_street").distinct().select("mail_street", A.address_key("mail_street").alias("addr_key"), A.clean_address("mail_street").alias("addr_clean"))
     known = raw.alias("i").join(names.alias("n"), c("i.estab_name").eqNullSafe(c("n.estab_name")), "left").join(streets.alias("a"), c("i.mail_street").eqNullSafe(c("a.mail_street")), "left")
-    out = known.select("i.*", "clean_name", "name_core", "addr_key", "addr_clean").withColumns({"mail_zip5": A.zip5("mail_zip"), "state": null_if_empty(F.upper(F.trim("mail_state"))), "opened": day_or_null(c("open_date"))})
+    out = known.select("i.*", "clean_name", "name_core", "is_placeholder", "addr_key", "addr_clean").withColumns({"mail_zip5": A.zip5("mail_zip"), "state": null_if_empty(F.upper(F.trim("mail_state"))), "opened": day_or_null(c("open_date"))})
     return out.join(F.broadcast(since)).withColumns(  # one row
         {
             "establishment_key": A.entity_key(c("clean_name"), c("addr_key"), c("mail_zip5"), c("state")),
             "is_naics23": F.coalesce(c("naics_code").startswith("23"), lit(False)),
             "is_sic": F.coalesce(F.left(F.lpad(F.trim("sic_code"), 4, "0"), lit(2)).isin("15", "16", "17"), lit(False)),
-            "is_placeholder": N.is_placeholder(c("clean_name")),
             "in_window": F.coalesce(c("opened") >= c("since"), lit(False)),
         }
     )
@@ -144,9 +143,10 @@ def violations(staged: DataFrame, rules: DataFrame, as_of: DataFrame, keep: Call
     """Codes parsed and matched once per distinct (code, state), then joined back.
 
     Parsed codes are kept: Spark would push what rules ask of them below the ``distinct``, and parse every citation's code for each kind of rule.
+    So are matched ones: of a written table Spark knows the size, and needn't shuffle all citations to meet a few codes.
     """
     distinct = keep("code", staged.select("standard_raw", "site_state").distinct().withColumn("p", codes.parse("standard_raw", "site_state")).select("standard_raw", "site_state", "p.*"))
-    matched = rulematch.match_rules(distinct.withColumnRenamed("std_family", "family"), rules).withColumnRenamed("family", "std_family")
+    matched = keep("code_hazard", rulematch.match_rules(distinct.withColumnRenamed("std_family", "family"), rules).withColumnRenamed("family", "std_family"))
     v = staged.alias("v").join(matched.alias("h"), c("v.standard_raw").eqNullSafe(c("h.standard_raw")) & c("v.site_state").eqNullSafe(c("h.site_state")), "left")
     v = v.select("v.*", "std_family", "section_key", "standard_cite", F.coalesce("hazard_code", lit(rulematch.DEFAULT)).alias("hazard_code")).join(F.broadcast(as_of))  # one row
     return v.withColumns({"contested": c("contest_on").isNotNull(), "is_final": F.coalesce(c("final_order_on") <= c("as_of"), lit(False)), "is_serious_plus": F.coalesce(c("viol_type").isin(*SERIOUS), lit(False))}).drop("as_of", "site_state")
@@ -208,14 +208,18 @@ def accidents(raw: Raw, rows: DataFrame, people: DataFrame, inspections: DataFra
     return df.drop("found").withColumn("dq_flags", flags), links
 
 
-def final_inspections(staged: DataFrame, viol: DataFrame, acc: DataFrame, links: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Records with their citations, accidents, visit and an ordered status of fatalities."""
+def final_inspections(staged: DataFrame, viol: DataFrame, acc: DataFrame, links: DataFrame, as_of: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> DataFrame:
+    """Records with their citations, accidents, visit and an ordered status of fatalities.
+
+    What is counted for a record is kept: records, visits and sites read it, and citations are grouped once.
+    """
     live = ~c("is_deleted")
     cited = viol.groupBy("activity_nr").agg(_n(live).alias("citation_n"), _n(live & c("is_serious_plus")).alias("serious_plus_n"), _n(live & ~c("is_final")).alias("not_final_n"), F.sum(F.when(live, c("penalty_initial"))).alias("penalty_initial"), F.sum(F.when(live, c("penalty_current"))).alias("penalty_current"))
     fatal = c("fatality_flag") | (c("fatal_n") > 0) | c("death_in_narrative")
     hit = links.join(acc.select("summary_nr", "fatality_flag", "fatal_n", "death_in_narrative"), "summary_nr").groupBy("activity_nr").agg(F.count("*").alias("accident_n"), F.bool_or(fatal).alias("fatal"))
     groups = staged.where("site_group_id is not null").groupBy("site_group_id").agg(F.countDistinct("establishment_key").alias("site_group_n"))
-    df = staged.join(cited, "activity_nr", "left").join(hit, "activity_nr", "left").join(groups, "site_group_id", "left").join(F.broadcast(as_of))  # one row
+    counted = keep("record_counts", cited.join(hit, "activity_nr", "full"))
+    df = staged.join(counted, "activity_nr", "left").join(groups, "site_group_id", "left").join(F.broadcast(as_of))  # one row
     df = df.withColumns({"visit_id": F.coalesce("site_group_id", c("activity_nr").cast("string")), "citation_n": _or("citation_n", 0), "serious_plus_n": _or("serious_plus_n", 0), "site_group_n": _or("site_group_n", 1), "has_accident": c("accident_n").isNotNull(), "accident_n": _or("accident_n", 0), "fatal": _or("fatal", False)})
     visits = df.groupBy("establishment_key", "visit_id").agg(F.sum("serious_plus_n").alias("visit_serious"), F.bool_or(F.coalesce(c("insp_type") == "M", lit(False))).alias("visit_m"))
     sites = df.where("insp_type = 'M' and not has_accident and site_group_id is not null").select("site_group_id").distinct().withColumn("site_m", lit(True))
@@ -368,19 +372,23 @@ class Build:
         acc, links = accidents(self.raw, *self.injury_rows, self.staged)
         return self.keep("accident", acc), links
 
+    @cached_property
+    def rated_filings(self) -> DataFrame:
+        return self.keep("filing_rates", O.rates(O.last_filings(self.raw.filings, self.keep)))
+
     @cached_property
     def filed(self) -> DataFrame | None:
-        return self.keep("filing", O.filings(self.raw.filings)) if self.raw.filings is not None else None
+        return self.keep("filing", O.named_filings(self.rated_filings)) if self.raw.filings is not None else None
 
     @cached_property
     def licensed(self) -> DataFrame | None:
-        return self.keep("licence", O.licences(self.raw.licences)) if self.raw.licences else None
+        return self.keep("licence", O.licences(self.raw.licences, keep=self.keep)) if self.raw.licences else None
 
     def _make(self, name: str) -> DataFrame:
         raw, s, keep = self.raw, self.settings, self.keep
         match name:
             case "inspection":
-                return keep(name, final_inspections(self.staged, self["violation"], *self.accident_links, self.as_of))
+                return keep(name, final_inspections(self.staged, self["violation"], *self.accident_links, self.as_of, keep))
             case "violation":
                 return keep(name, violations(staged_violations(raw.violation, self.staged), raw.rules, self.as_of, keep))
             case "accident":
@@ -425,7 +433,7 @@ class Build:
             case "ita_establishment_year":
                 return O.relevant(self.filed, self["ref_link"])
             case "ita_benchmark":
-                return O.benchmark(self.filed)
+                return O.benchmark(self.rated_filings)
 
 
 def build(raw: Raw, settings: Settings = Settings(), keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> dict[str, DataFrame]:
