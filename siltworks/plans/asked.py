@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.resolve import questions as Q
-from siltworks.session import table
+from siltworks.session import parts, table
 from siltworks.sources.scratch import keeper
 
 from .marts import query
 
+#: lines of orders, a question's records, that a task takes
+LINES_A_TASK = 500_000
 _MADE = "translate(left(md5(CAST(k AS STRING)), 8), '0123456789abcdef', 'ABCDEFGHIKLMNOPR')"
 _RECORDS = f"""SELECT 'r' || CAST(p_partkey AS STRING) AS entity_key, {_MADE} AS name, CASE p_partkey % 3 WHEN 0 THEN 'TX' WHEN 1 THEN 'OK' ELSE 'LA' END AS state, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'CITY' || CAST(p_partkey % 4 AS STRING) END AS city,
  CAST(p_size AS BIGINT) AS n, 1990 + p_partkey % 9 AS first_year, 2000 + p_partkey % 5 AS last_year, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS red_flags, k FROM (SELECT *, CAST(floor(p_partkey / 6) AS BIGINT) AS k FROM part)"""
@@ -31,6 +33,8 @@ _SQL = "WITH RECURSIVE " + f"records AS ({_RECORDS}), tiers AS ({_TIERS}), own A
 
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     t = {n: table(spark, d, n) for n in ("part", "orders", "lineitem")}
+    n = parts(spark, t["lineitem"], LINES_A_TASK)
+    t["lineitem"] = t["lineitem"].repartition(n, "l_orderkey")  # by question, so that a task's share stays as it is
     for name, sql in (("records", _RECORDS), ("tiers", _TIERS), ("own", _OWN_ASKED), ("asked", _ASKED), ("lines", _LINES), ("decided", _DECIDED)):
         used = {n: df for n, df in t.items() if f"FROM {n}" in sql or f"JOIN {n}" in sql}
         for n in used:
@@ -93,7 +97,7 @@ def question_wording(spark: SparkSession, d: str) -> DataFrame:
     """What open questions say."""
     t = _tables(spark, d)
     subjects = t["asked"].select("sub_id", F.concat(F.lit("customer "), F.col("sub_id").cast("string")).alias("entered_name")).distinct()
-    return Q.wording(t["questions"], t["records"], subjects)
+    return Q.wording(t["questions"], t["records"], subjects, parts=parts(spark, table(spark, d, "lineitem"), LINES_A_TASK))
 
 
 @query(_SQL + """, g AS (SELECT sub_id, name, state, tier, list(DISTINCT entity_key ORDER BY entity_key) AS keys, CASE WHEN min(suggestion) = max(suggestion) THEN min(suggestion) END AS lean, sum(red_flags)::BIGINT AS red_flags FROM asked JOIN lines USING (question_id) JOIN records USING (entity_key) JOIN tiers USING (name) WHERE red_flags > 0 AND sub_id % 3 = 0 GROUP BY 1, 2, 3, 4),

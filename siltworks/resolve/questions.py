@@ -130,13 +130,16 @@ def _plural(n: Column, one: str, many: str) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {many}"))
 
 
-def wording(questions: DataFrame, records: DataFrame, subjects: DataFrame, shown: int = PLACES_SHOWN) -> DataFrame:
+def wording(questions: DataFrame, records: DataFrame, subjects: DataFrame, shown: int = PLACES_SHOWN, parts: int | None = None) -> DataFrame:
     """``question_id, text``: what a question says of its records as they are now.
 
     ``records`` has entity_key, name, city, state, n, first_year, last_year; ``subjects`` sub_id and entered_name. Places are counted
-    once each, the ones with most records first; names and places beyond ``shown`` are counted only.
+    once each, the ones with most records first; names and places beyond ``shown`` are counted only. ``parts`` is the number of partitions to deal
+    questions over; left out, the session's.
     """
     rows = _asked(_opened(questions)).join(records, "entity_key")
+    if parts:
+        rows = rows.repartition(parts, "question_id")
     total = rows.groupBy("question_id", "sub_id").agg(F.sum("n").alias("n"), F.min("first_year").alias("since"), F.max("last_year").alias("until"))
     listed = lambda c: F.concat(F.array_join(F.slice(c, 1, shown), "; "), F.when(F.size(c) > shown, F.concat(F.lit(" and "), _plural(F.size(c) - shown, "more", "more"))).otherwise(F.lit("")))
 
