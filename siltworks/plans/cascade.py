@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.functions import names as N
 from siltworks.resolve import index as I, rivals as RV, rules as D
-from siltworks.session import table
+from siltworks.session import parts, table
 
 from .marts import query
 
 GIVEN = ("JOHN", "JAMES", "JON", "ANNA")
 
 
+#: customers whose pairs a task judges
+PAIRS_A_TASK = 20_000
+
+
 def _listed(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -42,7 +46,10 @@ _PAIR = """SELECT *, CASE v WHEN 0 THEN q_name WHEN 1 THEN q_name || ' SERVICES'
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """One row a customer: a query's attributes (q_) and a candidate's (c_), described as :func:`siltworks.resolve.rules.decide` reads them."""
-    b = spark.sql(_BASE.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer"))
+    customer = table(spark, d, "customer")
+    # a small file is read by few tasks, and pairs cost far more than reading
+    dealt = customer.repartition(parts(spark, customer, PAIRS_A_TASK), "c_custkey")
+    b = spark.sql(_BASE.replace("FROM customer", "FROM {customer}"), customer=dealt)
     q = spark.sql(_QUERY.replace("FROM b", "FROM {b}"), b=b)
     p = spark.sql(_PAIR.replace("FROM q", "FROM {q}"), q=q)
     c, asked = F.col("c_name"), F.col("q_name")
