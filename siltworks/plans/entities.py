@@ -8,7 +8,7 @@ from siltworks.functions.names import name_core
 from siltworks.functions.similarity import jaro_winkler
 from siltworks.operators import evaluate as E, pools as PL, rows as R
 from siltworks.resolve import addresses as AD, candidates as C, index as I, neighbours as NB, remap as M, rules as D
-from siltworks.session import table
+from siltworks.session import parts, table
 
 from .marts import query
 from .text import _CORE as _CORE_SQL
@@ -25,6 +25,14 @@ ENTITY = f"""SELECT md5(CAST(c_custkey AS STRING)) AS entity_key, c_custkey, CAS
 _ENTITY_SQL = "entity_ AS (" + ENTITY.replace("STRING", "VARCHAR") + f"), entity AS (SELECT *, {_CORE_SQL.replace('clean', 'clean_name')} AS name_core FROM entity_)"
 
 
+#: entities that a task takes: each has several rows of words, keys or strata
+ENTITIES_A_TASK = 100_000
+
+
+def entity_parts(spark: SparkSession, d: str) -> int:
+    return parts(spark, table(spark, d, "customer"), ENTITIES_A_TASK)
+
+
 def entities(spark: SparkSession, d: str) -> DataFrame:
     df = spark.sql(ENTITY.replace("FROM customer JOIN part", "FROM {customer} customer JOIN {part} part"), customer=table(spark, d, "customer"), part=table(spark, d, "part"))
     return df.withColumn("name_core", name_core(F.col("clean_name")))
@@ -65,7 +73,7 @@ SELECT key, ref_id, min(method) AS method FROM u GROUP BY 1, 2""")
 def fuzzy_ref_link(spark: SparkSession, d: str) -> DataFrame:
     e = entities(spark, d)
     left = e.select(F.col("entity_key").alias("key"), F.col("clean_name").alias("name"), "state", "zip5", "addr_key")
-    return C.exact_links(left, spark.sql(f"SELECT c_custkey AS ref_id, {_FILED} FROM {{e}}", e=e))
+    return C.exact_links(left, spark.sql(f"SELECT c_custkey AS ref_id, {_FILED} FROM {{e}}", e=e), parts=entity_parts(spark, d))
 
 
 _SEARCH = f"""WITH {_ENTITY_SQL}, q AS (SELECT s_suppkey AS query_id, upper(p_name) || CASE s_suppkey % 3 WHEN 0 THEN ' ROOFING' WHEN 1 THEN '' ELSE ' BUILDERS' END AS q_name, CAST(s_nationkey % 7 AS VARCHAR) AS q_state FROM supplier JOIN part ON p_partkey = s_suppkey * 3 + 1),
@@ -169,7 +177,7 @@ SELECT a.token AS a, b.token AS b, CASE WHEN length(a.token) <> length(b.token)
 FROM t a JOIN t b ON a.token < b.token AND abs(length(a.token) - length(b.token)) <= 1 WHERE damerau_levenshtein(a.token, b.token) = 1""")
 def one_edit_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Words one edit or swap apart, over all words of all names."""
-    return NB.one_edit(I.token_index(entities(spark, d)).select(F.col("token").alias("name")))
+    return NB.one_edit(I.token_index(entities(spark, d)).select(F.col("token").alias("name")), entity_parts(spark, d))
 
 
 # what users type: a customer's word with a letter twice, or two swapped, in its own city
@@ -266,7 +274,8 @@ _DRAWN = " UNION ALL ".join(f"SELECT * FROM (SELECT entity_key, '{name}' AS pool
 def evaluation_pools(spark: SparkSession, d: str) -> DataFrame:
     """Entities drawn for eight overlapping strata in one pass."""
     strata = {name: (F.expr(where), n) for name, (where, n) in _STRATA.items()}
-    return PL.draw(entities(spark, d).select("entity_key", "clean_name", "name_core", "n", "zip5", "state", "addr_key"), "entity_key", strata, 7).select("entity_key", "pool")
+    e = entities(spark, d).select("entity_key", "clean_name", "name_core", "n", "zip5", "state", "addr_key").repartition(entity_parts(spark, d), "entity_key")
+    return PL.draw(e, "entity_key", strata, 7).select("entity_key", "pool")
 
 
 @query(f"""WITH {_ENTITY_SQL}, w AS (SELECT *, list_reduce(list_prepend('', string_split(name_core, ' ')), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS w, md5(entity_key || '|typo|3') AS h FROM entity),

@@ -110,18 +110,22 @@ def search(queries: DataFrame, entities: DataFrame, index: DataFrame, frequency:
     return top_k(kept.withColumn("by", by), ["query_id"], order, most).select("query_id", "entity_key", "similarity", "by")
 
 
-def exact_links(left: DataFrame, right: DataFrame, least: float = 0.93) -> DataFrame:
+def exact_links(left: DataFrame, right: DataFrame, least: float = 0.93, parts: int | None = None) -> DataFrame:
     """Best method by which ``left(key, name, state, zip5, addr_key)`` and ``right(ref_id, ...)`` are the same.
 
     M1: name, state and zip; M2: name, state and address; M3: address, zip and state with names of at
-    least five letters that are nearly alike.
+    least five letters that are nearly alike. Each join has ``parts`` partitions, if it is given.
     """
+    dealt = lambda df, *keys: df.repartition(parts, *keys) if parts else df
     r = right.select("ref_id", F.col("name").alias("r_name"), F.col("state").alias("r_state"), F.col("zip5").alias("r_zip"), F.col("addr_key").alias("r_addr"))
-    m1 = left.join(r, (left.name == r.r_name) & (left.state == r.r_state) & (left.zip5 == r.r_zip)).select("key", "ref_id", F.lit("M1").alias("method"))
-    m2 = left.join(r, (left.name == r.r_name) & (left.state == r.r_state) & (left.addr_key == r.r_addr)).select("key", "ref_id", F.lit("M2").alias("method"))
-    near = left.join(r, (left.addr_key == r.r_addr) & (left.zip5 == r.r_zip) & (left.state == r.r_state)).where((left.name != F.col("r_name")) & (F.length("name") >= 5) & (F.length("r_name") >= 5))
+    m1_left, m1_right = dealt(left, "name", "state", "zip5"), dealt(r, "r_name", "r_state", "r_zip")
+    m1 = m1_left.join(m1_right, (F.col("name") == F.col("r_name")) & (F.col("state") == F.col("r_state")) & (F.col("zip5") == F.col("r_zip"))).select("key", "ref_id", F.lit("M1").alias("method"))
+    m2_left, m2_right = dealt(left, "name", "state", "addr_key"), dealt(r, "r_name", "r_state", "r_addr")
+    m2 = m2_left.join(m2_right, (F.col("name") == F.col("r_name")) & (F.col("state") == F.col("r_state")) & (F.col("addr_key") == F.col("r_addr"))).select("key", "ref_id", F.lit("M2").alias("method"))
+    m3_left, m3_right = dealt(left, "addr_key", "zip5", "state"), dealt(r, "r_addr", "r_zip", "r_state")
+    near = m3_left.join(m3_right, (F.col("addr_key") == F.col("r_addr")) & (F.col("zip5") == F.col("r_zip")) & (F.col("state") == F.col("r_state"))).where((F.col("name") != F.col("r_name")) & (F.length("name") >= 5) & (F.length("r_name") >= 5))
     m3 = near.where(may_reach(F.col("name"), F.col("r_name"), least)).where(jaro_winkler("name", "r_name") >= least).select("key", "ref_id", F.lit("M3").alias("method"))
-    return m1.union(m2).union(m3).groupBy("key", "ref_id").agg(F.min("method").alias("method"))
+    return dealt(m1.union(m2).union(m3), "key", "ref_id").groupBy("key", "ref_id").agg(F.min("method").alias("method"))
 
 
 def correct_spelling(unknown: DataFrame, known: DataFrame, least_n: int = 10, times: int = 10) -> DataFrame:

@@ -44,19 +44,20 @@ def written_out(names: DataFrame, name: str = "name") -> DataFrame:
     return edits.select(*names.columns, F.col("_e.how").alias("how"), F.col("_e.key").alias("key"), p("at").alias("at"), F.col("_e.off").alias("off"))
 
 
-def one_edit(names: DataFrame) -> DataFrame:
+def one_edit(names: DataFrame, parts: int | None = None) -> DataFrame:
     """``a, b, how``: pairs of different names with ``a < b`` that are one edit apart, each pair once.
 
     ``names`` has ``name``; repeated and null names count once and never. Pairs that a swap and letters could both explain are
-    one edit only as a swap, so no pair has two rows.
+    one edit only as a swap, so no pair has two rows. Keys meet in ``parts`` partitions, if it is given.
     """
+    dealt = lambda df: df.repartition(parts, "key") if parts else df
     own = names.select("name").where("name is not null").distinct()
     edits = written_out(own)
-    whole = own.select(F.col("name").alias("other"), F.col("name").alias("key"))
+    whole = dealt(own.select(F.col("name").alias("other"), F.col("name").alias("key")))
     pair = [F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"), "how"]
-    gaps = edits.where(F.col("how") == GAP).join(whole, "key").select(*pair)
-    swaps = edits.where(F.col("how") == SWAP).join(whole, "key").where("name < other").select(*pair)
-    left = edits.where(F.col("how") == LETTER).select("key", "name")
+    gaps = dealt(edits.where(F.col("how") == GAP).select("key", "name", "how")).join(whole, "key").select(*pair)
+    swaps = dealt(edits.where(F.col("how") == SWAP).select("key", "name", "how")).join(whole, "key").where("name < other").select(*pair)
+    left = dealt(edits.where(F.col("how") == LETTER).select("key", "name"))
     letters = left.join(left.select("key", F.col("name").alias("other")), "key").where("name < other").select(*pair[:2], F.lit(LETTER).alias("how"))
     return gaps.unionByName(swaps).unionByName(letters)
 
