@@ -15,7 +15,7 @@ from siltworks.sources.scratch import keeper
 from .marts import query
 
 #: lines of orders, a question's records, that a task takes
-LINES_A_TASK = 500_000
+LINES_A_TASK = 250_000
 _MADE = "translate(left(md5(CAST(k AS STRING)), 8), '0123456789abcdef', 'ABCDEFGHIKLMNOPR')"
 _RECORDS = f"""SELECT 'r' || CAST(p_partkey AS STRING) AS entity_key, {_MADE} AS name, CASE p_partkey % 3 WHEN 0 THEN 'TX' WHEN 1 THEN 'OK' ELSE 'LA' END AS state, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'CITY' || CAST(p_partkey % 4 AS STRING) END AS city,
  CAST(p_size AS BIGINT) AS n, 1990 + p_partkey % 9 AS first_year, 2000 + p_partkey % 5 AS last_year, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS red_flags, k FROM (SELECT *, CAST(floor(p_partkey / 6) AS BIGINT) AS k FROM part)"""
