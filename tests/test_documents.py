@@ -51,3 +51,24 @@ def test_quotes(spark):
     assert {tuple(x) for x in got.collect()} == want
     none = spark.createDataFrame([], "quote_id int, text string")
     assert Q.standing(none, spark.createDataFrame(sources, "source_id int, text string"), keeper(spark)).collect() == []
+
+
+def test_quotes_keep_no_places_of_frequent_pairs(spark):
+    """What is written grows with the quotes, not with the texts that hold their pairs."""
+    kept = []
+
+    def keep(name, df):
+        kept.append(keeper(spark)(name, df))
+        return kept[-1]
+
+    quotes = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "The mat"), (3, "the"), (4, "on the dog sat")], "quote_id int, text string")
+    sources = spark.createDataFrame([(k, "On the mat, the cat sat on the mat. " * 5 + ("On the dog; sat" if k % 50 == 0 else "the end")) for k in range(200)], "source_id int, text string")
+    got = {(r.quote_id, r.source_id, r.at) for r in Q.standing(quotes, sources, keep).collect()}
+    assert got == {(1, k, 3) for k in range(200)} | {(2, k, 1) for k in range(200)} | {(3, k, 1) for k in range(200)} | {(4, k, 45) for k in range(0, 200, 50)}
+    assert sum(t.count() for t in kept) <= 4
+
+
+def test_quotes_of_full_slots(spark, monkeypatch):
+    """Where unlike pairs share a slot, the words decide."""
+    monkeypatch.setattr(Q, "SLOTS", 2)
+    test_quotes(spark)
