@@ -43,6 +43,8 @@ BATCHES, BATCH_DOCS = 3, 1 << 31
 BUCKET_DOCS = 1 << 16
 #: suffixes that a task sorts and counts before it gives them away
 RUN = 1 << 21
+#: rounds in which windows are compared
+ROUNDS = 2
 
 
 def minimizers(order: np.ndarray) -> np.ndarray:
@@ -54,7 +56,7 @@ def minimizers(order: np.ndarray) -> np.ndarray:
             return np.zeros(0, np.int64)
         best = np.minimum(best[:-step], best[step:])
         size += step
-    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return best.astype(np.uint32)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -70,13 +72,13 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     place = minimizers(order)
     doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     n = len(data) - LENGTH + 1
-    start = np.flatnonzero(doc[:n] == doc[LENGTH - 1 :])
-    if not len(start):
-        return empty, empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    new = np.ones(len(start), bool)
-    new[1:] = (place[start[1:]] != place[start[:-1]]) | (doc[start[1:]] != doc[start[:-1]])
-    first = start[new]
-    last = np.append(start[np.flatnonzero(new)[1:] - 1], start[-1])
+    inside = doc[:n] == doc[LENGTH - 1 :]
+    # windows of two texts are never neighbours: those across the border lie between
+    change = place[1:] != place[:-1]
+    new, end = inside.copy(), inside.copy()
+    new[1:] &= change | ~inside[:-1]
+    end[:-1] &= change | ~inside[1:]
+    first, last = np.flatnonzero(new), np.flatnonzero(end)
     own = doc[first].astype(np.int64)
     begin = offsets[own]
     at = place[first].astype(np.int64)
@@ -137,6 +139,14 @@ def _suffixes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _run(parts)
 
 
+def _write_buckets(df: DataFrame, name: str, key: str, buckets: int) -> str:
+    """Writes ``df``, which is partitioned so, as a table of sorted buckets in the shared folder; its path."""
+    path = new_path(df.sparkSession, name)
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return path
+
+
 class SuffixIndex:
     """A logarithmic family of suffix arrays, each a table of ``buckets`` sorted buckets in the shared folder.
 
@@ -154,9 +164,7 @@ class SuffixIndex:
         return settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true", spark__sql__execution__replaceHashWithSortAgg="true")
 
     def _write(self, array: DataFrame, name: str) -> None:
-        self._paths[name] = new_path(self.spark, name)
-        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-            array.write.bucketBy(self.buckets, "suffix").sortBy("suffix").option("path", self._paths[name]).format("parquet").saveAsTable(name)
+        self._paths[name] = _write_buckets(array, name, "suffix", self.buckets)
 
     def _array(self, name: str) -> DataFrame:
         """``suffix, low, high`` of an array, each suffix once. Its runs are counted while its buckets are scanned."""
@@ -254,28 +262,53 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tag[row]), pa.array(key.view(np.int64)), batch.column("doc_id").take(take), pa.array(spot)], names=["tag", "window", "doc_id", "spot"])
 
 
+def _removed(data: np.ndarray, offsets: np.ndarray, again: np.ndarray, places: np.ndarray, begin: np.ndarray, at: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Whether each byte goes, and first byte, end and text of each maximal run of those that do.
+
+    ``places`` has the segments that were found, ``begin`` the starts of their texts in ``data`` and ``at`` which of
+    their windows: all if it is null. Texts that are ``again`` there go as a whole.
+    """
+    _, first, n, _ = _unpacked(places)
+    first = first + begin
+    some = at.is_valid().to_numpy(zero_copy_only=False)
+    window = np.repeat(first[some], at.value_lengths().drop_null().to_numpy()) + at.flatten().to_numpy()
+    start = np.concatenate((first[~some], window, offsets[:-1][again]))
+    end = np.concatenate((first[~some] + n[~some] + LENGTH - 1, window + LENGTH, offsets[1:][again]))
+    size = len(data)
+    gone = np.cumsum(np.bincount(start, minlength=size + 1) - np.bincount(end, minlength=size + 1))[:size] > 0
+    border = np.zeros(size + 1, bool)
+    border[offsets] = True
+    low = np.flatnonzero(gone & (np.concatenate(([True], ~gone[:-1])) | border[:-1]) if size else gone)
+    high = np.flatnonzero(gone & (np.concatenate((~gone[1:], [True])) | border[1:]) if size else gone) + 1
+    return gone, low, high, np.searchsorted(offsets, low, "right") - 1
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     for batch in batches:
-        spans, rest = [], []
-        for text, copy, found in zip(batch.column("text"), batch.column("copy").to_pylist(), batch.column("found").to_pylist(), strict=True):
-            raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-            edge = np.zeros(len(raw) + 1, np.int64)
-            for f in found or ():
-                own, first, n, _ = _unpacked(f["place"])
-                if own == copy:
-                    if f["at"] is None:
-                        edge[first] += 1
-                        edge[first + n + LENGTH - 1] -= 1
-                    else:
-                        for a in f["at"]:
-                            edge[first + a] += 1
-                            edge[first + a + LENGTH] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            step = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).reshape(-1, 2)
-            spans.append([{"first": int(a), "last": int(b)} for a, b in step])
-            rest.append(raw[~gone].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, spans_type), pa.array(rest, pa.binary())], names=["doc_id", "text", "removed", "kept_bytes"])
+        data, offsets = K.text_buffer(batch.column("text"))
+        copy, again = batch.column("copy").to_numpy(), batch.column("again").to_numpy(zero_copy_only=False)
+        found = batch.column("found")
+        row = np.repeat(np.arange(len(batch)), found.value_lengths().fill_null(0).to_numpy())
+        flat = found.flatten()
+        place, at = flat.field("place").to_numpy(), flat.field("at")
+        own = np.flatnonzero(_unpacked(place)[0] == copy[row])
+        row, place, at = row[own], place[own], at.take(pa.array(own))
+        for i, j in K.slices(offsets):
+            a, b = np.searchsorted(row, (i, j))
+            here = offsets[i : j + 1] - offsets[i]
+            part = data[offsets[i] : offsets[j]]
+            gone, low, high, doc = _removed(part, here, again[i:j], place[a:b], here[row[a:b] - i], at.slice(a, b - a))
+            spans = pa.StructArray.from_arrays([pa.array(low - here[doc]), pa.array(high - here[doc])], names=["first", "last"])
+            rest = np.concatenate(([0], np.cumsum(~gone)))[here].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(i, j - i),
+                    batch.column("text").slice(i, j - i),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(j - i + 1)), pa.int32()), spans),
+                    pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(rest), pa.py_buffer(part[~gone])]),
+                ],
+                names=["doc_id", "text", "removed", "kept_bytes"],
+            )
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -301,6 +334,26 @@ def _ranges(n_docs: int, quantiles: list[int], batches: int | None) -> list:
     return _between(sorted(set(picked)))
 
 
+def _once(plain: DataFrame, buckets: int) -> DataFrame:
+    """``doc_id, text, copy, again`` of the rows with an id, in buckets by it: whether an earlier document has the very text.
+
+    All windows of a text that is there again are its first document's, so it goes as a whole, and no other text loses
+    or keeps more if it isn't indexed a second time. Texts cross the network once, here.
+    """
+    spark, known = plain.sparkSession, plain.where("doc_id is not null")
+    texts = materialise(known.where(F.octet_length("text") >= LENGTH).select("doc_id", "copy", F.sha2("text", 256).alias("sha")), "texts")
+    twice = materialise(texts.groupBy("sha").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last").select("sha", "holder"), "twice")
+    later = materialise(texts.join(twice, "sha").where("doc_id > holder").groupBy("doc_id").agg(F.collect_set("copy").alias("copies")), "later")
+    release(texts, twice)
+    again = F.coalesce(F.array_contains("copies", F.col("copy")), F.lit(False)).alias("again")
+    name = f"texts_{uuid.uuid4().hex}"
+    _write_buckets(known.repartition(buckets, "doc_id").join(later, "doc_id", "left").select("doc_id", "text", "copy", again), name, "doc_id", buckets)
+    release(later)
+    once = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, as the plan that is returned reads them
+    return once
+
+
 def remove_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """``doc_id, text, removed, kept_bytes``: without bytes of ``LENGTH``-byte strings that an earlier document has.
 
@@ -312,10 +365,12 @@ def remove_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     plain = copies(docs)
-    full = plain.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     n_docs, quantiles = plain.where("doc_id is not null").agg(F.count("*"), F.percentile_approx("doc_id", [k / 256 for k in range(256)], 4096)).first()
     parts = _ranges(n_docs, quantiles or [], batches)
-    index, shared = SuffixIndex(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // BUCKET_DOCS))), []
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // BUCKET_DOCS))
+    once = _once(plain, buckets)
+    full = once.where(~F.col("again") & (F.octet_length("text") >= LENGTH))
+    index, shared = SuffixIndex(spark, buckets), []
     for part in parts:
         shared.append(index.add(full.where(part)))
     index.close()
@@ -327,26 +382,34 @@ def remove_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
     kinds = materialise(every.groupBy(key).agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("place")), "kinds")
     # What a join may have to split is written before it, so that the join sees a plain shuffle.
     several = materialise(kinds.groupBy("suffix").agg(F.count("*").alias("n"), F.min("holder").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("suffix"), "several")
-    wanted = kinds.join(several, "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct(*key, "place")).alias("wanted"))
-    texts = materialise(full.join(wanted, "doc_id").mapInArrow(_texts_of, "ref long, suffix long, segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
+    wanted = kinds.join(several.hint("shuffle_hash"), "suffix").groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(F.struct(*key, "place")).alias("wanted"))
+    texts = materialise(full.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_texts_of, "ref long, suffix long, segment long, doc_id long, ahead long, bytes binary"), "segment-texts")
     release(several)
     sides = texts.mapInArrow(_sides, "side long, doc_id long, suffix long, segment long, is_right boolean")
     common = materialise(sides.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("side"), "sides")
-    near = materialise(sides.join(common, "side", "left_semi").groupBy(key).agg(F.bool_or("is_right").alias("right"), F.bool_or(~F.col("is_right")).alias("left")), "near")
+    near = materialise(sides.join(common.hint("shuffle_hash"), "side", "left_semi").groupBy(key).agg(F.bool_or("is_right").alias("right"), F.bool_or(~F.col("is_right")).alias("left")), "near")
     release(common)
-    checked = materialise(texts.join(near, key), "checked")
-    windows = checked.mapInArrow(_windows, "tag int, window long, doc_id long, spot long")
-    first = materialise(windows.groupBy("tag", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "first")
-    hit = windows.join(first, ["tag", "window"]).where("doc_id > first").groupBy(F.shiftright("spot", 6).alias("ref")).agg(F.collect_set(F.col("spot").bitwiseAND(63)).alias("at"))
-    partly = materialise(hit.join(texts.select("ref", *key), "ref").select(*key, "at"), "partly")
-    release(texts, near, checked, first)
-    act = materialise(kinds.select(*key, "holder", "last").join(partly, key, "left").where("holder < last or at is not null").select(*key, "holder", "at"), "act")
+    checked = materialise(texts.join(near.hint("shuffle_hash"), key), "checked")
+    release(texts, near)
+    hits = []
+    for k in range(ROUNDS):  # equal windows have equal suffixes, so no two rounds have to meet; each holds its share of the windows on disk
+        windows = checked.where(F.pmod(F.shiftright("suffix", 32), F.lit(ROUNDS)) == k).mapInArrow(_windows, "tag int, window long, doc_id long, spot long")
+        first = materialise(windows.groupBy("tag", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "first")
+        hit = windows.join(first.hint("shuffle_hash"), ["tag", "window"]).where("doc_id > first").groupBy(F.shiftright("spot", 6).alias("ref")).agg(F.collect_set(F.col("spot").bitwiseAND(63)).alias("at"))
+        hits.append(materialise(hit, "hits"))
+        release(first)
+    partly = materialise(checked.select("ref", *key).join(_union(hits), "ref").select(*key, "at"), "partly")
+    release(checked, *hits)
+    act = materialise(kinds.select(*key, "holder", "last").join(partly.hint("shuffle_hash"), key, "left").where("holder < last or at is not null").select(*key, "holder", "at"), "act")
     release(kinds, partly)
     found = every.select(*key, "doc_id", "place").join(act.hint("shuffle_hash"), key).where("doc_id > holder or (doc_id = holder and at is not null)")
     found = materialise(found.select("doc_id", "place", F.when(F.col("doc_id") == F.col("holder"), F.col("at")).alias("at")), "found")
     release(*held, act)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "at")).alias("found"))
-    return plain.join(spans, "doc_id", "left").select("doc_id", "text", "copy", "found").mapInArrow(_remove, "doc_id long, text string, removed array<struct<first:bigint,last:bigint>>, kept_bytes binary")
+    removed = "array<struct<first:bigint,last:bigint>>"
+    out = once.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "again", "found").mapInArrow(_remove, f"doc_id long, text string, removed {removed}, kept_bytes binary")
+    nameless = plain.where("doc_id is null").select("doc_id", "text", F.array().cast(removed).alias("removed"), F.coalesce("text", F.lit("")).cast("binary").alias("kept_bytes"))
+    return out.unionByName(nameless)
 
 
 def report(docs: DataFrame, batches: int | None = None) -> DataFrame:

@@ -121,3 +121,20 @@ def test_levels_are_merge_scanned_without_a_shuffle(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
     assert "SortAggregate" in counted and "Exchange" not in counted and " Sort " not in counted
     index.close()
+
+
+def test_a_text_is_indexed_once(spark, monkeypatch):
+    """Copies of a text go as a whole; rows that share its first id stay, and it is the only one that is indexed."""
+    one, two, tail = "a text of which there are very many copies " * 4, "some other text that stands here alone, " * 3, "and a text with an end of its own "
+    rows_ = [(k, one) for k in (7, 3, 3, *range(20, 60))] + [(3, two), (5, tail + one), (4, "short"), (6, "short"), (8, two), (None, one), (9, None), (10, "")]
+    seen, add = [], SuffixIndex.add
+
+    def spy(self, batch):
+        seen.extend(r.doc_id for r in batch.select("doc_id").collect())
+        return add(self, batch)
+
+    monkeypatch.setattr(SuffixIndex, "add", spy)
+    got = report(spark.createDataFrame(rows_, "doc_id long, text string"))
+    assert rows(got) == brute(rows_)
+    assert sorted(seen) == [3, 3, 3, 5]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
