@@ -10,6 +10,8 @@ from siltworks.operators.rows import top_k
 
 #: candidates of a query that are kept in each bucket, the most alike first; matched ones all are
 KEPT = {"excluded": 25, "uncertain": 200}
+#: rows of a side at one place that meet the other side's in one task
+BLOCK = 1_000
 
 
 def word_prefixes(c: Column) -> Column:
@@ -48,12 +50,33 @@ def at_listed(listed: DataFrame, entities: DataFrame, shared: DataFrame, most: i
     return top_k(found, ["query_id"], [F.desc("n"), F.col("entity_key")], most).select("query_id", "entity_key", "n")
 
 
+def all_at(wanted: DataFrame, entities: DataFrame, place: list[str]) -> DataFrame:
+    """``wanted``'s columns and the entities' at its place, all of them.
+
+    ``wanted`` has the columns ``place`` and unit, ``entities`` those and own_unit. Units have to agree unless one side has none. Both sides of a
+    place are dealt over blocks by their numbers of rows, so a task gets at most about ``BLOCK`` rows of either, however many share the place. Pairs
+    are many though rows are few, so the number of partitions is stated.
+    """
+    n = 4 * int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda df, name: df.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    both = blocks(wanted, "_rows").join(blocks(entities, "_columns"), place)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*df.columns), F.col(own)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        placed = df.join(both, place).withColumn(f"{own}_n", mine).withColumn(f"{other}_n", copies)
+        return placed.drop("_rows", "_columns").repartition(n, *keys)
+
+    keys = [*place, "_rows_n", "_columns_n"]
+    pairs = dealt(wanted, "_rows", "_columns").join(dealt(entities, "_columns", "_rows"), keys).drop("_rows_n", "_columns_n")
+    return pairs.where(F.col("unit").isNull() | F.col("own_unit").isNull() | (F.col("unit") == F.col("own_unit")))
+
+
 def largest_at(wanted: DataFrame, entities: DataFrame, place: list[str], order: Sequence[Column], most: int) -> DataFrame:
-    """``wanted``'s columns and the entities' at its place, the first ``most`` by ``order``, a total order of the entities' own columns.
+    """The first ``most`` rows of :func:`all_at` for each of ``wanted`` by ``order``, a total order of the entities' own columns.
 
-    ``wanted`` has the columns ``place`` and unit, ``entities`` those and own_unit. Units have to agree unless one side has none. What no query of a
-    place and unit could keep is left out before queries meet it, and queries that ask the same are answered once, so no address
-    costs the product of both sides.
+    For lists that are meant to be short; what is at an address as a whole is :func:`all_at`'s. What no query of a place and unit could keep is
+    left out before queries meet it, and queries that ask the same are answered once, so no address costs the product of both sides.
     """
     best = top_k(entities, [*place, "own_unit"], order, most)
     fits = F.col("unit").isNull() | F.col("own_unit").isNull() | (F.col("unit") == F.col("own_unit"))
