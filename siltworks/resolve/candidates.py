@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltworks.functions.similarity import jaro_winkler, may_reach
 from siltworks.operators.rows import top_k
@@ -83,31 +83,56 @@ def similar_tokens(wanted: DataFrame, vocabulary: DataFrame, least: float = TOKE
     return same.union(other.where(jaro_winkler("wanted_token", "token") >= least).select("wanted_token", "token"))
 
 
+def _equal(pairs: dict[str, str]) -> Column:
+    """Columns that are equal or both null."""
+    same = F.lit(True)
+    for a, b in pairs.items():
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return same
+
+
 def search(queries: DataFrame, entities: DataFrame, index: DataFrame, frequency: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
     """``query_id, entity_key, similarity, by`` of the best candidates of each query.
 
     ``queries`` has query_id, clean_name, name_core, state; ``entities`` entity_key, clean_name, name_core,
-    state, n. Candidates share the whole name, the core, or a spelling of one of the query's rarest
+    state, n; ``index`` the words of their clean_name. Candidates share the whole name, the core, or a spelling of one of the query's rarest
     tokens; all but the first two must be similar as a whole.
+
+    Names are compared once, however many queries and entities have them. Then the first entity of a name and state stands for all of these, and
+    only the best groups are opened again: a group behind ``most`` others by its first entity has none among the best, so none is lost.
     """
-    q = queries.select("query_id", F.col("clean_name").alias("q_name"), F.col("name_core").alias("q_core"), F.col("state").alias("q_state"))
-    e = entities.select("entity_key", "clean_name", "name_core", "state", "n")
-    alias = q.join(e, q.q_name == e.clean_name).select("query_id", "entity_key", F.lit(0).alias("how"))
-    core = q.where("q_core != ''").join(e, q.q_core == e.name_core).select("query_id", "entity_key", F.lit(1).alias("how"))
-    words = q.select("query_id", F.explode(F.array_distinct(F.split("q_name", " "))).alias("token")).where("token != ''")
+    keep = keeper(queries.sparkSession)
+    named = ["clean_name", "name_core"]
+    wanted = {"q_name": "clean_name", "q_core": "name_core", "q_state": "state"}
+    first = Window.partitionBy(*named, "state").orderBy(F.desc("n"), "entity_key")
+    members = top_k(entities.select("entity_key", *named, "state", "n"), [*named, "state"], [F.desc("n"), F.col("entity_key")], most)
+    # the groups and what is in them: worked out once
+    members = keep("members", members.withColumn("group", F.first("entity_key").over(first)))
+    e = members.where("entity_key = group").groupBy(*named).agg(F.min("entity_key").alias("firm"))
+    asked = queries.select(*(F.col(x).alias(q) for q, x in wanted.items()), "query_id").groupBy(*wanted).agg(F.min("query_id").alias("asked"))
+    q = asked.groupBy("q_name", "q_core").agg(F.min("asked").alias("ask"))
+    alias = q.join(e, q.q_name == e.clean_name).select("ask", "firm", F.lit(0).alias("how"))
+    core = q.where("q_core != ''").join(e, q.q_core == e.name_core).select("ask", "firm", F.lit(1).alias("how"))
+    words = q.select("ask", F.explode(F.array_distinct(F.split("q_name", " "))).alias("token")).where("token != ''")
     # read by the choice of rare tokens and by the search for them: worked out once
-    close = keeper(queries.sparkSession)("close", similar_tokens(words.select("token").distinct(), frequency))
-    reach = words.withColumnRenamed("token", "wanted_token").join(close, "wanted_token").join(frequency, "token").groupBy("query_id", "wanted_token").agg(F.sum("df").alias("df"))
-    rare = top_k(reach, ["query_id"], [F.col("df"), F.col("wanted_token")], RAREST).select("query_id", "wanted_token")
-    token = rare.join(close, "wanted_token").join(index, "token").select("query_id", "entity_key", F.lit(2).alias("how"))
-    found = alias.union(core).union(token).groupBy("query_id", "entity_key").agg(F.min("how").alias("how"))
-    both = found.join(q, "query_id").join(e, "entity_key")
+    close = keep("close", similar_tokens(words.select("token").distinct(), frequency))
+    reach = words.withColumnRenamed("token", "wanted_token").join(close, "wanted_token").join(frequency, "token").groupBy("ask", "wanted_token").agg(F.sum("df").alias("df"))
+    rare = top_k(reach, ["ask"], [F.col("df"), F.col("wanted_token")], RAREST).select("ask", "wanted_token")
+    of_names = index.withColumnRenamed("entity_key", "firm").join(e.select("firm"), "firm", "left_semi")
+    token = rare.join(close, "wanted_token").join(of_names, "token").select("ask", "firm", F.lit(2).alias("how"))
+    found = alias.union(core).union(token).groupBy("ask", "firm").agg(F.min("how").alias("how"))
+    both = found.join(q, "ask").join(e, "firm")
     both = both.where((F.col("how") < 2) | may_reach(F.col("q_name"), F.col("clean_name"), NAME_SIMILARITY))
     full = both.withColumn("similarity", jaro_winkler("q_name", "clean_name"))
     kept = full.where((F.col("how") < 2) | (F.col("similarity") >= NAME_SIMILARITY))
-    order = [F.coalesce(F.col("q_state") == F.col("state"), F.lit(False)).desc(), F.col("similarity").desc(), F.col("n").desc(), F.col("entity_key")]
+    alike = [F.coalesce(F.col("q_state") == F.col("state"), F.lit(False)).desc(), F.col("similarity").desc(), F.col("n").desc()]
     by = F.element_at(F.array(F.lit("name"), F.lit("core"), F.lit("token")), F.col("how") + 1)
-    return top_k(kept.withColumn("by", by), ["query_id"], order, most).select("query_id", "entity_key", "similarity", "by")
+    pairs = kept.select(F.col("q_name").alias("_name"), F.col("q_core").alias("_core"), F.col("clean_name").alias("_e_name"), F.col("name_core").alias("_e_core"), "similarity", by.alias("by"))
+    groups = pairs.join(asked, _equal({"_name": "q_name", "_core": "q_core"})).join(members.where("entity_key = group"), _equal({"_e_name": "clean_name", "_e_core": "name_core"}))
+    groups = top_k(groups, ["asked"], [*alike, F.col("group")], most).select("asked", *wanted, "state", "group", "similarity", "by")
+    opened = groups.join(members.select("group", "entity_key", "n"), "group")
+    answers = top_k(opened, ["asked"], [*alike, F.col("entity_key")], most).select(*wanted, "entity_key", "similarity", "by")
+    return queries.join(answers, _equal(wanted)).select("query_id", "entity_key", "similarity", "by")
 
 
 def exact_links(left: DataFrame, right: DataFrame, least: float = 0.93, parts: int | None = None) -> DataFrame:
