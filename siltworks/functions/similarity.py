@@ -57,6 +57,90 @@ def winkler(a: str, b: str) -> float:
     return float(winkler_batch([a], [b])[0])
 
 
+#: Letters up to which a word's places fit in the bits of a number, and cells of the grid that are filled at a time.
+_BITS, _GRID = 64, 1 << 14
+#: Numbers whose lowest k bits are set.
+_BELOW = np.array([(1 << k) - 1 for k in range(_BITS + 1)], np.uint64)
+
+
+def winkler_grid(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """Whether each of ``a`` is at least ``least`` alike each of ``b``, as :func:`winkler_batch` counts it: rows of ``a``, columns of ``b``.
+
+    A letter's places in all words of ``b`` are the bits of one row of numbers, so a letter of ``a`` takes its partners in all of these in a few
+    operations. Only what enough common letters allow is looked at for their order. Longer words are compared pair by pair.
+    """
+    out = np.zeros((len(a), len(b)), bool)
+    x, n = _codes(a)
+    y, m = _codes(b)
+    if least <= 0.7 or not len(a) or not len(b):  # a common prefix must not be what lifts a pair over 0.7
+        return winkler_batch([u for u in a for _ in b], list(b) * len(a)).reshape(out.shape) >= least
+    rows, columns = np.flatnonzero((n > 0) & (n <= _BITS)), np.flatnonzero(m <= _BITS)
+    for k, u in enumerate(a):
+        rest = range(len(b)) if n[k] > _BITS else np.flatnonzero(m > _BITS)
+        if len(rest):
+            out[k, rest] = winkler_batch([u] * len(rest), [b[j] for j in rest]) >= least
+    y, m = y[columns, :_BITS], m[columns]
+    if not len(columns):
+        return out
+    letters, at = np.unique(y, return_inverse=True)
+    at = at.reshape(y.shape)
+    places = np.zeros((len(letters) + 1, len(columns)), np.uint64)  # the last row: letters that no word of b has
+    for j in range(y.shape[1]):
+        there = y[:, j] >= 0
+        places[at[there, j], np.flatnonzero(there)] |= np.uint64(1 << j)
+    one = np.uint64(1)
+    sizes, of_size = np.unique(np.maximum(m, 1), return_inverse=True)
+
+    def enough(common: np.ndarray, swaps: np.ndarray | int, prefix: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plain = np.where(common > 0, (common / n + common / m + (common - swaps) / common) / 3, 0.0)
+        return np.where(plain > 0.7, plain + 0.1 * prefix * (1 - plain), plain) >= least
+
+    for size in np.unique(n[rows]):
+        mine = rows[n[rows] == size]
+        reach = np.maximum(np.maximum(size, m) // 2 - 1, 0)
+        near = np.array([_BELOW[np.minimum(i + reach + 1, _BITS)] ^ _BELOW[np.minimum(np.maximum(i - reach, 0), _BITS)] for i in range(size)])
+        # for each length of the common prefix and each word of b: how many common letters do at best
+        could = enough(np.arange(_BITS + 1)[:, None, None], 0, np.arange(5)[:, None], sizes, size)
+        need = np.where(could.any(axis=0), could.argmax(axis=0), 255).astype(np.uint8)[:, of_size]
+        step = max(1, _GRID // len(columns))
+        for first in range(0, len(mine), step):
+            own = mine[first : first + step]
+            codes = x[own, :size]
+            row = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+            row = np.where(letters[row] == codes, row, len(letters))
+            used = np.zeros((len(own), len(columns)), np.uint64)
+            took = np.empty((size, *used.shape), bool)
+            for i in range(size):
+                fits = places[row[:, i]]
+                fits &= near[i]
+                fits &= ~used
+                fits &= -fits  # the first place
+                used |= fits
+                np.not_equal(fits, 0, out=took[i])
+            common = np.bitwise_count(used)
+            may, same = common >= need[0], np.ones(used.shape, bool)
+            for i in range(min(4, size, y.shape[1])):
+                same &= codes[:, i, None] == y[:, i]
+                may |= same & (common >= need[i + 1])
+            open_ = np.flatnonzero(may.any(axis=0))
+            if not len(open_):
+                continue
+            left, swaps, prefix = used[:, open_], np.zeros((len(own), len(open_)), np.uint8), np.zeros((len(own), len(open_)), np.int64)
+            narrow = np.ascontiguousarray(places[:, open_])
+            for i in range(size):
+                taken = took[i][:, open_]
+                next_ = left & -left
+                swaps += taken & ((narrow[row[:, i]] & next_) == 0)
+                left ^= next_ * taken
+            same = np.ones(prefix.shape, bool)
+            for i in range(min(4, size, y.shape[1])):
+                same &= codes[:, i, None] == y[open_, i]
+                prefix += same
+            out[np.ix_(own, columns[open_])] = enough(common[:, open_].astype(np.int64), swaps.astype(np.int64) // 2, prefix, m[open_], size)
+    return out
+
+
 #: Cells of the tables that :func:`damerau_batch` fills at a time.
 _CELLS = 1 << 22
 

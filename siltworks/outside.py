@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siltworks.functions import addresses as A, names as N
 from siltworks.functions.text import null_if_empty, number_or_null, text
 from siltworks.operators import rows as R
-from siltworks.resolve.candidates import exact_links
+from siltworks.resolve.candidates import near_names
 
 __all__ = ["LAYOUTS", "benchmark", "filings", "last_filings", "licences", "links", "named_filings", "rates", "references", "relevant"]
 
@@ -135,26 +135,38 @@ def references(filed: DataFrame | None, licensed: DataFrame | None) -> DataFrame
     return R.union_all(parts).distinct()
 
 
+PLACE = ["addr_key", "zip5", "state"]
+
+
+def _named(est: DataFrame) -> DataFrame:
+    return est.where("not is_placeholder").select(c("establishment_key").alias("key"), c("clean_name").alias("name"), *PLACE)
+
+
 def links(est: DataFrame, refs: DataFrame) -> DataFrame:
     """``establishment_key, source, ref_id, method``: the best way in which an entity and an outside record are the same.
 
-    Names at a place are compared once, however many records share them; records come in only for what is found.
+    ``est`` has a row an entity. Near names are compared place by place, and what is found of them is told from equal ones there.
+    """
+    own = _named(est)
+    equal = [own.join(refs, ["name", "state", x]).select("key", "source", "ref_id", lit(method).alias("method")) for method, x in (("M1", "zip5"), ("M2", "addr_key"))]
+    exact = R.union_all(equal).groupBy("key", "source", "ref_id").agg(F.min("method").alias("method"))
+    near = near_names(own, refs, PLACE, but=exact.drop("method"))
+    return exact.unionByName(near.withColumn("method", lit("M3"))).withColumnRenamed("key", "establishment_key")
+
+
+def relevant(filed: DataFrame, est: DataFrame, trade: str = "23") -> DataFrame:
+    """Filings of a trade, and those of other trades that an entity is linked to.
+
+    Whether there is a link is looked up only for establishments with a filing of another trade; for near names only where none is equal.
     """
-    place = ["name", "state", "zip5", "addr_key"]
-    at = F.struct(*place)
-    own = est.where("not is_placeholder").select(c("establishment_key").alias("key"), c("clean_name").alias("name"), "state", "zip5", "addr_key")
-    found = exact_links(own, refs.select(*place).distinct().withColumn("ref_id", at))
-    found = found.select(c("key").alias("establishment_key"), "method", *(c("ref_id")[x].alias(f"_{x}") for x in place))
-    same = lit(True)
-    for x in place:
-        same = same & c(x).eqNullSafe(c(f"_{x}"))
-    return found.join(refs, same).groupBy("establishment_key", "source", "ref_id").agg(F.min("method").alias("method"))
-
-
-def relevant(filed: DataFrame, linked: DataFrame, trade: str = "23") -> DataFrame:
-    """Filings of a trade, and those of other trades that an entity is linked to."""
-    ids = linked.where("source = 'ita'").select(c("ref_id").alias("establishment_id"), lit(True).alias("_linked")).distinct()
-    return filed.join(ids, "establishment_id", "left").where(F.coalesce(c("naics").startswith(trade), lit(False)) | c("_linked")).drop("_linked")
+    own, of_trade = _named(est), F.coalesce(c("naics").startswith(trade), lit(False))
+    asked = filed.where(~of_trade & c("establishment_id").isNotNull()).select("establishment_id").distinct()
+    refs = references(filed.join(asked, "establishment_id", "left_semi"), None)
+    equal = [refs.join(own.select("name", "state", x).distinct(), ["name", "state", x], "left_semi").select("ref_id") for x in ("zip5", "addr_key")]
+    known = R.union_all(equal).distinct()
+    near = near_names(own, refs.join(known, "ref_id", "left_anti"), PLACE).select("ref_id")
+    linked = R.union_all([known, near]).distinct().select(c("ref_id").alias("establishment_id"), lit(True).alias("_linked"))
+    return filed.join(linked, "establishment_id", "left").where(of_trade | c("_linked")).drop("_linked")
 
 
 def benchmark(filed: DataFrame, trade: str = "23") -> DataFrame:

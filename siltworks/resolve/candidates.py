@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltworks.functions.similarity import jaro_winkler, may_reach
+from siltworks.functions.similarity import jaro_winkler, may_reach, winkler_grid
 from siltworks.operators.rows import top_k
 from siltworks.sources.scratch import keeper
 
@@ -153,6 +153,62 @@ def exact_links(left: DataFrame, right: DataFrame, least: float = 0.93, parts: i
     return dealt(m1.union(m2).union(m3), "key", "ref_id").groupBy("key", "ref_id").agg(F.min("method").alias("method"))
 
 
+#: Pairs at a place up to which its names are compared pair by pair in one join; beyond, in blocks of about so many rows of a side.
+FEW, BLOCK = 2_000, 1_000
+
+
+def near_names(left: DataFrame, right: DataFrame, place: list[str], least: float = 0.93, but: DataFrame | None = None) -> DataFrame:
+    """``key, source, ref_id``, each once, of different names of at least five letters at one place that are nearly alike.
+
+    ``left(key, name, ...)`` has a row a key, ``right(source, ref_id, name, ...)`` one for each name of a record; both have the columns ``place``.
+    ``but(key, source, ref_id)`` is left out. A place with few pairs is joined. The rows of others are dealt over blocks, all names of a record to
+    one, and a task compares a block of each side at once; it gives every pair of a key and a record once, so what is found is not shuffled.
+    """
+    n = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (df.where(F.length("name") >= 5) for df in (left, right))
+    count = lambda df, name: df.groupBy(*place).agg(F.count("*").alias(name))
+    places = count(left, "_rows").join(count(right, "_columns"), place)
+    crowded = F.col("_rows") * F.col("_columns") > FEW
+    r = right.withColumnRenamed("name", "r_name")
+    both = left.join(places.where(~crowded), place, "left_semi").join(r, place).where(F.col("name") != F.col("r_name"))
+    few = both.where(may_reach(F.col("name"), F.col("r_name"), least)).where(jaro_winkler("name", "r_name") >= least).select("key", "source", "ref_id").distinct()
+    blocks = places.where(crowded).select(*place, *(F.ceil(F.col(x) / BLOCK).cast("int").alias(x) for x in ("_rows", "_columns")))
+    spread = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    by = [*place, "_r", "_c"]
+    if but is None:
+        left = left.withColumn("but", F.lit(None).cast("array<struct<source:string,ref_id:string>>"))
+    else:
+        of_few = but.select("key", F.col("source").alias("_s"), F.col("ref_id").alias("_i"))
+        few = few.join(of_few, (few["key"] == of_few["key"]) & few["source"].eqNullSafe(F.col("_s")) & few["ref_id"].eqNullSafe(F.col("_i")), "left_anti")
+        left = left.join(but.groupBy("key").agg(F.collect_list(F.struct("source", "ref_id")).alias("but")), "key", "left")
+    a = left.join(blocks, place).withColumn("_r", F.pmod(F.xxhash64("key"), F.col("_rows")).cast("int")).withColumn("_c", spread("_columns")).select("key", "name", "but", *by)
+    b = right.join(blocks, place).withColumn("_c", F.pmod(F.xxhash64("source", "ref_id"), F.col("_columns")).cast("int")).withColumn("_r", spread("_rows")).select("source", "ref_id", "name", *by)
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        kept = b.select(["source", "ref_id"])
+        if not a.num_rows or not b.num_rows:
+            return pa.table([a["key"].slice(0, 0), *kept.slice(0, 0).columns], names=["key", "source", "ref_id"])
+        a_names, a_at = (x for x in np.unique(a["name"].to_pylist(), return_inverse=True))
+        b_names, b_at = (x for x in np.unique(b["name"].to_pylist(), return_inverse=True))
+        alike = winkler_grid(a_names.tolist(), b_names.tolist(), least)
+        _, i, j = np.intersect1d(a_names, b_names, assume_unique=True, return_indices=True)
+        alike[i, j] = False
+        number: dict[tuple[str, str], int] = {}
+        record = np.array([number.setdefault(x, len(number)) for x in zip(b["source"].to_pylist(), b["ref_id"].to_pylist(), strict=True)])
+        order = np.argsort(record, kind="stable")
+        starts = np.flatnonzero(np.diff(record[order], prepend=-1))
+        found = np.logical_or.reduceat(alike[:, b_at[order]], starts, axis=1)[a_at]
+        for row, others in enumerate(a["but"].to_pylist()):
+            for x in others or ():
+                if (k := number.get((x["source"], x["ref_id"]))) is not None:
+                    found[row, k] = False
+        rows, columns = np.nonzero(found)
+        return pa.table([a["key"].take(pa.array(rows)), *kept.take(pa.array(order[starts])).take(pa.array(columns)).columns], names=["key", "source", "ref_id"])
+
+    many = a.repartition(n, *by).groupBy(*by).cogroup(b.repartition(n, *by).groupBy(*by)).applyInArrow(compare, "key string, source string, ref_id string")
+    return few.union(many)
+
+
 def correct_spelling(unknown: DataFrame, known: DataFrame, least_n: int = 10, times: int = 10) -> DataFrame:
     """``name, corrected``: a distinctive known core of like spelling that is far more frequent.
 

@@ -358,6 +358,14 @@ class Build:
     def staged(self) -> DataFrame:
         return self.keep("stg_inspection", staged_inspections(scoped(self.keys, self.settings)))
 
+    @cached_property
+    def named(self) -> DataFrame:
+        """Entities with their name and place alone: known from their records, before citations are."""
+        # a record with neither number nor visit is in no served table
+        known = self.staged.where(F.coalesce("site_group_id", c("activity_nr").cast("string")).isNotNull())
+        first = {"clean_name": "clean_name", "addr_key": "addr_key", "zip5": "mail_zip", "state": "mail_state"}
+        return self.keep("entity_named", known.groupBy("establishment_key").agg(*(F.min(x).alias(name) for name, x in first.items())).withColumn("is_placeholder", N.is_placeholder(c("clean_name"))))
+
     @cached_property
     def as_of(self) -> DataFrame:
         return self.staged.agg(F.max("open_date").alias("as_of"))
@@ -427,11 +435,12 @@ class Build:
 
                 return quality.checks(raw, self.keys, self.injury_rows[1], self, s)
             case "ref_link":
-                return keep(name, O.links(self["establishment"], keep("reference", O.references(self.filed, self.licensed))))
+                # as many as there are near names at a place: given as they are found, not written first
+                return O.links(self.named, keep("reference", O.references(self.filed, self.licensed)))
             case "licence":
                 return self.licensed
             case "ita_establishment_year":
-                return O.relevant(self.filed, self["ref_link"])
+                return O.relevant(self.filed, self.named)
             case "ita_benchmark":
                 return O.benchmark(self.rated_filings)
 
